@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marram.llm import langid, quality
+from marram.llm import langid, packing, quality
 from marram.session import materialize
 
 STAGES = [
     ("quality_rules", quality.stage_quality),
     ("language_id", langid.stage_language),
+    ("packing", packing.stage_packing),
 ]
 
 #: Language scores and subword packing aren't expressible in SQL; tests hold the stages against brute force.

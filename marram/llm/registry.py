@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import audio, langid, quality, shard
+from . import audio, bpe, langid, packing, quality, shard
 
 QUERIES = {
     "op1_telephony": audio.op1_telephony,
     "op2_interleave": shard.op2_interleave,
+    "op5_bpe": bpe.op5_bpe,
     "op7_quality": quality.op7_quality,
+    "op8_packing": packing.op8_packing,
     "op10_language": langid.op10_language,
 }
 
