@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import audio, bpe, langid, packing, quality, shard
+from . import audio, bpe, langid, packing, quality, shard, simhash
 
 QUERIES = {
     "op1_telephony": audio.op1_telephony,
     "op2_interleave": shard.op2_interleave,
     "op5_bpe": bpe.op5_bpe,
+    "op6_simhash": simhash.op6_simhash,
     "op7_quality": quality.op7_quality,
     "op8_packing": packing.op8_packing,
     "op10_language": langid.op10_language,
