@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import audio, bpe, langid, packing, quality, shard, simhash
+from . import audio, bpe, langid, packing, quality, shard, simhash, suffix_tree
 
 QUERIES = {
     "op1_telephony": audio.op1_telephony,
     "op2_interleave": shard.op2_interleave,
+    "op3_suffix_tree": suffix_tree.op3_suffix_tree,
     "op5_bpe": bpe.op5_bpe,
     "op6_simhash": simhash.op6_simhash,
     "op7_quality": quality.op7_quality,
