@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audio, bpe, langid, packing, quality, shard, simhash, suffix_tree
+from . import audio, bpe, langid, packing, quality, secrets, shard, simhash, suffix_tree
 
 QUERIES = {
     "op1_telephony": audio.op1_telephony,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_simhash": simhash.op6_simhash,
     "op7_quality": quality.op7_quality,
     "op8_packing": packing.op8_packing,
+    "op9_secrets": secrets.op9_secrets,
     "op10_language": langid.op10_language,
 }
 
