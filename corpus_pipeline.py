@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marram.llm import langid, packing, quality, simhash
+from marram.llm import langid, packing, privacy, quality, simhash
 from marram.session import materialize
 
 STAGES = [
     ("quality_rules", quality.stage_quality),
     ("language_id", langid.stage_language),
     ("near_duplicates", simhash.stage_near_duplicates),
+    ("personal_data", privacy.stage_privacy),
     ("packing", packing.stage_packing),
 ]
 

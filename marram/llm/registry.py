@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import audio, bpe, langid, packing, quality, secrets, shard, simhash, suffix_tree
+from . import audio, bpe, langid, packing, privacy, quality, secrets, shard, simhash, suffix_tree
 
 QUERIES = {
     "op1_telephony": audio.op1_telephony,
     "op2_interleave": shard.op2_interleave,
     "op3_suffix_tree": suffix_tree.op3_suffix_tree,
+    "op4_privacy": privacy.op4_privacy,
     "op5_bpe": bpe.op5_bpe,
     "op6_simhash": simhash.op6_simhash,
     "op7_quality": quality.op7_quality,
