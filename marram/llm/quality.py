@@ -127,15 +127,12 @@ def judge_documents(docs: DataFrame, text_col: str = "text", host_col: str = "so
     verdicts replace columns of the same names; rows keep their multiplicity,
     and an empty table gives an empty result.
     """
-    spark = docs.sparkSession
     columns = docs.columns if columns is None else columns
-    need = dict.fromkeys([*columns, text_col, host_col])
     made = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "host_rate", "kept"]
     keep = [c for c in columns if c.lower() not in made]
-    packed = docs.select(F.struct(*need).alias("row"), F.col(text_col).alias("text"), F.col(host_col).alias("host"))
-    measured = measure(packed, "text")
-    if text_col not in columns:
-        measured = materialize(measured.withColumn("row", F.struct(*(F.col(f"row.{c}").alias(c) for c in keep))).drop("text"), "measures")
+    packed = docs.select(F.struct(*keep).alias("row"), F.col(text_col).alias("text"), F.col(host_col).alias("host"))
+    # Measured once, and written: filters on the measures must not be pushed into their computation.
+    measured = materialize(measure(packed, "text").drop("text"), "measures")
     rates = host_rates(measured, "host").filter(F.col("shrunk") > HOST_RATE)
     bad = rates.groupBy("host").agg(F.max("shrunk").alias("host_rate"), F.collect_set("rule").alias("rules")).withColumnRenamed("host", "host_")
     fails = soft_failures()
