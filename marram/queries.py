@@ -5,19 +5,240 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marram.functions import fuzzy, parse, text
+from marram.operators import matching, relational
+from marram.plans import reports
 
-def catalogue_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
+NOW = "2024-02-01 00:00:00"
+QUERIES, ORACLE_SQL = {}, {}
+
+
+def query(sql: str | None = None):
+    """Registers a query and its SQL under the function's name."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+@query("""
+    SELECT source, lang, count(*) AS cnt FROM documents d
+    WHERE n_chars >= 100 AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.toxic = 1 AND l.doc_id = d.doc_id)
+    GROUP BY source, lang""")
+def catalogue_facets(spark, sf):
     """Visible documents by source and language: an anti-join, a filter and a count."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    hidden = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("toxic = 1").select("doc_id")
-    return docs.join(hidden, "doc_id", "left_anti").filter("n_chars >= 100").groupBy("source", "lang").agg(F.count("*").alias("cnt"))
+    hidden = table(spark, sf, "labels").filter("toxic = 1").select("doc_id")
+    return table(spark, sf, "documents").join(hidden, "doc_id", "left_anti").filter("n_chars >= 100").groupBy("source", "lang").agg(F.count("*").alias("cnt"))
+
+
+@query("SELECT value, count(*) AS cnt FROM (SELECT unnest(string_split(p_name, ' ')) AS value FROM part) GROUP BY value")
+def facet_part_words(spark, sf):
+    return relational.facet(table(spark, sf, "part"), fuzzy.tokens(F.col("p_name")))
+
+
+@query("SELECT DISTINCT c_mktsegment FROM customer")
+def facet_distinct_segment(spark, sf):
+    return table(spark, sf, "customer").select("c_mktsegment").distinct()
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 're') AND contains(lower(p_brand), 'brand#1') AND p_size < 20")
+def filter_conjunction(spark, sf):
+    wanted = relational.all_present({"p_name": "RE", "p_brand": "Brand#1", "p_type": None}) & relational.duration_predicate(F.col("p_size"), "<", 20)
+    return table(spark, sf, "part").filter(wanted).select("p_partkey", "p_name")
+
+
+@query("SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.toxic = 1 AND l.doc_id = d.doc_id) AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.quality = 1 AND l.doc_id = d.doc_id)")
+def filter_exclusions(spark, sf):
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    return relational.exclude(relational.exclude(docs, labels.filter("toxic = 1"), ["doc_id"]), labels.filter("quality = 1"), ["doc_id"]).select("doc_id", "source")
+
+
+@query("""SELECT p_partkey FROM part WHERE p_brand IN ('Brand#11', 'Brand#12') OR lower(p_type) IN ('promo', 'standard') OR contains(p_name, 'red') OR contains(p_name, 'blue')""")
+def hidden_values_theta(spark, sf):
+    hidden = spark.createDataFrame([("p_brand", "Brand#11", False, True), ("p_type", "PROMO", True, True), ("p_name", "red", False, False), ("p_name", "large", False, False)], "property string, value string, ignore_case boolean, whole_word boolean")
+    alike = spark.createDataFrame([("p_brand", "Brand#11", "Brand#12"), ("p_type", "PROMO", "Standard"), ("p_name", "red", "blue")], "property string, replace_value string, possible_value string")
+    return relational.hidden_by_values(table(spark, sf, "part"), hidden, alike, ["p_brand", "p_type", "p_name"], "p_partkey")
+
+
+@query("""SELECT o_orderkey, c_custkey, r_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+    WHERE r_regionkey = 1 AND o_orderdate <= TIMESTAMP '1995-06-30 00:00:00'""")
+def stale_records(spark, sf):
+    sites = table(spark, sf, "region").filter("r_regionkey = 1").join(table(spark, sf, "nation"), F.col("r_regionkey") == F.col("n_regionkey"))
+    records = table(spark, sf, "customer").join(sites, F.col("c_nationkey") == F.col("n_nationkey"))
+    old = table(spark, sf, "orders").filter(F.col("o_orderdate") <= F.lit("1995-06-30 00:00:00").cast("timestamp_ntz"))
+    return old.join(records, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_custkey", "r_name")
+
+
+@query("""SELECT p_partkey, CASE lower(p_brand) WHEN 'brand#11' THEN 'First' WHEN 'brand#12' THEN 'Second' ELSE p_brand END AS p_brand FROM part""")
+def replacement_dictionary(spark, sf):
+    rows = [(2, "p_brand", "BRAND#11", "Late"), (1, "p_brand", "brand#11", "First"), (3, "p_brand", "Brand#12", "Second")]
+    dictionary = spark.createDataFrame(rows, "id int, property string, possible_value string, replace_value string")
+    return relational.replace_values(table(spark, sf, "part").select("p_partkey", "p_brand"), dictionary, ["p_brand"])
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'old' ELSE 'new' END AS origin FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0")
+def incremental_import(spark, sf):
+    orders = table(spark, sf, "orders").select("o_orderkey")
+    old, new = orders.filter("o_orderkey % 2 = 0").withColumn("origin", F.lit("old")), orders.filter("o_orderkey % 3 = 0").withColumn("origin", F.lit("new"))
+    return relational.import_new(old, new, ["o_orderkey"])
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")
+def upsert_latest(spark, sf):
+    events = table(spark, sf, "events").select("user_id", "event_id", "event_type", "ts")
+    empty = events.filter("false")
+    return relational.upsert(empty, events, ["user_id"], [F.desc("ts"), F.desc("event_id")]).drop("ts")
+
+
+@query("SELECT l_partkey, count(*) AS votes, round(avg(l_quantity), 6) AS avg_rate FROM lineitem WHERE l_quantity BETWEEN 1 AND 5 GROUP BY l_partkey")
+def rating_aggregate(spark, sf):
+    return table(spark, sf, "lineitem").filter("l_quantity BETWEEN 1 AND 5").groupBy("l_partkey").agg(F.count("*").alias("votes"), F.round(F.avg("l_quantity"), 6).alias("avg_rate"))
+
+
+@query("""SELECT r_name, n_name, c_mktsegment, count(*) AS cnt, CAST(3 - grouping(r_name) - grouping(n_name) - grouping(c_mktsegment) AS INTEGER) AS level
+    FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name, c_mktsegment)""")
+def rollup_site_forum_author(spark, sf):
+    joined = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return relational.levels(joined, ["r_name", "n_name", "c_mktsegment"])
+
+
+@query("""WITH w AS (SELECT p_partkey, lower(unnest(string_split(p_name, ' '))) AS value FROM part)
+    SELECT upper(value[1]) AS letter, value, count(DISTINCT p_partkey) AS cnt FROM w GROUP BY GROUPING SETS ((letter, value), (letter))""")
+def alphabet_groups(spark, sf):
+    return relational.alphabet(table(spark, sf, "part"), fuzzy.tokens(F.col("p_name")), "p_partkey")
+
+
+@query("SELECT CAST(least(greatest(floor(l_discount * 10), 0), 10) AS INTEGER) AS bucket, count(*) AS cnt FROM lineitem GROUP BY bucket")
+def confidence_histogram(spark, sf):
+    return reports.histogram(table(spark, sf, "lineitem"), "l_discount")
+
+
+@query("SELECT event_type, round(sum(CASE WHEN value >= 50 THEN 1 ELSE 0 END) / count(*), 9) AS coverage FROM events GROUP BY event_type")
+def weighted_coverage(spark, sf):
+    return table(spark, sf, "events").groupBy("event_type").agg(F.round(F.sum(F.when(F.col("value") >= 50, 1).otherwise(0)) / F.count("*"), 9).alias("coverage"))
+
+
+@query("""SELECT count(*) AS n, count(value) AS matched, count(CASE WHEN value >= 80 THEN 1 END) AS high, 100.0::DOUBLE AS matched_pct,
+    round(100.0 * count(CASE WHEN value >= 80 THEN 1 END) / count(*), 1)::DOUBLE AS high_pct FROM events""")
+def match_report(spark, sf):
+    return reports.match_report(table(spark, sf, "events"), "value", 80)
+
+
+@query("SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 4")
+def topk_per_group(spark, sf):
+    return relational.first_by(table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], [F.desc("o_totalprice"), F.col("o_orderkey")], 4)
+
+
+@query(f"""SELECT event_id, CASE WHEN date_diff('day', ts::DATE, DATE '{NOW[:10]}') > 30 THEN 'stale' WHEN date_diff('day', ts::DATE, DATE '{NOW[:10]}') < 1 THEN 'today'
+    WHEN date_diff('day', ts::DATE, DATE '{NOW[:10]}') < 7 THEN 'week' ELSE 'older' END AS bucket FROM events""")
+def recency_bucket(spark, sf):
+    return table(spark, sf, "events").select("event_id", relational.recency(F.col("ts"), F.col("ts"), F.lit(NOW).cast("timestamp_ntz")).alias("bucket"))
+
+
+WORDS_SQL = "w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part)"
+
+
+def part_words(spark, sf):
+    return table(spark, sf, "part").select(F.explode(fuzzy.tokens(F.col("p_name"))).alias("w")).distinct()
+
+
+@query(f"WITH {WORDS_SQL} SELECT x.w AS a, y.w AS b, CAST(levenshtein(x.w, y.w) AS INTEGER) AS dist FROM w x, w y WHERE levenshtein(x.w, y.w) <= 2")
+def fuzzy_band_join(spark, sf):
+    words = part_words(spark, sf)
+    return matching.fuzzy_band_join(words, words, "w", "w")
+
+
+@query("""WITH p AS (SELECT DISTINCT p_name AS n FROM part), k AS (SELECT n, string_split(n, ' ')[2] || ' ' || string_split(n, ' ')[1] AS m FROM p),
+    s AS (SELECT n, m, array_to_string(list_sort(string_split(n, ' ')), ' ') AS a, array_to_string(list_sort(string_split(m, ' ')), ' ') AS b FROM k)
+    SELECT n, m, round(1 - levenshtein(n, m)::DOUBLE / greatest(length(n), length(m)), 9) AS plain, round(1 - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b)), 9) AS sorted_ratio FROM s""")
+def token_sort_ratio(spark, sf):
+    names = table(spark, sf, "part").select(F.col("p_name").alias("n")).distinct()
+    names = names.withColumn("m", F.concat_ws(" ", F.get(F.split("n", " "), F.lit(1)), F.get(F.split("n", " "), F.lit(0))))
+    return names.select("n", "m", F.round(fuzzy.ratio(F.col("n"), F.col("m")), 9).alias("plain"), F.round(fuzzy.token_sort_ratio(F.col("n"), F.col("m")), 9).alias("sorted_ratio"))
+
+
+@query("""WITH p AS (SELECT DISTINCT p_name AS n, string_split(p_name, ' ')[1] AS w FROM part)
+    SELECT n, w, 1.0::DOUBLE AS score FROM p""")
+def token_set_ratio(spark, sf):
+    names = table(spark, sf, "part").select(F.col("p_name").alias("n"), F.get(F.split("p_name", " "), F.lit(0)).alias("w")).distinct()
+    return names.select("n", "w", F.round(fuzzy.token_set_ratio(F.col("n"), F.col("w")), 9).alias("score"))
+
+
+@query(f"""WITH {WORDS_SQL}, q AS (SELECT x.w AS a, y.w AS b, jaro_similarity(x.w, y.w) AS j FROM w x, w y WHERE x.w[1] = y.w[1]),
+    r AS (SELECT *, CASE WHEN a[1:4] = b[1:4] AND least(length(a), length(b)) >= 4 THEN 4 WHEN a[1:3] = b[1:3] AND least(length(a), length(b)) >= 3 THEN 3 WHEN a[1:2] = b[1:2] THEN 2 ELSE 1 END AS p FROM q)
+    SELECT a, b, round(j + p * 0.1 * (1 - j), 6) AS score FROM r""")
+def jaro_winkler_pairs(spark, sf):
+    words = part_words(spark, sf).withColumn("f", F.substring("w", 1, 1))
+    pairs = words.select(F.col("w").alias("a"), "f").join(words.select(F.col("w").alias("b"), "f"), "f")
+    return pairs.select("a", "b", F.round(fuzzy.jaro_winkler(F.col("a"), F.col("b")), 6).alias("score"))
+
+
+@query("""WITH k AS (SELECT p_partkey, string_split(p_name, ' ')[1] AS w FROM part), b AS (SELECT DISTINCT string_split(p_name, ' ')[2] AS v FROM part)
+    SELECT DISTINCT p_partkey, v FROM k, b WHERE substr(w, 1, 3) = substr(v, 1, 3) OR w = v""")
+def blocking_candidates(spark, sf):
+    words = F.split("p_name", " ")
+    parts = table(spark, sf, "part").select("p_partkey", F.get(words, F.lit(0)).alias("w"))
+    return matching.blocking_candidates(parts, table(spark, sf, "part").select(F.get(words, F.lit(1)).alias("v")).distinct(), "p_partkey", "w", "v", "v")
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(floor(l_extendedprice * 1000 / (l_quantity * 128)) AS BIGINT) AS seconds FROM lineitem")
+def effective_duration(spark, sf):
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", parse.effective_seconds(F.col("l_extendedprice") * 1000, F.col("l_quantity"), F.lit(0)).alias("seconds"))
+
+
+@query(r"""SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, CAST(len(regexp_extract_all(html, '<a\s[^>]*?href\s*=\s*"([^"]*)"', 1)) AS INTEGER) AS n_links FROM pages""")
+def html_title_links(spark, sf):
+    return table(spark, sf, "pages").select("page_id", text.page_title(F.col("html")).alias("title"), F.size(text.links(F.col("html"))).alias("n_links"))
+
+
+@query()
+def html_clean_text(spark, sf):
+    return table(spark, sf, "pages").select("page_id", text.inner_text(F.col("html")).alias("text"))
+
+
+@query("SELECT event_id, 'k' AS key, json_extract_string(props, '$.k') AS value FROM events")
+def key_value_pivot(spark, sf):
+    pair = text.key_value(F.translate("props", '{}"', ""))
+    return table(spark, sf, "events").select("event_id", pair["key"].alias("key"), pair["value"].alias("value"))
+
+
+def label_centers(spark, sf):
+    """A center for each label: the mean of its vectors, by dimension."""
+    cells = table(spark, sf, "embeddings").select("label", F.posexplode("embedding").alias("d", "x"))
+    means = cells.groupBy("label", "d").agg(F.avg("x").alias("x"))
+    return means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda c: c["x"]).alias("center"))
+
+
+@query("""WITH c AS (SELECT label, list(x ORDER BY d) AS center FROM (SELECT label, d, avg(x) AS x FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS d FROM embeddings) GROUP BY label, d) GROUP BY label),
+    s AS (SELECT vec_id, c.label, list_cosine_similarity(embedding::DOUBLE[], center) AS score FROM embeddings, c)
+    SELECT vec_id, label, round(score, 5) AS score FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, label) = 1""")
+def nearest_label(spark, sf):
+    found = matching.nearest_labels(table(spark, sf, "embeddings").select("vec_id", "embedding"), label_centers(spark, sf), "vec_id", "embedding")
+    return found.select("vec_id", "label", F.round("score", 5).alias("score"))
+
 
+@query("SELECT p_partkey, 'canon ' || p_type AS canonical FROM part")
+def genre_canonicalise(spark, sf):
+    """Types with a planted typo, mapped back by edit distance."""
+    parts = table(spark, sf, "part").select("p_partkey", F.concat("p_type", F.lit("x")).alias("typo"))
+    types = table(spark, sf, "part").select("p_type").distinct()
+    dictionary = types.select(F.hash("p_type").alias("ord"), F.col("p_type").alias("variant"), F.concat(F.lit("canon "), "p_type").alias("canonical"), F.lit(False).alias("part"))
+    return matching.canonicalise(parts, dictionary, "typo").select("p_partkey", "canonical")
 
-QUERIES = {"catalogue_facets": catalogue_facets}
 
-ORACLE_SQL = {
-    "catalogue_facets": """
-        SELECT source, lang, count(*) AS cnt FROM documents d
-        WHERE n_chars >= 100 AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.toxic = 1 AND l.doc_id = d.doc_id)
-        GROUP BY source, lang""",
-}
+@query()
+def resolve_author_book(spark, sf):
+    """Part names as books of the authors that their first words name."""
+    parts = table(spark, sf, "part").select("p_partkey", "p_name", F.split("p_name", " ").alias("w"))
+    authors = parts.select(F.get("w", F.lit(0)).alias("surname")).distinct().select(F.hash("surname").cast("long").alias("author_id"), "surname", F.lit("").alias("given"))
+    books = parts.groupBy("p_name", "w").agg(F.min("p_partkey").alias("book_id")).select(F.hash(F.get("w", F.lit(0))).cast("long").alias("author_id"), "book_id", F.col("p_name").alias("title"))
+    records = parts.select(F.col("p_partkey").alias("key"), F.get("w", F.lit(0)).alias("author"), F.concat_ws(" - ", F.get("w", F.lit(0)), "p_name").alias("title"))
+    return matching.resolve(records, authors, books)
