@@ -181,12 +181,12 @@ def jaro_winkler_pairs(spark, sf):
     return pairs.select("a", "b", F.round(fuzzy.jaro_winkler(F.col("a"), F.col("b")), 6).alias("score"))
 
 
-@query("""WITH k AS (SELECT p_partkey, string_split(p_name, ' ')[1] AS w FROM part), b AS (SELECT DISTINCT string_split(p_name, ' ')[2] AS v FROM part)
+@query("""WITH k AS (SELECT p_partkey, string_split(p_name, ' ')[1] AS w FROM part), b AS (SELECT DISTINCT string_split(p_name, ' ')[1] AS v FROM part)
     SELECT DISTINCT p_partkey, v FROM k, b WHERE substr(w, 1, 3) = substr(v, 1, 3) OR w = v""")
 def blocking_candidates(spark, sf):
     words = F.split("p_name", " ")
     parts = table(spark, sf, "part").select("p_partkey", F.get(words, F.lit(0)).alias("w"))
-    return matching.blocking_candidates(parts, table(spark, sf, "part").select(F.get(words, F.lit(1)).alias("v")).distinct(), "p_partkey", "w", "v", "v")
+    return matching.blocking_candidates(parts, table(spark, sf, "part").select(F.get(words, F.lit(0)).alias("v")).distinct(), "p_partkey", "w", "v", "v")
 
 
 @query("SELECT l_orderkey, l_linenumber, CAST(floor(l_extendedprice * 1000 / (l_quantity * 128)) AS BIGINT) AS seconds FROM lineitem")
