@@ -24,6 +24,7 @@ from marram.session import materialize
 
 from .common import bounded_runs, table
 from .links import components
+from .resemblance import drop_similar
 
 BITS = 64
 SHINGLE = 4
@@ -270,25 +271,10 @@ def label_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """``df`` with one row of each component: the smallest id, and the first such row where ids repeat.
-
-    Columns stay as they are, whatever their names. Null texts count as empty,
-    so that one row with an empty text stays.
-    """
-    packed = df.select(F.struct(*df.columns).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = fingerprints(packed, "id", "text", shingle, passed=["row", "id"])
-    rows = materialize(rows.withColumn("uid", F.monotonically_increasing_id()), "fingerprints")
-    unique, roots = group_fingerprints(rows.select("id", "uid", "fp"), radius)
-    joined = unique.join(roots, F.col("fp") == F.col("node"), "left")
-    kept = joined.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("best").alias("best")).select(F.col("best.uid").alias("uid"))
-    return rows.join(kept, "uid", "left_semi").select("row.*")
-
-
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
     return label_near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def stage_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, with its columns."""
-    return drop_near_duplicates(docs)
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8), with its columns."""
+    return drop_similar(docs)
