@@ -2,10 +2,10 @@
 
 Patterns find direct identifiers (email, ip, card, phone). Terms are then judged
 by how much they disclose: over the whole corpus, the pointwise mutual
-information of a term and an identifier near which it stands, as a share of the
-identifier's information content (after Sanchez and Batet). A term that
-discloses nearly everything is removed around that identifier, one above a lower
-threshold is generalised.
+information of a term and an identifier with which it shares a text, as a share
+of the identifier's information content (after Sanchez and Batet). A term that
+discloses nearly everything is removed from all texts that hold the identifier,
+one above a lower threshold is generalised.
 """
 
 from __future__ import annotations
@@ -27,16 +27,10 @@ KINDS = ("email", "ip", "card", "phone")
 REVEAL, HINT = "reveal", "hint"
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", REVEAL: "", HINT: "[TERM]"}
 
-#: Code points on either side of an identifier in which terms count as standing near it.
-NEAR = 60
 #: Letters of a term.
 TERM_LENGTH = (3, 40)
-#: Different texts in which a term must stand near an identifier.
-SUPPORT = 2
 #: Share of the identifier's information above which a term is removed, or generalised.
 REMOVE, GENERALISE = 0.9, 0.6
-#: Candidate terms (of at most 40 letters) that may be broadcast; beyond, they are joined by shuffling.
-BROADCAST_TERMS = 200_000
 
 
 def digits(text: Column) -> Column:
@@ -69,15 +63,6 @@ def identifiers(text: Column) -> Column:
     return merge_kinds([(k, found[k]) for k in KINDS])
 
 
-def near_terms(text: Column, span: Column) -> Column:
-    """Distinct lower-cased terms within NEAR code points of a span; one that touches the edge of that is left out."""
-    left = F.substring(text, F.greatest(span["start"] - NEAR, F.lit(0)) + 1, F.least(span["start"], F.lit(NEAR)))
-    left = F.when(span["start"] > NEAR, F.regexp_replace(left, r"^\p{L}+", "")).otherwise(left)
-    right = F.substring(text, span["end"] + 1, F.lit(NEAR))
-    right = F.when(F.length(right) == NEAR, F.regexp_replace(right, r"\p{L}+$", "")).otherwise(right)
-    return F.array_distinct(terms_of(F.concat_ws(" ", left, right)))
-
-
 def terms_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda x: F.length(x).between(*TERM_LENGTH))
 
@@ -88,32 +73,57 @@ def entity(span: Column) -> Column:
     return F.concat_ws(":", span["kind"], plain)
 
 
-def term_frequencies(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
-    """``(term, n_term)``: the different texts of the whole corpus that contain each wanted term."""
-    if wanted.count() <= BROADCAST_TERMS:
-        wanted = F.broadcast(wanted)
+def term_spans(text: Column, terms: Column) -> Column:
+    """Occurrences of the terms as whole runs of letters, as (start, end, match)."""
+    between = F.transform(F.split(text, r"\p{L}++", -1), lambda x: F.length(x))
+    pairs = F.zip_with(F.regexp_extract_all(text, F.lit(r"\p{L}++"), F.lit(0)), between, lambda m, gap: F.struct(m.alias("m"), gap.alias("gap")))
+    start = F.struct(F.lit(0).alias("at"), no_spans().alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        first = acc["at"] + x["gap"]
+        last = first + F.length(x["m"])
+        found = F.array(F.struct(first.alias("start"), last.alias("end"), x["m"].alias("match")))
+        wanted = F.array_contains(terms, F.lower(x["m"]))
+        return F.when(x["m"].isNull(), acc).otherwise(F.struct(last.alias("at"), F.when(wanted, F.concat(acc["out"], found)).otherwise(acc["out"]).alias("out")))
+
+    return F.when(F.coalesce(F.size(terms) > 0, F.lit(False)), F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(no_spans())
+
+
+def term_frequencies(docs: DataFrame, text_col: str) -> DataFrame:
+    """``(term, n_term)``: how many different texts contain each term; the empty term counts all texts."""
     rows = docs.filter(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("key"), terms_of(F.col(text_col)).alias("terms"))
-    held = rows.select("key", F.explode(F.array_distinct("terms")).alias("term")).join(wanted, "term", "left_semi")
-    return held.groupBy("term").agg(F.count_distinct("key").alias("n_term"))
+    texts = rows.withColumn("terms", F.array_distinct("terms")).groupBy("key").agg(F.first("terms").alias("terms"))
+    return texts.select(F.explode(F.concat(F.array(F.lit("")), "terms")).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
 
 
-def disclosing_terms(docs: DataFrame, near: DataFrame, text_col: str) -> DataFrame:
-    """``(entity, term, share)``: terms near an identifier that disclose at least GENERALISE of it.
+def disclosing_terms(docs: DataFrame, private: DataFrame, text_col: str) -> DataFrame:
+    """``(key, term, share)``: terms of a text that disclose at least GENERALISE of an identifier in it.
 
-    ``near`` has (key, entity, term), key being a hash of the text. All counts
-    are of different texts, so that copies add nothing.
+    ``private`` has (key, entities, terms), key being a hash of the text. All
+    counts are of different texts, so that copies add nothing. An identifier of
+    one text shares that text with each of its terms, so that only the others'
+    pairs are counted. A pair is left out before that where it couldn't reach
+    the threshold even if the rarer of both always stood with the other.
     """
-    spark = docs.sparkSession
-    total = docs.filter(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("key")).distinct().count()
-    both = near.groupBy("entity", "term").agg(F.count_distinct("key").alias("n_both")).filter(F.col("n_both") >= SUPPORT)
-    both = materialize(both, "pairs")
-    alone = near.groupBy("entity").agg(F.count_distinct("key").alias("n_entity"))
-    terms = term_frequencies(docs, both.select("term").distinct(), text_col)
-    info = F.log2(F.lit(float(max(total, 1))) / F.col("n_entity"))
-    mutual = F.log2(F.lit(float(max(total, 1))) * F.col("n_both") / (F.col("n_entity").cast("double") * F.col("n_term")))
-    share = F.when(info > 0, mutual / info)
-    judged = both.join(alone, "entity").join(terms, "term").select("entity", "term", share.alias("share"))
-    return judged.filter(F.col("share") >= GENERALISE)
+    counts = materialize(term_frequencies(docs, text_col), "terms")
+    total = float(max(counts.filter("term = ''").agg(F.max("n_term")).first()[0] or 0, 1))
+    held = private.select("key", F.explode("entities").alias("entity")).distinct()
+    held = materialize(held.join(held.groupBy("entity").agg(F.count("*").alias("n_entity")), "entity"), "entities")
+    most = held.agg(F.max("n_entity")).first()[0] or 1
+
+    def reachable(n_entity: Column, n_term: Column) -> Column:
+        return F.log2(F.lit(total) / F.greatest(n_entity, n_term)) >= GENERALISE * F.log2(F.lit(total) / n_entity) - 1e-9
+
+    terms = private.select("key", F.explode("terms").alias("term")).distinct().join(counts.filter(reachable(F.lit(most), F.col("n_term"))), "term")
+    pairs = held.filter(F.col("n_entity") < total).join(terms, "key").filter(reachable(F.col("n_entity"), F.col("n_term")))
+    pairs = materialize(pairs, "pairs")
+    info = F.log2(F.lit(total) / F.col("n_entity"))
+    share = F.try_divide(F.log2(F.lit(total) * F.col("n_both") / (F.col("n_entity").cast("double") * F.col("n_term"))), info)
+    single = pairs.filter("n_entity = 1").withColumn("n_both", F.lit(1)).select("key", "term", share.alias("share"))
+    both = pairs.filter("n_entity > 1").groupBy("entity", "term", "n_entity", "n_term").agg(F.count("*").alias("n_both"))
+    told = both.select("entity", "term", share.alias("share")).filter(F.col("share") >= GENERALISE)
+    shared = pairs.filter("n_entity > 1").join(told, ["entity", "term"]).select("key", "term", "share")
+    return single.filter(F.col("share") >= GENERALISE).unionByName(shared).groupBy("key", "term").agg(F.max("share").alias("share"))
 
 
 def masked(text: Column, spans: Column) -> Column:
@@ -136,8 +146,8 @@ def sanitise(docs: DataFrame, text_col: str = "text", columns: list[str] | None
     """``columns`` of every row with spans and, with ``mask``, sanitised.
 
     spans are the identifiers' and, of kinds reveal and hint, all occurrences of
-    disclosing terms in a text that has them near the identifier they disclose;
-    the latter never overlap identifiers. sanitised is the text with identifiers
+    disclosing terms in every text that holds the identifier they disclose; the
+    latter never overlap identifiers. sanitised is the text with identifiers
     replaced by their kind, revealing terms removed and hinting ones generalised.
     A null text has no spans and stays null; rows keep their multiplicity. Input
     columns named spans or sanitised are replaced.
@@ -147,27 +157,25 @@ def sanitise(docs: DataFrame, text_col: str = "text", columns: list[str] | None
     rows = docs.select(F.struct(*(F.col(c) for c in keep)).alias("row"), F.col(text_col).alias("t"))
     rows = rows.withColumn("spans", F.when(text.isNull(), merge_kinds([("email", no_spans())])).otherwise(identifiers(F.coalesce(text, F.lit("")))))
     # Only texts with identifiers are needed further, unless they are among the columns anyway.
-    found = materialize(rows.select(F.monotonically_increasing_id().alias("uid"), "row", F.when(F.size("spans") > 0, text).alias("t"), "spans"), "identifiers")
-    private = found.filter(F.size("spans") > 0).select("uid", "t", F.explode("spans").alias("span"))
-    near = private.select("uid", F.xxhash64("t").alias("key"), entity(F.col("span")).alias("entity"), F.explode(near_terms(F.col("t"), F.col("span"))).alias("term"))
-    near = materialize(near.distinct(), "near")
-    told = disclosing_terms(docs, near.select("key", "entity", "term"), text_col)
-    by_row = near.join(told, ["entity", "term"]).groupBy("uid", "term").agg(F.max("share").alias("share"))
+    found = materialize(rows.select("row", F.when(F.size("spans") > 0, text).alias("t"), "spans"), "identifiers")
+    own = F.array_distinct(F.transform("spans", lambda x: F.xxhash64(entity(x))))
+    holders = found.filter(F.size("spans") > 0).withColumn("key", F.xxhash64("t"))
+    private = materialize(holders.select("key", own.alias("entities"), F.array_distinct(terms_of(text)).alias("terms")), "private")
+    by_text = disclosing_terms(docs, private, text_col)
     strong = F.col("share") >= REMOVE
-    by_row = by_row.groupBy(F.col("uid").alias("uid_")).agg(
+    by_text = by_text.groupBy(F.col("key").alias("key_")).agg(
         F.array_sort(F.collect_list(F.when(strong, F.col("term")))).alias("reveal"),
         F.array_sort(F.collect_list(F.when(~strong, F.col("term")))).alias("hint"),
     )
-    joined = found.join(by_row, F.col("uid") == F.col("uid_"), "left")
+    joined = holders.join(by_text, F.col("key") == F.col("key_"), "left")
 
     def occurrences(terms: str) -> Column:
-        pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(terms, "|"), F.lit(r")(?!\p{L})"))
-        spans = find_spans(F.col("t"), pattern, F.coalesce(F.size(terms) > 0, F.lit(False)))
-        return F.filter(spans, lambda a: ~F.exists(F.col("spans"), lambda b: (a["start"] < b["end"]) & (b["start"] < a["end"])))
+        return F.filter(term_spans(F.col("t"), F.col(terms)), lambda a: ~F.exists(F.col("spans"), lambda b: (a["start"] < b["end"]) & (b["start"] < a["end"])))
 
     base = [only_kind(F.col("spans"), k) for k in KINDS]
     everything = merge_kinds([*zip(KINDS, base, strict=True), (REVEAL, occurrences("reveal")), (HINT, occurrences("hint"))])
-    out = joined.select("row", "t", F.when(F.col("uid_").isNull(), F.col("spans")).otherwise(everything).alias("spans"))
+    out = joined.select("row", "t", F.when(F.col("key_").isNull(), F.col("spans")).otherwise(everything).alias("spans"))
+    out = out.unionByName(found.filter(F.size("spans") == 0).select("row", "t", "spans"))
     names = [F.col(f"row.{c}").alias(c) for c in keep]
     if not mask:
         return out.select(*names, "spans")
