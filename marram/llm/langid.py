@@ -26,6 +26,8 @@ MAX_LABELS = 500
 #: Characters that are counted or scored at a time.
 CHUNK = 1 << 20
 UNKNOWN = "und"
+#: Standard deviations below its label's training texts at which a text isn't taken to be of that language.
+FAR = 4.0
 
 
 def text_buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -80,8 +82,8 @@ def count_ngrams(df: DataFrame, text_col: str, label_col: str) -> DataFrame:
     return rows.mapInArrow(run, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fit(df: DataFrame, text_col: str = "text", label_col: str = "lang") -> tuple[list[str], np.ndarray]:
-    """Labels in order, and the float32 matrix (BUCKETS + 1, labels) of log probabilities.
+def fit(df: DataFrame, text_col: str = "text", label_col: str = "lang") -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Labels in order, the float32 matrix (BUCKETS + 1, labels) of log probabilities, and each label's smoothed number of n-grams.
 
     Rows with a null text or label teach nothing. Labels have equal priors. The
     last matrix row is zero, for places that hold no n-gram.
@@ -93,20 +95,67 @@ def fit(df: DataFrame, text_col: str = "text", label_col: str = "lang") -> tuple
     matrix = np.full((BUCKETS + 1, len(labels)), SMOOTHING)
     place = {x: k for k, x in enumerate(labels)}
     matrix[counts.column("bucket").to_numpy(), [place[x] for x in counts.column("label").to_pylist()]] += counts.column("n").to_numpy()
-    matrix = np.log(matrix / matrix[:BUCKETS].sum(axis=0)).astype(np.float32)
+    weights = matrix[:BUCKETS].sum(axis=0)
+    matrix = np.log(matrix / weights).astype(np.float32)
     matrix[BUCKETS] = 0
-    return labels, matrix
+    return labels, matrix, weights
 
 
-def predict(df: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text", passed: list[str] | None = None) -> DataFrame:
+def typical_fit(df: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], text_col: str = "text", label_col: str = "lang") -> np.ndarray:
+    """By label (labels, 3): mean and variance of its training texts' fit, and the mean variance inside one.
+
+    A text's fit is the mean log probability of its n-grams for its own label,
+    the text's own counts taken out of that label's.
+    """
+    labels, matrix, weights = model
+    shared = df.sparkSession.sparkContext.broadcast(matrix)
+    place = {x: k for k, x in enumerate(labels)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matrix = shared.value
+        chances = {}
+        sums = np.zeros((len(labels), 4))
+        for batch in batches:
+            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if not has_letter(text):
+                    continue
+                k = place[label]
+                if k not in chances:
+                    chances[k] = np.exp(matrix[:BUCKETS, k].astype(np.float64))
+                weight = weights[k]
+                own = np.zeros(BUCKETS + 1, dtype=np.int64)
+                for a in range(0, len(text), CHUNK):
+                    own += np.bincount(text_buckets([text[a : a + CHUNK]])[0].ravel(), minlength=BUCKETS + 1)
+                hit = np.flatnonzero(own[:BUCKETS])
+                n = own[hit]
+                logs = np.log(np.maximum(chances[k][hit] * weight - n, SMOOTHING) / (weight - n.sum()))
+                mean = (logs * n).sum() / n.sum()
+                sums[k] += 1, mean, mean * mean, ((logs - mean) ** 2 * n).sum() / n.sum()
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(labels)), pa.int32()), *(pa.array(x) for x in sums.T)], ["k", "n", "x", "xx", "v"])
+
+    rows = df.select(F.col(text_col), F.col(label_col)).dropna()
+    out = rows.mapInArrow(run, "k int, n double, x double, xx double, v double").groupBy("k").agg(*(F.sum(c).alias(c) for c in ("n", "x", "xx", "v")))
+    found = np.zeros((len(labels), 3))
+    for r in out.collect():  # one row for each label
+        n = max(r["n"], 1.0)
+        found[r["k"]] = r["x"] / n, max(r["xx"] / n - (r["x"] / n) ** 2, 0.0), r["v"] / n
+    return found
+
+
+def predict(df: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text", passed: list[str] | None = None, typical: np.ndarray | None = None) -> DataFrame:
     """``(id, lang_pred, score)`` of every row, or the columns ``passed`` instead of the id.
 
+    With ``typical``, the result of ``typical_fit``, a text whose fit is more
+    than FAR standard deviations below its predicted label's gives ``und`` and 0
+    too; the variance is that between training texts plus the text's own, by
+    its length.
+
     score is the posterior probability of the predicted label. A null text, one
     without a letter, and any text where nothing was learned give ``und`` and 0.
     Ties go to the first label in order. Input columns named lang_pred or score
     are replaced.
     """
-    labels, _ = model
+    labels = model[0]
     shared = df.sparkSession.sparkContext.broadcast(model[1])
     keep = [c for c in (passed or [id_col]) if c.lower() not in ("lang_pred", "score")]
     chosen = df.select(*(F.col(c).alias(f"c{k}") for k, c in enumerate(keep)), F.col(text_col).alias("t"))
@@ -126,8 +175,14 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "d
                         sums += np.add.reduceat(matrix[grams[:, column]], starts, axis=0, dtype=np.float64)
                     best = sums.argmax(axis=1)
                     chance = 1 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
-                    for k, b, s in zip(real, best, chance, strict=True):
-                        found[k - i] = (labels[b], float(s))
+                    near = np.ones(len(real), dtype=bool)
+                    if typical is not None:
+                        n = np.add.reduceat((grams != BUCKETS).sum(axis=1), starts)
+                        mean, between, inside = typical[best].T
+                        near = sums.max(axis=1) / n >= mean - FAR * np.sqrt(between + inside / n)
+                    for k, b, s, kept in zip(real, best, chance, near, strict=True):
+                        if kept:
+                            found[k - i] = (labels[b], float(s))
                 cut = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*cut.columns[: len(keep)], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], [*(f"c{k}" for k in range(len(keep))), "lang_pred", "score"])
 
@@ -147,8 +202,12 @@ def op10_language(spark, sf_dir: str) -> DataFrame:
 
 
 def stage_language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is one of the learned ones, with their columns."""
+    """Documents whose language is one of the learned ones, with their columns; all that have a letter where none was learned."""
+    training = docs.filter(~held_out())
+    model = fit(training)
+    if not model[0]:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     keys = docs.columns
     inner = docs.select(F.struct(*keys).alias("row"), "text")
-    out = predict(inner, fit(docs.filter(~held_out())), text_col="text", passed=["row"])
+    out = predict(inner, model, text_col="text", passed=["row"], typical=typical_fit(training, model))
     return out.filter(F.col("lang_pred") != UNKNOWN).select("row.*")
