@@ -72,19 +72,21 @@ def nearest_labels(vectors: DataFrame, labels: DataFrame, id_col: str, vec_col:
 
 
 def rank_authors(records: DataFrame, authors: DataFrame, id_col: str = "key", author_col: str = "author", top: int = TOP_AUTHORS) -> DataFrame:
-    """The best authors of each record, as (id, author_id, score, place).
+    """The best author of each of the ``top`` best-matched people of a record, as (id, author_id, score, place).
 
     ``authors`` has (author_id, surname, given), normalised. Every reading of
-    every person named is looked up by block; an author's best score counts.
+    every person named is looked up by block; a person's best author counts, of
+    equal ones the smallest id. People rank by score, then as they are named.
     """
-    readings = records.select(F.col(id_col).alias("id"), F.explode(F.flatten(text.author_slots(F.col(author_col)))).alias("r")).select("id", "r.surname", "r.given").distinct()
+    slots = records.select(F.col(id_col).alias("id"), F.posexplode(text.author_slots(F.col(author_col))).alias("slot", "readings"))
+    readings = slots.select("id", "slot", F.explode("readings").alias("r")).select("id", "slot", "r.surname", "r.given").distinct()
     blocks = readings.filter("surname <> ''").select("*", F.explode(block_keys(F.col("surname"))).alias("block"))
     known = authors.filter("surname <> ''").select("author_id", F.col("surname").alias("s2"), F.col("given").alias("g2"), F.explode(block_keys(F.col("surname"))).alias("block"))
     met = blocks.join(known, "block").drop("block").distinct()
     scored = met.withColumn("score", fuzzy.author_score(F.col("surname"), F.col("given"), F.col("s2"), F.col("g2")))
-    best = scored.groupBy("id", "author_id").agg(F.max("score").alias("score"))
-    placed = best.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "author_id")))
-    return placed.filter(F.col("place") <= top).withColumnRenamed("id", id_col)
+    best = scored.groupBy("id", "slot").agg(F.min_by("author_id", F.struct(-F.col("score"), F.col("author_id"))).alias("author_id"), F.max("score").alias("score"))
+    placed = best.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "slot")))
+    return placed.filter(F.col("place") <= top).select(F.col("id").alias(id_col), "author_id", "score", "place")
 
 
 def resolve(records: DataFrame, authors: DataFrame, books: DataFrame, id_col: str = "key", author_col: str = "author", title_col: str = "title") -> DataFrame:
