@@ -71,13 +71,19 @@ def stratified_shards(
         rows.withColumn("r", F.row_number().over(inside) - 1)
         .join(per_bin, F.col("source").eqNullSafe(F.col("source_")) & (F.col("bin") == F.col("bin_")))
         .withColumn("fraction", (F.col("before") + F.col("r") + 0.5) / F.col("in_source"))
-        .drop("source_", "bin_", "bin", "before", "r", "in_source")
+        .withColumnRenamed("bin", "draw_bin")
+        .drop("source_", "bin_", "before", "r", "in_source")
         .withColumn("bin", F.floor(F.col("fraction") * bins))
     )
-    per_bin = ranked.groupBy("bin").agg(F.count("*").alias("n"))
-    per_bin = per_bin.select(F.col("bin").alias("bin_"), (F.sum("n").over(Window.orderBy("bin")) - F.col("n")).alias("before"))
-    inside = Window.partitionBy("bin").orderBy("fraction", "draw", "source", "id", "crc", "bytes")
-    placed = ranked.withColumn("r", F.row_number().over(inside) - 1).join(per_bin, F.col("bin") == F.col("bin_"))
+    # Small sources share few fractions, so that equal ones are cut by draw; the cuts of one bin are summed up first.
+    cuts = ranked.groupBy("bin", "fraction", "draw_bin").agg(F.count("*").alias("n"))
+    per_bin = cuts.groupBy("bin").agg(F.sum("n").alias("n"))
+    per_bin = per_bin.select(F.col("bin").alias("bin_"), (F.sum("n").over(Window.orderBy("bin")) - F.col("n")).alias("first"))
+    in_bin = F.sum("n").over(Window.partitionBy("bin").orderBy("fraction", "draw_bin")) - F.col("n")
+    cuts = cuts.withColumn("inner", in_bin).join(per_bin, F.col("bin") == F.col("bin_"))
+    cuts = cuts.select(F.col("bin").alias("b"), F.col("fraction").alias("f"), F.col("draw_bin").alias("d"), (F.col("first") + F.col("inner")).alias("before"))
+    inside = Window.partitionBy("bin", "fraction", "draw_bin").orderBy("draw", "source", "id", "crc", "bytes")
+    placed = ranked.withColumn("r", F.row_number().over(inside) - 1).join(cuts, (F.col("bin") == F.col("b")) & (F.col("fraction") == F.col("f")) & (F.col("draw_bin") == F.col("d")))
     place = F.col("before") + F.col("r")
     shard = F.expr(f"cast((before + r) * {shards}L div {max(total, 1)}L as int)")
     first = F.expr(f"(shard * {max(total, 1)}L + {shards - 1}L) div {shards}L")
