@@ -113,16 +113,24 @@ def resolve(records: DataFrame, authors: DataFrame, books: DataFrame, id_col: st
 
 
 def canonicalise(df: DataFrame, dictionary: DataFrame, value_col: str, within: int = 2) -> DataFrame:
-    """``df`` with canonical: by equality, then by edit distance, then by contained part; else null.
+    """``df`` with canonicals and canonical: by equality, then by edit distance, then by contained parts; else null.
 
-    ``dictionary`` has (ord, variant, canonical, part): for part rows the variant
-    is sought within the value. The smallest distance wins, then the first entry.
+    ``dictionary`` has (ord, variant, canonical, part) and may have priority:
+    for part rows the variant is sought within the value. The smallest distance
+    wins, then the first entry. Of the parts in a value those of the least
+    priority count, null being the last; they are joined with the value itself.
+    canonicals is sorted and distinct, canonical the same joined by commas.
     """
     values = df.select(F.lower(value_col).alias("v")).dropna().distinct()
     whole = dictionary.filter("NOT part").select("ord", F.lower("variant").alias("w"), "canonical")
     close = fuzzy_band_join(values, whole, "v", "w", within)
     by_distance = close.join(whole, F.col("b") == F.col("w")).groupBy(F.col("a").alias("v")).agg(F.min_by("canonical", F.struct("dist", "ord")).alias("near"))
-    parts = dictionary.filter("part").select("ord", F.lower("variant").alias("w"), "canonical")
-    by_part = values.join(parts, F.contains(F.col("v"), F.col("w"))).groupBy("v").agg(F.min_by("canonical", "ord").alias("holds"))
-    found = values.join(by_distance, "v", "left").join(by_part, "v", "left").select(F.col("v").alias("__v"), F.coalesce("near", "holds").alias("canonical"))
-    return df.join(found, F.lower(value_col) == F.col("__v"), "left").drop("__v")
+    priority = (F.col("priority") if "priority" in dictionary.columns else F.lit(None)).cast("long")
+    parts = dictionary.filter("part").select(F.lower("variant").alias("w"), "canonical", priority.alias("priority"))
+    held = values.join(parts, F.contains(F.col("v"), F.col("w"))).groupBy("v", "priority").agg(F.collect_set("canonical").alias("all"))
+    by_part = held.groupBy("v").agg(F.min_by("all", F.struct(F.col("priority").isNull().alias("last"), "priority")).alias("holds"))
+    found = values.join(by_distance, "v", "left").join(by_part, "v", "left").select(F.col("v").alias("__v"), "near", "holds")
+    joined = df.join(found, F.lower(value_col) == F.col("__v"), "left")
+    with_value = F.array_sort(F.array_distinct(F.concat(F.array(F.col(value_col)), F.col("holds"))))
+    out = joined.withColumn("canonicals", F.when(F.col("near").isNotNull(), F.array("near")).when(F.col("holds").isNotNull(), with_value))
+    return out.withColumn("canonical", F.array_join("canonicals", ", ")).drop("__v", "near", "holds")

@@ -234,6 +234,14 @@ def genre_canonicalise(spark, sf):
     return matching.canonicalise(parts, dictionary, "typo").select("p_partkey", "canonical")
 
 
+@query()
+def genre_parts(spark, sf):
+    """Types with all parts of the least priority that they contain."""
+    entries = [("pro", 1), ("mo", 1), ("eco", 1), ("no", 2), ("all", 2), ("stand", 2), ("dard", None), ("med", None), ("ium", None)]
+    dictionary = spark.createDataFrame([(k, w, f"part {w}", True, p) for k, (w, p) in enumerate(entries)], "ord int, variant string, canonical string, part boolean, priority int")
+    return matching.canonicalise(table(spark, sf, "part").select("p_partkey", "p_type"), dictionary, "p_type").select("p_partkey", "canonicals")
+
+
 @query()
 def resolve_author_book(spark, sf):
     """Part names as books of the authors that their first words name."""
