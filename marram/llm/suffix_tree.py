@@ -1,19 +1,18 @@
-"""Language-model scores from a probabilistic suffix tree over the bytes of words.
-
-A token is spelled as a word start, its bytes and a word end; a text's end is a
-symbol of its own after a word start. Contexts are suffixes, up to DEPTH
-symbols, of what has been spelled of the token and, for its first LEAD symbols,
-of the last CROSS bytes of the word before. All context counts therefore follow
-from two tables that Spark aggregates over all training texts: words, and links
-(the end of one word with the beginning of the next).
-
-Contexts grow from those of the last pass whose share of all positions is at
-least MIN_SHARE (which bounds their number by DEPTH / MIN_SHARE for any corpus);
-of these, the tree retains contexts whose next-symbol distribution diverges from
-their suffix's. Distributions are smoothed towards that of the longest retained
-suffix, and a symbol's probability comes from the longest suffix state. A
-token's probability is the mean of its spelling's and of its smoothed frequency,
-which remembers rare words that no context is frequent enough to spell.
+"""Language-model scores from a probabilistic suffix tree over words.
+
+A text is a sequence of symbols: the ALPHABET most frequent words, RARE for any
+other (which is then spelled by bytes), and an end. Contexts are the last one to
+DEPTH symbols. A context is a state if it occurs LEAST times at least and its
+next-symbol counts diverge from its longest suffix state's distribution by GAIN
+nats in all; its distribution is smoothed towards that suffix's (Witten and
+Bell). A symbol's probability comes from the longest suffix of its history that
+is a state, so that the probabilities of all texts sum to one at most.
+
+Whether a context is a state is decided where all positions after it meet:
+positions are dealt out by their last symbol, and those after a hot context by
+the symbol before it, with the hot context's whole next-symbol counts (at most
+one for each symbol of the alphabet) sent along. The tree itself is never
+gathered anywhere; it grows with the corpus.
 """
 
 from __future__ import annotations
@@ -21,7 +20,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from itertools import islice
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,191 +29,54 @@ from pyspark.sql import functions as F
 
 from marram.session import materialize
 
-from .common import id_remainder, table
-
-#: Bytes that can't be inside a word mark its start and end and the text's end.
-START, STOP, CLOSE = b" ", b"\n", b"\t"
-SYMBOLS = 256
-DEPTH = 12
-#: Symbols of a token that see the word before, and how many of its last bytes.
-LEAD, CROSS = 4, 3
-#: Context lengths that one pass adds.
-PASS = 2
-#: A context is counted further only with this share of all symbol positions.
-MIN_SHARE = 1e-5
-#: Kullback-Leibler divergence, in nats, from the suffix's distribution that retains a context.
-DIVERGENCE = 0.002
-#: Weight of the suffix's distribution, in observations.
-PRIOR = 2.0
+from .common import bounded_runs, id_remainder, table
+
+#: Most frequent words that are symbols of their own; then the other symbols' numbers.
+ALPHABET = 65_533
+RARE, END, START = 65_533, 65_534, 65_535
+#: Symbols of the longest context. A context and the next symbol fit 64 bits.
+DEPTH = 3
+#: Occurrences of a context that can be a state, and by how many nats its counts must diverge.
+LEAST, GAIN = 2, 8.0
+#: Positions that one bucket holds on average; contexts of half as many are split.
+UNIT = 1 << 22
 #: At most so many of the most frequent words, of at most HEAD_BYTES bytes, are broadcast with their counts.
-HEAD, HEAD_BYTES = 300_000, 32
-#: Entries of a task's counters and caches.
-HELD = 300_000
+HEAD, HEAD_BYTES = 300_000, 64
+#: Entries of a task's counters, and symbols or characters that are handled at a time.
+HELD, CHUNK = 500_000, 1 << 21
+#: The byte before and after a spelled word, and bytes that no lower-cased word has.
+EDGE = 256
+NEVER = [*range(9, 14), 32, *range(65, 91), 0xC0, 0xC1, *range(0xF5, 0x100)]
 
 
-def spell(word: bytes) -> bytes:
-    """A token's symbols; the empty word is the text's end."""
-    return START + (word + STOP if word else CLOSE)
-
-
-def links_of(words: list[bytes]) -> list[bytes]:
-    """For each token the end of the word before and the token's first symbols, as one string."""
-    return [before[-CROSS:] + spell(word)[: LEAD + 1] for before, word in zip([b"", *words], words, strict=False)]
+def words_of(text: str | None) -> list[bytes]:
+    """Lower-cased words of a text and b"" for its end."""
+    return [*(text or "").encode().lower().split(), b""]
 
 
 def count_words(df: DataFrame, text_col: str) -> DataFrame:
-    """``(link, key, n)`` over all texts, lower-cased in A-Z: counts of words, and of links where ``link``.
-
-    The empty word is the end, one for each text.
-    """
+    """``(word, n)`` over all texts; the empty word is the end, one for each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[Counter[bytes], Counter[bytes]] = Counter(), Counter()
+        held: Counter[bytes] = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                own = (text or "").encode().lower().split()
-                own.append(b"")
-                held[0].update(own)
-                held[1].update(links_of(own)[1:])
-                for link in (0, 1):
-                    if len(held[link]) > HELD:
-                        yield rows(link, held[link])
-                        held[link].clear()
-        for link in (0, 1):
-            yield rows(link, held[link])
-
-    def rows(link: int, held: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([bool(link)] * len(held)), pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["link", "key", "n"])
-
-    return df.select(text_col).mapInArrow(run, "link boolean, key binary, n long").groupBy("link", "key").agg(F.sum("n").alias("n"))
-
-
-def count_contexts(counts: DataFrame, lengths: range, parents: set[bytes]) -> DataFrame:
-    """``(context, symbol, n)`` for contexts of these lengths whose suffix, one shorter than the least of them, is in ``parents``.
-
-    Contexts inside a token come from words, those that reach into the word
-    before from links, so that each is counted once.
-    """
-    shared = counts.sparkSession.sparkContext.broadcast(parents)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held = shared.value, {}
-        low, high = lengths[0], lengths[-1]
-        for batch in batches:
-            for link, key, n in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                spelled, start = (key, key.index(START)) if link else (spell(key), 0)
-                for at in range(max(low, start + 1), len(spelled)):
-                    if low > 1 and spelled[at - low + 1 : at] not in known:
-                        continue
-                    for length in range(max(low, at - start + 1) if link else low, min(high, at) + 1):
-                        found = spelled[at - length : at + 1]
-                        held[found] = held.get(found, 0) + n
+                held.update(words_of(text))
                 if len(held) > HELD:
                     yield rows(held)
-                    held = {}
+                    held.clear()
         yield rows(held)
 
-    def rows(held: dict) -> pa.RecordBatch:
-        keys = list(held)
-        return pa.RecordBatch.from_arrays([pa.array([k[:-1] for k in keys], pa.binary()), pa.array([k[-1] for k in keys], pa.int32()), pa.array(list(held.values()), pa.int64())], ["context", "symbol", "n"])
-
-    return counts.mapInArrow(run, "context binary, symbol int, n long").groupBy("context", "symbol").agg(F.sum("n").alias("n"))
-
-
-class Tree:
-    """States (contexts) with smoothed next-symbol log10 probabilities."""
-
-    def __init__(self, counts: dict[bytes, dict[int, int]]):
-        """``counts``: next-symbol counts of the candidate contexts, the empty one among them."""
-        root = counts.get(b"", {})
-        total = sum(root.values())
-        self.root = [(root.get(a, 0) + 1) / (total + SYMBOLS) for a in range(SYMBOLS)]
-        self.seen: dict[bytes, dict[int, float]] = {}
-        self.back: dict[bytes, tuple[float, bytes]] = {}
-        for context in sorted(counts, key=lambda x: (len(x), x)):
-            own = counts[context]
-            n = sum(own.values())
-            if not context or not n:
-                continue
-            suffix = self.longest(context[1:])
-            gap = sum(k / n * math.log(k / n / self.chance(suffix, a)) for a, k in own.items())
-            if gap >= DIVERGENCE:
-                self.back[context] = PRIOR / (n + PRIOR), suffix
-                self.seen[context] = {a: (k + PRIOR * self.chance(suffix, a)) / (n + PRIOR) for a, k in own.items()}
-
-    def longest(self, context: bytes) -> bytes:
-        """The longest suffix of a context that is a state."""
-        context = context[-DEPTH:]
-        while context and context not in self.back:
-            context = context[1:]
-        return context
-
-    def chance(self, state: bytes, symbol: int) -> float:
-        """Smoothed probability of a symbol after a state."""
-        scale = 1.0
-        while state:
-            found = self.seen[state].get(symbol)
-            if found is not None:
-                return scale * found
-            part, state = self.back[state]
-            scale *= part
-        return scale * self.root[symbol]
-
-    def spelling(self, symbols: bytes, first: int) -> float:
-        """log10 probability of the symbols from place ``first`` on."""
-        return sum(math.log10(self.chance(self.longest(symbols[:k]), symbols[k])) for k in range(first, len(symbols)))
-
-    def lead(self, link: bytes) -> float:
-        """log10 probability of a token's first symbols after the word before."""
-        return self.spelling(link, link.index(START) + 1)
-
-    def rest(self, word: bytes) -> float:
-        """log10 probability of a token's symbols after the first LEAD."""
-        return self.spelling(spell(word), LEAD + 1)
-
-
-class Remembered(dict):
-    """Values of a function of byte strings, forgotten all at once when full."""
-
-    def __init__(self, function):
-        super().__init__()
-        self.function = function
-
-    def __missing__(self, key: bytes) -> float:
-        found = self.function(key)
-        if len(key) <= HEAD_BYTES:
-            if len(self) >= HELD:
-                self.clear()
-            self[key] = found
-        return found
-
-
-def grow_tree(counts: DataFrame) -> Tree:
-    """The tree of the counted words and links; at most DEPTH / MIN_SHARE contexts come to the driver."""
-    everything: dict[bytes, dict[int, int]] = {}
-    parents, total = {b""}, 0
-    for low in range(0, DEPTH + 1, PASS):
-        lengths = range(low, min(low + PASS, DEPTH + 1))
-        if low == 0:  # positions of all tokens
-            spelled = counts.filter("NOT link").select((F.col("n") * (F.octet_length("key") + 1)).alias("k"))
-            total = spelled.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]
-        pairs = materialize(count_contexts(counts, lengths, parents), "contexts")
-        often = pairs.groupBy("context").agg(F.sum("n").alias("all")).filter(F.col("all") >= MIN_SHARE * total).select("context")
-        kept = pairs.join(often, "context", "left_semi").toArrow()
-        parents = set()
-        for context, symbol, n in zip(*(kept.column(k).to_pylist() for k in range(3)), strict=True):
-            everything.setdefault(context, {})[symbol] = n
-            if len(context) == lengths[-1]:
-                parents.add(context)
-        if not parents:
-            break
-    return Tree(everything)
+    def rows(held: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
 
+    return df.select(text_col).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
-def frequent_words(words: DataFrame) -> dict[bytes, float]:
-    """log10(count + 1) of the most frequent words, HEAD at most; only words above some frequency are in it."""
+
+def frequent_words(words: DataFrame) -> list[tuple[bytes, int]]:
+    """The most frequent words with their counts, HEAD at most, most frequent first; only words above some frequency are in it."""
     level = F.floor(8 * F.log2("n"))
-    short = words.filter(F.octet_length("word") <= HEAD_BYTES)
+    short = words.filter(F.octet_length("word").between(1, HEAD_BYTES))
     sizes = sorted(((r["level"], r["k"]) for r in short.groupBy(level.alias("level")).agg(F.count("*").alias("k")).collect()), reverse=True)  # a few hundred levels
     least, room = None, HEAD
     for at, k in sizes:
@@ -223,78 +85,385 @@ def frequent_words(words: DataFrame) -> dict[bytes, float]:
             break
         least = at
     if least is None:
-        return {}
+        return []
     found = short.filter(level >= least).toArrow()
-    return {w: math.log10(n + 1) for w, n in zip(found.column("word").to_pylist(), found.column("n").to_pylist(), strict=True)}
+    return sorted(zip(found.column("word").to_pylist(), found.column("n").to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
 
 
-def held_out(id_col: str = "doc_id") -> Column:
-    """crc32 of the id mod 7 is 2; a null id isn't held out."""
-    return F.coalesce(id_remainder(F.col(id_col), 7) == 2, F.lit(False))
+def framed(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All words' bytes with an EDGE before, between and after them, and each word's length."""
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    out = np.full(int(lengths.sum()) + len(words) + 1, EDGE, dtype=np.int64)
+    letters = np.frombuffer(b"".join(words), dtype=np.uint8)
+    out[np.arange(len(letters)) + np.repeat(np.arange(len(words)), lengths) + 1] = letters
+    return out, lengths
+
+
+def spelling_counts(words: DataFrame, symbols: dict[bytes, int]) -> np.ndarray:
+    """How often a byte (or EDGE) follows another in words that aren't symbols; words count as often as they occur."""
+    shared = words.sparkSession.sparkContext.broadcast(symbols)
+    side = EDGE + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(side * side, dtype=np.int64)
+        for batch in batches:
+            own = [(w, n) for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if w and shared.value.get(w, RARE) >= ALPHABET]
+            for i, j in bounded_runs([len(w) for w, _ in own], CHUNK):
+                line, lengths = framed([w for w, _ in own[i:j]])
+                times = np.repeat([n for _, n in own[i:j]], lengths + 1)
+                np.add.at(total, line[:-1] * side + line[1:], times)
+        hit = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(hit.astype(np.int32)), pa.array(total[hit])], ["cell", "n"])
+
+    out = np.zeros(side * side)
+    for r in words.select("word", "n").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # at most one row for each pair of bytes
+        out[r["cell"]] = r["n"]
+    return out.reshape(side, side)
+
+
+def spelling_logs(counts: np.ndarray) -> np.ndarray:
+    """log10 chance of a byte or EDGE after another, smoothed; no word is empty. Rows sum to one."""
+    plain = counts.sum(axis=0) + 1.0
+    plain[NEVER] = 0
+    plain /= plain.sum()
+    kinds = np.maximum((counts > 0).sum(axis=1, keepdims=True), 1)
+    chance = (counts + kinds * plain) / (counts.sum(axis=1, keepdims=True) + kinds)
+    chance[EDGE, EDGE] = 0
+    chance[EDGE] /= chance[EDGE].sum()
+    with np.errstate(divide="ignore"):
+        return np.log10(chance)
+
+
+def spelled(words: list[bytes], logs: np.ndarray) -> np.ndarray:
+    """log10 chance of each word's bytes."""
+    if not words:
+        return np.zeros(0)
+    line, lengths = framed(words)
+    return np.add.reduceat(logs[line[:-1], line[1:]], np.concatenate(([0], np.cumsum(lengths[:-1] + 1))))
+
+
+def encode_texts(docs: DataFrame, learn: Column, head: list[tuple[bytes, int]], logs: np.ndarray, id_col: str, text_col: str) -> DataFrame:
+    """A row for each text: id, uid, learn, n_tokens, symbols (16 bits each), spelled, and its base score's parts.
+
+    spelled is the log10 chance of the bytes of its words that aren't symbols;
+    n_known and logs cover words of the head, rare lists the others.
+    """
+    places = {w: k for k, (w, _) in enumerate(head)}
+    alphabet = [w for w, _ in head[:ALPHABET]]
+    # What the spelling would give to words of the alphabet goes to the others.
+    scale = math.log10(max(1 - float((10.0 ** spelled(alphabet, logs)).sum()), 1e-9))
+    counted = np.log10(np.array([n for _, n in head], dtype=np.float64) + 1)
+    shared = docs.sparkSession.sparkContext.broadcast((places, counted, logs))
+    kinds = {"id": "long", "uid": "long", "learn": "boolean", "n_tokens": "long", "n_known": "long", "logs": "double", "spelled": "double", "rare": "array<binary>", "symbols": "binary"}
+
+    def described(texts: list[str | None], places: dict, counted: np.ndarray, logs: np.ndarray) -> list[pa.Array]:
+        own = [words_of(x) for x in texts]
+        flat = [w for x in own for w in x]
+        sizes = np.fromiter(map(len, own), np.int64, len(own))
+        of = np.repeat(np.arange(len(own)), sizes)
+        at = np.fromiter(map(places.get, flat, repeat(-1)), np.int64, len(flat))
+        symbols = np.where((at < 0) | (at >= ALPHABET), RARE, at).astype("<u2")
+        ends = np.cumsum(sizes)
+        symbols[ends - 1] = END
+        odd = np.flatnonzero(symbols == RARE)
+        spelling = np.bincount(of[odd], spelled([flat[k] for k in odd], logs) - scale, len(own))
+        known = at >= 0
+        rare = np.flatnonzero(~known)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.bincount(of[rare], minlength=len(own))))), pa.int32()), pa.array([flat[k] for k in rare], pa.binary()))
+        data = [symbols[e - n : e].tobytes() for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+        found = [sizes, np.bincount(of[known], minlength=len(own)), np.bincount(of[known], counted[at[known]], len(own)), spelling]
+        return [*map(pa.array, found), lists, pa.array(data, pa.binary())]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(3).to_pylist()
+            for i, j in bounded_runs([len(x or "") for x in texts], CHUNK):
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in range(3)), *described(texts[i:j], *shared.value)], list(kinds))
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("uid"), F.coalesce(learn, F.lit(False)).alias("learn"), F.col(text_col).alias("t"))
+    return rows.mapInArrow(run, ", ".join(f"{c} {kind}" for c, kind in kinds.items()))
+
+
+def keys_of(symbols: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """For each position of each text its last three symbols, latest first, and its own, 16 bits each; and the texts' lengths."""
+    sizes = np.fromiter((len(x) // 2 for x in symbols), np.int64, len(symbols))
+    line = np.full(int(sizes.sum()) + DEPTH * len(symbols), START, dtype=np.uint64)
+    places = np.arange(int(sizes.sum())) + DEPTH * np.repeat(np.arange(1, len(symbols) + 1), sizes)
+    line[places] = np.frombuffer(b"".join(symbols), dtype="<u2")
+    keys = line[places]
+    for k in range(1, DEPTH + 1):
+        keys |= line[places - k] << np.uint64(16 * (DEPTH + 1 - k))
+    return keys, sizes
+
+
+def context(keys: np.ndarray, depth: int) -> np.ndarray:
+    """The last ``depth`` symbols of each key, latest first."""
+    return keys >> np.uint64(16 * (DEPTH + 1 - depth))
+
+
+def mixed(values: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+    """A number below ``size`` for each value."""
+    spread = values.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((spread ^ (spread >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)).astype(np.int64) % size
+
+
+class Hot:
+    """Contexts of more than UNIT / 2 positions, by depth, and into how many parts each is split."""
+
+    def __init__(self, buckets: int):
+        self.buckets = buckets
+        self.keys: list[np.ndarray] = [np.zeros(0, np.uint64)] * (DEPTH + 1)
+        self.parts: list[np.ndarray] = [np.zeros(0, np.int64)] * (DEPTH + 1)
+
+    def put(self, depth: int, sizes: dict[int, int]) -> None:
+        chosen = sorted(k for k, n in sizes.items() if 2 * n > UNIT)
+        self.keys[depth] = np.array(chosen, dtype=np.uint64)
+        self.parts[depth] = np.array([-(-2 * sizes[k] // UNIT) for k in chosen], dtype=np.int64)
+
+    def find(self, keys: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of keys after a hot context of this depth, and that context's number."""
+        own = context(keys, depth)
+        at = np.minimum(np.searchsorted(self.keys[depth], own), max(len(self.keys[depth]) - 1, 0))
+        hit = np.flatnonzero(self.keys[depth][at] == own) if len(self.keys[depth]) else np.zeros(0, np.int64)
+        return hit, at[hit]
+
+    def bucket(self, keys: np.ndarray, uids: np.ndarray) -> np.ndarray:
+        """The bucket of each position; after a hot context, one of its parts by the symbol before it (or the text)."""
+        out = mixed(context(keys, 1), self.buckets)
+        for depth in range(1, DEPTH + 1):
+            hit, which = self.find(keys, depth)
+            deeper = context(keys[hit], depth + 1) if depth < DEPTH else uids[hit].view(np.uint64)
+            out[hit] = (mixed(self.keys[depth][which], self.buckets) + mixed(deeper, self.parts[depth][which])) % self.buckets
+        return out
+
+    def targets(self) -> list[tuple[int, int, int]]:
+        """(depth, context, bucket) of every bucket that holds positions after a hot context."""
+        out = set()
+        for depth in range(1, DEPTH + 1):
+            for key, parts in zip(self.keys[depth].tolist(), self.parts[depth].tolist(), strict=True):
+                first = int(mixed(np.array([key], np.uint64), self.buckets)[0])
+                for up in range(1, depth + 1):
+                    out |= {(up, key >> 16 * (depth - up), (first + k) % self.buckets) for k in range(min(parts, self.buckets))}
+        return sorted(out)
+
+
+def hot_counts(encoded: DataFrame, hot: Hot, depth: int) -> DataFrame:
+    """``(older, context, symbol, n)``: by hot context of this depth, its next symbols in training and, where ``older``, the symbols before it anywhere."""
+    shared = encoded.sparkSession.sparkContext.broadcast(hot)
 
-def score_texts(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            learn = batch.column(0).to_numpy(zero_copy_only=False)
+            data = batch.column(1).to_pylist()
+            for i, j in bounded_runs([len(x) // 2 for x in data], CHUNK):
+                keys, sizes = keys_of(data[i:j])
+                hit, which = shared.value.find(keys, depth)
+                keys, taught = keys[hit], np.repeat(learn[i:j], sizes)[hit]
+                last = np.uint64(0xFFFF)
+                sides = [(False, which[taught].astype(np.uint64) << np.uint64(16) | keys[taught] & last)]
+                if depth < DEPTH:
+                    sides.append((True, which.astype(np.uint64) << np.uint64(16) | context(keys, depth + 1) & last))
+                for older, pairs in sides:
+                    found, n = np.unique(pairs, return_counts=True)
+                    own = shared.value.keys[depth][(found >> np.uint64(16)).astype(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array([older] * len(n), pa.bool_()), pa.array(own.view(np.int64)), pa.array((found & last).astype(np.int32)), pa.array(n.astype(np.int64))], ["older", "context", "symbol", "n"])
+
+    return encoded.select("learn", "symbols").mapInArrow(run, "older boolean, context long, symbol int, n long").groupBy("older", "context", "symbol").agg(F.sum("n").alias("n"))
+
+
+def find_hot(encoded: DataFrame, sizes: dict[int, int], buckets: int) -> tuple[Hot, DataFrame | None]:
+    """Hot contexts (``sizes``: positions after each symbol), and a row (bucket, kind, data) with counts for each bucket that needs them.
+
+    Only contexts whose own suffix is hot can be; there are at most so many as
+    units. Their counts have at most one entry for each symbol.
+    """
+    spark, hot, out = encoded.sparkSession, Hot(buckets), []
+    hot.put(1, sizes)
+    for depth in range(1, DEPTH + 1):
+        if not len(hot.keys[depth]):
+            break
+        counts = materialize(hot_counts(encoded, hot, depth), "hot")
+        out.append(counts.filter("NOT older").select(F.lit(depth).alias("depth"), "context", "symbol", "n"))
+        if depth < DEPTH:
+            large = counts.filter(F.col("older") & (2 * F.col("n") > UNIT)).collect()  # no more than units
+            hot.put(depth + 1, {r["context"] << 16 | r["symbol"]: r["n"] for r in large})
+    if not out:
+        return hot, None
+    counts = out[0]
+    for x in out[1:]:
+        counts = counts.unionByName(x)
+
+    def blob(key: tuple, rows: pa.Table) -> pa.Table:
+        head = np.array([key[0].as_py(), key[1].as_py()], dtype=np.int64).tobytes()
+        body = rows.column("symbol").to_numpy().astype("<u2").tobytes() + rows.column("n").to_numpy().astype("<i8").tobytes()
+        return pa.table({"depth": pa.array([key[0].as_py()], pa.int32()), "context": pa.array([key[1].as_py()], pa.int64()), "data": pa.array([head + body], pa.binary())})
+
+    blobs = counts.groupBy("depth", "context").applyInArrow(blob, "depth int, context long, data binary")
+    targets = F.broadcast(spark.createDataFrame(hot.targets(), "depth int, context long, bucket int"))
+    return hot, blobs.join(targets, ["depth", "context"]).select("bucket", F.lit(1).alias("kind"), "data")
+
+
+def deal(encoded: DataFrame, hot: Hot) -> DataFrame:
+    """``(bucket, kind, data)``: positions with their texts, many to a row, compressed."""
+    shared = encoded.sparkSession.sparkContext.broadcast(hot)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            uids, learn = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            data = batch.column(2).to_pylist()
+            for i, j in bounded_runs([len(x) // 2 for x in data], CHUNK):
+                keys, sizes = keys_of(data[i:j])
+                of = np.repeat(np.arange(i, j), sizes)
+                own = shared.value.bucket(keys, uids[of])
+                order = np.argsort(own, kind="stable")
+                own, keys, of = own[order], keys[order], of[order]
+                starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+                ends = np.append(starts[1:], len(own))
+                made = [packed(keys[a:b], of[a:b], uids, learn) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(own[starts].astype(np.int32)), pa.array([0] * len(starts), pa.int32()), pa.array(made, pa.binary())], ["bucket", "kind", "data"])
+
+    def packed(keys: np.ndarray, of: np.ndarray, uids: np.ndarray, learn: np.ndarray) -> bytes:
+        texts, n = np.unique(of, return_counts=True)
+        columns = np.ascontiguousarray(keys.view("<u2").reshape(-1, DEPTH + 1).T).view(np.uint8).reshape(DEPTH + 1, -1, 2)
+        body = np.ascontiguousarray(columns.transpose(0, 2, 1)).tobytes()
+        head = np.array([len(texts), len(keys)], dtype="<i8").tobytes()
+        whole = head + uids[texts].tobytes() + n.astype("<i4").tobytes() + learn[texts].astype(np.uint8).tobytes() + body
+        return len(whole).to_bytes(8, "little") + pa.compress(whole, codec="zstd", asbytes=True)
+
+    return encoded.select("uid", "learn", "symbols").mapInArrow(run, "bucket int, kind int, data binary")
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, and the texts' uids, numbers of keys, and whether they teach."""
+    whole = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+    texts, n = np.frombuffer(whole, "<i8", 2).tolist()
+    uids = np.frombuffer(whole, "<i8", texts, 16)
+    counts = np.frombuffer(whole, "<i4", texts, 16 + 8 * texts)
+    learn = np.frombuffer(whole, np.uint8, texts, 16 + 12 * texts).astype(bool)
+    planes = np.frombuffer(whole, np.uint8, 2 * (DEPTH + 1) * n, 16 + 13 * texts).reshape(DEPTH + 1, 2, n)
+    keys = np.ascontiguousarray(planes.transpose(2, 0, 1)).reshape(n, -1).view("<u8")[:, 0]
+    return keys, uids, counts, learn
+
+
+def chances(keys: np.ndarray, taught: np.ndarray, root: np.ndarray, whole: dict[tuple[int, int], np.ndarray]) -> np.ndarray:
+    """The probability of each key's own symbol from the longest suffix state of its context.
+
+    ``keys`` are distinct and sorted, ``taught`` their counts in training,
+    ``root`` the symbols' probabilities without context. ``whole`` has the
+    next-symbol counts of hot contexts by (depth, context).
+    """
+    symbol = (keys & np.uint64(0xFFFF)).astype(np.int64)
+    chance = root[symbol]
+    dense: dict[tuple[int, int], np.ndarray] = {}
+    for depth in range(1, DEPTH + 1):
+        own = context(keys, depth)
+        starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        pairs, pair = np.unique((np.cumsum(np.concatenate(([False], own[1:] != own[:-1]))) << 16) | symbol, return_inverse=True)
+        count = np.bincount(pair, taught, len(pairs))
+        before = np.empty(len(pairs))
+        before[pair] = chance
+        of = pairs >> 16
+        n = np.bincount(of, count, len(starts))
+        kinds = np.bincount(of, count > 0, len(starts))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = np.bincount(of, np.where(count > 0, count * np.log(count / n[of] / before), 0.0), len(starts))
+        state = (n >= LEAST) & (gain >= GAIN)
+        found = np.where(state[of], (count + kinds[of] * before) / np.maximum(n + kinds, 1)[of], before)
+        chance = found[pair]
+        for (at, key), counts in sorted(whole.items()):
+            if at == depth:
+                base = root if depth == 1 else dense[depth - 1, key >> 16]
+                n_, kinds_ = counts.sum(), np.count_nonzero(counts)
+                hit = counts > 0
+                state_ = n_ >= LEAST and (counts[hit] * np.log(counts[hit] / n_ / base[hit])).sum() >= GAIN
+                dense[depth, key] = (counts + kinds_ * base) / (n_ + kinds_) if state_ else base
+                i, j = np.searchsorted(own, np.array([key, key + 1], dtype=np.uint64))
+                chance[i:j] = dense[depth, key][symbol[i:j]]
+    return chance
+
+
+def score_positions(dealt: DataFrame, root: np.ndarray) -> DataFrame:
+    """``(uid, part)``: by bucket and text, the log10 probabilities of its positions there."""
+    shared = dealt.sparkSession.sparkContext.broadcast(root)
+
+    def run(rows: pa.Table) -> pa.Table:
+        kinds, data = rows.column("kind").to_pylist(), rows.column("data").to_pylist()
+        whole = {}
+        for x in (x for kind, x in zip(kinds, data, strict=True) if kind == 1):
+            depth, key = np.frombuffer(x, "<i8", 2).tolist()
+            n = (len(x) - 16) // 10
+            counts = np.zeros(1 << 16)
+            counts[np.frombuffer(x, "<u2", n, 16)] = np.frombuffer(x[16 + 2 * n :], "<i8", n)
+            whole[depth, key] = counts
+        parts = [unpacked(x) for kind, x in zip(kinds, data, strict=True) if kind == 0]
+        if not parts:
+            return pa.table({"uid": pa.array([], pa.int64()), "part": pa.array([], pa.float64())})
+        keys, uids, counts, learn = (np.concatenate(x) for x in zip(*parts, strict=True))
+        distinct, at = np.unique(keys, return_inverse=True)
+        taught = np.bincount(at, np.repeat(learn, counts), len(distinct))
+        logs = np.log10(chances(distinct, taught, shared.value, whole))[at]
+        return pa.table({"uid": pa.array(uids), "part": pa.array(np.add.reduceat(logs, np.concatenate(([0], np.cumsum(counts[:-1])))))})
+
+    return dealt.groupBy("bucket").applyInArrow(run, "uid long, part double")
+
+
+def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, n_tokens, n_known, train_tokens, base_score, score)`` of every row of ``docs``.
 
-    score is the tree's log10 probability of the whole text, base_score that of
-    add-one word frequencies. Exact counts of frequent words are broadcast; each
-    other word is joined with the table of counts. A null text is an empty one,
-    which is its end alone. Without training texts the tree is uniform and
+    ``learn`` says which rows teach (null: not). score is the tree's log10
+    probability of the whole text, base_score that of add-one word frequencies.
+    Exact counts of frequent words are broadcast; each other word is joined
+    with the table of counts. A null text is an empty one, which is its end
+    alone. Without training texts all symbols and bytes are equally likely and
     base_score is 0. Rows keep their multiplicity; other columns are ignored.
+    An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    counts = materialize(count_words(training, text_col), "counts")
-    words = counts.filter("NOT link").select(F.col("key").alias("word"), "n")
+    words = materialize(count_words(docs.filter(F.coalesce(learn, F.lit(False))), text_col), "words")
     tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    tree = spark.sparkContext.broadcast(grow_tree(counts))
-    head = spark.sparkContext.broadcast(frequent_words(words))
+    ends = words.filter(F.octet_length("word") == 0).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    head = frequent_words(words)
+    logs = spelling_logs(spelling_counts(words, {w: k for k, (w, _) in enumerate(head[:ALPHABET])}))
+    # The end counts as a known word wherever it was learned.
+    encoded = materialize(encode_texts(docs, learn, [*head, (b"", ends)] if ends else head, logs, id_col, text_col), "encoded")
+    texts, total = encoded.agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
+    sizes = np.zeros(1 << 16)
+    sizes[: min(len(head), ALPHABET)] = [n for _, n in head[:ALPHABET]]
+    sizes[END] = ends
+    sizes[RARE] = tokens - sizes.sum()
+    possible = np.zeros(1 << 16)
+    possible[: min(len(head), ALPHABET)] = 1
+    possible[[RARE, END]] = 1
+    root = (sizes + possible) / (tokens + possible.sum())
+    after = {k: math.ceil(n * total / max(tokens, 1)) for k, n in enumerate(sizes.tolist()) if n and k != END} | {START: texts}
+    hot, counts = find_hot(encoded, after, max(1, -(-total // UNIT)))
+    dealt = deal(encoded, hot)
+    parts = score_positions(dealt if counts is None else dealt.unionByName(counts), root).groupBy(F.col("uid").alias("uid_")).agg(F.sum("part").alias("part"))
+
+    rare = encoded.select("uid", F.explode("rare").alias("word"))
+    rare = rare.join(words.select(F.col("word").alias("word_"), "n"), F.col("word") == F.col("word_"), "left").groupBy(F.col("uid").alias("rare_uid"))
+    rare = rare.agg(F.count("n").alias("more_known"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + F.lit(1.0))).alias("more_logs"))
     norm = math.log10(tokens + distinct + 1)
-    names = ["id", "uid", "n_tokens", "n_known", "logs", "score", "rare", "spelled"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, lead, rest = head.value, Remembered(tree.value.lead), Remembered(tree.value.rest)
-        types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.float64())]
-        for batch in batches:
-            at = 0
-            texts = iter(batch.column(2).to_pylist())
-            while part := list(islice(texts, 100)):
-                columns = zip(*(described(x, known, lead, rest) for x in part), strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), batch.column(1).slice(at, len(part)), *(pa.array(x, kind) for x, kind in zip(columns, types, strict=True))], names)
-                at += len(part)
-
-    def described(text: str | None, known: dict[bytes, float], lead: Remembered, rest: Remembered) -> tuple:
-        own = (text or "").encode().lower().split()
-        own.append(b"")
-        spelled = np.array(list(map(lead.__getitem__, links_of(own)))) + np.array(list(map(rest.__getitem__, own)))
-        logs = np.array(list(map(known.get, own)), dtype=float)
-        rare = np.isnan(logs)
-        logs, frequent = logs[~rare], spelled[~rare]
-        score = np.log10(0.5 * 10.0**frequent + 0.5 * 10.0 ** (logs - norm)).sum()
-        return len(own), len(logs), logs.sum(), score, [own[k] for k in np.flatnonzero(rare)], spelled[rare]
-
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("uid"), text_col)
-    scored = rows.mapInArrow(run, "id long, uid long, n_tokens long, n_known long, logs double, score double, rare array<binary>, spelled array<double>")
-    scored = materialize(scored, "scored")
-    rare = scored.select("uid", F.explode(F.arrays_zip("rare", "spelled")).alias("x")).select("uid", F.col("x.rare").alias("word"), F.col("x.spelled").alias("spelled"))
-    rare = rare.join(words.select(F.col("word").alias("word_"), "n"), F.col("word") == F.col("word_"), "left")
-    share = (F.coalesce("n", F.lit(0)) + F.lit(1.0)) / F.lit(float(tokens + distinct + 1))
-    # The mean of both probabilities, in logs: a long word's spelling underflows.
-    larger, smaller = F.greatest(F.col("spelled"), F.log10(share)), F.least(F.col("spelled"), F.log10(share))
-    rare = rare.groupBy(F.col("uid").alias("uid_")).agg(
-        F.count("n").alias("more_known"),
-        F.sum(F.log10(F.coalesce("n", F.lit(0)) + F.lit(1.0))).alias("more_logs"),
-        F.sum(larger + F.log10((F.lit(1.0) + F.pow(F.lit(10.0), smaller - larger)) / 2)).alias("more_score"),
-    )
-    return scored.join(rare, F.col("uid") == F.col("uid_"), "left").select(
+    out = encoded.select("id", "uid", "n_tokens", "n_known", "logs", "spelled").join(parts, F.col("uid") == F.col("uid_"))
+    return out.join(rare, F.col("uid") == F.col("rare_uid"), "left").select(
         F.col("id").alias(id_col), "n_tokens",
         (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * norm).alias("base_score"),
-        (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
+        (F.col("part") + F.col("spelled")).alias("score"),
     )
 
 
+def held_out(id_col: str = "doc_id") -> Column:
+    """crc32 of the id mod 7 is 2; a null id isn't held out."""
+    return F.coalesce(id_remainder(F.col(id_col), 7) == 2, F.lit(False))
+
+
 def op3_suffix_tree(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    out = score_texts(docs, docs.filter(~held_out()))
+    """Scores of all documents, learned from those that aren't held out.
+
+    Null and empty texts score their end alone; repeated rows keep their rows,
+    and copies count as often as they occur; an empty table gives no rows.
+    """
+    out = score_texts(table(spark, sf_dir, "documents"), ~held_out())
     return out.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
