@@ -1,12 +1,13 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-A text is a sequence of symbols: the ALPHABET most frequent words, RARE for any
-other (which is then spelled by bytes), and an end. Contexts are the last one to
-DEPTH symbols. A context is a state if it occurs LEAST times at least and its
-next-symbol counts diverge from its longest suffix state's distribution by GAIN
-nats in all; its distribution is smoothed towards that suffix's (Witten and
-Bell). A symbol's probability comes from the longest suffix of its history that
-is a state, so that the probabilities of all texts sum to one at most.
+A text is a sequence of symbols: the ALPHABET most frequent words of those that
+occur twice, RARE for any other (which is then spelled by bytes), and an end.
+Contexts are the last one to DEPTH symbols. A context's next-symbol distribution
+is smoothed towards that of its longest suffix state (Witten and Bell). It is a
+state itself if it diverges from it: if, over its occurrences, each predicted
+without itself, the logarithms of both probabilities' ratio sum to GAIN nats. A
+symbol's probability comes from the longest suffix of its history that is a
+state, so that the probabilities of all texts sum to one at most.
 
 Whether a context is a state is decided where all positions after it meet:
 positions are dealt out by their last symbol, and those after a hot context by
@@ -31,13 +32,14 @@ from marram.session import materialize
 
 from .common import bounded_runs, id_remainder, table
 
-#: Most frequent words that are symbols of their own; then the other symbols' numbers.
+#: Most frequent words that are symbols of their own, if they occur LEAST times; then the other symbols' numbers.
 ALPHABET = 65_533
+LEAST = 2
 RARE, END, START = 65_533, 65_534, 65_535
 #: Symbols of the longest context. A context and the next symbol fit 64 bits.
 DEPTH = 3
-#: Occurrences of a context that can be a state, and by how many nats its counts must diverge.
-LEAST, GAIN = 2, 8.0
+#: By how many nats a state must diverge from its suffix.
+GAIN = 3.0
 #: Positions that one bucket holds on average; contexts of half as many are split.
 UNIT = 1 << 22
 #: At most so many of the most frequent words, of at most HEAD_BYTES bytes, are broadcast with their counts.
@@ -99,7 +101,7 @@ def framed(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, lengths
 
 
-def spelling_counts(words: DataFrame, symbols: dict[bytes, int]) -> np.ndarray:
+def spelling_counts(words: DataFrame, symbols: set[bytes]) -> np.ndarray:
     """How often a byte (or EDGE) follows another in words that aren't symbols; words count as often as they occur."""
     shared = words.sparkSession.sparkContext.broadcast(symbols)
     side = EDGE + 1
@@ -107,7 +109,7 @@ def spelling_counts(words: DataFrame, symbols: dict[bytes, int]) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(side * side, dtype=np.int64)
         for batch in batches:
-            own = [(w, n) for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if w and shared.value.get(w, RARE) >= ALPHABET]
+            own = [(w, n) for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if w and w not in shared.value]
             for i, j in bounded_runs([len(w) for w, _ in own], CHUNK):
                 line, lengths = framed([w for w, _ in own[i:j]])
                 times = np.repeat([n for _, n in own[i:j]], lengths + 1)
@@ -142,6 +144,11 @@ def spelled(words: list[bytes], logs: np.ndarray) -> np.ndarray:
     return np.add.reduceat(logs[line[:-1], line[1:]], np.concatenate(([0], np.cumsum(lengths[:-1] + 1))))
 
 
+def alphabet_of(head: list[tuple[bytes, int]]) -> list[tuple[bytes, int]]:
+    """The words of the head that are symbols."""
+    return [x for x in head[:ALPHABET] if x[1] >= LEAST]
+
+
 def encode_texts(docs: DataFrame, learn: Column, head: list[tuple[bytes, int]], logs: np.ndarray, id_col: str, text_col: str) -> DataFrame:
     """A row for each text: id, uid, learn, n_tokens, symbols (16 bits each), spelled, and its base score's parts.
 
@@ -149,11 +156,13 @@ def encode_texts(docs: DataFrame, learn: Column, head: list[tuple[bytes, int]],
     n_known and logs cover words of the head, rare lists the others.
     """
     places = {w: k for k, (w, _) in enumerate(head)}
-    alphabet = [w for w, _ in head[:ALPHABET]]
+    alphabet = [w for w, _ in alphabet_of(head) if w]
+    symbols_to = len(alphabet)
     # What the spelling would give to words of the alphabet goes to the others.
     scale = math.log10(max(1 - float((10.0 ** spelled(alphabet, logs)).sum()), 1e-9))
     counted = np.log10(np.array([n for _, n in head], dtype=np.float64) + 1)
     shared = docs.sparkSession.sparkContext.broadcast((places, counted, logs))
+    del places, counted, logs
     kinds = {"id": "long", "uid": "long", "learn": "boolean", "n_tokens": "long", "n_known": "long", "logs": "double", "spelled": "double", "rare": "array<binary>", "symbols": "binary"}
 
     def described(texts: list[str | None], places: dict, counted: np.ndarray, logs: np.ndarray) -> list[pa.Array]:
@@ -162,7 +171,7 @@ def encode_texts(docs: DataFrame, learn: Column, head: list[tuple[bytes, int]],
         sizes = np.fromiter(map(len, own), np.int64, len(own))
         of = np.repeat(np.arange(len(own)), sizes)
         at = np.fromiter(map(places.get, flat, repeat(-1)), np.int64, len(flat))
-        symbols = np.where((at < 0) | (at >= ALPHABET), RARE, at).astype("<u2")
+        symbols = np.where((at < 0) | (at >= symbols_to), RARE, at).astype("<u2")
         ends = np.cumsum(sizes)
         symbols[ends - 1] = END
         odd = np.flatnonzero(symbols == RARE)
@@ -345,6 +354,18 @@ def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return keys, uids, counts, learn
 
 
+def divergence(count: np.ndarray, n: np.ndarray | float, kinds: np.ndarray | int, before: np.ndarray) -> np.ndarray:
+    """What each next symbol adds to its context's divergence; 0 for those that never follow and contexts that occur once.
+
+    An occurrence is predicted by the context's other occurrences, smoothed, and
+    by the suffix's distribution ``before``.
+    """
+    left = kinds - (count == 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = ((count - 1) / before + left) / (n - 1 + left)
+        return np.where((count > 0) & (n > 1), count * np.log(ratio), 0.0)
+
+
 def chances(keys: np.ndarray, taught: np.ndarray, root: np.ndarray, whole: dict[tuple[int, int], np.ndarray]) -> np.ndarray:
     """The probability of each key's own symbol from the longest suffix state of its context.
 
@@ -365,17 +386,14 @@ def chances(keys: np.ndarray, taught: np.ndarray, root: np.ndarray, whole: dict[
         of = pairs >> 16
         n = np.bincount(of, count, len(starts))
         kinds = np.bincount(of, count > 0, len(starts))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            gain = np.bincount(of, np.where(count > 0, count * np.log(count / n[of] / before), 0.0), len(starts))
-        state = (n >= LEAST) & (gain >= GAIN)
+        state = np.bincount(of, divergence(count, n[of], kinds[of], before), len(starts)) >= GAIN
         found = np.where(state[of], (count + kinds[of] * before) / np.maximum(n + kinds, 1)[of], before)
         chance = found[pair]
         for (at, key), counts in sorted(whole.items()):
             if at == depth:
                 base = root if depth == 1 else dense[depth - 1, key >> 16]
                 n_, kinds_ = counts.sum(), np.count_nonzero(counts)
-                hit = counts > 0
-                state_ = n_ >= LEAST and (counts[hit] * np.log(counts[hit] / n_ / base[hit])).sum() >= GAIN
+                state_ = divergence(counts, n_, kinds_, base).sum() >= GAIN
                 dense[depth, key] = (counts + kinds_ * base) / (n_ + kinds_) if state_ else base
                 i, j = np.searchsorted(own, np.array([key, key + 1], dtype=np.uint64))
                 chance[i:j] = dense[depth, key][symbol[i:j]]
@@ -423,16 +441,17 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
     tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     ends = words.filter(F.octet_length("word") == 0).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     head = frequent_words(words)
-    logs = spelling_logs(spelling_counts(words, {w: k for k, (w, _) in enumerate(head[:ALPHABET])}))
+    alphabet = alphabet_of(head)
+    logs = spelling_logs(spelling_counts(words, {w for w, _ in alphabet}))
     # The end counts as a known word wherever it was learned.
     encoded = materialize(encode_texts(docs, learn, [*head, (b"", ends)] if ends else head, logs, id_col, text_col), "encoded")
     texts, total = encoded.agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
     sizes = np.zeros(1 << 16)
-    sizes[: min(len(head), ALPHABET)] = [n for _, n in head[:ALPHABET]]
+    sizes[: len(alphabet)] = [n for _, n in alphabet]
     sizes[END] = ends
     sizes[RARE] = tokens - sizes.sum()
     possible = np.zeros(1 << 16)
-    possible[: min(len(head), ALPHABET)] = 1
+    possible[: len(alphabet)] = 1
     possible[[RARE, END]] = 1
     root = (sizes + possible) / (tokens + possible.sum())
     after = {k: math.ceil(n * total / max(tokens, 1)) for k, n in enumerate(sizes.tolist()) if n and k != END} | {START: texts}

@@ -19,7 +19,7 @@ class PlainTree:
     def __init__(self, texts: list[str]):
         tokens = [self.words(t) for t in texts]
         count = Counter(w for x in tokens for w in x if w)
-        self.alphabet = [w for w, _ in sorted(((w, n) for w, n in count.items() if len(w) <= 64), key=lambda x: (-x[1], x[0]))[: suffix_tree.ALPHABET]]
+        self.alphabet = [w for w, _ in sorted(((w, n) for w, n in count.items() if len(w) <= 64 and n >= 2), key=lambda x: (-x[1], x[0]))[: suffix_tree.ALPHABET]]
         self.known = set(self.alphabet)
         self.fit_spelling({w: n for w, n in count.items() if w not in self.known})
         symbols = [self.symbols(x) for x in tokens]
@@ -35,7 +35,7 @@ class PlainTree:
         self.states: set[tuple] = set()
         for context in sorted(self.next, key=len):
             own, n = self.next[context], sum(self.next[context].values())
-            if n >= 2 and sum(c * math.log(c / n / self.chance(context[1:], s)) for s, c in own.items()) >= 8.0:
+            if n >= 2 and sum(c * math.log(self.without(context, s, n) / self.chance(context[1:], s)) for s, c in own.items()) >= 3.0:
                 self.states.add(context)
 
     @staticmethod
@@ -72,6 +72,11 @@ class PlainTree:
         own = self.next[context]
         return (own[symbol] + len(own) * self.chance(context[1:], symbol)) / (sum(own.values()) + len(own))
 
+    def without(self, context, symbol, n):
+        """The context's chance of a symbol after one occurrence of it is taken away."""
+        own = self.next[context] - Counter([symbol])
+        return (own[symbol] + len(own) * self.chance(context[1:], symbol)) / (n - 1 + len(own))
+
     def score(self, text):
         words = self.words(text)
         line = ["start"] * 3 + self.symbols(words)
