@@ -180,8 +180,9 @@ def encode_texts(docs: DataFrame, learn: Column, head: list[tuple[bytes, int]],
         rare = np.flatnonzero(~known)
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.bincount(of[rare], minlength=len(own))))), pa.int32()), pa.array([flat[k] for k in rare], pa.binary()))
         data = [symbols[e - n : e].tobytes() for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
-        found = [sizes, np.bincount(of[known], minlength=len(own)), np.bincount(of[known], counted[at[known]], len(own)), spelling]
-        return [*map(pa.array, found), lists, pa.array(data, pa.binary())]
+        counts = [sizes, np.bincount(of[known], minlength=len(own))]
+        sums = [np.bincount(of[known], counted[at[known]], len(own)), spelling]
+        return [*map(pa.array, counts), *(pa.array(x.astype(np.float64)) for x in sums), lists, pa.array(data, pa.binary())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
