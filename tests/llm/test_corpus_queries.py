@@ -101,7 +101,7 @@ def test_op3_base_score_and_gain(spark, corpus):
 
 def test_op3_gains_on_known_words(spark, small):
     """base_score isn't a probability where words are unknown, however long they are, so that texts of known words count."""
-    got = rows_of(spark, "op3_suffix_tree", small.replace("sf0.001", "sf0.01"))
+    got = rows_of(spark, "op3_suffix_tree", small.replace("sf0.001", "sf0.1"))
     out = [r for r in got if r["held_out"] and r["n_known"] == r["n_tokens"] > 20]
     assert len(out) > 20 and sum(r["score"] for r in out) > 0.9 * sum(r["base_score"] for r in out)
 
