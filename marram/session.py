@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -27,8 +28,8 @@ def build_session(app: str = "marram", **conf: str) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session has none (tests on one machine) a temporary folder
-    is set for it.
+    Only where the session has none and runs on one machine (tests) a temporary
+    folder is set for it; on a cluster the setting is required.
     """
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
@@ -36,20 +37,37 @@ def shared_dir(spark: SparkSession) -> str:
         at = context._jsc.sc().getCheckpointDir()
         if at.isDefined():
             return at.get()
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="marram-")
         context.setCheckpointDir(found)
         found = context._jsc.sc().getCheckpointDir().get()
     return found
 
 
+#: Folders that ``materialize`` wrote since the last ``forget``, by session.
+WRITTEN: dict[str, list[str]] = {}
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     The written table cuts the lineage like a checkpoint: a lost executor costs
     a re-read, not a recomputation, and later passes read only their columns.
-    The files stay until the shared folder is cleaned.
+    The files stay until ``forget`` or until the shared folder is cleaned.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/marram-{uuid.uuid4().hex}/{label}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def forget(spark: SparkSession) -> None:
+    """Delete what ``materialize`` has written so far in this application.
+
+    For callers that have stored every result that was made from it.
+    """
+    for path in WRITTEN.pop(spark.sparkContext.applicationId, []):
+        where = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
