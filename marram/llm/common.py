@@ -40,3 +40,18 @@ def lower_ascii(text: Column) -> Column:
 def split_words(text: Column) -> Column:
     """The maximal runs of characters other than the six of SPACES."""
     return F.array_remove(F.split(F.translate(text, SPACES, " " * len(SPACES)), " "), "")
+
+
+def named(name: str) -> Column:
+    """The column of that very name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def struct_of(names: list[str]) -> Column:
+    """The columns as one struct with fields c0, c1, ..., whatever their names."""
+    return F.struct(*(named(c).alias(f"c{k}") for k, c in enumerate(names))) if names else F.struct(F.lit(None).cast("int").alias("none"))
+
+
+def fields_of(struct: str, names: list[str]) -> list[Column]:
+    """The columns that ``struct_of`` put into a struct, with their names."""
+    return [F.col(struct)[f"c{k}"].alias(c) for k, c in enumerate(names)]

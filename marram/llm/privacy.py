@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from marram.session import materialize
 
-from .common import table
+from .common import fields_of, named, struct_of, table
 from .spans import count_of, find_spans, merge_kinds, no_spans, only, spelled
 
 #: Possessive and anchored forms of the contract's patterns: same matches, no deep recursion, no rescans of long runs.
@@ -25,12 +25,11 @@ CARD = r"(?<![0-9])[0-9](?:[ -]?+[0-9]){11,}+"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
 REVEAL, HINT = "reveal", "hint"
-LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", REVEAL: "", HINT: "[TERM]"}
-
-#: Letters of a term.
-TERM_LENGTH = (3, 40)
+LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", REVEAL: ""}
 #: Share of the identifier's information above which a term is removed, or generalised.
 REMOVE, GENERALISE = 0.9, 0.6
+#: Rows of two or three numbers each that may be broadcast; beyond, they are joined by shuffling.
+BROADCAST_ROWS = 1_000_000
 
 
 def digits(text: Column) -> Column:
@@ -63,8 +62,13 @@ def identifiers(text: Column) -> Column:
     return merge_kinds([(k, found[k]) for k in KINDS])
 
 
+def term_key(term: Column) -> Column:
+    return F.xxhash64(F.lower(term))
+
+
 def terms_of(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda x: F.length(x).between(*TERM_LENGTH))
+    """Hashes of a text's different terms: its runs of letters, lower-cased."""
+    return F.array_distinct(F.transform(F.filter(F.split(text, r"[^\p{L}]+"), lambda x: F.length(x) > 0), term_key))
 
 
 def entity(span: Column) -> Column:
@@ -74,7 +78,7 @@ def entity(span: Column) -> Column:
 
 
 def term_spans(text: Column, terms: Column) -> Column:
-    """Occurrences of the terms as whole runs of letters, as (start, end, match)."""
+    """Occurrences of the terms (hashes) as whole runs of letters, as (start, end, match)."""
     between = F.transform(F.split(text, r"\p{L}++", -1), lambda x: F.length(x))
     pairs = F.zip_with(F.regexp_extract_all(text, F.lit(r"\p{L}++"), F.lit(0)), between, lambda m, gap: F.struct(m.alias("m"), gap.alias("gap")))
     start = F.struct(F.lit(0).alias("at"), no_spans().alias("out"))
@@ -83,56 +87,92 @@ def term_spans(text: Column, terms: Column) -> Column:
         first = acc["at"] + x["gap"]
         last = first + F.length(x["m"])
         found = F.array(F.struct(first.alias("start"), last.alias("end"), x["m"].alias("match")))
-        wanted = F.array_contains(terms, F.lower(x["m"]))
+        wanted = F.array_contains(terms, term_key(x["m"]))
         return F.when(x["m"].isNull(), acc).otherwise(F.struct(last.alias("at"), F.when(wanted, F.concat(acc["out"], found)).otherwise(acc["out"]).alias("out")))
 
     return F.when(F.coalesce(F.size(terms) > 0, F.lit(False)), F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(no_spans())
 
 
-def term_frequencies(docs: DataFrame, text_col: str) -> DataFrame:
-    """``(term, n_term)``: how many different texts contain each term; the empty term counts all texts."""
-    rows = docs.filter(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("key"), terms_of(F.col(text_col)).alias("terms"))
-    texts = rows.withColumn("terms", F.array_distinct("terms")).groupBy("key").agg(F.first("terms").alias("terms"))
-    return texts.select(F.explode(F.concat(F.array(F.lit("")), "terms")).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+def small(df: DataFrame) -> DataFrame:
+    """``df`` with a hint to broadcast it where it has at most BROADCAST_ROWS rows of numbers."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def one_of_each(rows: DataFrame, copied: DataFrame) -> DataFrame:
+    """One row for each ``key``; ``copied`` lists the keys of several rows, and only such rows are shuffled."""
+    again = rows.join(copied, "key", "left_semi").groupBy("key").agg(*(F.first(c).alias(c) for c in rows.columns if c != "key"))
+    return rows.join(copied, "key", "left_anti").unionByName(again)
+
+
+def frequent(counts: DataFrame, n: str) -> tuple[DataFrame, int]:
+    """The most frequent rows, at most BROADCAST_ROWS, and the largest count that any other can have."""
+    level = F.floor(F.log2(n))
+    sizes = sorted(((r["level"], r["k"]) for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("k")).collect()), reverse=True)  # at most 64 levels
+    least, room = 64, BROADCAST_ROWS
+    for at, k in sizes:
+        room -= k
+        if room < 0:
+            break
+        least = at
+    floor = 1 if sizes and least == sizes[-1][0] else 1 << int(least)
+    return counts.filter(F.col(n) >= floor), floor - 1
 
 
 def disclosing_terms(docs: DataFrame, private: DataFrame, text_col: str) -> DataFrame:
     """``(key, term, share)``: terms of a text that disclose at least GENERALISE of an identifier in it.
 
-    ``private`` has (key, entities, terms), key being a hash of the text. All
-    counts are of different texts, so that copies add nothing. An identifier of
-    one text shares that text with each of its terms, so that only the others'
-    pairs are counted. A pair is left out before that where it couldn't reach
-    the threshold even if the rarer of both always stood with the other.
+    ``private`` has (key, entities, t) of the rows with identifiers, key being a
+    hash of the text. All counts are of different texts, so that copies add
+    nothing. A term of n texts can reach the threshold for an identifier of m,
+    among N, only if n is at most N^(1 - GENERALISE) m^GENERALISE; pairs beyond
+    that are dropped before anything is shuffled, by the counts of the most
+    frequent terms and identifiers. An identifier of one text shares that text
+    with each of its terms, so that only the others' pairs are counted.
     """
-    counts = materialize(term_frequencies(docs, text_col), "terms")
-    total = float(max(counts.filter("term = ''").agg(F.max("n_term")).first()[0] or 0, 1))
-    held = private.select("key", F.explode("entities").alias("entity")).distinct()
-    held = materialize(held.join(held.groupBy("entity").agg(F.count("*").alias("n_entity")), "entity"), "entities")
-    most = held.agg(F.max("n_entity")).first()[0] or 1
+    rows = docs.filter(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("key"), F.col(text_col).alias("t"))
+    texts = materialize(rows.groupBy("key").agg(F.count("*").alias("rows")), "texts")
+    total = float(max(texts.count(), 1))
+    copied = small(texts.filter("rows > 1").select("key"))
+    own = one_of_each(rows, copied).select(F.explode(terms_of(F.col("t"))).alias("term"))
+    counts = materialize(own.groupBy("term").agg(F.count("*").alias("n_term")), "terms")
+    held = one_of_each(private, copied)
+    entities = materialize(held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity")), "entities")
+    often, most_rare = frequent(entities, "n_entity")
+    common, _ = frequent(counts, "n_term")
 
     def reachable(n_entity: Column, n_term: Column) -> Column:
         return F.log2(F.lit(total) / F.greatest(n_entity, n_term)) >= GENERALISE * F.log2(F.lit(total) / n_entity) - 1e-9
 
-    terms = private.select("key", F.explode("terms").alias("term")).distinct().join(counts.filter(reachable(F.lit(most), F.col("n_term"))), "term")
-    pairs = held.filter(F.col("n_entity") < total).join(terms, "key").filter(reachable(F.col("n_entity"), F.col("n_term")))
-    pairs = materialize(pairs, "pairs")
+    pairs = held.select("key", "entities", terms_of(F.col("t")).alias("terms")).select("key", "terms", F.explode("entities").alias("entity"))
+    pairs = pairs.join(F.broadcast(often), "entity", "left").select("key", "entity", F.coalesce("n_entity", F.lit(most_rare)).alias("most"), F.explode("terms").alias("term"))
+    pairs = pairs.join(F.broadcast(common), "term", "left").filter(reachable(F.col("most"), F.coalesce("n_term", F.lit(1))))
+    pairs = materialize(pairs.select("key", "entity", "term", "n_term"), "pairs")
+    # Frequent terms have their counts by now; of the others, those that stand in pairs get theirs by a join.
+    rest = pairs.filter("n_term IS NULL").drop("n_term").join(counts, "term")
+    exact = pairs.filter("n_term IS NOT NULL").unionByName(rest).join(entities.filter(F.col("n_entity") < total), "entity").filter(reachable(F.col("n_entity"), F.col("n_term")))
+    exact = materialize(exact, "exact")
     info = F.log2(F.lit(total) / F.col("n_entity"))
     share = F.try_divide(F.log2(F.lit(total) * F.col("n_both") / (F.col("n_entity").cast("double") * F.col("n_term"))), info)
-    single = pairs.filter("n_entity = 1").withColumn("n_both", F.lit(1)).select("key", "term", share.alias("share"))
-    both = pairs.filter("n_entity > 1").groupBy("entity", "term", "n_entity", "n_term").agg(F.count("*").alias("n_both"))
+    single = exact.filter("n_entity = 1").withColumn("n_both", F.lit(1)).select("key", "term", share.alias("share"))
+    both = exact.filter("n_entity > 1").groupBy("entity", "term", "n_entity", "n_term").agg(F.count("*").alias("n_both"))
     told = both.select("entity", "term", share.alias("share")).filter(F.col("share") >= GENERALISE)
-    shared = pairs.filter("n_entity > 1").join(told, ["entity", "term"]).select("key", "term", "share")
+    shared = exact.filter("n_entity > 1").join(told, ["entity", "term"]).select("key", "term", "share")
     return single.filter(F.col("share") >= GENERALISE).unionByName(shared).groupBy("key", "term").agg(F.max("share").alias("share"))
 
 
+def class_of(term: Column) -> Column:
+    """What a term is generalised to, by its form: [ACRONYM], [NAME] or [WORD]."""
+    return F.when(term.rlike(r"^\p{Lu}{2,}$"), "[ACRONYM]").when(term.rlike(r"^\p{Lu}"), "[NAME]").otherwise("[WORD]")
+
+
 def masked(text: Column, spans: Column) -> Column:
     """The text with each run of overlapping spans replaced by the label of its first."""
     label = F.create_map(*(F.lit(x) for pair in LABELS.items() for x in pair))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        fresh = F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.element_at(label, x["kind"]))
+        stands = F.when(x["kind"] == HINT, class_of(x["match"])).otherwise(F.element_at(label, x["kind"]))
+        fresh = F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), stands)
         inside = x["start"] < acc["at"]
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(inside, acc["out"]).otherwise(fresh).alias("out"))
 
@@ -148,20 +188,24 @@ def sanitise(docs: DataFrame, text_col: str = "text", columns: list[str] | None
     spans are the identifiers' and, of kinds reveal and hint, all occurrences of
     disclosing terms in every text that holds the identifier they disclose; the
     latter never overlap identifiers. sanitised is the text with identifiers
-    replaced by their kind, revealing terms removed and hinting ones generalised.
-    A null text has no spans and stays null; rows keep their multiplicity. Input
-    columns named spans or sanitised are replaced.
+    replaced by their kind, revealing terms removed and hinting ones generalised
+    to a class. A null or empty text has no spans and stays as it is; rows keep
+    their multiplicity; an empty table gives an empty result. Input columns
+    named spans or sanitised are replaced.
     """
     keep = [c for c in (columns or docs.columns) if c.lower() not in ("spans", "sanitised")]
+    carried = mask or text_col in keep
+    keep_text = keep if text_col in keep or not mask else [*keep, text_col]
     text = F.col("t")
-    rows = docs.select(F.struct(*(F.col(c) for c in keep)).alias("row"), F.col(text_col).alias("t"))
+    rows = docs.select(struct_of(keep_text).alias("row"), named(text_col).alias("t"))
     rows = rows.withColumn("spans", F.when(text.isNull(), merge_kinds([("email", no_spans())])).otherwise(identifiers(F.coalesce(text, F.lit("")))))
     # Only texts with identifiers are needed further, unless they are among the columns anyway.
-    found = materialize(rows.select("row", F.when(F.size("spans") > 0, text).alias("t"), "spans"), "identifiers")
+    found = materialize(rows.select("row", "spans") if carried else rows.select("row", "spans", F.when(F.size("spans") > 0, text).alias("t")), "identifiers")
+    found = found.withColumn("t", F.col("row")[f"c{keep_text.index(text_col)}"]) if carried else found
     own = F.array_distinct(F.transform("spans", lambda x: F.xxhash64(entity(x))))
     holders = found.filter(F.size("spans") > 0).withColumn("key", F.xxhash64("t"))
-    private = materialize(holders.select("key", own.alias("entities"), F.array_distinct(terms_of(text)).alias("terms")), "private")
-    by_text = disclosing_terms(docs, private, text_col)
+    plain = docs.select(named(text_col).alias("text"))
+    by_text = disclosing_terms(plain, holders.select("key", own.alias("entities"), "t"), "text")
     strong = F.col("share") >= REMOVE
     by_text = by_text.groupBy(F.col("key").alias("key_")).agg(
         F.array_sort(F.collect_list(F.when(strong, F.col("term")))).alias("reveal"),
@@ -176,11 +220,10 @@ def sanitise(docs: DataFrame, text_col: str = "text", columns: list[str] | None
     everything = merge_kinds([*zip(KINDS, base, strict=True), (REVEAL, occurrences("reveal")), (HINT, occurrences("hint"))])
     out = joined.select("row", "t", F.when(F.col("key_").isNull(), F.col("spans")).otherwise(everything).alias("spans"))
     out = out.unionByName(found.filter(F.size("spans") == 0).select("row", "t", "spans"))
-    names = [F.col(f"row.{c}").alias(c) for c in keep]
+    names = fields_of("row", keep)
     if not mask:
         return out.select(*names, "spans")
-    whole = F.col(f"row.{text_col}") if text_col in keep else F.col("t")
-    return out.select(*names, "spans", F.when(F.size("spans") > 0, masked(F.col("t"), F.col("spans"))).otherwise(whole).alias("sanitised"))
+    return out.select(*names, "spans", F.when(F.size("spans") > 0, masked(F.col("t"), F.col("spans"))).otherwise(F.col("t")).alias("sanitised"))
 
 
 def only_kind(spans: Column, kind: str) -> Column:
@@ -188,6 +231,11 @@ def only_kind(spans: Column, kind: str) -> Column:
 
 
 def op4_privacy(spark, sf_dir: str) -> DataFrame:
+    """Spans of all documents: identifiers, and the terms that disclose them.
+
+    Null and empty texts have none; repeated rows keep their rows; an empty
+    table gives no rows.
+    """
     found = sanitise(table(spark, sf_dir, "documents"), columns=["doc_id"], mask=False)
     own = F.filter("spans", lambda x: x["kind"].isin(*KINDS))
     counts = [count_of(F.col("spans"), k).alias(f"n_{k}") for k in KINDS]
@@ -197,14 +245,15 @@ def op4_privacy(spark, sf_dir: str) -> DataFrame:
 def stage_privacy(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with their texts sanitised, and n_chars to match where that is a column."""
     others = [c for c in docs.columns if c != "text"]
-    out = sanitise(docs.select(F.struct(*others).alias("doc"), "text"), columns=["doc", "text"])
+    out = sanitise(docs.select(struct_of(others).alias("doc"), "text"), columns=["doc", "text"])
     changed = F.size("spans") > 0
 
     def column(name: str) -> Column:
         if name == "text":
             return F.col("sanitised").alias("text")
+        own = F.col("doc")[f"c{others.index(name)}"]
         if name.lower() == "n_chars":
-            return F.when(changed, F.length("sanitised").cast(docs.schema[name].dataType)).otherwise(F.col(f"doc.{name}")).alias(name)
-        return F.col(f"doc.{name}").alias(name)
+            return F.when(changed, F.length("sanitised").cast(docs.schema[name].dataType)).otherwise(own).alias(name)
+        return own.alias(name)
 
     return out.select(*map(column, docs.columns))

@@ -66,7 +66,7 @@ def one_of_each(docs: list[dict]) -> list[dict]:
 
 
 def terms(text: str) -> set[str]:
-    return {w for w in regex.split(r"[^\p{L}]+", text.lower()) if 3 <= len(w) <= 40}
+    return {w.lower() for w in regex.split(r"[^\p{L}]+", text) if w}
 
 
 def sanitised(texts: list[str]) -> tuple[list[str], int]:
