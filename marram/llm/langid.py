@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_runs, id_remainder, table
+from .common import bounded_runs, fields_of, id_remainder, struct_of, table
 
 #: n-gram lengths, in code points.
 ORDERS = (1, 2, 3)
@@ -202,12 +202,15 @@ def op10_language(spark, sf_dir: str) -> DataFrame:
 
 
 def stage_language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is one of the learned ones, with their columns; all that have a letter where none was learned."""
+    """Documents whose language is one of the learned ones, with their columns; all that have a letter where none was learned.
+
+    Null and empty texts and those without a letter go; repeated rows stay
+    repeated; null labels teach nothing; an empty table stays empty.
+    """
     training = docs.filter(~held_out())
     model = fit(training)
     if not model[0]:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    keys = docs.columns
-    inner = docs.select(F.struct(*keys).alias("row"), "text")
+    inner = docs.select(struct_of(docs.columns).alias("row"), "text")
     out = predict(inner, model, text_col="text", passed=["row"], typical=typical_fit(training, model))
-    return out.filter(F.col("lang_pred") != UNKNOWN).select("row.*")
+    return out.filter(F.col("lang_pred") != UNKNOWN).select(*fields_of("row", docs.columns))

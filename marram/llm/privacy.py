@@ -108,7 +108,7 @@ def frequent(counts: DataFrame, n: str) -> tuple[DataFrame, int]:
     """The most frequent rows, at most BROADCAST_ROWS, and the largest count that any other can have."""
     level = F.floor(F.log2(n))
     sizes = sorted(((r["level"], r["k"]) for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("k")).collect()), reverse=True)  # at most 64 levels
-    least, room = 64, BROADCAST_ROWS
+    least, room = 62, BROADCAST_ROWS
     for at, k in sizes:
         room -= k
         if room < 0:

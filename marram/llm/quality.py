@@ -1,10 +1,11 @@
 """Quality rules of documents and hosts, in DataFrame operations.
 
 Each document is measured by itself (words, symbols, repeated lines and
-five-word windows). Failures are then counted by host (``source``), each
-host's rate is shrunk by a beta prior that is fitted to all hosts, and hosts
-whose shrunk rate is too high condemn those of their documents that fail the
-rule in question at a stricter limit.
+five-word windows). Failures are then counted by host (``source``) and each
+host's rate is shrunk by a beta prior that is fitted to all hosts. A host is
+condemned for a rule where its rate lies, by its posterior distribution, above
+the corpus's rate with near certainty; it loses those of its documents that fail
+this rule.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from marram.session import materialize
 
-from .common import SPACES, split_words, table
+from .common import SPACES, fields_of, named, split_words, struct_of, table
 
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
@@ -24,10 +25,12 @@ MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 #: Softer rules, which count by host: the share of symbols to words, of repeated lines to lines, and the mean word length.
 SOFT_SYMBOLS, SOFT_DUP_LINES, SOFT_WORD_LENGTH = 0.1, 0.3, (2.0, 15.0)
-#: A host is condemned for a rule when its shrunk failure rate exceeds this.
-HOST_RATE = 0.5
-#: Weight of the prior, in documents, where hosts don't differ enough to estimate it.
-MAX_PRIOR = 1000.0
+#: A host is condemned for a rule when its posterior mean lies so many posterior standard deviations above the corpus's rate: 95 % certainty.
+CERTAINTY = 1.645
+#: Condemned hosts that may be broadcast; beyond, they are joined by shuffling.
+BROADCAST_HOSTS = 200_000
+#: Weight of the prior, in documents: its least, so that a few documents condemn no host, and its most, where hosts don't differ enough to estimate it.
+MIN_PRIOR, MAX_PRIOR = 10.0, 1000.0
 RULES = ("base", "symbols", "lines", "length")
 
 
@@ -92,7 +95,10 @@ def soft_failures() -> dict[str, Column]:
 
 
 def host_rates(measured: DataFrame, host_col: str = "source") -> DataFrame:
-    """``(host, rule, n, failed, rate, shrunk)``: one row for each host and rule.
+    """``(host, rule, n, failed, rate, shrunk, excess)``: one row for each host and rule.
+
+    excess is by how many posterior standard deviations shrunk, the posterior
+    mean, lies above the rule's rate over all documents.
 
     The prior of a rule is the beta distribution whose mean and variance are
     those of the hosts' rates, less the variance that sampling explains
@@ -109,13 +115,32 @@ def host_rates(measured: DataFrame, host_col: str = "source") -> DataFrame:
     )
     spread = F.col("mean") * (1 - F.col("mean"))
     real = F.col("seen") - spread * F.col("thin")
-    weight = F.when(real > spread / (MAX_PRIOR + 1), F.greatest(spread / real - 1, F.lit(0.0))).otherwise(MAX_PRIOR)
+    weight = F.when(real > spread / (MAX_PRIOR + 1), F.greatest(spread / real - 1, F.lit(MIN_PRIOR))).otherwise(MAX_PRIOR)
     prior = prior.select(F.col("rule").alias("rule_"), "mean", weight.alias("weight"))
-    return stacked.join(F.broadcast(prior), F.col("rule") == F.col("rule_")).select(
-        "host", "rule", "n", "failed",
-        (F.col("failed") / F.col("n")).alias("rate"),
-        ((F.col("failed") + F.col("mean") * F.col("weight")) / (F.col("n") + F.col("weight"))).alias("shrunk"),
-    )
+    shrunk = (F.col("failed") + F.col("mean") * F.col("weight")) / (F.col("n") + F.col("weight"))
+    deviation = F.sqrt(F.col("shrunk") * (1 - F.col("shrunk")) / (F.col("n") + F.col("weight") + 1))
+    joined = stacked.join(F.broadcast(prior), F.col("rule") == F.col("rule_")).withColumn("shrunk", shrunk)
+    excess = F.when(F.col("shrunk") <= F.col("mean"), 0.0).when(deviation > 0, (F.col("shrunk") - F.col("mean")) / deviation).otherwise(float("inf"))
+    return joined.select("host", "rule", "n", "failed", (F.col("failed") / F.col("n")).alias("rate"), "shrunk", excess.alias("excess"))
+
+
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
+
+
+def verdicts(docs: DataFrame, text_col: str, host_col: str, columns: list[str]) -> DataFrame:
+    """``(row, n_words, ..., base_failed, host_rate, kept)``; row is the struct of ``columns``."""
+    packed = docs.select(struct_of(columns).alias("row"), named(text_col).alias("text"), named(host_col).alias("host"))
+    # Measured once, and written: filters on the measures must not be pushed into their computation.
+    measured = materialize(measure(packed, "text").drop("text"), "measures")
+    bad = host_rates(measured, "host").filter(F.col("excess") > CERTAINTY)
+    bad = materialize(bad.groupBy(F.col("host").alias("host_")).agg(F.max("shrunk").alias("host_rate"), F.collect_set("rule").alias("rules")), "hosts")
+    if bad.count() <= BROADCAST_HOSTS:
+        bad = F.broadcast(bad)
+    fails = soft_failures()
+    found = F.array_compact(F.array(*(F.when(fails[r], F.lit(r)) for r in RULES)))
+    joined = measured.join(bad, F.col("host").eqNullSafe(F.col("host_")), "left")
+    condemned = F.coalesce(F.arrays_overlap(found, F.col("rules")), F.lit(False))
+    return joined.select("row", *MEASURES, base_failed().alias("base_failed"), F.coalesce("host_rate", F.lit(0.0)).alias("host_rate"), (~base_failed() & ~condemned).alias("kept"))
 
 
 def judge_documents(docs: DataFrame, text_col: str = "text", host_col: str = "source", columns: list[str] | None = None) -> DataFrame:
@@ -127,29 +152,24 @@ def judge_documents(docs: DataFrame, text_col: str = "text", host_col: str = "so
     verdicts replace columns of the same names; rows keep their multiplicity,
     and an empty table gives an empty result.
     """
-    columns = docs.columns if columns is None else columns
-    made = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "host_rate", "kept"]
-    keep = [c for c in columns if c.lower() not in made]
-    packed = docs.select(F.struct(*keep).alias("row"), F.col(text_col).alias("text"), F.col(host_col).alias("host"))
-    # Measured once, and written: filters on the measures must not be pushed into their computation.
-    measured = materialize(measure(packed, "text").drop("text"), "measures")
-    rates = host_rates(measured, "host").filter(F.col("shrunk") > HOST_RATE)
-    bad = rates.groupBy("host").agg(F.max("shrunk").alias("host_rate"), F.collect_set("rule").alias("rules")).withColumnRenamed("host", "host_")
-    fails = soft_failures()
-    found = F.array_compact(F.array(*(F.when(fails[r], F.lit(r)) for r in RULES)))
-    joined = measured.join(bad, F.col("host").eqNullSafe(F.col("host_")), "left")
-    condemned = F.coalesce(F.arrays_overlap(found, F.col("rules")), F.lit(False))
-    return joined.select(
-        *(F.col(f"row.{c}").alias(c) for c in keep), "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words",
-        base_failed().alias("base_failed"), F.coalesce("host_rate", F.lit(0.0)).alias("host_rate"), (~base_failed() & ~condemned).alias("kept"),
-    )
+    made = [*MEASURES, "base_failed", "host_rate", "kept"]
+    keep = [c for c in (docs.columns if columns is None else columns) if c.lower() not in made]
+    return verdicts(docs, text_col, host_col, keep).select(*fields_of("row", keep), *made)
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:
+    """Measures and verdicts of all documents.
+
+    Null and empty texts have no words and fail; repeated rows keep their rows;
+    an empty table gives no rows.
+    """
     out = judge_documents(table(spark, sf_dir, "documents"), columns=["doc_id"])
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def stage_quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep, with their columns."""
-    return judge_documents(docs).filter("kept").select(*docs.columns)
+    """Documents that the rules keep, with all their columns as they are, whatever their names.
+
+    Null and empty texts go; repeated rows stay repeated; an empty table stays empty.
+    """
+    return verdicts(docs, "text", "source", docs.columns).filter("kept").select(*fields_of("row", docs.columns))

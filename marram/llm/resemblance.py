@@ -18,13 +18,15 @@ from pyspark.sql import functions as F
 
 from marram.session import materialize
 
-from .common import bounded_runs
+from .common import bounded_runs, fields_of, named, struct_of
 from .links import components
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 5
 SEED = 42
 CHUNK = 1 << 20
+#: Rows of a number or two that may be broadcast; beyond, they are joined by shuffling.
+BROADCAST_ROWS = 2_000_000
 #: Shingles whose permuted hashes are held at a time.
 SPAN = 2048
 SCALES = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -91,17 +93,17 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter(F.col("k") / (F.col("n") + F.col("m") - F.col("k")) >= SIMILARITY).select("a", "b")
 
 
-def similar_links(unique: DataFrame, texts: DataFrame) -> DataFrame:
+def similar_links(unique: DataFrame, texts_of) -> DataFrame:
     """``(a, b)``: links that connect all similar sets that some band proposes.
 
-    ``unique`` has (fp, n, keys), ``texts`` (fp, t). A band's sets are first
+    ``unique`` has (fp, n, keys); ``texts_of`` gives (fp, t) of the fp listed. A band's sets are first
     compared with its smallest; then all its pairs that are not yet connected.
     """
     keyed = unique.select("fp", "n", F.posexplode("keys").alias("band", "key"))
     heads = keyed.groupBy("band", "key").agg(F.count("*").alias("k"), F.min(F.struct("fp", "n")).alias("head")).filter("k > 1").drop("k")
     met = materialize(keyed.join(heads, ["band", "key"]), "met")
     nodes = met.select("fp").distinct()
-    sets = materialize(described(texts.join(nodes, "fp", "left_semi"), "t", ["fp"], "members array<bigint>", members), "sets")
+    sets = materialize(described(texts_of(nodes), "t", ["fp"], "members array<bigint>", members), "sets")
     stars = met.filter((F.col("fp") != F.col("head.fp")) & comparable(F.col("n"), F.col("head.n"))).select(F.col("head.fp").alias("a"), F.col("fp").alias("b")).distinct()
     stars = materialize(stars, "stars")
     links = materialize(similar(stars, sets), "links")
@@ -115,20 +117,31 @@ def similar_links(unique: DataFrame, texts: DataFrame) -> DataFrame:
     return links.unionByName(materialize(similar(pairs, sets), "links"))
 
 
+def few(df: DataFrame) -> DataFrame:
+    """``df`` with a hint to broadcast it where it has at most BROADCAST_ROWS rows of a number each."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with one row of each group of similar texts: the smallest id, and the first such row where ids repeat.
 
     Similar texts are linked, and linked texts are one group. Columns stay as
     they are, whatever their names. Null texts count as empty, so that one row
-    with an empty text stays.
+    with an empty text stays. An empty table stays empty.
     """
-    packed = df.select(F.struct(*df.columns).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    rows = described(packed, "t", ["row", "id"], "fp long, n int, keys array<bigint>", signature)
-    rows = materialize(rows.withColumn("uid", F.monotonically_increasing_id()), "signatures")
+    names = df.columns
+    place = f"c{names.index(text_col)}"
+    rows = materialize(df.select(struct_of(names).alias("row"), named(id_col).alias("id"), F.monotonically_increasing_id().alias("uid")), "rows")
+    marks = materialize(described(rows.withColumn("t", F.col("row")[place]), "t", ["id", "uid"], "fp long, n int, keys array<bigint>", signature), "signatures")
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid")).alias("best")
-    unique = materialize(rows.groupBy("fp").agg(best, F.first("n").alias("n"), F.first("keys").alias("keys")), "unique")
-    texts = rows.select("uid", F.col(f"row.`{text_col}`").alias("t")).join(unique.select(F.col("best.uid").alias("uid"), "fp"), "uid").select("fp", "t")
-    roots = components(similar_links(unique.select("fp", "n", "keys"), texts))
+    unique = materialize(marks.groupBy("fp").agg(best, F.first("n").alias("n"), F.first("keys").alias("keys")), "unique")
+
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        chosen = few(materialize(unique.join(nodes, "fp", "left_semi").select(F.col("best.uid").alias("uid"), "fp"), "nodes"))
+        return rows.select("uid", F.col("row")[place].alias("t")).join(chosen, "uid").select("fp", "t")
+
+    roots = components(similar_links(unique.select("fp", "n", "keys"), texts_of))
     joined = unique.join(roots, F.col("fp") == F.col("node"), "left")
     kept = joined.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("best").alias("best")).select(F.col("best.uid").alias("uid"))
-    return rows.join(kept, "uid", "left_semi").select("row.*")
+    dropped = few(materialize(marks.select("uid").join(kept, "uid", "left_anti"), "dropped"))
+    return rows.join(dropped, "uid", "left_anti").select(*fields_of("row", names))

@@ -8,9 +8,11 @@ from collections import Counter, defaultdict
 import regex
 
 import corpus_pipeline
-from marram.llm import quality
+from marram.session import materialize
+from marram.llm import langid, quality
 
-from test_corpus_queries import AWKWARD, BASE, WORD, as_bag, packed, simhash, tokenizer
+from test_corpus_queries import AWKWARD, BASE, WORD, as_bag, packed, tokenizer
+from test_privacy_terms import disclosing, wanted_spans
 
 PROSE = "the quick harbour master {} wrote to {} about the {} barges that carry slate and lime across the northern sound every {} until the ice came"
 PLANTED = [
@@ -45,17 +47,27 @@ def kept_by_quality(docs: list[dict]) -> list[bool]:
         mean = sum(failed.values()) / len(docs)
         spread = mean * (1 - mean)
         real = (statistics.variance(rates) if len(rates) > 1 else 0.0) - spread * statistics.fmean(1 / x for x in n.values())
-        weight = max(spread / real - 1, 0.0) if real > spread / (quality.MAX_PRIOR + 1) else quality.MAX_PRIOR
-        bad |= {(h, rule) for h in n if (failed[h] + mean * weight) / (n[h] + weight) > quality.HOST_RATE}
+        weight = max(spread / real - 1, 10.0) if real > spread / (quality.MAX_PRIOR + 1) else quality.MAX_PRIOR
+        for h in n:
+            shrunk = (failed[h] + mean * weight) / (n[h] + weight)
+            deviation = math.sqrt(shrunk * (1 - shrunk) / (n[h] + weight + 1))
+            if shrunk > mean and (deviation == 0 or (shrunk - mean) / deviation > 1.645):
+                bad.add((h, rule))
     return [not f["base"] and not any(f[r] and (d["source"], r) in bad for r in quality.RULES) for d, f in zip(docs, fails, strict=True)]
 
 
+def shingles(text: str) -> set:
+    words = [w.lower() for w in WORD.findall(text)]
+    return {tuple(words[k : k + 5]) for k in range(max(len(words) - 4, 1))}
+
+
 def one_of_each(docs: list[dict]) -> list[dict]:
-    prints = [simhash(d["text"]) for d in docs]
+    sets = [shingles(d["text"]) for d in docs]
     group = list(range(len(docs)))
     for i in range(len(docs)):
         for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= 4 and group[i] != group[j]:
+            both = len(sets[i] & sets[j])
+            if both / (len(sets[i]) + len(sets[j]) - both) >= 0.8 and group[i] != group[j]:
                 old, new = group[i], group[j]
                 group = [new if g == old else g for g in group]
     best: dict[int, dict] = {}
@@ -65,48 +77,23 @@ def one_of_each(docs: list[dict]) -> list[dict]:
     return list(best.values())
 
 
-def terms(text: str) -> set[str]:
-    return {w.lower() for w in regex.split(r"[^\p{L}]+", text) if w}
-
-
-def sanitised(texts: list[str]) -> tuple[list[str], int]:
-    """Masked texts, and how many terms were found to disclose something."""
-    spans = [sorted((m.start(), k, kind, m.end(), m.group()) for k, (kind, (pattern, good)) in enumerate(BASE.items()) for m in regex.finditer(pattern, t) if good(m)) for t in texts]
-    near, entities, holders = defaultdict(set), defaultdict(set), defaultdict(set)
-    for t, own in zip(texts, spans, strict=True):
-        for w in terms(t):
-            holders[w].add(t)
-        for start, _, kind, end, match in own:
-            left, right = t[max(start - 60, 0) : start], t[end : end + 60]
-            left = regex.sub(r"^\p{L}+", "", left) if start > 60 else left
-            right = regex.sub(r"\p{L}+$", "", right) if len(right) == 60 else right
-            name = kind, regex.sub("[^0-9]", "", match) if kind in ("card", "phone") else match.lower()
-            for w in terms(f"{left} {right}"):
-                near[name, w].add(t)
-                entities[name].add(t)
-    total = len(set(texts))
-    shares: dict[str, dict[str, float]] = defaultdict(dict)
-    for (name, w), held in near.items():
-        info = math.log2(total / len(entities[name]))
-        share = math.log2(total * len(held) / (len(entities[name]) * len(holders[w]))) / info if info > 0 else 0
-        if len(held) > 1 and share >= 0.6:
-            for t in held:
-                shares[t][w] = max(shares[t].get(w, 0), share)
-    out = []
-    for t, own in zip(texts, spans, strict=True):
-        marks = [(a, b, f"[{kind.upper()}]") for a, _, kind, b, _ in own]
-        extra = []
-        for m in regex.finditer(r"(?<!\p{L})\p{L}+(?!\p{L})", t):
-            share = shares[t].get(m.group().lower())
-            if share is not None and not any(m.start() < b and a < m.end() for a, b, _ in marks):
-                extra.append((m.start(), m.end(), "" if share >= 0.9 else "[TERM]"))
+def sanitised(texts: list[str]) -> tuple[list[str], Counter]:
+    """Masked texts, and what was put in place of terms."""
+    out, used = [], Counter()
+    for t, found in zip(texts, disclosing(texts), strict=True):
+        marks = [(m.start(), m.end(), f"[{kind.upper()}]") for kind, (pattern, good) in BASE.items() for m in regex.finditer(pattern, t) if good(m)]
+        order = {f"[{kind.upper()}]": k for k, kind in enumerate(BASE)}
+        for start, end, kind in wanted_spans(t, found):
+            form = "[ACRONYM]" if regex.fullmatch(r"\p{Lu}{2,}", t[start:end]) else "[NAME]" if regex.match(r"\p{Lu}", t[start:end]) else "[WORD]"
+            marks.append((start, end, "" if kind == "reveal" else form))
+            used[marks[-1][2]] += 1
         at, made = 0, ""
-        for a, b, label in sorted(marks + extra, key=lambda x: x[0]):
+        for a, b, label in sorted(marks, key=lambda x: (x[0], order.get(x[2], 9))):
             if a >= at:
                 made += t[at:a] + label
             at = max(at, b)
         out.append(made + t[at:])
-    return out, len({w for own in shares.values() for w in own})
+    return out, used
 
 
 def test_pipeline_equals_plain_python(spark, small, tmp_path):
@@ -116,9 +103,11 @@ def test_pipeline_equals_plain_python(spark, small, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     spark.createDataFrame([tuple(d.values()) for d in docs], schema).write.parquet(f"{tmp_path}/documents.parquet")
     kept = [d for d, good in zip(docs, kept_by_quality(docs), strict=True) if good]
-    kept = one_of_each([d for d in kept if d["text"] and any(c.isalpha() for c in d["text"])])
-    texts, disclosing = sanitised([d["text"] for d in kept])
-    assert disclosing and len(kept) > 50
+    # The language stage has a test of its own; here it tells what it keeps of these documents.
+    table = spark.createDataFrame([tuple(d.values()) for d in kept], schema)
+    kept = one_of_each([r.asDict() for r in langid.stage_language(spark, table, "").collect()])
+    texts, used = sanitised([d["text"] for d in kept])
+    assert used[""] and used["[WORD]"] and used["[NAME]"] and len(kept) > 50
     want, coder = [], tokenizer()
     for d, t in zip(kept, texts, strict=True):
         ids = [*coder.encode(t, add_special_tokens=False).ids, 0]
@@ -134,14 +123,31 @@ def test_pipeline_equals_plain_python(spark, small, tmp_path):
 
 
 def test_stages_keep_columns_and_empty_tables(spark, small):
-    docs = spark.read.parquet(f"{small}/documents.parquet").limit(0).selectExpr("*", "1 AS spans", "2L AS kept", "'x' AS fp")
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, small)
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "spans", "kept", "fp"]
-    assert corpus_pipeline.STAGES[-1][1](spark, docs, small).collect() == []
+    odd = ["doc_id", "text", "lang", "source", "n_chars", "spans", "kept", "fp", "a.b", "n_words", "t", "row", "x`y", "uid"]
+    extra = ["1 AS spans", "2L AS kept", "'x' AS fp", "doc_id AS `a.b`", "'mine' AS n_words", "3 AS t", "4 AS row", "5 AS `x``y`", "6 AS uid"]
+    for limit in (0, 60):
+        docs = spark.read.parquet(f"{small}/documents.parquet").orderBy("doc_id").limit(limit).selectExpr("*", *extra)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = materialize(stage(spark, docs, small), name)
+            assert docs.columns == odd
+            rows = docs.collect()
+            assert all(r["a.b"] == r["doc_id"] and r["n_words"] == "mine" and r["kept"] == 2 and r["row"] == 4 and r["x`y"] == 5 and r["uid"] == 6 for r in rows)
+            assert len(rows) > limit // 2 or not limit
+        assert bool(corpus_pipeline.STAGES[-1][1](spark, docs, small).collect()) == bool(limit)
 
 
 def test_host_verdicts(spark, small):
     docs = [r.asDict() for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
     got = quality.op7_quality(spark, small).select("doc_id", "kept").collect()
     assert as_bag(map(tuple, got)) == as_bag((d["doc_id"], k) for d, k in zip(docs, kept_by_quality(docs), strict=True))
+
+
+def test_bad_hosts_lose_failing_documents_only(spark, tmp_path):
+    clean = "every plain sentence of this text has quite ordinary words and nothing that would count against it in any rule number {}"
+    docs = [{"doc_id": k, "text": clean.format(k) + (" #### ####" if k % 20 == 3 or k % 10 != 3 and k % 37 == 1 else ""), "source": f"h{k % 10}"} for k in range(1000)]
+    docs += [{"doc_id": 5000, "text": clean.format("x") + " #### ####", "source": None}]
+    spark.createDataFrame([tuple(d.values()) for d in docs], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["kept"] for r in quality.op7_quality(spark, str(tmp_path)).collect()}
+    assert got == {d["doc_id"]: k for d, k in zip(docs, kept_by_quality(docs), strict=True)}
+    dropped = [k for k, kept in got.items() if not kept]
+    assert sorted(dropped) == [k for k in range(1000) if k % 20 == 3]

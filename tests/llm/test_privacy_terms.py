@@ -8,11 +8,15 @@ import regex
 
 from marram.llm import privacy
 
-from test_pipeline import BASE, terms
+from test_corpus_queries import BASE
 
 FAR = " and then the usual words about the weather went on for very much longer than sixty characters would ever do "
 
 
+def terms(text: str) -> set[str]:
+    return {w.lower() for w in regex.split(r"[^\p{L}]+", text) if w}
+
+
 def disclosing(texts: list[str]) -> list[dict[str, float]]:
     """For each text, its terms that disclose an identifier in it, with their shares."""
     entities, holders, own = defaultdict(set), defaultdict(set), []
