@@ -2,17 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from marram.llm import langid, packing, privacy, quality, simhash
-from marram.session import materialize
+from marram.session import forget, materialize
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def after_stored(stage: Stage) -> Stage:
+    """The stage, which begins by deleting what the stages before it wrote on their way to results that are stored by now."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        forget(spark, keep=docs)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
 
 STAGES = [
     ("quality_rules", quality.stage_quality),
-    ("language_id", langid.stage_language),
-    ("near_duplicates", simhash.stage_near_duplicates),
-    ("personal_data", privacy.stage_privacy),
-    ("packing", packing.stage_packing),
+    ("language_id", after_stored(langid.stage_language)),
+    ("near_duplicates", after_stored(simhash.stage_near_duplicates)),
+    ("personal_data", after_stored(privacy.stage_privacy)),
+    ("packing", after_stored(packing.stage_packing)),
 ]
 
 #: Language scores and subword packing aren't expressible in SQL; tests hold the stages against brute force.
@@ -20,7 +35,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order; each result is written as Parquet and read by the next."""
+    """All stages in order; each result is written as Parquet and read by the next, and what led to it is then deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -63,11 +63,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(spark: SparkSession) -> None:
-    """Delete what ``materialize`` has written so far in this application.
+def forget(spark: SparkSession, keep: DataFrame | None = None) -> None:
+    """Delete what ``materialize`` has written so far in this application, but for the files that ``keep`` reads.
 
-    For callers that have stored every result that was made from it.
+    For callers that have stored every other result that was made from it.
     """
+    needed = keep.inputFiles() if keep is not None else []
+    left = []
     for path in WRITTEN.pop(spark.sparkContext.applicationId, []):
+        folder = path.rsplit("/", 2)[-2]
+        if any(f"/{folder}/" in x for x in needed):
+            left.append(path)
+            continue
         where = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    WRITTEN[spark.sparkContext.applicationId] = left
