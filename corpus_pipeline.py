@@ -7,27 +7,35 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from marram.llm import langid, packing, privacy, quality, simhash
-from marram.session import forget, materialize
+from marram.session import WRITTEN, forget, materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def after_stored(stage: Stage) -> Stage:
-    """The stage, which begins by deleting what the stages before it wrote on their way to results that are stored by now."""
+#: What the stages have written on their way.
+PENDING: list[str] = []
+
+
+def tidy(stage: Stage) -> Stage:
+    """The stage, which begins by deleting the tables that led the stages before it to results that are stored by now."""
 
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        forget(spark, keep=docs)
-        return stage(spark, docs, sf_dir)
+        forget(spark, PENDING, keep=docs)
+        PENDING[:] = [x for x in PENDING if x in WRITTEN]
+        before = len(WRITTEN)
+        out = stage(spark, docs, sf_dir)
+        PENDING.extend(WRITTEN[before:])
+        return out
 
     return run
 
 
 STAGES = [
-    ("quality_rules", quality.stage_quality),
-    ("language_id", after_stored(langid.stage_language)),
-    ("near_duplicates", after_stored(simhash.stage_near_duplicates)),
-    ("personal_data", after_stored(privacy.stage_privacy)),
-    ("packing", after_stored(packing.stage_packing)),
+    ("quality_rules", tidy(quality.stage_quality)),
+    ("language_id", tidy(langid.stage_language)),
+    ("near_duplicates", tidy(simhash.stage_near_duplicates)),
+    ("personal_data", tidy(privacy.stage_privacy)),
+    ("packing", tidy(packing.stage_packing)),
 ]
 
 #: Language scores and subword packing aren't expressible in SQL; tests hold the stages against brute force.
@@ -41,4 +49,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = materialize(docs, name)
+            PENDING.append(WRITTEN[-1])
     return docs

@@ -45,8 +45,8 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-#: Folders that ``materialize`` wrote since the last ``forget``, by session.
-WRITTEN: dict[str, list[str]] = {}
+#: Folders that ``materialize`` wrote in this process, in order.
+WRITTEN: list[str] = []
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -59,22 +59,19 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/marram-{uuid.uuid4().hex}/{label}"
     df.write.option("compression", "zstd").parquet(path)
-    WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(spark: SparkSession, keep: DataFrame | None = None) -> None:
-    """Delete what ``materialize`` has written so far in this application, but for the files that ``keep`` reads.
+def forget(spark: SparkSession, paths: list[str], keep: DataFrame) -> None:
+    """Delete what ``materialize`` wrote to these paths, but for what ``keep`` reads.
 
     For callers that have stored every other result that was made from it.
     """
-    needed = keep.inputFiles() if keep is not None else []
-    left = []
-    for path in WRITTEN.pop(spark.sparkContext.applicationId, []):
+    needed = keep.inputFiles()
+    for path in [x for x in paths if x in WRITTEN]:
         folder = path.rsplit("/", 2)[-2]
-        if any(f"/{folder}/" in x for x in needed):
-            left.append(path)
-            continue
-        where = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    WRITTEN[spark.sparkContext.applicationId] = left
+        if not any(f"/{folder}/" in x for x in needed):
+            where = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            WRITTEN.remove(path)
