@@ -41,7 +41,9 @@ DEPTH = 3
 #: By how many nats a state must diverge from its suffix.
 GAIN = 3.0
 #: Positions that one bucket holds on average; contexts of half as many are split.
-UNIT = 1 << 22
+UNIT = 1 << 21
+#: Distinct keys that are judged at a time, unless more follow one symbol.
+SLICE = 1 << 18
 #: At most so many of the most frequent words, of at most HEAD_BYTES bytes, are broadcast with their counts.
 HEAD, HEAD_BYTES = 300_000, 64
 #: Entries of a task's counters, and symbols or characters that are handled at a time.
@@ -380,7 +382,8 @@ def chances(keys: np.ndarray, taught: np.ndarray, root: np.ndarray, whole: dict[
     for depth in range(1, DEPTH + 1):
         own = context(keys, depth)
         starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-        pairs, pair = np.unique((np.cumsum(np.concatenate(([False], own[1:] != own[:-1]))) << 16) | symbol, return_inverse=True)
+        pairs = (np.cumsum(np.concatenate(([False], own[1:] != own[:-1]))) << 16) | symbol
+        pairs, pair = np.unique(pairs, return_inverse=True) if depth < DEPTH else (pairs, np.arange(len(pairs)))
         count = np.bincount(pair, taught, len(pairs))
         before = np.empty(len(pairs))
         before[pair] = chance
@@ -408,7 +411,7 @@ def score_positions(dealt: DataFrame, root: np.ndarray) -> DataFrame:
     def run(rows: pa.Table) -> pa.Table:
         kinds, data = rows.column("kind").to_pylist(), rows.column("data").to_pylist()
         whole = {}
-        for x in (x for kind, x in zip(kinds, data, strict=True) if kind == 1):
+        for x in [x for kind, x in zip(kinds, data, strict=True) if kind == 1]:
             depth, key = np.frombuffer(x, "<i8", 2).tolist()
             n = (len(x) - 16) // 10
             counts = np.zeros(1 << 16)
@@ -418,9 +421,18 @@ def score_positions(dealt: DataFrame, root: np.ndarray) -> DataFrame:
         if not parts:
             return pa.table({"uid": pa.array([], pa.int64()), "part": pa.array([], pa.float64())})
         keys, uids, counts, learn = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del data, rows
         distinct, at = np.unique(keys, return_inverse=True)
+        del keys, parts
         taught = np.bincount(at, np.repeat(learn, counts), len(distinct))
-        logs = np.log10(chances(distinct, taught, shared.value, whole))[at]
+        last = context(distinct, 1)
+        firsts = np.append(np.flatnonzero(np.concatenate(([True], last[1:] != last[:-1]))), len(last))
+        logs = np.empty(len(distinct))
+        for a, b in bounded_runs(np.diff(firsts).tolist(), SLICE):
+            i, j = firsts[a], firsts[b]
+            own = {x: n for x, n in whole.items() if last[i] <= x[1] >> 16 * (x[0] - 1) <= last[j - 1]}
+            logs[i:j] = np.log10(chances(distinct[i:j], taught[i:j], shared.value, own))
+        logs = logs[at]
         return pa.table({"uid": pa.array(uids), "part": pa.array(np.add.reduceat(logs, np.concatenate(([0], np.cumsum(counts[:-1])))))})
 
     return dealt.groupBy("bucket").applyInArrow(run, "uid long, part double")
