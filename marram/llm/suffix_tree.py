@@ -284,7 +284,7 @@ def hot_counts(encoded: DataFrame, hot: Hot, depth: int) -> DataFrame:
 
 
 def find_hot(encoded: DataFrame, sizes: dict[int, int], buckets: int) -> tuple[Hot, DataFrame | None]:
-    """Hot contexts (``sizes``: positions after each symbol), and a row (bucket, kind, data) with counts for each bucket that needs them.
+    """Hot contexts (``sizes``: positions after each symbol), and a row (bucket, chunk, data) with counts for each bucket that needs them.
 
     Only contexts whose own suffix is hot can be; there are at most so many as
     units. Their counts have at most one entry for each symbol.
@@ -312,11 +312,19 @@ def find_hot(encoded: DataFrame, sizes: dict[int, int], buckets: int) -> tuple[H
 
     blobs = counts.groupBy("depth", "context").applyInArrow(blob, "depth int, context long, data binary")
     targets = F.broadcast(spark.createDataFrame(hot.targets(), "depth int, context long, bucket int"))
-    return hot, blobs.join(targets, ["depth", "context"]).select("bucket", F.lit(1).alias("kind"), "data")
+    return hot, blobs.join(targets, ["depth", "context"]).select("bucket", F.lit(None).cast("long").alias("chunk"), "data")
+
+
+def squeezed(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def restored(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
 
 
 def deal(encoded: DataFrame, hot: Hot) -> DataFrame:
-    """``(bucket, kind, data)``: positions with their texts, many to a row, compressed."""
+    """``(bucket, chunk, data)``: the positions of a chunk of texts in a bucket, compressed; chunk is the first text's uid."""
     shared = encoded.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,22 +340,21 @@ def deal(encoded: DataFrame, hot: Hot) -> DataFrame:
                 starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
                 ends = np.append(starts[1:], len(own))
                 made = [packed(keys[a:b], of[a:b], uids, learn) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(own[starts].astype(np.int32)), pa.array([0] * len(starts), pa.int32()), pa.array(made, pa.binary())], ["bucket", "kind", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array(own[starts].astype(np.int32)), pa.array([uids[i]] * len(starts), pa.int64()), pa.array(made, pa.binary())], ["bucket", "chunk", "data"])
 
     def packed(keys: np.ndarray, of: np.ndarray, uids: np.ndarray, learn: np.ndarray) -> bytes:
         texts, n = np.unique(of, return_counts=True)
         columns = np.ascontiguousarray(keys.view("<u2").reshape(-1, DEPTH + 1).T).view(np.uint8).reshape(DEPTH + 1, -1, 2)
         body = np.ascontiguousarray(columns.transpose(0, 2, 1)).tobytes()
         head = np.array([len(texts), len(keys)], dtype="<i8").tobytes()
-        whole = head + uids[texts].tobytes() + n.astype("<i4").tobytes() + learn[texts].astype(np.uint8).tobytes() + body
-        return len(whole).to_bytes(8, "little") + pa.compress(whole, codec="zstd", asbytes=True)
+        return squeezed(head + uids[texts].tobytes() + n.astype("<i4").tobytes() + learn[texts].astype(np.uint8).tobytes() + body)
 
-    return encoded.select("uid", "learn", "symbols").mapInArrow(run, "bucket int, kind int, data binary")
+    return encoded.select("uid", "learn", "symbols").mapInArrow(run, "bucket int, chunk long, data binary")
 
 
 def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Keys, and the texts' uids, numbers of keys, and whether they teach."""
-    whole = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+    whole = restored(data)
     texts, n = np.frombuffer(whole, "<i8", 2).tolist()
     uids = np.frombuffer(whole, "<i8", texts, 16)
     counts = np.frombuffer(whole, "<i4", texts, 16 + 8 * texts)
@@ -405,23 +412,30 @@ def chances(keys: np.ndarray, taught: np.ndarray, root: np.ndarray, whole: dict[
 
 
 def score_positions(dealt: DataFrame, root: np.ndarray) -> DataFrame:
-    """``(uid, part)``: by bucket and text, the log10 probabilities of its positions there."""
+    """``(uid, part)``: the log10 probability of each text's symbols.
+
+    A bucket gives one row for each chunk of texts, with its texts' sums there;
+    a chunk's rows are then added up, so that their number doesn't depend on how
+    many buckets a text's positions are in.
+    """
     shared = dealt.sparkSession.sparkContext.broadcast(root)
 
     def run(rows: pa.Table) -> pa.Table:
-        kinds, data = rows.column("kind").to_pylist(), rows.column("data").to_pylist()
+        chunks, data = rows.column("chunk").to_pylist(), rows.column("data").to_pylist()
         whole = {}
-        for x in [x for kind, x in zip(kinds, data, strict=True) if kind == 1]:
+        for x in [x for chunk, x in zip(chunks, data, strict=True) if chunk is None]:
             depth, key = np.frombuffer(x, "<i8", 2).tolist()
             n = (len(x) - 16) // 10
             counts = np.zeros(1 << 16)
             counts[np.frombuffer(x, "<u2", n, 16)] = np.frombuffer(x[16 + 2 * n :], "<i8", n)
             whole[depth, key] = counts
-        parts = [unpacked(x) for kind, x in zip(kinds, data, strict=True) if kind == 0]
+        parts = [unpacked(x) for chunk, x in zip(chunks, data, strict=True) if chunk is not None]
+        chunks = [x for x in chunks if x is not None]
+        del data, rows
         if not parts:
-            return pa.table({"uid": pa.array([], pa.int64()), "part": pa.array([], pa.float64())})
+            return pa.table({"chunk": pa.array([], pa.int64()), "data": pa.array([], pa.binary())})
         keys, uids, counts, learn = (np.concatenate(x) for x in zip(*parts, strict=True))
-        del data, rows
+        texts = [len(x[1]) for x in parts]
         distinct, at = np.unique(keys, return_inverse=True)
         del keys, parts
         taught = np.bincount(at, np.repeat(learn, counts), len(distinct))
@@ -432,10 +446,17 @@ def score_positions(dealt: DataFrame, root: np.ndarray) -> DataFrame:
             i, j = firsts[a], firsts[b]
             own = {x: n for x, n in whole.items() if last[i] <= x[1] >> 16 * (x[0] - 1) <= last[j - 1]}
             logs[i:j] = np.log10(chances(distinct[i:j], taught[i:j], shared.value, own))
-        logs = logs[at]
-        return pa.table({"uid": pa.array(uids), "part": pa.array(np.add.reduceat(logs, np.concatenate(([0], np.cumsum(counts[:-1])))))})
+        sums = np.add.reduceat(logs[at], np.concatenate(([0], np.cumsum(counts[:-1]))))
+        ends = np.cumsum(texts).tolist()
+        made = [squeezed(uids[e - n : e].tobytes() + sums[e - n : e].tobytes()) for e, n in zip(ends, texts, strict=True)]
+        return pa.table({"chunk": pa.array(chunks, pa.int64()), "data": pa.array(made, pa.binary())})
+
+    def add_up(rows: pa.Table) -> pa.Table:
+        both = [np.frombuffer(restored(x), "<i8").reshape(2, -1) for x in rows.column("data").to_pylist()]
+        uids, at = np.unique(np.concatenate([x[0] for x in both]), return_inverse=True)
+        return pa.table({"uid": pa.array(uids), "part": pa.array(np.bincount(at, np.concatenate([x[1] for x in both]).view("<f8"), len(uids)))})
 
-    return dealt.groupBy("bucket").applyInArrow(run, "uid long, part double")
+    return dealt.groupBy("bucket").applyInArrow(run, "chunk long, data binary").groupBy("chunk").applyInArrow(add_up, "uid long, part double")
 
 
 def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -470,7 +491,7 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
     after = {k: math.ceil(n * total / max(tokens, 1)) for k, n in enumerate(sizes.tolist()) if n and k != END} | {START: texts}
     hot, counts = find_hot(encoded, after, max(1, -(-total // UNIT)))
     dealt = deal(encoded, hot)
-    parts = score_positions(dealt if counts is None else dealt.unionByName(counts), root).groupBy(F.col("uid").alias("uid_")).agg(F.sum("part").alias("part"))
+    parts = score_positions(dealt if counts is None else dealt.unionByName(counts), root).withColumnRenamed("uid", "uid_")
 
     rare = encoded.select("uid", F.explode("rare").alias("word"))
     rare = rare.join(words.select(F.col("word").alias("word_"), "n"), F.col("word") == F.col("word_"), "left").groupBy(F.col("uid").alias("rare_uid"))
