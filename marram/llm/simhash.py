@@ -5,7 +5,7 @@ differ in at most RADIUS of them agree on some BLOCKS_EQUAL of BLOCKS blocks;
 each choice of blocks gives a key, and fingerprints are compared only within a
 key. Inside a key they are stored as bit planes, so that one machine word
 advances the distances of 64 of them: a carry-save counter adds the planes'
-differences bitwise, and a block is abandoned once all of its distances exceed
+differences bitwise by full adders, and a block is abandoned once all of its distances exceed
 the radius.
 """
 
@@ -34,7 +34,11 @@ RADIUS = 4
 BLOCKS = 6
 #: Fingerprints of one key that one row group holds; a larger key is cut into parts, and pairs of parts are compared.
 PART = 2048
+#: Rows that make a fingerprint hot, and hot fingerprints whose labels may be broadcast; beyond, adaptive execution splits them.
+HOT_ROWS = 1000
 CHUNK = 1 << 20
+#: Comparisons of a value with a word of 64 others that are made at a time.
+CELLS = 1 << 17
 #: Characters of shingles that are hashed at a time within one long text.
 SPAN = 50_000
 
@@ -91,57 +95,73 @@ def block_keys(fp: Column, blocks: int, radius: int) -> Column:
 
 
 def planes_of(values: np.ndarray) -> np.ndarray:
-    """Bit planes (64, words) of uint64 values: bit i of word w of plane p is bit p of value 64 w + i."""
-    filled = np.zeros(-(-len(values) // 64) * 64, dtype=np.uint64)
-    filled[: len(values)] = values
-    bits = np.unpackbits(filled.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    """Bit planes (64, words) of uint64 values, 64 to a word: bit i of word w of plane p is bit p of value 64 w + i."""
+    bits = np.unpackbits(values.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     return np.packbits(bits.T.copy(), axis=1, bitorder="little").view(np.uint64)
 
 
-def near(planes: np.ndarray, queries: np.ndarray, radius: int) -> np.ndarray:
-    """Words (queries, words): a set bit where a stored value is within ``radius`` of the query.
+def add(digits: list[list[np.ndarray]], over: np.ndarray, vector: np.ndarray) -> None:
+    """Add one bit per lane to carry-save digits; what passes the highest is kept in ``over``.
 
-    Three bit counters and a sticky overflow hold each distance. Planes come
-    eight at a time; a (query, word) cell leaves once all its 64 distances have
-    passed the radius.
+    A digit holds up to two vectors; a third turns them into one of the digit
+    and a carry, by a full adder on whole words.
+    """
+    for held in digits:
+        if len(held) < 2:
+            held.append(vector)
+            return
+        a, b = held
+        half = a ^ b
+        held[:] = [half ^ vector]
+        vector = (a & b) | (half & vector)
+    over |= vector
+
+
+def at_least(digits: list[list[np.ndarray]], over: np.ndarray, limit: int) -> np.ndarray:
+    """Bits set where the lanes' numbers are ``limit`` or more."""
+    none = np.zeros_like(over)
+    carry, plain, above = none, [], over
+    for held in digits:  # two vectors and a carry to one
+        a, b = (*held, none, none)[:2]
+        plain.append(a ^ b ^ carry)
+        carry = (a & b) | ((a ^ b) & carry)
+    above = above | carry
+    equal = ~none
+    for c in range(len(plain) - 1, -1, -1):
+        if limit >> c & 1:
+            equal = equal & plain[c]
+        else:
+            above = above | (equal & plain[c])
+            equal = equal & ~plain[c]
+    return above | equal
+
+
+def near(planes: np.ndarray, queries: np.ndarray, words: np.ndarray, radius: int) -> np.ndarray:
+    """A word for each (query, word of the planes): a set bit where a stored value is within ``radius`` of the query.
+
+    Planes come eight at a time; a (query, word) cell is abandoned once all its
+    64 distances have passed the radius.
     """
     limit = radius + 1
-    width = max(limit.bit_length(), 1)
-    words = planes.shape[1]
-    q, w = (x.ravel() for x in np.indices((len(queries), words)))
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
-    counters = np.zeros((width, len(q)), dtype=np.uint64)
-    over = np.zeros(len(q), dtype=np.uint64)
+    digits: list[list[np.ndarray]] = [[] for _ in range(max(limit.bit_length(), 1))]
+    over = np.zeros(len(queries), dtype=np.uint64)
+    cell = np.arange(len(queries))
+    out = np.zeros(len(queries), dtype=np.uint64)
     for bit in range(BITS):
-        flip = np.where((queries[q] >> np.uint64(bit)) & np.uint64(1), full, np.uint64(0))
-        carry = planes[bit, w] ^ flip
-        for c in range(width):  # a half adder for each digit
-            counters[c], carry = counters[c] ^ carry, counters[c] & carry
-        over |= carry
+        flip = ((queries >> np.uint64(bit)) & np.uint64(1)) * full
+        add(digits, over, planes[bit, words] ^ flip)
         if bit % 8 == 7:
-            alive = ~(over | at_least(counters, limit)) != 0
+            alive = ~at_least(digits, over, limit) != 0
             if not alive.all():
-                q, w, over, counters = q[alive], w[alive], over[alive], counters[:, alive]
-                if not len(q):
-                    break
-    out = np.zeros((len(queries), words), dtype=np.uint64)
-    out[q, w] = ~(over | at_least(counters, limit))
+                queries, words, cell, over = queries[alive], words[alive], cell[alive], over[alive]
+                digits = [[x[alive] for x in held] for held in digits]
+                if not len(cell):
+                    return out
+    out[cell] = ~at_least(digits, over, limit)
     return out
 
 
-def at_least(counters: np.ndarray, limit: int) -> np.ndarray:
-    """Bits set where the counters' number is ``limit`` or more."""
-    above = np.zeros(counters.shape[1], dtype=np.uint64)
-    equal = ~above
-    for c in range(len(counters) - 1, -1, -1):
-        if limit >> c & 1:
-            equal = equal & counters[c]
-        else:
-            above = above | (equal & counters[c])
-            equal = equal & ~counters[c]
-    return above | equal
-
-
 class Forest:
     """Union-find over positions; links of a key are reduced to a spanning forest."""
 
@@ -154,6 +174,9 @@ class Forest:
             x = self.up[x]
         return x
 
+    def roots(self, places: np.ndarray) -> np.ndarray:
+        return np.array([self.root(x) for x in places.tolist()], dtype=np.int64)
+
     def join(self, x: int, y: int) -> bool:
         x, y = self.root(x), self.root(y)
         if x != y:
@@ -161,30 +184,47 @@ class Forest:
         return x != y
 
 
-def links_within(left: np.ndarray, right: np.ndarray | None, radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among ``left``, or between ``left`` and ``right``, as values."""
-    if right is None and len(left) <= 24:
-        return small_links(left, radius)
-    stored = left if right is None else np.concatenate([left, right])
-    forest, out = Forest(len(stored)), []
-    base = 0 if right is None else len(left)
-    targets = left if right is None else right
-    planes = planes_of(targets)
-    for at in range(0, len(left), 256):
-        own = left[at : at + 256]
-        hits = near(planes, own, radius)
-        bits = np.unpackbits(hits.view(np.uint8), axis=1, bitorder="little")[:, : len(targets)]
-        for x, y in zip(*np.nonzero(bits), strict=True):
-            if (base or y > x + at) and forest.join(int(x) + at, base + int(y)):
-                out.append((int(own[x]), int(targets[y])))
-    return out
-
+def unit_links(values: np.ndarray, starts: np.ndarray, lefts: np.ndarray, ends: np.ndarray, radius: int) -> np.ndarray:
+    """Links (n, 2) that connect all values within ``radius`` in each unit.
 
-def small_links(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """As ``links_within`` for a few values, without planes."""
-    differ = values[:, None] ^ values[None, :]
-    x, y = np.nonzero(np.triu(np.bitwise_count(differ) <= radius, 1))
-    return [(int(values[a]), int(values[b])) for a, b in zip(x, y, strict=True)]
+    Unit u holds ``values[starts[u]:ends[u]]``. Where lefts[u] is ends[u], each
+    of them is compared with those after it; else those before lefts[u] with
+    the rest. The compared values of each unit begin a new word of the planes,
+    so that many small units are one pass over bit planes.
+    """
+    alone = lefts == ends
+    froms = np.where(alone, starts, lefts)
+    sizes = ends - froms
+    widths = -(-sizes // 64)
+    first = np.concatenate(([0], np.cumsum(widths)))
+    filled = np.zeros(int(first[-1]) * 64, dtype=np.uint64)
+    within = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    filled[np.repeat(first[:-1] * 64, sizes) + within] = values[np.repeat(froms, sizes) + within]
+    planes = planes_of(filled)
+    asked = lefts - starts
+    unit = np.repeat(np.arange(len(starts)), asked)
+    query = np.arange(int(asked.sum())) - np.repeat(np.cumsum(asked) - asked, asked) + starts[unit]
+    forest = Forest(len(values))
+    out: list[tuple[int, int]] = []
+    for i, j in bounded_runs(widths[unit].tolist(), CELLS):
+        own = unit[i:j]
+        width = widths[own]
+        of = np.repeat(np.arange(i, j), width)
+        word = np.repeat(first[own], width) + np.arange(len(of)) - np.repeat(np.cumsum(width) - width, width)
+        hits = near(planes, values[query[of]], word, radius)
+        some = np.flatnonzero(hits)
+        bits = np.unpackbits(hits[some].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        row, lane = np.nonzero(bits)
+        of, word = of[some[row]], word[some[row]]
+        u = unit[of]
+        left, right = query[of], froms[u] + (word - first[u]) * 64 + lane
+        real = (right < ends[u]) & (~alone[u] | (right > left))
+        left, right = left[real], right[real]
+        # Most links of a dense unit join what is joined already.
+        roots = forest.roots(left), forest.roots(right)
+        apart = roots[0] != roots[1]
+        out += [(x, y) for x, y in zip(left[apart].tolist(), right[apart].tolist(), strict=True) if forest.join(x, y)]
+    return np.array([(values[x], values[y]) for x, y in out], dtype=np.uint64).reshape(-1, 2)
 
 
 def fingerprint_links(unique: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
@@ -223,17 +263,13 @@ def fingerprint_links(unique: DataFrame, radius: int = RADIUS, blocks: int = BLO
     def found(now: pa.Table, columns: list[np.ndarray], starts: np.ndarray) -> pa.RecordBatch:
         fps = now.column(5).to_numpy().view(np.uint64)
         right = now.column(4).to_numpy(zero_copy_only=False)
-        out: list[tuple[int, int]] = []
-        for i, j in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-            if j - i < 2:
-                continue
-            if columns[2][i] == columns[3][i]:
-                out += links_within(fps[i:j], None, radius)
-            else:
-                at = i + int(np.count_nonzero(~right[i:j]))
-                out += links_within(fps[i:at], fps[at:j], radius)
-        pairs = np.array(out, dtype=np.uint64).reshape(-1, 2).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        begin, end = starts[:-1], starts[1:]
+        before = np.concatenate(([0], np.cumsum(right)))
+        two = columns[2][begin] != columns[3][begin]
+        middle = np.where(two, end - (before[end] - before[begin]), end)
+        useful = (end - begin > 1) & ~(two & ((middle == begin) | (middle == end)))
+        pairs = unit_links(fps, begin[useful], middle[useful], end[useful], radius).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long")
 
@@ -267,14 +303,30 @@ def label_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     least = joined.groupBy("root").agg(F.min("best").alias("best")).select(F.col("root").alias("root_"), F.col("best.id").alias("component_id"))
     linked = joined.join(least, F.col("root") == F.col("root_")).select("node", "component_id")
     label = unique.join(linked, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("fp_"), F.coalesce("component_id", "best.id").alias("component_id"))
-    out = rows.join(label, F.col("fp") == F.col("fp_"))
+    # Many rows can share a fingerprint: the most common ones' labels are broadcast, so that only the others meet by fingerprint.
+    often = materialize(rows.groupBy("fp").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_ROWS).select(F.col("fp").alias("hot")), "often")
+    if 0 < often.count() <= HOT_ROWS:
+        hot_labels = F.broadcast(label.join(F.broadcast(often), F.col("fp_") == F.col("hot"), "left_semi"))
+        hot_rows = rows.join(F.broadcast(often), F.col("fp") == F.col("hot"), "left_semi").join(hot_labels, F.col("fp") == F.col("fp_"))
+        out = hot_rows.unionByName(rows.join(F.broadcast(often), F.col("fp") == F.col("hot"), "left_anti").join(label, F.col("fp") == F.col("fp_")))
+    else:
+        out = rows.join(label, F.col("fp") == F.col("fp_"))
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and the components of their links.
+
+    Null and empty texts have fingerprint zero and link like any other; repeated
+    rows keep their rows; an empty table gives no rows.
+    """
     return label_near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def stage_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8), with its columns."""
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8), with its columns.
+
+    Null and empty texts are one group; of repeated rows one stays; of equal ids
+    the first row; an empty table stays empty.
+    """
     return drop_similar(docs)
