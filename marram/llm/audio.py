@@ -257,4 +257,9 @@ def decode_telephony(df: DataFrame, id_col: str = "doc_id", rate_out: int = 1600
 
 
 def op1_telephony(spark, sf_dir: str) -> DataFrame:
-    return decode_telephony(encode_telephony(table(spark, sf_dir, "documents")), keep_pcm=False)
+    """Every text's bytes as telephone audio: digests of what is stored, its features, and the resampled PCM as a WAV file.
+
+    Null and empty texts are one unit of filling; equal texts have equal values;
+    repeated rows keep their rows; an empty table gives no rows.
+    """
+    return decode_telephony(encode_telephony(table(spark, sf_dir, "documents")))
