@@ -259,11 +259,29 @@ class Hot:
         return sorted(out)
 
 
+def listed(symbols: np.ndarray, n: np.ndarray) -> bytes:
+    """Symbols and their counts in one value."""
+    return symbols.astype("<u2").tobytes() + n.astype("<i8").tobytes()
+
+
+def dense(data: bytes) -> np.ndarray:
+    """Counts by symbol."""
+    n = len(data) // 10
+    out = np.zeros(1 << 16, dtype=np.int64)
+    out[np.frombuffer(data, "<u2", n)] = np.frombuffer(data[2 * n :], "<i8", n)
+    return out
+
+
 def hot_counts(encoded: DataFrame, hot: Hot, depth: int) -> DataFrame:
-    """``(older, context, symbol, n)``: by hot context of this depth, its next symbols in training and, where ``older``, the symbols before it anywhere."""
+    """``(older, context, data)``: of each hot context of this depth its next symbols' counts in training and, where ``older``, the symbols that often stand before it.
+
+    A task gives one row for each hot context, whose rows are then added up.
+    """
     shared = encoded.sparkSession.sparkContext.broadcast(hot)
+    unit = UNIT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = np.uint64(0xFFFF)
         for batch in batches:
             learn = batch.column(0).to_numpy(zero_copy_only=False)
             data = batch.column(1).to_pylist()
@@ -271,20 +289,30 @@ def hot_counts(encoded: DataFrame, hot: Hot, depth: int) -> DataFrame:
                 keys, sizes = keys_of(data[i:j])
                 hit, which = shared.value.find(keys, depth)
                 keys, taught = keys[hit], np.repeat(learn[i:j], sizes)[hit]
-                last = np.uint64(0xFFFF)
-                sides = [(False, which[taught].astype(np.uint64) << np.uint64(16) | keys[taught] & last)]
+                sides = [(False, which[taught] << 16 | (keys[taught] & last).astype(np.int64))]
                 if depth < DEPTH:
-                    sides.append((True, which.astype(np.uint64) << np.uint64(16) | context(keys, depth + 1) & last))
+                    sides.append((True, which << 16 | (context(keys, depth + 1) & last).astype(np.int64)))
                 for older, pairs in sides:
                     found, n = np.unique(pairs, return_counts=True)
-                    own = shared.value.keys[depth][(found >> np.uint64(16)).astype(np.int64)]
-                    yield pa.RecordBatch.from_arrays([pa.array([older] * len(n), pa.bool_()), pa.array(own.view(np.int64)), pa.array((found & last).astype(np.int32)), pa.array(n.astype(np.int64))], ["older", "context", "symbol", "n"])
+                    starts = np.flatnonzero(np.concatenate(([True], found[1:] >> 16 != found[:-1] >> 16))) if len(found) else found
+                    ends = np.append(starts[1:], len(found))
+                    made = [listed(found[a:b] & 0xFFFF, n[a:b]) for a, b in zip(starts, ends, strict=False) if b > a]
+                    own = shared.value.keys[depth][found[starts] >> 16].view(np.int64) if len(found) else found
+                    yield pa.RecordBatch.from_arrays([pa.array([older] * len(made), pa.bool_()), pa.array(own, pa.int64()), pa.array(made, pa.binary())], ["older", "context", "data"])
+
+    def add_up(key: tuple, rows: pa.Table) -> pa.Table:
+        total = np.zeros(1 << 16, dtype=np.int64)
+        for x in rows.column("data").to_pylist():
+            total += dense(x)
+        hit = np.flatnonzero(2 * total > unit if key[0].as_py() else total)
+        return pa.table({"older": pa.array([key[0].as_py()], pa.bool_()), "context": pa.array([key[1].as_py()], pa.int64()), "data": pa.array([listed(hit, total[hit])], pa.binary())})
 
-    return encoded.select("learn", "symbols").mapInArrow(run, "older boolean, context long, symbol int, n long").groupBy("older", "context", "symbol").agg(F.sum("n").alias("n"))
+    schema = "older boolean, context long, data binary"
+    return encoded.select("learn", "symbols").mapInArrow(run, schema).groupBy("older", "context").applyInArrow(add_up, schema)
 
 
 def find_hot(encoded: DataFrame, sizes: dict[int, int], buckets: int) -> tuple[Hot, DataFrame | None]:
-    """Hot contexts (``sizes``: positions after each symbol), and a row (bucket, chunk, data) with counts for each bucket that needs them.
+    """Hot contexts (``sizes``: positions after each symbol), and a row (bucket, chunk, depth, context, data) with counts for each bucket that needs them.
 
     Only contexts whose own suffix is hot can be; there are at most so many as
     units. Their counts have at most one entry for each symbol.
@@ -295,24 +323,21 @@ def find_hot(encoded: DataFrame, sizes: dict[int, int], buckets: int) -> tuple[H
         if not len(hot.keys[depth]):
             break
         counts = materialize(hot_counts(encoded, hot, depth), "hot")
-        out.append(counts.filter("NOT older").select(F.lit(depth).alias("depth"), "context", "symbol", "n"))
+        out.append(counts.filter("NOT older").select(F.lit(depth).alias("depth"), "context", "data"))
         if depth < DEPTH:
-            large = counts.filter(F.col("older") & (2 * F.col("n") > UNIT)).collect()  # no more than units
-            hot.put(depth + 1, {r["context"] << 16 | r["symbol"]: r["n"] for r in large})
+            large = {}
+            for r in counts.filter("older").collect():  # of each hot context, the few symbols that make a hot one again
+                total = dense(bytes(r["data"]))
+                large |= {r["context"] << 16 | int(k): int(total[k]) for k in np.flatnonzero(total)}
+            hot.put(depth + 1, large)
     if not out:
         return hot, None
-    counts = out[0]
+    blobs = out[0]
     for x in out[1:]:
-        counts = counts.unionByName(x)
-
-    def blob(key: tuple, rows: pa.Table) -> pa.Table:
-        head = np.array([key[0].as_py(), key[1].as_py()], dtype=np.int64).tobytes()
-        body = rows.column("symbol").to_numpy().astype("<u2").tobytes() + rows.column("n").to_numpy().astype("<i8").tobytes()
-        return pa.table({"depth": pa.array([key[0].as_py()], pa.int32()), "context": pa.array([key[1].as_py()], pa.int64()), "data": pa.array([head + body], pa.binary())})
-
-    blobs = counts.groupBy("depth", "context").applyInArrow(blob, "depth int, context long, data binary")
+        blobs = blobs.unionByName(x)
     targets = F.broadcast(spark.createDataFrame(hot.targets(), "depth int, context long, bucket int"))
-    return hot, blobs.join(targets, ["depth", "context"]).select("bucket", F.lit(None).cast("long").alias("chunk"), "data")
+    joined = blobs.join(targets, ["depth", "context"])
+    return hot, joined.select("bucket", F.lit(None).cast("long").alias("chunk"), "depth", "context", "data")
 
 
 def squeezed(data: bytes) -> bytes:
@@ -324,7 +349,7 @@ def restored(data: bytes) -> bytes:
 
 
 def deal(encoded: DataFrame, hot: Hot) -> DataFrame:
-    """``(bucket, chunk, data)``: the positions of a chunk of texts in a bucket, compressed; chunk is the first text's uid."""
+    """``(bucket, chunk, depth, context, data)``: the positions of a chunk of texts in a bucket, compressed; chunk is the first text's uid, depth and context are null."""
     shared = encoded.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,7 +365,7 @@ def deal(encoded: DataFrame, hot: Hot) -> DataFrame:
                 starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
                 ends = np.append(starts[1:], len(own))
                 made = [packed(keys[a:b], of[a:b], uids, learn) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(own[starts].astype(np.int32)), pa.array([uids[i]] * len(starts), pa.int64()), pa.array(made, pa.binary())], ["bucket", "chunk", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array(own[starts].astype(np.int32)), pa.array([uids[i]] * len(starts), pa.int64()), pa.nulls(len(starts), pa.int32()), pa.nulls(len(starts), pa.int64()), pa.array(made, pa.binary())], ["bucket", "chunk", "depth", "context", "data"])
 
     def packed(keys: np.ndarray, of: np.ndarray, uids: np.ndarray, learn: np.ndarray) -> bytes:
         texts, n = np.unique(of, return_counts=True)
@@ -349,7 +374,7 @@ def deal(encoded: DataFrame, hot: Hot) -> DataFrame:
         head = np.array([len(texts), len(keys)], dtype="<i8").tobytes()
         return squeezed(head + uids[texts].tobytes() + n.astype("<i4").tobytes() + learn[texts].astype(np.uint8).tobytes() + body)
 
-    return encoded.select("uid", "learn", "symbols").mapInArrow(run, "bucket int, chunk long, data binary")
+    return encoded.select("uid", "learn", "symbols").mapInArrow(run, "bucket int, chunk long, depth int, context long, data binary")
 
 
 def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -385,7 +410,7 @@ def chances(keys: np.ndarray, taught: np.ndarray, root: np.ndarray, whole: dict[
     """
     symbol = (keys & np.uint64(0xFFFF)).astype(np.int64)
     chance = root[symbol]
-    dense: dict[tuple[int, int], np.ndarray] = {}
+    known: dict[tuple[int, int], np.ndarray] = {}
     for depth in range(1, DEPTH + 1):
         own = context(keys, depth)
         starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
@@ -402,12 +427,12 @@ def chances(keys: np.ndarray, taught: np.ndarray, root: np.ndarray, whole: dict[
         chance = found[pair]
         for (at, key), counts in sorted(whole.items()):
             if at == depth:
-                base = root if depth == 1 else dense[depth - 1, key >> 16]
+                base = root if depth == 1 else known[depth - 1, key >> 16]
                 n_, kinds_ = counts.sum(), np.count_nonzero(counts)
                 state_ = divergence(counts, n_, kinds_, base).sum() >= GAIN
-                dense[depth, key] = (counts + kinds_ * base) / (n_ + kinds_) if state_ else base
+                known[depth, key] = (counts + kinds_ * base) / (n_ + kinds_) if state_ else base
                 i, j = np.searchsorted(own, np.array([key, key + 1], dtype=np.uint64))
-                chance[i:j] = dense[depth, key][symbol[i:j]]
+                chance[i:j] = known[depth, key][symbol[i:j]]
     return chance
 
 
@@ -422,13 +447,8 @@ def score_positions(dealt: DataFrame, root: np.ndarray) -> DataFrame:
 
     def run(rows: pa.Table) -> pa.Table:
         chunks, data = rows.column("chunk").to_pylist(), rows.column("data").to_pylist()
-        whole = {}
-        for x in [x for chunk, x in zip(chunks, data, strict=True) if chunk is None]:
-            depth, key = np.frombuffer(x, "<i8", 2).tolist()
-            n = (len(x) - 16) // 10
-            counts = np.zeros(1 << 16)
-            counts[np.frombuffer(x, "<u2", n, 16)] = np.frombuffer(x[16 + 2 * n :], "<i8", n)
-            whole[depth, key] = counts
+        heads = zip(rows.column("depth").to_pylist(), rows.column("context").to_pylist(), strict=True)
+        whole = {head: dense(x) for head, chunk, x in zip(heads, chunks, data, strict=True) if chunk is None}
         parts = [unpacked(x) for chunk, x in zip(chunks, data, strict=True) if chunk is not None]
         chunks = [x for x in chunks if x is not None]
         del data, rows
