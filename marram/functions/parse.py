@@ -16,8 +16,10 @@ KBPS = (
     "kbps", "kbts", "kbit / sec", "kbit / s", "kbs", "kbp / s", "kb / s", "кb / s", "кbps", "kbit",
     "кбит / сек", "кбит / с", "кб / с", "к / с", "кбит", "кбс", "kpbs",
 )
+#: Words that say nothing about a bitrate.
+BITRATE_JUNK = ("~", "vbr", "cbr")
 #: Size units and their bytes.
-UNITS = {"gb": 1 << 30, "гб": 1 << 30, "mb": 1 << 20, "мб": 1 << 20, "kb": 1 << 10, "кб": 1 << 10}
+UNITS = {"Гб": 1 << 30, "GB": 1 << 30, "Мб": 1 << 20, "MB": 1 << 20, "Кб": 1 << 10, "KB": 1 << 10}
 
 
 def replace_each(x: Column, olds: tuple[str, ...], new: str) -> Column:
@@ -91,24 +93,25 @@ def bitrate_kbps(x: Column) -> Column:
     low = replace_each(F.lower(F.coalesce(x, F.lit(""))), KBPS, "kbps")
     parts = F.split(low, ",| и |/")
     main = F.when(F.size(parts) > 1, F.get(F.filter(parts, lambda p: mentions(p, KBPS)), F.lit(0))).otherwise(low)
-    main = F.trim(F.substring_index(F.trim(replace_each(main, ("~", "vbr", "cbr"), " ")), "kbps", 1))
+    main = F.trim(F.substring_index(F.trim(replace_each(main, BITRATE_JUNK, " ")), "kbps", 1))
     ends = F.transform(F.split(F.substring_index(main, " ", -1), "-"), lambda v: F.when(v.rlike("^[0-9]{1,9}$"), v.try_cast("int")))
     two = F.floor((F.get(ends, F.lit(0)) + F.get(ends, F.lit(1))) / 2).cast("int")
     return F.coalesce(F.when(F.size(ends) == 1, F.get(ends, F.lit(0))).when(F.size(ends) == 2, two), F.lit(0))
 
 
 def size_bytes(x: Column) -> Column:
-    """Bytes of ``number unit`` with a dot or comma; an unknown unit gives 0."""
-    words = F.split(F.trim(F.coalesce(x, F.lit(""))), r"\s+")
+    """Bytes of ``number unit``: an unsigned decimal with a dot or comma, one blank, a unit in its own case; anything else gives 0."""
+    words = F.split(F.coalesce(x, F.lit("")), " ")
     factor = F.lit(0)
     for unit, size in UNITS.items():
-        factor = F.when(F.lower(F.get(words, F.lit(1))) == unit, F.lit(float(size))).otherwise(factor)
-    value = F.translate(F.get(words, F.lit(0)), ",", ".").try_cast("float")
+        factor = F.when(F.get(words, F.lit(1)) == unit, F.lit(float(size))).otherwise(factor)
+    plain = F.translate(F.get(words, F.lit(0)), ",", ".")
+    value = F.when(plain.rlike(r"^(?:[0-9]+\.?[0-9]*|\.[0-9]+)$"), plain.try_cast("float"))
     return F.coalesce((value * factor.cast("float")).cast("long"), F.lit(0))
 
 
 def effective_seconds(size: Column, kbps: Column, stated: Column) -> Column:
     """Length from size and bitrate; the stated one where both nearly agree or no bitrate is known."""
     computed = F.floor(size / (kbps * 128))
-    close = (stated > 0) & (computed / stated > 0.8) & (computed / stated < 1.2)
+    close = (stated > 0) & (stated / computed > 0.8) & (stated / computed < 1.2)
     return F.when(size <= 0, 0).when(kbps <= 0, stated).when(close, stated).otherwise(computed).cast("long")

@@ -10,6 +10,7 @@ from .fuzzy import bind, tokens
 #: Latin letters and the Cyrillic ones they look like.
 HOMOGLYPH_FROM = "AaKkCcTtOoPpHhXxMmEeBGgz"
 HOMOGLYPH_TO = "АаКкСсТтОоРрНнХхМмЕеВГгз"
+#: What separates an author from a title, in the order in which it is sought.
 TITLE_SEPARATORS = (" - ", " – ", " — ", " -- ")
 
 
@@ -65,9 +66,10 @@ def author_slots(raw: Column) -> Column:
     commas separate people.
     """
     def slots(part: Column) -> Column:
-        head = F.substring_index(part, ",", 1)
-        comma = F.contains(part, F.lit(",")) & (F.length(head) > 0)
-        given = normalize(F.substring(part, F.length(head) + 2, F.length(part)))
+        first = F.substring_index(part, ",", 1)
+        head = F.trim(first)
+        comma = F.contains(part, F.lit(",")) & (F.length(first) > 0)
+        given = normalize(F.substring(part, F.length(first) + 2, F.length(part)))
         one = F.array(F.array(F.struct(normalize(head).alias("surname"), given.alias("given"))))
         several = F.transform(F.split(part, ","), free_readings)
         return F.when(comma & ~F.contains(head, F.lit(" ")), one).when(comma, several).otherwise(F.array(free_readings(part)))
@@ -82,7 +84,7 @@ def looks_like_author(left: Column, author: Column) -> Column:
     return (normalize(author) == "") | F.arrays_overlap(long_tokens, tokens(normalize(left)))
 
 
-def strip_brackets(x: Column, rounds: int = 6) -> Column:
+def strip_brackets(x: Column, rounds: int = 20) -> Column:
     """Trailing bracket groups, flat or nested once, removed up to ``rounds`` times; a wholly bracketed title stays."""
     inner = r"\s*(?:\((?:[^()]|\([^()]*\))*\)|\[(?:[^\[\]]|\[[^\[\]]*\])*\])$"
     def once(acc: Column, _: Column) -> Column:
@@ -106,7 +108,7 @@ def clean_title(title: Column, author: Column) -> Column:
         return F.coalesce(*choices, raw)
 
     right = bind(F.struct(F.trim(F.coalesce(title, F.lit(""))).alias("raw"), long_tokens.alias("known")), lambda x: without_author(x["raw"], x["known"]))
-    return F.regexp_replace(strip_brackets(right), "^[\\s\"'«»“”–—-]+|[\\s\"'«»“”–—-]+$", "")
+    return F.regexp_replace(strip_brackets(right), "^[\\s\"'«»…–—-]+|[\\s\"'«»…–—-]+$", "")
 
 
 def repair_homoglyphs(x: Column) -> Column:
@@ -135,7 +137,23 @@ def inner_text(html: Column) -> Column:
 
 
 def links(html: Column) -> Column:
-    return F.regexp_extract_all(html, F.lit(r"""<a\s[^>]*?href\s*=\s*"([^"]*)\""""), F.lit(1))
+    """Targets of a page's links, quoted either way."""
+    return F.regexp_extract_all(html, F.lit(r"""<a\s[^>]*?href\s*=\s*["']([^"']*)["']"""), F.lit(1))
+
+
+def magnet(html: Column) -> Column:
+    """The first magnet link; null without one."""
+    return F.get(F.filter(links(html), lambda x: F.startswith(x, F.lit("magnet:"))), F.lit(0))
+
+
+def last_segment(url: Column) -> Column:
+    """What follows the last slash of a path, without query and fragment."""
+    return F.substring_index(F.regexp_replace(url, "[?#].*$", ""), "/", -1)
+
+
+def page_count(html: Column) -> Column:
+    """The largest whole number that is a link's whole text; 1 without any."""
+    return F.greatest(F.lit(1), F.coalesce(F.array_max(F.transform(F.regexp_extract_all(html, F.lit(r"<a\b[^>]*>\s*([0-9]{1,9})\s*</a>"), F.lit(1)), lambda x: x.cast("int"))), F.lit(1)))
 
 
 def page_title(html: Column) -> Column:

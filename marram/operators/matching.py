@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from marram.functions import fuzzy, text
 
+#: Part entries of a genre dictionary, which is broadcast.
+MAX_PARTS = 10_000
 TOP_AUTHORS, AUTHOR_FLOOR, TITLE_FLOOR = 4, 0.80, 0.60
 
 
@@ -51,7 +53,8 @@ def fuzzy_band_join(left: DataFrame, right: DataFrame, a: str, b: str, within: i
                 offers.append(F.when(fits, F.struct(own.alias("n"), start.alias("at"), F.substring(F.col("b"), at + 1, end - start).alias("piece"))))
     offered = rights.select("b", F.explode(F.array_distinct(F.array_compact(F.array(*offers)))).alias("x")).select("b", "x.*")
     met = pieces.join(offered, ["n", "at", "piece"]).select("a", "b")
-    short = lefts.filter(n < parts).join(rights.filter(m < parts + within), F.abs(n - m) <= within).select("a", "b") if within else None
+    lengths = lefts.filter(n < parts).select("a", F.explode(F.sequence(F.greatest(n - within, F.lit(0)), n + within)).alias("m"))
+    short = lengths.join(rights.filter(m < parts + within).select("b", m.alias("m")), "m").select("a", "b") if within else None
     pairs = (met if short is None else met.unionByName(short)).distinct()
     return pairs.withColumn("dist", F.levenshtein("a", "b")).filter(F.col("dist") <= within)
 
@@ -92,23 +95,24 @@ def rank_authors(records: DataFrame, authors: DataFrame, id_col: str = "key", au
 def resolve(records: DataFrame, authors: DataFrame, books: DataFrame, id_col: str = "key", author_col: str = "author", title_col: str = "title") -> DataFrame:
     """Author and book of each record with confidences; nulls below the floors.
 
-    ``books`` has (author_id, book_id, title). The best book is sought among
-    those of the record's best authors. Every record has a row; ids should be
-    unique.
+    ``books`` has (author_id, book_id, title). The author is the best-ranked
+    one; the book is sought among those of all the record's best authors by
+    token-set ratio, earlier authors and smaller ids first. Every record has a
+    row; ids should be unique.
     """
     ranked = rank_authors(records, authors, id_col, author_col)
     sure = ranked.filter(F.col("score") >= AUTHOR_FLOOR)
     titles = records.select(F.col(id_col), text.normalize(text.clean_title(F.col(title_col), F.col(author_col))).alias("plain"))
     named = sure.join(titles, id_col).filter("plain <> ''").join(books.select("author_id", "book_id", text.normalize(F.col("title")).alias("book_plain")), "author_id")
-    scored = named.withColumn("title_score", fuzzy.rounded(F.greatest(fuzzy.token_set_ratio(F.col("plain"), F.col("book_plain")), fuzzy.ratio(F.col("plain"), F.col("book_plain")))))
+    scored = named.withColumn("title_score", fuzzy.token_set_ratio(F.col("plain"), F.col("book_plain")))
     scored = scored.filter(F.col("title_score") >= TITLE_FLOOR)
     order = F.struct(-F.col("title_score"), F.col("place"), F.col("book_id"))
-    book = scored.groupBy(id_col).agg(F.min_by(F.struct("author_id", "score", "book_id", "title_score"), order).alias("b"))
+    book = scored.groupBy(id_col).agg(F.min_by(F.struct("author_id", "book_id", "title_score"), order).alias("b"))
     first = sure.filter("place = 1").select(id_col, F.col("author_id").alias("a_id"), F.col("score").alias("a_score"))
     joined = records.select(id_col).join(first, id_col, "left").join(book, id_col, "left")
     return joined.select(
-        id_col, F.coalesce("b.author_id", "a_id").alias("author_ref"), fuzzy.rounded(F.coalesce("b.score", "a_score")).alias("author_conf"),
-        F.col("b.book_id").alias("book_ref"), F.col("b.title_score").alias("book_conf"),
+        id_col, F.col("a_id").alias("author_ref"), fuzzy.rounded(F.col("a_score")).alias("author_conf"),
+        F.col("b.book_id").alias("book_ref"), fuzzy.rounded(F.col("b.title_score")).alias("book_conf"), F.col("b.author_id").alias("book_author_ref"),
     )
 
 
@@ -127,7 +131,9 @@ def canonicalise(df: DataFrame, dictionary: DataFrame, value_col: str, within: i
     by_distance = close.join(whole, F.col("b") == F.col("w")).groupBy(F.col("a").alias("v")).agg(F.min_by("canonical", F.struct("dist", "ord")).alias("near"))
     priority = (F.col("priority") if "priority" in dictionary.columns else F.lit(None)).cast("long")
     parts = dictionary.filter("part").select(F.lower("variant").alias("w"), "canonical", priority.alias("priority"))
-    held = values.join(parts, F.contains(F.col("v"), F.col("w"))).groupBy("v", "priority").agg(F.collect_set("canonical").alias("all"))
+    if parts.count() > MAX_PARTS:
+        raise ValueError(f"more than {MAX_PARTS} parts")
+    held = values.join(F.broadcast(parts), F.contains(F.col("v"), F.col("w"))).groupBy("v", "priority").agg(F.collect_set("canonical").alias("all"))
     by_part = held.groupBy("v").agg(F.min_by("all", F.struct(F.col("priority").isNull().alias("last"), "priority")).alias("holds"))
     found = values.join(by_distance, "v", "left").join(by_part, "v", "left").select(F.col("v").alias("__v"), "near", "holds")
     joined = df.join(found, F.lower(value_col) == F.col("__v"), "left")

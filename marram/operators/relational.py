@@ -108,5 +108,9 @@ def bucket_of(score: Column, n: int = 10) -> Column:
 
 
 def recency(updated: Column, created: Column, now: Column) -> Column:
-    age = F.datediff(now, created)
-    return F.when(F.datediff(now, updated) > 30, "stale").when(age < 1, "today").when(age < 7, "week").otherwise("older")
+    """Age class by fractional days: updated over 30 days ago, else created less than 1 or 7 days ago."""
+
+    def days(since: Column) -> Column:
+        return F.timestamp_diff("MICROSECOND", since, now) / 86_400e6
+
+    return F.when(days(updated) > 30, "stale").when(days(created) < 1, "today").when(days(created) < 7, "week").otherwise("older")

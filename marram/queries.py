@@ -137,8 +137,10 @@ def topk_per_group(spark, sf):
     return relational.first_by(table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], [F.desc("o_totalprice"), F.col("o_orderkey")], 4)
 
 
-@query(f"""SELECT event_id, CASE WHEN date_diff('day', ts::DATE, DATE '{NOW[:10]}') > 30 THEN 'stale' WHEN date_diff('day', ts::DATE, DATE '{NOW[:10]}') < 1 THEN 'today'
-    WHEN date_diff('day', ts::DATE, DATE '{NOW[:10]}') < 7 THEN 'week' ELSE 'older' END AS bucket FROM events""")
+AGE = f"(epoch_us(TIMESTAMP '{NOW}') - epoch_us(ts)) / 86400e6"
+
+
+@query(f"SELECT event_id, CASE WHEN {AGE} > 30 THEN 'stale' WHEN {AGE} < 1 THEN 'today' WHEN {AGE} < 7 THEN 'week' ELSE 'older' END AS bucket FROM events")
 def recency_bucket(spark, sf):
     return table(spark, sf, "events").select("event_id", relational.recency(F.col("ts"), F.col("ts"), F.lit(NOW).cast("timestamp_ntz")).alias("bucket"))
 
@@ -189,12 +191,13 @@ def blocking_candidates(spark, sf):
     return matching.blocking_candidates(parts, table(spark, sf, "part").select(F.get(words, F.lit(0)).alias("v")).distinct(), "p_partkey", "w", "v", "v")
 
 
-@query("SELECT l_orderkey, l_linenumber, CAST(floor(l_extendedprice * 1000 / (l_quantity * 128)) AS BIGINT) AS seconds FROM lineitem")
+@query("""WITH x AS (SELECT *, floor(l_extendedprice * 1000 / (l_quantity * 128)) AS c, l_orderkey % 4000 * 5 AS stated FROM lineitem)
+    SELECT l_orderkey, l_linenumber, CAST(CASE WHEN stated > 0 AND stated / c > 0.8 AND stated / c < 1.2 THEN stated ELSE c END AS BIGINT) AS seconds FROM x""")
 def effective_duration(spark, sf):
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", parse.effective_seconds(F.col("l_extendedprice") * 1000, F.col("l_quantity"), F.lit(0)).alias("seconds"))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", parse.effective_seconds(F.col("l_extendedprice") * 1000, F.col("l_quantity"), F.col("l_orderkey") % 4000 * 5).alias("seconds"))
 
 
-@query(r"""SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, CAST(len(regexp_extract_all(html, '<a\s[^>]*?href\s*=\s*"([^"]*)"', 1)) AS INTEGER) AS n_links FROM pages""")
+@query(r"""SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, CAST(len(regexp_extract_all(html, '<a\s[^>]*?href\s*=\s*["'']([^"'']*)["'']', 1)) AS INTEGER) AS n_links FROM pages""")
 def html_title_links(spark, sf):
     return table(spark, sf, "pages").select("page_id", text.page_title(F.col("html")).alias("title"), F.size(text.links(F.col("html"))).alias("n_links"))
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,14 +53,45 @@ def parse_values(line: str | None) -> list[list[str | None]]:
 def read_dump(spark: SparkSession, path: str, table: str) -> DataFrame:
     """``(r, file, pos)``: each tuple of the table's INSERT statements as strings.
 
-    Statements end at a line whose last character is a semicolon; Spark splits
-    the file (or files, gzip too) at such ends and so holds one statement at a
-    time.
+    A statement begins at a line that begins with INSERT INTO `table` VALUES and
+    ends with a line whose last character, blanks apart, is a semicolon. A task
+    holds one statement at a time. Compressed files are read in order by one
+    task each; the lines of others, which Spark may split, are brought together.
     """
-    text = spark.read.option("lineSep", ";\n").text(path).select("value", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"))
-    own = text.filter(F.rlike(F.col("value"), F.lit(rf"(?i)INSERT INTO `?{table}`? VALUES")))
-    found = F.udf(parse_values, "array<array<string>>")(F.regexp_replace("value", rf"(?is)^.*?INSERT INTO `?{table}`? VALUES", ""))
-    return own.select("file", "at", F.posexplode(found).alias("k", "r")).select("r", "file", F.struct("at", "k").alias("pos"))
+    prefix = f"INSERT INTO `{table}` VALUES "
+    lines = spark.read.text(path).select("value", F.input_file_name().alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    if any(not x.endswith(".gz") for x in lines.inputFiles()):
+        lines = lines.repartition("file").sortWithinPartitions("file", "block", "at")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[str] = []
+        file, at = None, 0
+        for batch in batches:
+            found: list[tuple] = []
+            for line, own, place in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if held and own != file:
+                    found += rows(held, file, at)
+                    held = []
+                if not held:
+                    if not line.startswith(prefix):
+                        continue
+                    file, at = own, place
+                held.append(line)
+                if line.rstrip(" \t\r\n").endswith(";"):
+                    found += rows(held, file, at)
+                    held = []
+            yield made(found)
+        yield made(rows(held, file, at) if held else [])
+
+    def rows(held: list[str], file: str, at: int) -> list[tuple]:
+        return [(r, file, {"at": at, "k": k}) for k, r in enumerate(parse_values("\n".join(held)[len(prefix) :]))]
+
+    kinds = [pa.list_(pa.string()), pa.string(), pa.struct([("at", pa.int64()), ("k", pa.int32())])]
+
+    def made(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k, kind in enumerate(kinds)], ["r", "file", "pos"])
+
+    return lines.select("value", "file", "at").mapInArrow(run, "r array<string>, file string, pos struct<at: bigint, k: int>")
 
 
 def lenient_int(row: Column, place: int) -> Column:
@@ -71,3 +105,39 @@ def text_or_empty(row: Column, place: int) -> Column:
 
 def text_or_null(row: Column, place: int) -> Column:
     return F.nullif(F.get(row, F.lit(place)), F.lit(""))
+
+
+#: Tables of the dump with their columns as (name, kind, place) and keys; kind is a number, text or nullable text.
+TABLES = {
+    "libbook": ("book", [("book_id", "n", 0), ("title", "t", 3), ("title_alt", "o", 4), ("lang", "o", 5), ("year", "n", 10), ("file_type", "o", 8), ("file_size", "n", 1), ("deleted", "flag", 11)], ["book_id"]),
+    "libavtorname": ("author", [("author_id", "n", 0), ("first_name", "o", 1), ("middle_name", "o", 2), ("last_name", "o", 3), ("nick_name", "o", 4), ("gender", "o", 8)], ["author_id"]),
+    "libavtor": ("book_author", [("book_id", "n", 0), ("author_id", "n", 1), ("pos", "n", 2)], ["book_id", "author_id"]),
+    "libgenrelist": ("genre", [("genre_id", "n", 0), ("code", "t", 1), ("descr", "o", 2), ("meta", "o", 3)], ["genre_id"]),
+    "libgenre": ("book_genre", [("book_id", "n", 1), ("genre_id", "n", 2)], ["book_id", "genre_id"]),
+    "libseqname": ("sequence", [("seq_id", "n", 0), ("name", "t", 1)], ["seq_id"]),
+    "libseq": ("book_sequence", [("book_id", "n", 0), ("seq_id", "n", 1), ("seq_num", "n", 2)], ["book_id", "seq_id"]),
+    "libjoinedbooks": ("joined_book", [("bad_id", "n", 2), ("good_id", "n", 3)], ["bad_id"]),
+}
+
+
+def typed_rows(rows: DataFrame, table: str) -> DataFrame:
+    """The rows of ``read_dump`` with the table's columns; of equal keys the first row."""
+    _, columns, keys = TABLES[table]
+    r = F.col("r")
+    kinds = {"n": lenient_int, "t": text_or_empty, "o": text_or_null, "flag": lambda x, k: F.coalesce(F.get(x, F.lit(k)) == "1", F.lit(False)).cast("int")}
+    out = rows.select(*(kinds[kind](r, place).alias(name) for name, kind, place in columns), F.struct("file", "pos").alias("__place"))
+    names = [name for name, _, _ in columns]
+    first = out.groupBy(*keys).agg(F.min_by(F.struct(*names), "__place").alias("x"))
+    return first.select(*(F.col(f"x.{name}").alias(name) for name in names))
+
+
+def import_dump(spark: SparkSession, paths: dict[str, str], target: str) -> DataFrame:
+    """Write every table of ``paths`` (dump table to path) anew below ``target``; ``(table, rows)`` for all tables, 0 for those without a path."""
+    counts = []
+    for table, (name, _, _) in TABLES.items():
+        if table in paths:
+            typed_rows(read_dump(spark, paths[table], table), table).write.mode("overwrite").parquet(f"{target}/{name}")
+            counts.append((name, spark.read.parquet(f"{target}/{name}").count()))
+        else:
+            counts.append((name, 0))
+    return spark.createDataFrame(counts, "table string, rows long")
