@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audio, bpe, langid, packing, privacy, quality, secrets, shard, simhash, suffix_tree
+from . import audio, bpe, langid, oracles, packing, privacy, quality, secrets, shard, simhash, suffix_tree
 
 QUERIES = {
     "op1_telephony": audio.op1_telephony,
@@ -17,4 +17,4 @@ QUERIES = {
     "op10_language": langid.op10_language,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_quality": oracles.QUALITY, "op9_secrets": oracles.SECRETS}
