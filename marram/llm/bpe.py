@@ -31,7 +31,7 @@ LATIN = "A-Za-zÀ-ÖØ-öø-ƺƼ-ƿǄ-ɏ"
 UNUSUAL = re.compile(f"[^\\x00-\\x1b\\x20-\\x7e{LATIN}]")
 PLAIN = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{LATIN}]+| ?[0-9]+| ?[^\\s0-9{LATIN}]+|\\s+(?!\\S)|\\s+")
 #: Words of at most this many characters are remembered, so many per generation and worker.
-REMEMBERED_LENGTH, REMEMBERED = 48, 150_000
+REMEMBERED_LENGTH, REMEMBERED = 48, 80_000
 COMPOUND_LENGTH = 5
 #: A blank before further white space: blanks then don't separate pieces by themselves.
 BLANK_RUN = re.compile(r" \s")

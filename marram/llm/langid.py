@@ -29,7 +29,7 @@ BLOCK = 250
 #: Labels whose counts a task holds before it emits them.
 HELD_LABELS = 64
 #: Characters that are counted or scored at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 UNKNOWN = "und"
 #: Standard deviations below its label's training texts at which a text isn't taken to be of that language.
 FAR = 4.0
