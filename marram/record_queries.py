@@ -237,7 +237,7 @@ def drill_down(spark, sf):
     return records.drill_down(customers, members, "4", "c_custkey", F.col("c_acctbal") > 0).select("c_custkey", "c_name")
 
 
-@query("SELECT * FROM (VALUES (1, 'Kept', NULL, 0)) t(key, title, author, size_bytes)")
+@query("SELECT * FROM (VALUES (1, 'Kept', CAST(NULL AS VARCHAR), 0)) t(key, title, author, size_bytes)")
 def cleared_columns(spark, sf):
     return records.cleared(spark.createDataFrame([(1, "Kept", "gone", 5)], "key int, title string, author string, size_bytes int"), ["author"], "size_bytes")
 
