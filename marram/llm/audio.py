@@ -30,7 +30,7 @@ CODECS = ("mulaw", "alaw", "adpcm")
 UNIT = 576
 BLOCK = 36
 #: Bytes of payload that are decoded together.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 TAPS = 8
 
 #: IMA ADPCM step sizes and index changes.
