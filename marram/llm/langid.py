@@ -226,7 +226,8 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     block with a matrix of its own. Input columns named lang_pred or score are
     replaced.
     """
-    keep = [c for c in (passed or [id_col]) if c.lower() not in ("lang_pred", "score")]
+    names = [c for c in (passed or [id_col]) if c.lower() not in ("lang_pred", "score")]
+    keep = [c for c in names if c != text_col]  # the text goes to the workers once
     out = df.select(*(named(c).alias(f"c{k}") for k, c in enumerate(keep)), named(text_col).alias("t")).selectExpr("*", "CAST(NULL AS string) AS best", "CAST(NULL AS double) AS top", "CAST(NULL AS double) AS rest", "CAST(NULL AS boolean) AS near")
     schema = out.schema
     for place, block in enumerate(model.blocks()):
@@ -236,7 +237,7 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         out = materialize(out, "scored") if place else out
         out = out.mapInArrow(scores_of(shared, model.labels[own], model.priors[own], len(keep), None if typical is None else typical[own]), schema)
     found = F.coalesce(F.col("near"), F.lit(False))
-    return out.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(keep)), F.when(found, F.col("best")).otherwise(UNKNOWN).alias("lang_pred"), F.when(found, F.least(F.exp(F.col("top") - F.col("rest")), F.lit(1.0))).otherwise(0.0).alias("score"))
+    return out.select(*(F.col("t" if c == text_col else f"c{keep.index(c)}").alias(c) for c in names), F.when(found, F.col("best")).otherwise(UNKNOWN).alias("lang_pred"), F.when(found, F.least(F.exp(F.col("top") - F.col("rest")), F.lit(1.0))).otherwise(0.0).alias("score"))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -265,6 +266,8 @@ def stage_language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = fit(training)
     if not model.labels:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    inner = docs.select(struct_of(docs.columns).alias("row"), "text")
-    out = predict(inner, model, text_col="text", passed=["row"], typical=typical_fit(training, model))
-    return out.filter(F.col("lang_pred") != UNKNOWN).select(*fields_of("row", docs.columns))
+    own = "text" if "text" in docs.columns else next(c for c in docs.columns if c.lower() == "text")
+    others = [c for c in docs.columns if c != own]
+    inner = docs.select(struct_of(others).alias("row"), named(own).alias("text"))
+    out = predict(inner, model, text_col="text", passed=["row", "text"], typical=typical_fit(training, model))
+    return out.filter(F.col("lang_pred") != UNKNOWN).select(*fields_of("row", others), F.col("text").alias(own)).select(*map(named, docs.columns))
