@@ -12,8 +12,8 @@ from marram.session import WRITTEN, forget, materialize
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-#: Rows that go to a Python worker at a time: documents are long, and a worker holds a batch several times over.
-BATCH = 1000
+#: Rows and bytes that go to a Python worker at a time: documents are long, and a worker holds a batch several times over.
+BATCH, BATCH_BYTES = 1000, 4 << 20
 #: What the stages have written on their way.
 PENDING: list[str] = []
 
@@ -25,6 +25,7 @@ def tidy(stage: Stage) -> Stage:
         forget(spark, PENDING, keep=docs)
         PENDING[:] = [x for x in PENDING if x in WRITTEN]
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
         before = len(WRITTEN)
         out = stage(spark, docs, sf_dir)
         PENDING.extend(WRITTEN[before:])
