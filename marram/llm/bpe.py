@@ -209,4 +209,9 @@ def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op5_bpe(spark, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every text's ids and of what they decode to.
+
+    Null and empty texts have no tokens and the digests of no bytes; repeated
+    rows keep their rows; an empty table gives no rows.
+    """
     return encode_texts(table(spark, sf_dir, "documents"), keep=False)

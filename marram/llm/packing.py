@@ -232,9 +232,18 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabula
 
 
 def op8_packing(spark, sf_dir: str) -> DataFrame:
+    """Every text's pieces with their sequence and place in it.
+
+    Null and empty texts are one piece with the end id alone; repeated rows are
+    packed each for itself; an empty table gives no rows.
+    """
     return pack(table(spark, sf_dir, "documents"))
 
 
 def stage_packing(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in their sequences."""
+    """The pieces of all documents in their sequences.
+
+    Null and empty texts are one piece with the end id alone; repeated rows are
+    packed each for itself; other columns go; an empty table stays empty.
+    """
     return pack(docs)
