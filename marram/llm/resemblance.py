@@ -1,9 +1,11 @@
-"""Near-duplicates by the Jaccard similarity of word shingles.
-
-Two texts are near-duplicates at a similarity of at least SIMILARITY. Min-hash
-bands propose pairs, of which exact shingle sets keep those that are similar;
-bands miss a pair of similarity s with chance (1 - s ** ROWS) ** BANDS, which is
-0.0004 at 0.8 and less above. Texts with equal sets are one node throughout.
+"""Near-duplicate texts: SimHash for texts that are similar by their word shingles.
+
+Two texts are near-duplicates at a Jaccard similarity of at least SIMILARITY.
+SimHash fingerprints of such texts differ in up to RADIUS bits, too many for
+keys of equal blocks; so texts meet by min-hash bands instead, which miss a pair
+of similarity s with chance (1 - s ** ROWS) ** BANDS, 0.0004 at 0.8 and less
+above. Texts that meet are compared by fingerprint, bit-sliced; exact shingle
+sets then decide. Texts with equal sets are one node throughout.
 """
 
 from __future__ import annotations
@@ -13,15 +15,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marram.session import materialize
 
 from .common import bounded_runs, fields_of, named, struct_of
 from .links import components
+from .simhash import candidate_pairs, of_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
+#: Two sets of that similarity differ in about 10 of 64 fingerprint bits, tiny ones in 12; 24 is four standard deviations more.
+RADIUS = 24
 BANDS, ROWS = 20, 5
 SEED = 42
 CHUNK = 1 << 20
@@ -72,49 +77,45 @@ def described(df: DataFrame, text: str, passed: list[str], kinds: str, of_set) -
 
 
 def signature(sets: list[np.ndarray]) -> dict[str, pa.Array]:
+    """The set's mark, fingerprint, size and keys."""
     marks = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], dtype=np.uint64).view(np.int64)
-    return {"fp": pa.array(marks), "n": pa.array(list(map(len, sets)), pa.int32()), "keys": pa.array(list(map(band_keys, sets)), pa.list_(pa.int64()))}
+    fps = np.array([of_hashes(x[k : k + SPAN] for k in range(0, len(x), SPAN)) for x in sets], dtype=np.uint64).view(np.int64)
+    return {"mark": pa.array(marks), "fp": pa.array(fps), "n": pa.array(list(map(len, sets)), pa.int32()), "keys": pa.array(list(map(band_keys, sets)), pa.list_(pa.int64()))}
 
 
 def members(sets: list[np.ndarray]) -> dict[str, pa.Array]:
     return {"members": pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))}
 
 
-def comparable(n: Column, m: Column) -> Column:
-    """Whether sets of these sizes can be similar."""
-    return F.least(n, m) / F.greatest(n, m) >= SIMILARITY
-
-
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are similar."""
-    left = sets.select(F.col("fp").alias("a"), F.col("members").alias("x"))
-    right = sets.select(F.col("fp").alias("b"), F.col("members").alias("y"))
+    left = sets.select(F.col("mark").alias("a"), F.col("members").alias("x"))
+    right = sets.select(F.col("mark").alias("b"), F.col("members").alias("y"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", F.size("x").alias("n"), F.size("y").alias("m"), F.size(F.array_intersect("x", "y")).alias("k"))
     return both.filter(F.col("k") / (F.col("n") + F.col("m") - F.col("k")) >= SIMILARITY).select("a", "b")
 
 
 def similar_links(unique: DataFrame, texts_of) -> DataFrame:
-    """``(a, b)``: links that connect all similar sets that some band proposes.
+    """``(a, b)``: links that connect all similar sets that meet in some band.
 
-    ``unique`` has (fp, n, keys); ``texts_of`` gives (fp, t) of the fp listed. A band's sets are first
-    compared with its smallest; then all its pairs that are not yet connected.
+    ``unique`` has (mark, fp, n, keys); ``texts_of`` gives (mark, t) of the marks
+    listed. First those pairs are checked that would connect all fingerprints
+    within RADIUS in a band; then, in bands that they leave unconnected, all
+    others within RADIUS.
     """
-    keyed = unique.select("fp", "n", F.posexplode("keys").alias("band", "key"))
-    heads = keyed.groupBy("band", "key").agg(F.count("*").alias("k"), F.min(F.struct("fp", "n")).alias("head")).filter("k > 1").drop("k")
-    met = materialize(keyed.join(heads, ["band", "key"]), "met")
-    nodes = met.select("fp").distinct()
-    sets = materialize(described(texts_of(nodes), "t", ["fp"], "members array<bigint>", members), "sets")
-    stars = met.filter((F.col("fp") != F.col("head.fp")) & comparable(F.col("n"), F.col("head.n"))).select(F.col("head.fp").alias("a"), F.col("fp").alias("b")).distinct()
-    stars = materialize(stars, "stars")
-    links = materialize(similar(stars, sets), "links")
-    roots = components(links).select(F.col("node").alias("fp"), "root")
-    placed = met.join(roots, "fp", "left").select("band", "key", "fp", "n", F.coalesce("root", "fp").alias("root"))
-    apart = placed.groupBy("band", "key").agg((F.min("root") != F.max("root")).alias("apart")).filter("apart").drop("apart")
-    open_ = materialize(placed.join(apart, ["band", "key"]), "open")
-    other = open_.select("band", "key", F.col("fp").alias("b"), F.col("n").alias("m"), F.col("root").alias("root_"))
-    pairs = open_.join(other, ["band", "key"]).filter((F.col("fp") < F.col("b")) & (F.col("root") != F.col("root_")) & comparable(F.col("n"), F.col("m")))
-    pairs = pairs.select(F.col("fp").alias("a"), "b").distinct().join(stars, ["a", "b"], "left_anti")
-    return links.unionByName(materialize(similar(pairs, sets), "links"))
+    keyed = unique.select("mark", "fp", "n", F.posexplode("keys").alias("choice", "key"))
+    shared = keyed.groupBy("choice", "key").agg(F.count("*").alias("k")).filter("k > 1").drop("k")
+    met = materialize(keyed.join(shared, ["choice", "key"]), "met")
+    first = materialize(candidate_pairs(met.withColumn("root", F.col("mark")), RADIUS, SIMILARITY, forest=True).distinct(), "first")
+    named_ = first.select(F.explode(F.array("a", "b")).alias("mark")).distinct()
+    sets = materialize(described(texts_of(named_), "t", ["mark"], "members array<bigint>", members), "sets")
+    links = materialize(similar(first, sets), "links")
+    roots = components(links).select(F.col("node").alias("mark"), "root")
+    placed = met.join(roots, "mark", "left").select("choice", "key", "mark", "fp", "n", F.coalesce("root", "mark").alias("root"))
+    apart = placed.groupBy("choice", "key").agg((F.min("root") != F.max("root")).alias("apart")).filter("apart").drop("apart")
+    open_ = materialize(placed.join(apart, ["choice", "key"]), "open")
+    others = candidate_pairs(open_, RADIUS, SIMILARITY, forest=False).distinct().join(first, ["a", "b"], "left_anti")
+    return links.unionByName(materialize(similar(others, sets), "links"))
 
 
 def few(df: DataFrame) -> DataFrame:
@@ -132,16 +133,16 @@ def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     names = df.columns
     place = f"c{names.index(text_col)}"
     rows = materialize(df.select(struct_of(names).alias("row"), named(id_col).alias("id"), F.monotonically_increasing_id().alias("uid")), "rows")
-    marks = materialize(described(rows.withColumn("t", F.col("row")[place]), "t", ["id", "uid"], "fp long, n int, keys array<bigint>", signature), "signatures")
+    marks = materialize(described(rows.withColumn("t", F.col("row")[place]), "t", ["id", "uid"], "mark long, fp long, n int, keys array<bigint>", signature), "signatures")
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid")).alias("best")
-    unique = materialize(marks.groupBy("fp").agg(best, F.first("n").alias("n"), F.first("keys").alias("keys")), "unique")
+    unique = materialize(marks.groupBy("mark").agg(best, F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys")), "unique")
 
     def texts_of(nodes: DataFrame) -> DataFrame:
-        chosen = few(materialize(unique.join(nodes, "fp", "left_semi").select(F.col("best.uid").alias("uid"), "fp"), "nodes"))
-        return rows.select("uid", F.col("row")[place].alias("t")).join(chosen, "uid").select("fp", "t")
+        chosen = few(materialize(unique.join(nodes, "mark", "left_semi").select(F.col("best.uid").alias("uid"), "mark"), "nodes"))
+        return rows.select("uid", F.col("row")[place].alias("t")).join(chosen, "uid").select("mark", "t")
 
-    roots = components(similar_links(unique.select("fp", "n", "keys"), texts_of))
-    joined = unique.join(roots, F.col("fp") == F.col("node"), "left")
-    kept = joined.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("best").alias("best")).select(F.col("best.uid").alias("uid"))
+    roots = components(similar_links(unique.select("mark", "fp", "n", "keys"), texts_of))
+    joined = unique.join(roots, F.col("mark") == F.col("node"), "left")
+    kept = joined.groupBy(F.coalesce("root", "mark").alias("root")).agg(F.min("best").alias("best")).select(F.col("best.uid").alias("uid"))
     dropped = few(materialize(marks.select("uid").join(kept, "uid", "left_anti"), "dropped"))
     return rows.join(dropped, "uid", "left_anti").select(*fields_of("row", names))

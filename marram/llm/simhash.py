@@ -11,7 +11,7 @@ the radius.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -24,7 +24,6 @@ from marram.session import materialize
 
 from .common import bounded_runs, table
 from .links import components
-from .resemblance import drop_similar
 
 BITS = 64
 SHINGLE = 4
@@ -43,6 +42,15 @@ CELLS = 1 << 17
 SPAN = 50_000
 
 
+def of_hashes(parts: Iterable[np.ndarray]) -> int:
+    """The bits that are set in over half of the hashes (uint64), which come in parts."""
+    totals, n = np.zeros(BITS, dtype=np.int64), 0
+    for hashes in parts:
+        totals += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(hashes)
+    return int(np.packbits(2 * totals > n, bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """The 64-bit SimHash of a text's word shingles; 0 without words."""
     words = (text or "").encode().lower().split()
@@ -54,11 +62,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     n = max(len(words) - shingle + 1, 1)
     firsts, lasts = starts[:n].tolist(), ends[min(shingle, len(words)) - 1 :][:n].tolist()
     view, digest = memoryview(joined), xxhash.xxh64_intdigest
-    totals = np.zeros(BITS, dtype=np.int64)
-    for k in range(0, n, SPAN):
-        hashes = np.array([digest(view[a:b], SEED) for a, b in zip(firsts[k : k + SPAN], lasts[k : k + SPAN], strict=True)], dtype="<u8")
-        totals += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * totals > n, bitorder="little").view("<u8")[0])
+    return of_hashes(np.array([digest(view[a:b], SEED) for a, b in zip(firsts[k : k + SPAN], lasts[k : k + SPAN], strict=True)], dtype="<u8") for k in range(0, n, SPAN))
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, passed: list[str] | None = None) -> DataFrame:
@@ -184,8 +188,8 @@ class Forest:
         return x != y
 
 
-def unit_links(values: np.ndarray, starts: np.ndarray, lefts: np.ndarray, ends: np.ndarray, radius: int) -> np.ndarray:
-    """Links (n, 2) that connect all values within ``radius`` in each unit.
+def unit_pairs(values: np.ndarray, starts: np.ndarray, lefts: np.ndarray, ends: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (left, right) of all values within ``radius`` of each other in each unit, a run of comparisons at a time.
 
     Unit u holds ``values[starts[u]:ends[u]]``. Where lefts[u] is ends[u], each
     of them is compared with those after it; else those before lefts[u] with
@@ -204,8 +208,6 @@ def unit_links(values: np.ndarray, starts: np.ndarray, lefts: np.ndarray, ends:
     asked = lefts - starts
     unit = np.repeat(np.arange(len(starts)), asked)
     query = np.arange(int(asked.sum())) - np.repeat(np.cumsum(asked) - asked, asked) + starts[unit]
-    forest = Forest(len(values))
-    out: list[tuple[int, int]] = []
     for i, j in bounded_runs(widths[unit].tolist(), CELLS):
         own = unit[i:j]
         width = widths[own]
@@ -213,37 +215,53 @@ def unit_links(values: np.ndarray, starts: np.ndarray, lefts: np.ndarray, ends:
         word = np.repeat(first[own], width) + np.arange(len(of)) - np.repeat(np.cumsum(width) - width, width)
         hits = near(planes, values[query[of]], word, radius)
         some = np.flatnonzero(hits)
-        bits = np.unpackbits(hits[some].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        row, lane = np.nonzero(bits)
-        of, word = of[some[row]], word[some[row]]
-        u = unit[of]
-        left, right = query[of], froms[u] + (word - first[u]) * 64 + lane
-        real = (right < ends[u]) & (~alone[u] | (right > left))
-        left, right = left[real], right[real]
-        # Most links of a dense unit join what is joined already.
-        roots = forest.roots(left), forest.roots(right)
-        apart = roots[0] != roots[1]
-        out += [(x, y) for x, y in zip(left[apart].tolist(), right[apart].tolist(), strict=True) if forest.join(x, y)]
+        for k in range(0, len(some), SPAN):
+            part = some[k : k + SPAN]
+            bits = np.unpackbits(hits[part].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            row, lane = np.nonzero(bits)
+            ask, at = of[part[row]], word[part[row]]
+            u = unit[ask]
+            left, right = query[ask], froms[u] + (at - first[u]) * 64 + lane
+            real = (right < ends[u]) & (~alone[u] | (right > left))
+            yield left[real], right[real]
+
+
+def spanning(forest: Forest, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Those of the pairs that join what the forest has apart; most links of a dense unit don't."""
+    apart = forest.roots(left) != forest.roots(right)
+    return [(x, y) for x, y in zip(left[apart].tolist(), right[apart].tolist(), strict=True) if forest.join(x, y)]
+
+
+def unit_links(values: np.ndarray, starts: np.ndarray, lefts: np.ndarray, ends: np.ndarray, radius: int) -> np.ndarray:
+    """Links (n, 2) that connect all values within ``radius`` in each unit of ``unit_pairs``."""
+    forest = Forest(len(values))
+    out = [x for left, right in unit_pairs(values, starts, lefts, ends, radius) for x in spanning(forest, left, right)]
     return np.array([(values[x], values[y]) for x, y in out], dtype=np.uint64).reshape(-1, 2)
 
 
-def fingerprint_links(unique: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
-    """``(a, b)``: links between distinct fingerprints that connect all that lie within ``radius``.
+def dealt(keyed: DataFrame, passed: list[str]) -> DataFrame:
+    """Rows ``(choice, key, p, q, right, *passed)`` of units of work, each unit together and in order.
 
-    Every pair within the radius meets in some key. A key of more than PART
-    fingerprints is cut into parts by hash, and each pair of parts is a unit of
-    work of its own. Units report spanning forests, never all pairs.
+    ``keyed`` has (choice, key, *passed). Rows meet within a (choice, key); one
+    of more than PART rows is cut into parts by hash, and each pair of parts is
+    a unit of its own, (p, p) the part with itself.
     """
-    keyed = unique.select("fp", F.explode(block_keys(F.col("fp"), blocks, radius)).alias("x")).select("x.choice", "x.key", "fp")
-    sizes = keyed.groupBy("choice", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    sizes = sizes.select(F.col("choice").alias("choice_"), F.col("key").alias("key_"), F.ceil(F.col("n") / F.lit(PART)).cast("int").alias("parts"))
+    sizes = keyed.groupBy("choice", "key").agg(F.count("*").alias("n_")).filter("n_ > 1")
+    sizes = sizes.select(F.col("choice").alias("choice_"), F.col("key").alias("key_"), F.ceil(F.col("n_") / F.lit(PART)).cast("int").alias("parts"))
     meet = keyed.join(sizes, (F.col("choice") == F.col("choice_")) & (F.col("key") == F.col("key_")))
-    own = F.pmod(F.xxhash64("fp", "choice"), F.col("parts")).cast("int")
-    # A fingerprint of part p belongs to the units (p, q) for q >= p as left and (q, p) for q < p as right.
+    own = F.pmod(F.xxhash64(passed[0], "choice"), F.col("parts")).cast("int")
+    # A row of part p belongs to the units (p, q) for q >= p as left and (q, p) for q < p as right.
     units = meet.withColumn("own", own).select(
-        "choice", "key", "fp", "own", F.explode(F.expr("sequence(0, parts - 1)")).alias("other")
-    ).select("choice", "key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).alias("right"), "fp")
-    dealt = units.repartition("choice", "key", "p", "q").sortWithinPartitions("choice", "key", "p", "q", "right", "fp")
+        "choice", "key", *passed, "own", F.explode(F.expr("sequence(0, parts - 1)")).alias("other")
+    ).select("choice", "key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).alias("right"), *passed)
+    return units.repartition("choice", "key", "p", "q").sortWithinPartitions("choice", "key", "p", "q", "right", passed[0])
+
+
+Units = Callable[[pa.Table, np.ndarray, np.ndarray, np.ndarray], Iterator[pa.RecordBatch]]
+
+
+def by_unit(of_units: Units) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function of batches of ``dealt`` rows that gives (rows, starts, lefts, ends) of whole units to ``of_units``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -256,22 +274,64 @@ def fingerprint_links(unique: DataFrame, radius: int = RADIUS, blocks: int = BLO
                 changed[1:] |= column[1:] != column[:-1]
             starts = np.concatenate(([0], np.flatnonzero(changed)))
             rest = now.slice(int(starts[-1]))
-            yield found(now, columns, starts)
+            yield from found(now, columns, starts)
         if rest is not None:
-            yield found(rest, [rest.column(k).to_numpy() for k in range(4)], np.array([0, rest.num_rows]))
+            yield from found(rest, [rest.column(k).to_numpy() for k in range(4)], np.array([0, rest.num_rows]))
 
-    def found(now: pa.Table, columns: list[np.ndarray], starts: np.ndarray) -> pa.RecordBatch:
-        fps = now.column(5).to_numpy().view(np.uint64)
+    def found(now: pa.Table, columns: list[np.ndarray], starts: np.ndarray) -> Iterator[pa.RecordBatch]:
         right = now.column(4).to_numpy(zero_copy_only=False)
         begin, end = starts[:-1], starts[1:]
         before = np.concatenate(([0], np.cumsum(right)))
         two = columns[2][begin] != columns[3][begin]
         middle = np.where(two, end - (before[end] - before[begin]), end)
         useful = (end - begin > 1) & ~(two & ((middle == begin) | (middle == end)))
-        pairs = unit_links(fps, begin[useful], middle[useful], end[useful], radius).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["a", "b"])
+        return of_units(now, begin[useful], middle[useful], end[useful])
+
+    return run
+
+
+def link_batch(left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(left)), pa.array(np.ascontiguousarray(right))], ["a", "b"])
+
 
-    return dealt.mapInArrow(run, "a long, b long")
+def fingerprint_links(unique: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """``(a, b)``: links between distinct fingerprints that connect all that lie within ``radius``.
+
+    Every pair within the radius meets in some key. Units report spanning
+    forests, never all pairs.
+    """
+    keyed = unique.select("fp", F.explode(block_keys(F.col("fp"), blocks, radius)).alias("x")).select("x.choice", "x.key", "fp")
+
+    def links(rows: pa.Table, starts: np.ndarray, lefts: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+        pairs = unit_links(rows.column(5).to_numpy().view(np.uint64), starts, lefts, ends, radius).view(np.int64)
+        yield link_batch(pairs[:, 0], pairs[:, 1])
+
+    return dealt(keyed, ["fp"]).mapInArrow(by_unit(links), "a long, b long")
+
+
+def candidate_pairs(keyed: DataFrame, radius: int, least: float, forest: bool) -> DataFrame:
+    """``(a, b)``: marks of rows that meet in a key, lie within ``radius``, may be similar and have different roots.
+
+    ``keyed`` has (choice, key, mark, fp, n, root): a row's mark, fingerprint,
+    set size and what it is connected to. Sets may be similar where the smaller
+    has at least ``least`` of the larger's size. With ``forest``, only pairs
+    that connect all those of a unit; else all of them. A pair can come from
+    several keys.
+    """
+
+    def pairs(rows: pa.Table, starts: np.ndarray, lefts: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+        mark, fp, n, root = (rows.column(k).to_numpy() for k in range(5, 9))
+        known = Forest(len(mark)) if forest else None
+        for left, right in unit_pairs(fp.view(np.uint64), starts, lefts, ends, radius):
+            sizes = n[left], n[right]
+            good = (root[left] != root[right]) & (np.minimum(*sizes) >= least * np.maximum(*sizes))
+            left, right = left[good], right[good]
+            if known is not None:
+                left, right = np.array(spanning(known, left, right), dtype=np.int64).reshape(-1, 2).T
+            if len(left):
+                yield link_batch(np.minimum(mark[left], mark[right]), np.maximum(mark[left], mark[right]))
+
+    return dealt(keyed, ["mark", "fp", "n", "root"]).mapInArrow(by_unit(pairs), "a long, b long")
 
 
 def blocks_for(rows: int, radius: int = RADIUS) -> int:
@@ -329,4 +389,6 @@ def stage_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts are one group; of repeated rows one stays; of equal ids
     the first row; an empty table stays empty.
     """
+    from .resemblance import drop_similar  # which compares by this module's fingerprints
+
     return drop_similar(docs)
