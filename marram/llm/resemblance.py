@@ -22,7 +22,7 @@ from marram.session import materialize
 
 from .common import bounded_runs, fields_of, named, struct_of
 from .links import components
-from .simhash import candidate_pairs, of_hashes
+from .simhash import Forest, by_unit, candidate_links, dealt, link_batch, of_hashes, unit_pairs
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Two sets of that similarity differ in about 10 of 64 fingerprint bits, tiny ones in 12; 24 is four standard deviations more.
@@ -32,6 +32,8 @@ SEED = 42
 CHUNK = 1 << 20
 #: Rows of a number or two that may be broadcast; beyond, they are joined by shuffling.
 BROADCAST_ROWS = 2_000_000
+#: Shingles of the sets that one part of a key holds, about, and that are looked up at a time.
+SET_PART, LOOKED_UP = 1 << 22, 1 << 20
 #: Shingles whose permuted hashes are held at a time.
 SPAN = 2048
 SCALES = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -95,6 +97,50 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter(F.col("k") / (F.col("n") + F.col("m") - F.col("k")) >= SIMILARITY).select("a", "b")
 
 
+def shared_counts(one: np.ndarray, members: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How many values each set ``members[begin:begin + size]`` shares with ``one``, which is sorted."""
+    out = []
+    for i, j in bounded_runs(sizes.tolist(), LOOKED_UP):
+        own = sizes[i:j]
+        edges = np.cumsum(own) - own
+        values = members[np.repeat(begins[i:j] - edges, own) + np.arange(int(own.sum()))]
+        at = np.minimum(np.searchsorted(one, values), len(one) - 1)
+        out.append(np.add.reduceat((one[at] == values).astype(np.int64), edges))
+    return np.concatenate(out)
+
+
+def checked_links(met: DataFrame) -> DataFrame:
+    """``(a, b)``: links between similar sets with different roots, enough to connect all such of a unit.
+
+    ``met`` has (choice, key, mark, fp, n, root, members). Fingerprints within
+    RADIUS are compared by their sets where they meet, unless they are connected
+    by then; so no pair that isn't a link leaves its task.
+    """
+
+    def links(rows: pa.Table, starts: np.ndarray, lefts: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+        mark, fp, n, root = (rows.column(k).to_numpy() for k in range(5, 9))
+        lists = rows.column(9).combine_chunks()
+        values = lists.flatten().to_numpy().view(np.uint64)
+        begins = np.cumsum(n, dtype=np.int64) - n
+        of_root, group = np.unique(root, return_inverse=True)
+        forest, out = Forest(len(of_root)), []
+        for left, right in unit_pairs(fp.view(np.uint64), starts, lefts, ends, RADIUS):
+            good = (group[left] != group[right]) & (np.minimum(n[left], n[right]) >= SIMILARITY * np.maximum(n[left], n[right]))
+            left, right = left[good], right[good]
+            edges = np.flatnonzero(np.diff(left, prepend=-1, append=-1)) if len(left) else []
+            for i, j in zip(edges[:-1], edges[1:], strict=True):
+                one, others = int(left[i]), right[i:j]
+                others = others[forest.roots(group[others]) != forest.root(int(group[one]))]
+                if len(others):
+                    both = shared_counts(values[begins[one] : begins[one] + n[one]], values, begins[others], n[others].astype(np.int64))
+                    alike = others[both / (n[one] + n[others] - both) >= SIMILARITY]
+                    out += [(mark[one], mark[x]) for x in alike.tolist() if forest.join(int(group[one]), int(group[x]))]
+        pairs = np.array(out, dtype=np.int64).reshape(-1, 2)
+        yield link_batch(pairs.min(axis=1), pairs.max(axis=1))
+
+    return dealt(met, ["mark", "fp", "n", "root", "members"], "n", SET_PART).mapInArrow(by_unit(links), "a long, b long")
+
+
 def similar_links(unique: DataFrame, texts_of) -> DataFrame:
     """``(a, b)``: links that connect all similar sets that meet in some band.
 
@@ -106,16 +152,16 @@ def similar_links(unique: DataFrame, texts_of) -> DataFrame:
     keyed = unique.select("mark", "fp", "n", F.posexplode("keys").alias("choice", "key"))
     shared = keyed.groupBy("choice", "key").agg(F.count("*").alias("k")).filter("k > 1").drop("k")
     met = materialize(keyed.join(shared, ["choice", "key"]), "met")
-    first = materialize(candidate_pairs(met.withColumn("root", F.col("mark")), RADIUS, SIMILARITY, forest=True).distinct(), "first")
-    named_ = first.select(F.explode(F.array("a", "b")).alias("mark")).distinct()
-    sets = materialize(described(texts_of(named_), "t", ["mark"], "members array<bigint>", members), "sets")
+    first = materialize(candidate_links(met, RADIUS, SIMILARITY).distinct(), "first")
+    linked = first.select(F.explode(F.array("a", "b")).alias("mark")).distinct()
+    sets = materialize(described(texts_of(linked), "t", ["mark"], "members array<bigint>", members), "sets")
     links = materialize(similar(first, sets), "links")
     roots = components(links).select(F.col("node").alias("mark"), "root")
-    placed = met.join(roots, "mark", "left").select("choice", "key", "mark", "fp", "n", F.coalesce("root", "mark").alias("root"))
+    # A set that no first link names is near no other.
+    placed = met.join(linked, "mark", "left_semi").join(roots, "mark", "left").select("choice", "key", "mark", "fp", "n", F.coalesce("root", "mark").alias("root"))
     apart = placed.groupBy("choice", "key").agg((F.min("root") != F.max("root")).alias("apart")).filter("apart").drop("apart")
-    open_ = materialize(placed.join(apart, ["choice", "key"]), "open")
-    others = candidate_pairs(open_, RADIUS, SIMILARITY, forest=False).distinct().join(first, ["a", "b"], "left_anti")
-    return links.unionByName(materialize(similar(others, sets), "links"))
+    open_ = placed.join(apart, ["choice", "key"]).join(sets, "mark").select("choice", "key", "mark", "fp", "n", "root", "members")
+    return links.unionByName(materialize(checked_links(materialize(open_, "open")), "links"))
 
 
 def few(df: DataFrame) -> DataFrame:

@@ -239,15 +239,17 @@ def unit_links(values: np.ndarray, starts: np.ndarray, lefts: np.ndarray, ends:
     return np.array([(values[x], values[y]) for x, y in out], dtype=np.uint64).reshape(-1, 2)
 
 
-def dealt(keyed: DataFrame, passed: list[str]) -> DataFrame:
+def dealt(keyed: DataFrame, passed: list[str], weight: str | None = None, most: int = 0) -> DataFrame:
     """Rows ``(choice, key, p, q, right, *passed)`` of units of work, each unit together and in order.
 
     ``keyed`` has (choice, key, *passed). Rows meet within a (choice, key); one
     of more than PART rows is cut into parts by hash, and each pair of parts is
-    a unit of its own, (p, p) the part with itself.
+    a unit of its own, (p, p) the part with itself. With ``weight``, the parts
+    also have about ``most`` of that column's sum at most.
     """
-    sizes = keyed.groupBy("choice", "key").agg(F.count("*").alias("n_")).filter("n_ > 1")
-    sizes = sizes.select(F.col("choice").alias("choice_"), F.col("key").alias("key_"), F.ceil(F.col("n_") / F.lit(PART)).cast("int").alias("parts"))
+    weighed = F.sum(weight) / F.lit(most) if weight else F.lit(0.0)
+    sizes = keyed.groupBy("choice", "key").agg(F.count("*").alias("n_"), weighed.alias("w_")).filter("n_ > 1")
+    sizes = sizes.select(F.col("choice").alias("choice_"), F.col("key").alias("key_"), F.ceil(F.greatest(F.col("n_") / F.lit(PART), "w_")).cast("int").alias("parts"))
     meet = keyed.join(sizes, (F.col("choice") == F.col("choice_")) & (F.col("key") == F.col("key_")))
     own = F.pmod(F.xxhash64(passed[0], "choice"), F.col("parts")).cast("int")
     # A row of part p belongs to the units (p, q) for q >= p as left and (q, p) for q < p as right.
@@ -309,29 +311,24 @@ def fingerprint_links(unique: DataFrame, radius: int = RADIUS, blocks: int = BLO
     return dealt(keyed, ["fp"]).mapInArrow(by_unit(links), "a long, b long")
 
 
-def candidate_pairs(keyed: DataFrame, radius: int, least: float, forest: bool) -> DataFrame:
-    """``(a, b)``: marks of rows that meet in a key, lie within ``radius``, may be similar and have different roots.
+def candidate_links(keyed: DataFrame, radius: int, least: float) -> DataFrame:
+    """``(a, b)``: marks of rows that meet in a key, lie within ``radius`` and may be similar; enough to connect all such of a unit.
 
-    ``keyed`` has (choice, key, mark, fp, n, root): a row's mark, fingerprint,
-    set size and what it is connected to. Sets may be similar where the smaller
-    has at least ``least`` of the larger's size. With ``forest``, only pairs
-    that connect all those of a unit; else all of them. A pair can come from
-    several keys.
+    ``keyed`` has (choice, key, mark, fp, n): a row's mark, fingerprint and set
+    size. Sets may be similar where the smaller has at least ``least`` of the
+    larger's size. A pair can come from several keys.
     """
 
-    def pairs(rows: pa.Table, starts: np.ndarray, lefts: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
-        mark, fp, n, root = (rows.column(k).to_numpy() for k in range(5, 9))
-        known = Forest(len(mark)) if forest else None
+    def links(rows: pa.Table, starts: np.ndarray, lefts: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+        mark, fp, n = (rows.column(k).to_numpy() for k in range(5, 8))
+        forest = Forest(len(mark))
         for left, right in unit_pairs(fp.view(np.uint64), starts, lefts, ends, radius):
-            sizes = n[left], n[right]
-            good = (root[left] != root[right]) & (np.minimum(*sizes) >= least * np.maximum(*sizes))
-            left, right = left[good], right[good]
-            if known is not None:
-                left, right = np.array(spanning(known, left, right), dtype=np.int64).reshape(-1, 2).T
+            good = np.minimum(n[left], n[right]) >= least * np.maximum(n[left], n[right])
+            left, right = np.array(spanning(forest, left[good], right[good]), dtype=np.int64).reshape(-1, 2).T
             if len(left):
                 yield link_batch(np.minimum(mark[left], mark[right]), np.maximum(mark[left], mark[right]))
 
-    return dealt(keyed, ["mark", "fp", "n", "root"]).mapInArrow(by_unit(pairs), "a long, b long")
+    return dealt(keyed, ["mark", "fp", "n"]).mapInArrow(by_unit(links), "a long, b long")
 
 
 def blocks_for(rows: int, radius: int = RADIUS) -> int:

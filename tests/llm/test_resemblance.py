@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from marram.llm import simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -38,3 +40,22 @@ def test_edited_copies_go(spark):
     table = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in docs], SCHEMA)
     got = [r["doc_id"] for r in simhash.stage_near_duplicates(spark, table, "").collect()]
     assert sorted(got, key=str) == sorted([*want, 9001, 9003, None], key=str)
+
+
+@pytest.mark.parametrize("part", [2048, 30])
+def test_copies_that_are_similar_to_some_of_their_group_only(spark, monkeypatch, part):
+    monkeypatch.setattr(simhash, "PART", part)
+    draw = random.Random(11)
+    base = [f"w{draw.randrange(5000)}" for _ in range(120)]
+    texts = [edited(base, draw.randrange(1, 6), draw) for _ in range(150)]
+    group = list(range(len(texts)))
+    alike = 0
+    for i, x in enumerate(texts):
+        for j in range(i):
+            if similarity(x, texts[j]) >= 0.8:
+                alike += 1
+                old, new = group[i], group[j]
+                group = [min(old, new) if g in (old, new) else g for g in group]
+    assert 0.05 < alike / (150 * 149 / 2) < 0.6 and 1 < len(set(group)) < 100
+    table = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA)
+    assert sorted(r["doc_id"] for r in simhash.stage_near_duplicates(spark, table, "").collect()) == sorted(set(group))
