@@ -49,8 +49,8 @@ def shared_dir(spark: SparkSession) -> str:
 WRITTEN: list[str] = []
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
+def materialize(df: DataFrame, label: str, by: list[str] | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder, in folders by the last columns ``by``, and read it back.
 
     The written table cuts the lineage like a checkpoint: a lost executor costs
     a re-read, not a recomputation, and later passes read only their columns.
@@ -58,7 +58,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/marram-{uuid.uuid4().hex}/{label}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by or []).parquet(path)
     WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
