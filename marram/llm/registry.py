@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audio, bpe, langid, oracles, packing, privacy, quality, secrets, shard, simhash, suffix_tree
+from . import audio, bpe, langid, lexical, oracles, packing, privacy, quality, secrets, shard, simhash, suffix_tree
 
 QUERIES = {
     "op1_telephony": audio.op1_telephony,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_secrets": secrets.op9_secrets,
     "op10_language": langid.op10_language,
+    "op11_tiered": lexical.op11_tiered,
 }
 
 ORACLE_SQL: dict[str, str] = {"op7_quality": oracles.QUALITY, "op9_secrets": oracles.SECRETS}
