@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audio, bpe, langid, lexical, oracles, packing, privacy, quality, secrets, shard, simhash, suffix_tree
+from . import audio, bpe, codes, langid, lexical, oracles, packing, privacy, quality, secrets, shard, simhash, suffix_tree, toxicity
 
 QUERIES = {
     "op1_telephony": audio.op1_telephony,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_secrets": secrets.op9_secrets,
     "op10_language": langid.op10_language,
     "op11_tiered": lexical.op11_tiered,
+    "op12_toxicity": toxicity.op12_toxicity,
+    "op13_codes": codes.op13_codes,
 }
 
 ORACLE_SQL: dict[str, str] = {"op7_quality": oracles.QUALITY, "op9_secrets": oracles.SECRETS}
