@@ -20,4 +20,4 @@ QUERIES = {
     "op13_codes": codes.op13_codes,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_quality": oracles.QUALITY, "op9_secrets": oracles.SECRETS}
+ORACLE_SQL: dict[str, str] = {"op7_quality": oracles.QUALITY, "op9_secrets": oracles.SECRETS, "op11_tiered": oracles.LEXICAL, "op13_codes": oracles.CODES}

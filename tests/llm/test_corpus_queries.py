@@ -255,5 +255,6 @@ def test_op10_held_out_accuracy(spark, corpus):
 
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_empty_table(spark, small, tmp_path, name):
-    spark.read.parquet(f"{small}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    for table in ("documents", "benchmark", "labels", "embeddings"):
+        spark.read.parquet(f"{small}/{table}.parquet").limit(0).write.parquet(f"{tmp_path}/{table}.parquet")
     assert registry.QUERIES[name](spark, str(tmp_path)).collect() == []

@@ -10,7 +10,8 @@ from marram.llm import registry
 def test_sql(spark, small, name):
     folder = small.replace("sf0.001", "sf0.01")
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    for table in ("documents", "benchmark", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
     want = con.sql(registry.ORACLE_SQL[name])
     got = registry.QUERIES[name](spark, folder)
     assert sorted(want.columns) == sorted(got.columns)
