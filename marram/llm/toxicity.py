@@ -26,7 +26,7 @@ from .common import id_remainder, named, table
 from .terms import lists, term_chunks, term_counts
 
 #: Texts of each label that teach, at most: those with the least hashes.
-LABELLED = 8192
+LABELLED = 4096
 #: Terms of the vocabulary at most: those that tell the labels apart best.
 VOCABULARY = 4096
 #: Terms that get in by chance, at most.
@@ -38,8 +38,10 @@ BLOCK = 64
 PRIOR = 0.5
 #: Nearest examples that a result names.
 NAMED = 3
-#: Rows whose terms are counted at a time, and results that a worker remembers.
-ROWS, REMEMBERED = 512, 1 << 14
+#: Rows whose terms are counted, and texts that are compared, at a time; results that a worker remembers.
+ROWS, TEXTS, REMEMBERED = 512, 256, 1 << 14
+#: Blocks that each text reads first, and decimals to which similarities are compared.
+FIRST, DIGITS = 3, 9
 
 
 def sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_id: str, label_col: str) -> DataFrame:
@@ -101,94 +103,116 @@ def telling_terms(examples: DataFrame, of_label: list[int]) -> list[tuple[bytes,
 class Index:
     """Examples by vector: those with the same vector are one entry, with its labels' weights; entries stand in blocks."""
 
-    def __init__(self, vocabulary: pa.Array, idf: np.ndarray, weights: tuple[float, float]):
+    def __init__(self, vocabulary: pa.Array, idf: np.ndarray, weights: tuple[float, float], rows: list[tuple]):
+        """``rows`` are examples (id, label, terms, counts), ``weights`` what one example of each label stands for.
+
+        Entries are ordered by their strongest terms, so that blocks differ.
+        """
         self.vocabulary, self.idf, self.weights = vocabulary, idf, weights
-        self.entries: dict[tuple, int] = {}
-        self.votes = np.zeros((0, 2))
-        self.ids: list = []
-        self.postings: dict[int, tuple] = {}
+        groups: dict[tuple, list] = {}
+        self.termless = np.zeros(2)
+        for doc_id, y, terms, counts in rows:
+            if len(terms):
+                groups.setdefault((tuple(terms), tuple(counts)), []).append((doc_id, y))
+            else:
+                self.termless[y] += weights[y]
+        strong = {key: tuple(key[0][k] for k in np.argsort(-self.vector(*map(np.array, key)), kind="stable")) for key in groups}
+        self.keys = sorted(groups, key=lambda key: (strong[key], key))
+        self.votes = np.array([[weights[v] * sum(y == v for _, y in groups[key]) for v in (0, 1)] for key in self.keys]).reshape(-1, 2)
+        self.ids = [min(i for i, _ in groups[key]) for key in self.keys]
+        total = self.votes.sum(axis=0) + self.termless
+        #: The share of label 1.
+        self.base = float(total[1] / total.sum()) if total.sum() else 0.0
+        #: By block, its terms and the entries' postings (place among the block's terms, entry of the block, weight).
+        self.blocks: list[tuple] = []
+        self.most = np.zeros((len(idf), -(-len(self.keys) // BLOCK)))
+        for k in range(self.most.shape[1]):
+            own = self.keys[k * BLOCK : (k + 1) * BLOCK]
+            terms = np.concatenate([key[0] for key in own])
+            entries = np.repeat(np.arange(len(own)), [len(key[0]) for key in own])
+            weight = np.concatenate([self.vector(*map(np.array, key)) for key in own])
+            np.maximum.at(self.most[:, k], terms, weight)
+            known, place = np.unique(terms, return_inverse=True)
+            self.blocks.append((known, place, entries, weight))
         self.raw, self.chance = np.zeros(0), np.zeros(0)
 
-    @property
-    def base(self) -> float:
-        """The share of label 1."""
-        total = sum(self.totals)
-        return self.totals[1] / total if total else 0.0
-
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         found = (1 + np.log(counts)) * self.idf[terms]
         return found / np.sqrt((found * found).sum())
 
-    def fill(self, rows: list[tuple]) -> None:
-        """Examples (doc_id, y, terms, counts); entries are ordered by their strongest terms, so that blocks differ."""
-        self.totals = [sum(self.weights[y] for _, y, _, _ in rows if y == v) for v in (0, 1)]
-        groups: dict[tuple, list] = {}
-        for doc_id, y, terms, counts in rows:
-            if len(terms):
-                groups.setdefault((tuple(terms), tuple(counts)), []).append((doc_id, y))
-        strong = {key: tuple(np.array(key[0])[np.argsort(-self.vector(np.array(key[0]), np.array(key[1])), kind="stable")].tolist()) for key in groups}
-        order = sorted(groups, key=lambda key: (strong[key], key))
-        self.entries = {key: k for k, key in enumerate(order)}
-        self.votes = np.array([[self.weights[v] * sum(y == v for _, y in groups[key]) for v in (0, 1)] for key in order]).reshape(-1, 2)
-        self.ids = [min(i for i, _ in groups[key]) for key in order]
-        by_term: dict[int, list] = {}
-        for k, key in enumerate(order):
-            for term, weight in zip(key[0], self.vector(np.array(key[0]), np.array(key[1])), strict=True):
-                by_term.setdefault(term, []).append((k, weight))
-        for term, own in by_term.items():
-            places, weights = np.array([k for k, _ in own]), np.array([w for _, w in own])
-            blocks, first = np.unique(places // BLOCK, return_index=True)
-            self.postings[term] = places, weights, blocks, np.maximum.reduceat(weights, first), np.append(first, len(places))
-
-    def nearest(self, terms: np.ndarray, vector: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(entries, similarities) of the NEIGHBOURS nearest, equal similarities by entry; those of similarity 0 are none."""
-        known = [(self.postings[t], w) for t, w in zip(terms.tolist(), vector, strict=True) if t in self.postings]
-        bounds = np.zeros(-(-len(self.ids) // BLOCK))
-        for (_, _, blocks, most, _), w in known:
-            bounds[blocks] += w * most
-        best, near = np.zeros(0, dtype=np.int64), np.zeros(0)
-        hit = np.flatnonzero(bounds)
-        for b in hit[np.argsort(-bounds[hit], kind="stable")]:
-            if len(near) == NEIGHBOURS and bounds[b] < near[-1]:
-                break
-            sums = np.zeros(BLOCK)
-            for (places, weights, blocks, _, first), w in known:  # in the order that made the bounds, so that none is below a sum
-                p = np.searchsorted(blocks, b)
-                if p < len(blocks) and blocks[p] == b:
-                    cut = slice(first[p], first[p + 1])
-                    sums[places[cut] - b * BLOCK] += w * weights[cut]
-            own = np.flatnonzero(sums)
-            best, near = np.append(best, own + b * BLOCK), np.append(near, sums[own])
-            order = np.lexsort((best, -near))[:NEIGHBOURS]
-            best, near = best[order], near[order]
+    def nearest(self, keys: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        """(entries, similarities) of the NEIGHBOURS nearest of each text (terms, counts), equal similarities by entry; -1 and 0 where fewer have any.
+
+        Similarities are compared to DIGITS decimals. Each text reads the blocks
+        of its highest bounds first, then those that can still change its result.
+        """
+        texts = np.zeros((len(keys), len(self.idf)))
+        for k, key in enumerate(keys):
+            texts[k, list(key[0])] = self.vector(*map(np.array, key))
+        bounds = texts @ self.most
+        bounds[bounds > 0] += 10.0**-DIGITS
+        best, near = np.full((len(keys), NEIGHBOURS), -1), np.zeros((len(keys), NEIGHBOURS))
+        unread = bounds > 0
+
+        def read(b: int, rows: np.ndarray) -> None:
+            known, place, entries, weight = self.blocks[b]
+            block = np.zeros((len(known), min(BLOCK, len(self.keys) - b * BLOCK)))
+            block[place, entries] = weight
+            unread[rows, b] = False
+            found = np.round(texts[np.ix_(rows, known)] @ block, DIGITS)
+            change = found.max(axis=1) >= np.maximum(near[rows, -1], 10.0**-DIGITS)
+            rows, found = rows[change], found[change]
+            own = np.where(found > 0, np.arange(b * BLOCK, b * BLOCK + block.shape[1]), -1)
+            every, sims = np.hstack([best[rows], own]), np.hstack([near[rows], found])
+            order = np.lexsort((every, -sims), axis=1)[:, :NEIGHBOURS]
+            best[rows], near[rows] = np.take_along_axis(every, order, 1), np.take_along_axis(sims, order, 1)
+
+        first = np.argsort(-bounds, axis=1, kind="stable")[:, :FIRST]
+        for b in np.unique(first):
+            rows = np.flatnonzero((first == b).any(axis=1) & unread[:, b])
+            if len(rows):
+                read(b, rows)
+        for b in np.argsort(-bounds.max(axis=0, initial=0.0), kind="stable"):
+            rows = np.flatnonzero(unread[:, b] & (bounds[:, b] >= near[:, -1]))
+            if len(rows):
+                read(b, rows)
         return best, near
 
-    def vote(self, terms: np.ndarray, counts: np.ndarray, left_out: int | None = None) -> tuple[float, list]:
-        """The nearest's share of label 1 by squared similarity, and the first of their ids; one example of label ``left_out`` may be taken out of the text's own entry."""
-        if not len(terms) or not self.ids:
-            return self.base, []
-        best, near = self.nearest(terms, self.vector(terms, counts))
-        votes = self.votes[best].copy()
-        if left_out is not None:
-            votes[best == self.entries[tuple(terms.tolist()), tuple(counts.tolist())], left_out] -= self.weights[left_out]
-        sums = (votes * (near * near)[:, None]).sum(axis=0)
-        return float((sums[1] + PRIOR * self.base) / (sums.sum() + PRIOR)), [self.ids[k] for k in best[:NAMED]]
-
-    def calibrate(self, raw: np.ndarray, y: np.ndarray) -> None:
+    def voted(self, best: np.ndarray, near: np.ndarray, votes: np.ndarray) -> np.ndarray:
+        """The share of label 1 among votes (texts, NEIGHBOURS, labels), each weighing its squared similarity."""
+        sums = (np.where((best >= 0)[:, :, None], votes, 0.0) * (near * near)[:, :, None]).sum(axis=1)
+        return (sums[:, 1] + PRIOR * self.base) / (sums.sum(axis=1) + PRIOR)
+
+    def vote(self, keys: list[tuple]) -> tuple[np.ndarray, list[list]]:
+        """Each text's share, and the ids of its nearest examples."""
+        best, near = self.nearest(keys)
+        return self.voted(best, near, self.votes[best]), [[self.ids[k] for k in own[:NAMED] if k >= 0] for own in best]
+
+    def left_out(self, entries: np.ndarray) -> np.ndarray:
+        """(entries, labels): the share that an entry's example of each label gets when it is taken out itself."""
+        best, near = self.nearest([self.keys[k] for k in entries])
+        out = np.zeros((len(entries), 2))
+        for y in (0, 1):
+            votes = self.votes[best].copy()
+            votes[:, :, y] -= np.where(best == entries[:, None], self.weights[y], 0.0)
+            out[:, y] = self.voted(best, near, np.maximum(votes, 0.0))
+        return out
+
+    def calibrate(self, raw: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
         """Least squares of the labels under the condition that they rise with the vote, by merging neighbours that don't."""
+        raw, place = np.unique(raw, return_inverse=True)
+        heavy, positive = np.bincount(place, weight, len(raw)), np.bincount(place, weight * y, len(raw))
         merged: list[list[float]] = []
-        for v in np.unique(raw):
-            at = y[raw == v]
-            heavy = [self.weights[0] * (at == 0).sum(), self.weights[1] * (at == 1).sum()]
-            merged.append([v * sum(heavy), heavy[1], sum(heavy)])
+        for v, p, w in zip(raw, positive, heavy, strict=True):
+            merged.append([v * w, p, w])
             while len(merged) > 1 and merged[-2][1] * merged[-1][2] >= merged[-1][1] * merged[-2][2]:
                 last = merged.pop()
                 merged[-1] = [a + b for a, b in zip(merged[-1], last, strict=True)]
         self.raw = np.array([v / w for v, _, w in merged])
         self.chance = np.array([(p + PRIOR * self.base) / (w + PRIOR) for _, p, w in merged])
 
-    def score(self, raw: float) -> float:
-        return float(np.interp(raw, self.raw, self.chance)) if len(self.raw) else self.base
+    def score(self, raw: np.ndarray) -> np.ndarray:
+        return np.interp(raw, self.raw, self.chance) if len(self.raw) else np.full(len(raw), self.base)
 
 
 def vectors(df: DataFrame, vocabulary: pa.Array) -> DataFrame:
@@ -215,19 +239,24 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     terms.sort()
     vocabulary = pa.array([t for t, _ in terms], pa.large_binary())
     idf = np.array([math.log((1 + sum(taken)) / (1 + df)) + 1 for _, df in terms])
-    index = Index(vocabulary, idf, weights)
     # At most 2 * LABELLED rows, which hold terms of the vocabulary only.
-    index.fill([(r["doc_id"], r["y"], r["terms"], r["counts"]) for r in vectors(examples, vocabulary).collect()])
+    index = Index(vocabulary, idf, weights, [(r["doc_id"], r["y"], r["terms"], r["counts"]) for r in vectors(examples, vocabulary).collect()])
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ys, terms, counts = (batch.column(k).to_pylist() for k in range(3))
-            raw = [shared.value.vote(np.array(t, dtype=np.int64), np.array(c, dtype=np.int64), y)[0] for y, t, c in zip(ys, terms, counts, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(raw, pa.float64()), batch.column(0)], ["raw", "y"])
-
-    seen = vectors(examples, vocabulary).select("y", "terms", "counts").mapInArrow(left_out, "raw double, y int").toArrow()
-    index.calibrate(seen["raw"].to_numpy(), seen["y"].to_numpy())
+            for k in range(0, batch.num_rows, TEXTS):
+                entries = batch.column(0).slice(k, TEXTS)
+                own = shared.value.left_out(entries.to_numpy())
+                yield pa.RecordBatch.from_arrays([entries, pa.array(own[:, 0]), pa.array(own[:, 1])], ["id", "raw0", "raw1"])
+
+    tasks = max(1, len(index.keys) // (2 * TEXTS))
+    seen = docs.sparkSession.range(0, len(index.keys), 1, tasks).mapInArrow(left_out, "id long, raw0 double, raw1 double").toArrow()
+    votes = index.votes[seen["id"].to_numpy()]
+    raw = np.concatenate([seen["raw0"].to_numpy(), seen["raw1"].to_numpy(), [index.base] * 2])
+    weight = np.concatenate([votes[:, 0], votes[:, 1], index.termless])
+    y = np.concatenate([np.zeros(len(votes)), np.ones(len(votes)), [0, 1]])
+    index.calibrate(raw[weight > 0], y[weight > 0], weight[weight > 0])
     return index
 
 
@@ -243,20 +272,18 @@ def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, known = shared.value, {}
-        plain = index.score(index.base), []
+        plain = float(index.score(np.array([index.base]))[0]), []
         for batch in batches:
             _, rows, terms, counts = term_counts(batch.column(1), index.vocabulary)
             ends = np.searchsorted(rows, np.arange(batch.num_rows + 1))
-            found = [plain] * batch.num_rows
-            for r in np.unique(rows):
-                own = slice(ends[r], ends[r + 1])
-                key = terms[own].tobytes(), counts[own].tobytes()
-                if key not in known:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    raw, ids = index.vote(terms[own], counts[own])
-                    known[key] = index.score(raw), ids
-                found[r] = known[key]
+            keys = {r: (tuple(terms[ends[r] : ends[r + 1]].tolist()), tuple(counts[ends[r] : ends[r + 1]].tolist())) for r in np.unique(rows).tolist()}
+            if len(known) > REMEMBERED:
+                known.clear()
+            fresh = list({key for key in keys.values() if key not in known})
+            for k in range(0, len(fresh), TEXTS):
+                raw, ids = index.vote(fresh[k : k + TEXTS])
+                known.update(zip(fresh[k : k + TEXTS], zip(index.score(raw).tolist(), ids, strict=True), strict=True))
+            found = [known[keys[r]] if r in keys else plain for r in range(batch.num_rows)]
             values = pa.array([x for x, _ in found], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(0), values, pa.array([int(x >= 0.5) for x, _ in found], pa.int32()), pa.array([x for _, x in found], pa.list_(batch.column(0).type))], ["id", "score", "predicted", "evidence"])
 
