@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,8 +48,31 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-#: Folders that ``materialize`` wrote in this process, in order.
-WRITTEN: list[str] = []
+#: Where ``materialize`` notes its paths, for whoever has asked for them in this context.
+NOTED: ContextVar[list[str] | None] = ContextVar("noted", default=None)
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths that ``materialize`` writes inside the block, in order; blocks of other threads have lists of their own."""
+    token = NOTED.set([])
+    try:
+        yield NOTED.get()
+    finally:
+        NOTED.reset(token)
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, object]) -> Iterator[None]:
+    """Session settings that hold inside the block, and what was set before afterwards."""
+    before = {key: spark.conf.get(key, None) for key in values}
+    for key, value in values.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def materialize(df: DataFrame, label: str, by: list[str] | None = None) -> DataFrame:
@@ -59,19 +85,13 @@ def materialize(df: DataFrame, label: str, by: list[str] | None = None) -> DataF
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/marram-{uuid.uuid4().hex}/{label}"
     df.write.partitionBy(*by or []).parquet(path)
-    WRITTEN.append(path)
+    if NOTED.get() is not None:
+        NOTED.get().append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(spark: SparkSession, paths: list[str], keep: DataFrame) -> None:
-    """Delete what ``materialize`` wrote to these paths, but for what ``keep`` reads.
-
-    For callers that have stored every other result that was made from it.
-    """
-    needed = keep.inputFiles()
-    for path in [x for x in paths if x in WRITTEN]:
-        folder = path.rsplit("/", 2)[-2]
-        if not any(f"/{folder}/" in x for x in needed):
-            where = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-            WRITTEN.remove(path)
+def forget(spark: SparkSession, paths: list[str]) -> None:
+    """Delete what ``materialize`` wrote to these paths, for callers that have stored all that was made from it."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
