@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from marram.session import materialize
 
 from .common import fields_of, named, struct_of, table
-from .spans import count_of, find_spans, merge_kinds, no_spans, only, spelled
+from .spans import apart, count_of, cut, ends_of, find_spans, let, merge_kinds, no_spans, only, pieces_of, running, spelled
 
 #: Possessive and anchored forms of the contract's patterns: same matches, no deep recursion, no rescans of long runs.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -77,20 +77,27 @@ def entity(span: Column) -> Column:
     return F.concat_ws(":", span["kind"], plain)
 
 
+#: Terms that are looked up one by one; more are merged with the text's words by hash.
+FEW_TERMS = 16
+
+
 def term_spans(text: Column, terms: Column) -> Column:
     """Occurrences of the terms (hashes) as whole runs of letters, as (start, end, match)."""
-    between = F.transform(F.split(text, r"\p{L}++", -1), lambda x: F.length(x))
-    pairs = F.zip_with(F.regexp_extract_all(text, F.lit(r"\p{L}++"), F.lit(0)), between, lambda m, gap: F.struct(m.alias("m"), gap.alias("gap")))
-    start = F.struct(F.lit(0).alias("at"), no_spans().alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        first = acc["at"] + x["gap"]
-        last = first + F.length(x["m"])
-        found = F.array(F.struct(first.alias("start"), last.alias("end"), x["m"].alias("match")))
-        wanted = F.array_contains(terms, term_key(x["m"]))
-        return F.when(x["m"].isNull(), acc).otherwise(F.struct(last.alias("at"), F.when(wanted, F.concat(acc["out"], found)).otherwise(acc["out"]).alias("out")))
+    def merged(words: Column) -> Column:
+        asked = F.transform(terms, lambda h: F.struct(h.alias("h"), F.lit(0).alias("own"), F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("match")))
+        held = F.transform(words, lambda x: F.struct(term_key(x["match"]).alias("h"), F.lit(1).alias("own"), x["start"].alias("start"), x["end"].alias("end"), x["match"].alias("match")))
+
+        def wanted(marks: Column) -> Column:
+            last = ends_of(running(F.transform(marks, lambda m: F.when(m["own"] == 0, m["h"])), F.greatest, F.lit(None).cast("long")))
+            judged = F.zip_with(marks, last, lambda m, h: F.struct(m.alias("m"), ((m["own"] == 1) & h.eqNullSafe(m["h"])).alias("ok")))
+            return F.sort_array(F.transform(F.filter(judged, lambda x: x["ok"]), lambda x: F.struct(x["m"]["start"].alias("start"), x["m"]["end"].alias("end"), x["m"]["match"].alias("match"))))
 
-    return F.when(F.coalesce(F.size(terms) > 0, F.lit(False)), F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(no_spans())
+        few = F.filter(words, lambda x: F.array_contains(terms, term_key(x["match"])))
+        return F.when(F.size(terms) <= FEW_TERMS, few).otherwise(let(F.sort_array(F.concat(asked, held)), wanted))
+
+    some = F.coalesce(F.size(terms) > 0, F.lit(False))
+    return F.when(some, let(find_spans(text, r"\p{L}++", F.lit(True)), merged)).otherwise(no_spans())
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -137,26 +144,33 @@ def disclosing_terms(docs: DataFrame, private: DataFrame, text_col: str) -> Data
     counts = materialize(own.groupBy("term").agg(F.count("*").alias("n_term")), "terms")
     held = one_of_each(private, copied)
     entities = materialize(held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity")), "entities")
-    often, most_rare = frequent(entities, "n_entity")
     common, _ = frequent(counts, "n_term")
 
     def reachable(n_entity: Column, n_term: Column) -> Column:
         return F.log2(F.lit(total) / F.greatest(n_entity, n_term)) >= GENERALISE * F.log2(F.lit(total) / n_entity) - 1e-9
 
-    pairs = held.select("key", "entities", terms_of(F.col("t")).alias("terms")).select("key", "terms", F.explode("entities").alias("entity"))
-    pairs = pairs.join(F.broadcast(often), "entity", "left").select("key", "entity", F.coalesce("n_entity", F.lit(most_rare)).alias("most"), F.explode("terms").alias("term"))
-    pairs = pairs.join(F.broadcast(common), "term", "left").filter(reachable(F.col("most"), F.coalesce("n_term", F.lit(1))))
-    pairs = materialize(pairs.select("key", "entity", "term", "n_term"), "pairs")
-    # Frequent terms have their counts by now; of the others, those that stand in pairs get theirs by a join.
-    rest = pairs.filter("n_term IS NULL").drop("n_term").join(counts, "term")
-    exact = pairs.filter("n_term IS NOT NULL").unionByName(rest).join(entities.filter(F.col("n_entity") < total), "entity").filter(reachable(F.col("n_entity"), F.col("n_term")))
-    exact = materialize(exact, "exact")
-    info = F.log2(F.lit(total) / F.col("n_entity"))
-    share = F.try_divide(F.log2(F.lit(total) * F.col("n_both") / (F.col("n_entity").cast("double") * F.col("n_term"))), info)
-    single = exact.filter("n_entity = 1").withColumn("n_both", F.lit(1)).select("key", "term", share.alias("share"))
-    both = exact.filter("n_entity > 1").groupBy("entity", "term", "n_entity", "n_term").agg(F.count("*").alias("n_both"))
-    told = both.select("entity", "term", share.alias("share")).filter(F.col("share") >= GENERALISE)
-    shared = exact.filter("n_entity > 1").join(told, ["entity", "term"]).select("key", "term", "share")
+    by_key = held.select("key", F.explode("entities").alias("entity")).join(entities, "entity").groupBy("key").agg(
+        F.bool_or(F.col("n_entity") == 1).alias("alone"), F.collect_list(F.when((F.col("n_entity") > 1) & (F.col("n_entity") < total), F.struct("entity", "n_entity"))).alias("shared")
+    )
+    by_key = materialize(by_key.filter(F.col("alone") & (F.lit(total) > 1) | (F.size("shared") > 0)), "by_key")
+    terms = held.select("key", "t").join(small(by_key.select("key")), "key", "left_semi").select("key", F.explode(terms_of(F.col("t"))).alias("term"))
+    most = small(by_key.select("key", F.coalesce(F.array_max(F.transform("shared", lambda x: x["n_entity"])), F.lit(1)).alias("most")))
+    terms = terms.join(F.broadcast(common), "term", "left").join(most, "key").filter(reachable(F.col("most"), F.coalesce("n_term", F.lit(1))))
+    terms = materialize(terms.select("key", "term", "n_term"), "pairs")
+    # Frequent terms have their counts by now; the others get theirs by a join.
+    rest = terms.filter("n_term IS NULL").drop("n_term").join(counts, "term")
+    exact = materialize(terms.filter("n_term IS NOT NULL").unionByName(rest), "exact")
+
+    def share(n_entity: Column, n_both: Column) -> Column:
+        return F.try_divide(F.log2(F.lit(total) * n_both / (n_entity.cast("double") * F.col("n_term"))), F.log2(F.lit(total) / n_entity))
+
+    # For an identifier of one text a term's count alone decides, so that the text's terms are judged once for all of them.
+    single = exact.join(small(by_key.filter("alone").select("key")), "key", "left_semi").select("key", "term", share(F.lit(1), F.lit(1)).alias("share"))
+    several = by_key.filter(F.size("shared") > 0).select("key", F.explode("shared").alias("x")).select("key", "x.*")
+    exact = exact.join(several, "key").filter(reachable(F.col("n_entity"), F.col("n_term")))
+    both = exact.groupBy("entity", "term", "n_entity", "n_term").agg(F.count("*").alias("n_both"))
+    told = both.select("entity", "term", share(F.col("n_entity"), F.col("n_both")).alias("share")).filter(F.col("share") >= GENERALISE)
+    shared = exact.join(told, ["entity", "term"]).select("key", "term", "share")
     return single.filter(F.col("share") >= GENERALISE).unionByName(shared).groupBy("key", "term").agg(F.max("share").alias("share"))
 
 
@@ -168,18 +182,16 @@ def class_of(term: Column) -> Column:
 def masked(text: Column, spans: Column) -> Column:
     """The text with each run of overlapping spans replaced by the label of its first."""
     label = F.create_map(*(F.lit(x) for pair in LABELS.items() for x in pair))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        stands = F.when(x["kind"] == HINT, class_of(x["match"])).otherwise(F.element_at(label, x["kind"]))
-        fresh = F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), stands)
-        inside = x["start"] < acc["at"]
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(inside, acc["out"]).otherwise(fresh).alias("out"))
+    def joined(pieces: Column) -> Column:
+        def parts(reached: Column) -> Column:
+            """What stands from the end of all spans before to the span, and its label; nothing for a span inside those before."""
+            own = F.zip_with(spans, F.slice(reached, 1, F.size(spans)), lambda x, at: F.when(x["start"] < at, "").otherwise(F.concat(cut(pieces, at, x["start"]), F.when(x["kind"] == HINT, class_of(x["match"])).otherwise(F.element_at(label, x["kind"])))))
+            return F.array_join(F.concat(own, F.array(cut(pieces, F.element_at(reached, -1), F.length(text)))), "")
 
-    def end(acc: Column) -> Column:
-        return F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
+        return let(running(F.transform(spans, lambda x: x["end"]), F.greatest, F.lit(0)), parts)
 
-    return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, end)).otherwise(text)
+    return F.when(F.size(spans) > 0, let(pieces_of(text), joined)).otherwise(text)
 
 
 def sanitise(docs: DataFrame, text_col: str = "text", columns: list[str] | None = None, mask: bool = True) -> DataFrame:
@@ -214,7 +226,7 @@ def sanitise(docs: DataFrame, text_col: str = "text", columns: list[str] | None
     joined = holders.join(by_text, F.col("key") == F.col("key_"), "left")
 
     def occurrences(terms: str) -> Column:
-        return F.filter(term_spans(F.col("t"), F.col(terms)), lambda a: ~F.exists(F.col("spans"), lambda b: (a["start"] < b["end"]) & (b["start"] < a["end"])))
+        return apart(term_spans(F.col("t"), F.col(terms)), F.col("spans"))
 
     base = [only_kind(F.col("spans"), k) for k in KINDS]
     everything = merge_kinds([*zip(KINDS, base, strict=True), (REVEAL, occurrences("reveal")), (HINT, occurrences("hint"))])
@@ -243,7 +255,11 @@ def op4_privacy(spark, sf_dir: str) -> DataFrame:
 
 
 def stage_privacy(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their texts sanitised, and n_chars to match where that is a column."""
+    """All documents with their texts sanitised, and n_chars to match where that is a column.
+
+    Null and empty texts stay as they are, repeated rows stay repeated and are
+    all sanitised alike, an empty table stays empty.
+    """
     others = [c for c in docs.columns if c != "text"]
     out = sanitise(docs.select(struct_of(others).alias("doc"), "text"), columns=["doc", "text"])
     changed = F.size("spans") > 0

@@ -36,6 +36,8 @@ class Rule:
     #: Which matches count; the argument is the matched text.
     accept: Callable[[Column], Column] | None = None
     base: bool = False
+    #: What the match begins with; whatever the expression takes before it isn't part of the match.
+    head: str = ""
 
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+"""
@@ -50,7 +52,8 @@ RULES = (
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}+"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("stripe", r"[sr]k_live_[A-Za-z0-9]{16,}+"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+"),
+    # Of a run of such characters only the first eyJ can begin a match, as all of them read to the run's end; so each run is read from its start.
+    Rule("jwt", r"(?<![A-Za-z0-9_-])(?>[A-Za-z0-9_-]*?eyJ)[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+", head="eyJ"),
     Rule("pem", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"),
 )
 
@@ -131,6 +134,8 @@ def sequence_query(nodes) -> Clauses:
             open_strings = own
         elif name == "SUBPATTERN":
             queries.append(sequence_query(arg[3]))
+        elif name == "ATOMIC_GROUP":
+            queries.append(sequence_query(arg))
         elif name == "BRANCH":
             queries.append(reduced(frozenset().union(*(sequence_query(x) for x in arg[1]))))
         elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and arg[0] > 0:
@@ -147,7 +152,7 @@ def trigram_query(pattern: str) -> Clauses | None:
 def trigram_index(df: DataFrame, grams: list[str], text_col: str = "text") -> DataFrame:
     """``(gram, key)``: the postings of the given trigrams; key is a hash of the whole text.
 
-    Equal texts share a key. Texts whose keys collide share their postings,
+    Null and empty texts have no postings, nor has an empty table. Equal texts share a key. Texts whose keys collide share their postings,
     which adds candidates and loses none.
     """
     rows = df.select(F.xxhash64(text_col).alias("key"), F.lower(text_col).alias("low"))
@@ -164,6 +169,12 @@ def candidates(postings: DataFrame, queries: dict[int, Clauses]) -> DataFrame:
     return met.groupBy("key").agg(F.bit_or(F.expr("shiftleft(1L, rule)")).alias("mask"))
 
 
+def from_head(spans: Column, head: str) -> Column:
+    """The spans from the first place of ``head`` in their matches."""
+    skipped = lambda x: F.instr(x["match"], head) - 1
+    return F.transform(spans, lambda x: F.struct((x["start"] + skipped(x)).alias("start"), x["end"].alias("end"), F.substring(x["match"], skipped(x) + 1, F.length(x["match"])).alias("match")))
+
+
 def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``(id, spans)`` of every row; a span is (start, place, kind, end, match).
 
@@ -184,6 +195,8 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for k, rule in enumerate(rules):
         when = F.col("mask").bitwiseAND(F.lit(1 << k)) != 0 if k in indexed else F.rlike("t", F.lit(rule.pattern))
         spans = find_spans(F.col("t"), rule.pattern, when)
+        if rule.head:
+            spans = from_head(spans, rule.head)
         if rule.accept is not None:
             spans = only(spans, rule.accept)
         kinds.append((rule.kind, spans))
@@ -191,6 +204,11 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op9_secrets(spark, sf_dir: str) -> DataFrame:
+    """Spans of secrets in all documents.
+
+    Null and empty texts have none; repeated rows keep their rows; an empty
+    table gives no rows.
+    """
     found = scan_secrets(table(spark, sf_dir, "documents"))
     base = [r.kind for r in RULES if r.base]
     counts = [count_of(F.col("spans"), kind).alias(f"n_{kind}") for kind in base]
