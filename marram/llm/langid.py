@@ -30,18 +30,35 @@ BLOCK = 250
 HELD_LABELS = 64
 #: Characters that are counted or scored at a time.
 CHUNK = 1 << 18
+#: Matrix entries that are summed at a time: n-grams times labels.
+HELD_SCORES = 1 << 22
 UNKNOWN = "und"
 #: Standard deviations below its label's training texts at which a text isn't taken to be of that language.
 FAR = 4.0
 
 
+def framed_text(text: str) -> str:
+    return f" {text.lower()} "
+
+
 def text_buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed n-grams of all texts (uint32) and where each text's begin.
 
     The texts are lower-cased and framed by blanks; each text's n-grams of all
     orders stand together. An n-gram never crosses into a neighbour.
     """
-    framed = [f" {x.lower()} " for x in texts]
+    return framed_buckets([framed_text(x) for x in texts])
+
+
+def long_buckets(text: str, size: int) -> Iterator[np.ndarray]:
+    """The rows of ``text_buckets`` of one text, at most ``size`` at a time: each run sees as much of the next as its n-grams reach over."""
+    framed = framed_text(text)
+    for a in range(0, len(framed), size):
+        yield framed_buckets([framed[a : a + size + max(ORDERS) - 1]])[0][:size]
+
+
+def framed_buckets(framed: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """``text_buckets`` of texts that are lower-cased and framed."""
     points = np.frombuffer("".join(framed).encode("utf-32-le"), dtype="<u4")
     lengths = np.array([len(x) for x in framed])
     ends = np.cumsum(lengths)
@@ -79,7 +96,8 @@ def count_ngrams(df: DataFrame, text_col: str, label_col: str) -> DataFrame:
                 own = texts.take(pa.array(places)).to_pylist()
                 total = totals.setdefault(label, np.zeros(BUCKETS + 1, dtype=np.int64))
                 for i, j in bounded_runs([len(x) for x in own], CHUNK):
-                    total += np.bincount(text_buckets(own[i:j])[0].ravel(), minlength=BUCKETS + 1)
+                    for grams in [text_buckets(own[i:j])[0]] if j - i > 1 else long_buckets(own[i], CHUNK):
+                        total += np.bincount(grams.ravel(), minlength=BUCKETS + 1)
         yield from emitted(totals)
 
     def emitted(totals: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -160,8 +178,8 @@ def fits_of(shared, place: dict[str, int], weights: np.ndarray, block: range):
                     chances[k] = np.exp(matrix[:BUCKETS, k - block.start].astype(np.float64))
                 weight = weights[k]
                 own = np.zeros(BUCKETS + 1, dtype=np.int64)
-                for a in range(0, len(text), CHUNK):
-                    own += np.bincount(text_buckets([text[a : a + CHUNK]])[0].ravel(), minlength=BUCKETS + 1)
+                for grams in long_buckets(text, CHUNK):
+                    own += np.bincount(grams.ravel(), minlength=BUCKETS + 1)
                 hit = np.flatnonzero(own[:BUCKETS])
                 n = own[hit]
                 logs = np.log(np.maximum(chances[k][hit] * weight - n, SMOOTHING) / (weight - n.sum()))
@@ -182,23 +200,25 @@ def scores_of(shared, labels: list[str], priors: np.ndarray, carried: int, typic
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matrix = shared.value
+        room = max(1024, min(CHUNK, HELD_SCORES // matrix.shape[1]))
         for batch in batches:
             texts = batch.column(carried).to_pylist()
-            for i, j in bounded_runs([len(x or "") for x in texts], CHUNK):
+            for i, j in bounded_runs([len(x or "") for x in texts], room):
                 cut = batch.slice(i, j - i)
                 best, top, rest, near = (cut.column(carried + k).to_pylist() for k in range(1, 5))
                 real = [k for k in range(i, j) if texts[k] is not None and has_letter(texts[k])]
                 if real:
-                    grams, starts = text_buckets([texts[k] for k in real])
-                    sums = np.tile(priors, (len(real), 1))
-                    for column in range(grams.shape[1]):
-                        sums += np.add.reduceat(matrix[grams[:, column]], starts, axis=0, dtype=np.float64)
+                    sums, n = np.tile(priors, (len(real), 1)), np.zeros(len(real), dtype=np.int64)
+                    runs = [text_buckets([texts[k] for k in real])] if len(real) > 1 else ((x, [0]) for x in long_buckets(texts[real[0]], room))
+                    for grams, starts in runs:
+                        n += np.add.reduceat((grams != BUCKETS).sum(axis=1), starts)
+                        for column in range(grams.shape[1]):
+                            sums += np.add.reduceat(matrix[grams[:, column]], starts, axis=0, dtype=np.float64)
                     first = sums.argmax(axis=1)
                     most = sums.max(axis=1)
                     whole = most + np.log(np.exp(sums - most[:, None]).sum(axis=1))
                     fits = np.ones(len(real), dtype=bool)
                     if typical is not None:
-                        n = np.add.reduceat((grams != BUCKETS).sum(axis=1), starts)
                         mean, between, inside = typical[first].T
                         fits = (most - priors[first]) / n >= mean - FAR * np.sqrt(between + inside / n)
                     for k, b, m, w, f in zip(real, first, most, whole, fits, strict=True):
