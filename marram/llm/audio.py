@@ -239,8 +239,8 @@ def decode_telephony(df: DataFrame, id_col: str = "doc_id", rate_out: int = 1600
                 yield (None,) * 8
                 continue
             stored = y.astype("<i2").tobytes()
-            wide = y.astype(np.int64)
-            shape = [len(y), int(np.abs(wide).max(initial=0)), int((wide * wide).sum()), int(np.count_nonzero((y[1:] < 0) != (y[:-1] < 0))), zlib.crc32(stored)]
+            energy = sum(int((y[k : k + CHUNK].astype(np.int64) ** 2).sum()) for k in range(0, len(y), CHUNK))
+            shape = [len(y), max(int(y.max(initial=0)), -int(y.min(initial=0))), energy, int(np.count_nonzero((y[1:] < 0) != (y[:-1] < 0))), zlib.crc32(stored)]
             yield (len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(x), hashlib.sha256(x).hexdigest(), ":".join(map(str, [codec, rate, *shape])), codec, wav("pcm", stored, rate_out) if keep_pcm else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
