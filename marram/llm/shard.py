@@ -98,5 +98,10 @@ def stratified_shards(
 
 
 def op2_interleave(spark, sf_dir: str) -> DataFrame:
+    """Every document's shard and slot, so that each shard has the sources' mixture and row counts differ by one at most.
+
+    Null and empty texts count 8 bytes; null sources and ids are values like
+    others; repeated rows each have a slot; an empty table gives no rows.
+    """
     out = stratified_shards(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")

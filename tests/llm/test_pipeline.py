@@ -151,3 +151,14 @@ def test_bad_hosts_lose_failing_documents_only(spark, tmp_path):
     assert got == {d["doc_id"]: k for d, k in zip(docs, kept_by_quality(docs), strict=True)}
     dropped = [k for k, kept in got.items() if not kept]
     assert sorted(dropped) == [k for k in range(1000) if k % 20 == 3]
+
+
+def test_runs_stand_side_by_side(spark, small):
+    """A second run leaves the first one's result and the session's settings alone."""
+    keys = list(corpus_pipeline.BATCHES)
+    before = [spark.conf.get(k, None) for k in keys]
+    one = corpus_pipeline.run(spark, small)
+    n = one.count()
+    two = corpus_pipeline.run(spark, small)
+    assert n and as_bag(map(tuple, one.collect())) == as_bag(map(tuple, two.collect()))
+    assert [spark.conf.get(k, None) for k in keys] == before
