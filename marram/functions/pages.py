@@ -7,10 +7,12 @@ import html
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
+from . import markup
 from .fuzzy import bind
-from .text import inner_text, key_value, trim_to_length
+from .parse import size_bytes
+from .text import key_value, trim_to_length
 
 #: Characters trimmed around values, and before people's names.
 EDGES, NAME_EDGES = ",. »«\"", "©…— ๖ۣۜ"
@@ -98,50 +100,85 @@ def forum_title(x: Column) -> Column:
 
 
 def clean_page(page: Column, ids: tuple[str, ...] = (), classes: tuple[str, ...] = ("hide-for-print",)) -> Column:
-    """The page without scripts, comments, blank text and flat elements of the given ids and classes."""
-    x = F.regexp_replace(page, r"(?is)<script\b.*?</script\s*>|<!--.*?-->", "")
-    for name, values in (("id", ids), ("class", classes)):
-        for value in values:
-            x = F.regexp_replace(x, rf"""(?is)<([a-z0-9]+)\b[^>]*\b{name}\s*=\s*["'](?:[^"']*\s)?{value}(?:\s[^"']*)?["'][^>]*>(?:(?!<\1\b).)*?</\1\s*>""", "")
-    return F.regexp_replace(x, r">\s+<", "><")
+    """The page without scripts, comments, blank text, the first element of each id and all elements of the classes, with what is nested in them."""
 
+    @F.pandas_udf(StringType())
+    def cleaned(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: markup.without(v, ids, classes), na_action="ignore")
 
-def elements(page: Column, tag: str, attribute: str, value: str) -> Column:
-    """Inner HTML of the flat elements of this tag whose attribute has this value."""
-    return F.regexp_extract_all(page, F.lit(rf"""(?is)<{tag}\b[^>]*\b{attribute}\s*=\s*["']{value}["'][^>]*>((?:(?!<{tag}\b).)*?)</{tag}\s*>"""), F.lit(1))
+    return cleaned(page)
+
+
+def elements(page: Column, tag: str, attribute: str | None = None, value: str | None = None, match: str = "equal") -> Column:
+    """Inner HTML of the elements of this tag, nested ones too, whose attribute equals the value, begins with it (``prefix``) or has it as a word (``word``)."""
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def found(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: markup.inner(v, tag, attribute, value, match), na_action="ignore")
+
+    return found(page)
+
+
+OUTLINE = "array<struct<tag:string,depth:int,id:string,class:string,start:int,inner_start:int,inner_end:int,end:int>>"
+
+
+def outline(page: Column) -> Column:
+    """All elements and comments of a page by start, with depth and the places where they and their content begin and end."""
+
+    @F.pandas_udf(OUTLINE)
+    def outlined(x: pd.Series) -> pd.Series:
+        return x.map(described, na_action="ignore")
+
+    return outlined(page)
+
+
+def described(page: str) -> list[dict]:
+    return [{"tag": n.tag, "depth": n.depth, "id": n.value("id"), "class": n.value("class"), "start": n.start, "inner_start": n.inner_start, "inner_end": n.inner_end, "end": n.end} for n in markup.nodes(page)]
+
+
+def page_nodes(df: DataFrame, id_col: str, html_col: str) -> DataFrame:
+    """``(id, place, tag, depth, id_attribute, class_attribute, start, inner_start, inner_end, end)``: a row for each element and comment of each page."""
+    found = df.select(F.col(id_col), F.posexplode(outline(F.col(html_col))).alias("place", "n"))
+    return found.select(id_col, "place", "n.tag", "n.depth", F.col("n.id").alias("id_attribute"), F.col("n.class").alias("class_attribute"), "n.start", "n.inner_start", "n.inner_end", "n.end")
+
+
+def row_text(fragment: Column) -> Column:
+    """A fragment without comments and tags, all else as it stands."""
+    return F.regexp_replace(fragment, r"(?s)<!--.*?-->|<[^>]*>", "")
 
 
 def post_rows(body: Column) -> Column:
     """Texts of a post's rows: bold spans before a colon begin one, as line breaks and rules do."""
     marked = F.regexp_replace(body, r"(?is)<span class=\"post-b\">((?:(?!</span>).)*)</span>\s*:", "\u0001$1:")
     rows = F.filter(F.split(marked, "\u0001|<br>|<hr class=\"post-hr\">"), lambda r: r != "")
-    return F.transform(rows, lambda r: inner_text(F.regexp_replace(r, r"(?is)^.*</var>", "")))
+    return F.transform(rows, lambda r: F.ltrim(row_text(F.regexp_replace(r, r"(?is)^.*</var>", "")), F.lit("\n\"")))
 
 
 def table_rows(body: Column) -> Column:
     """Texts of a table's rows after the first."""
     rows = F.filter(F.split(body, "<br>|<tr class='row1'>"), lambda r: r != "")
-    return F.transform(F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0))), lambda r: inner_text(F.replace(F.replace(r, F.lit("&nbsp;"), F.lit("")), F.lit("\n"), F.lit(""))))
+    return F.transform(F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0))), lambda r: F.regexp_replace(row_text(F.replace(F.replace(r, F.lit("&nbsp;"), F.lit("")), F.lit("\n"), F.lit(""))), r"^\s+|\s+$", ""))
 
 
-def page_values(df: DataFrame, id_col: str, rows: Column) -> DataFrame:
-    """``(id, key, value)`` of each row with a colon; of equal keys the last row."""
+def page_values(df: DataFrame, id_col: str, rows: Column, trimmed: bool = False) -> DataFrame:
+    """``(id, key, value, first)`` of each row with a colon; of equal keys the last row's value, and the place of the first."""
     found = df.select(F.col(id_col), F.posexplode(rows).alias("pos", "row")).select(id_col, "pos", key_value(F.col("row")).alias("x")).filter("x IS NOT NULL")
-    return found.groupBy(id_col, F.col("x.key").alias("key")).agg(F.max_by("x.value", "pos").alias("value"))
+    value = F.regexp_replace("x.value", r"^\s+|\s+$", "") if trimmed else F.col("x.value")
+    return found.groupBy(id_col, F.col("x.key").alias("key")).agg(F.max_by(value, "pos").alias("value"), F.min("pos").alias("first"))
 
 
 def record_columns(values: DataFrame, id_col: str) -> DataFrame:
     """One row for each id with the columns that its keys fill; a nested value's own key counts too.
 
-    Of several keys for a column the last one in the order of keys counts.
+    Of several keys for a column the one that begins last on the page counts.
     """
     inner = key_value(F.col("value"))
-    both = values.withColumn("x", F.when(F.col("key") == NESTED, inner).otherwise(F.struct("key", "value"))).filter("x IS NOT NULL").select(id_col, "x.key", "x.value")
+    both = values.withColumn("x", F.when(F.col("key") == NESTED, inner).otherwise(F.struct("key", "value"))).filter("x IS NOT NULL").select(id_col, "x.key", "x.value", "first")
     key = F.lower(F.trim(F.col("key"), F.lit(" []<>;\n\t.,\"(")))
     column = F.lit(None).cast("string")
     for name, keys in SYNONYMS.items():
         column = F.when(key.isin(*keys), name).otherwise(column)
-    wide = both.withColumn("column", column).groupBy(id_col).agg(*(F.max_by("value", F.when(F.col("column") == name, F.col("key"))).alias(name) for name in SYNONYMS))
+    wide = both.withColumn("column", column).groupBy(id_col).agg(*(F.max_by("value", F.when(F.col("column") == name, F.col("first"))).alias(name) for name in SYNONYMS))
 
     def cleaned(name: str) -> Column:
         x, n = F.col(name), LENGTHS[name]
@@ -152,3 +189,21 @@ def record_columns(values: DataFrame, id_col: str) -> DataFrame:
         return change_case(value, *modes[name], True) if name in modes else value
 
     return wide.select(id_col, *(cleaned(name).alias(name) for name in SYNONYMS))
+
+
+#: Fixed value: the key of a catalogue page's size.
+SIZE_KEY = "общий размер"
+
+
+def parsed_records(df: DataFrame, id_col: str, html_col: str, body: Column, rows: str = "post") -> DataFrame:
+    """Whole pages as records: one row for each page that has a body, with the columns that its keys fill and, by ``table`` rows, its size.
+
+    ``body`` picks the body's HTML, as ``elements`` gives it; ``post`` and
+    ``table`` name how it is cut into rows.
+    """
+    bodies = df.select(id_col, body.alias("body")).filter("body IS NOT NULL")
+    values = page_values(bodies, id_col, {"post": post_rows, "table": table_rows}[rows](F.col("body")), rows == "table")
+    keys = values.withColumn("key", F.rtrim(F.col("key"), F.lit(":")))
+    sizes = values.filter(F.col("key") == SIZE_KEY).select(id_col, size_bytes(F.col("value")).alias("size_bytes"))
+    out = bodies.select(id_col).join(record_columns(keys, id_col), id_col, "left")
+    return out.join(sizes, id_col, "left") if rows == "table" else out

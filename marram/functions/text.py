@@ -84,14 +84,43 @@ def looks_like_author(left: Column, author: Column) -> Column:
     return (normalize(author) == "") | F.arrays_overlap(long_tokens, tokens(normalize(left)))
 
 
-def strip_brackets(x: Column, rounds: int = 20) -> Column:
-    """Trailing bracket groups, flat or nested once, removed up to ``rounds`` times; a wholly bracketed title stays."""
-    inner = r"\s*(?:\((?:[^()]|\([^()]*\))*\)|\[(?:[^\[\]]|\[[^\[\]]*\])*\])$"
-    def once(acc: Column, _: Column) -> Column:
-        trimmed = F.regexp_replace(acc, r"[ .,]+$", "")
-        return bind(trimmed, lambda t: bind(F.regexp_replace(t, inner, ""), lambda cut: F.when(F.trim(cut) != "", cut).otherwise(t)))
+#: What is cut from a title's end before a bracket is sought.
+TITLE_TAIL = " .,"
+CLOSING = {")": "(", "]": "[", "}": "{"}
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), x, once)
+
+def strip_brackets(x: Column) -> Column:
+    """Trailing bracket groups removed, however many and however deeply nested; a title that is one group stays.
+
+    Read from the end, each character changes the depth of the group that it
+    stands in; a group ends with the opener at depth zero. A closer whose opener
+    isn't found, or stands at the title's start, ends the search.
+    """
+    return bind(x, without_groups)
+
+
+def without_groups(x: Column) -> Column:
+    start = F.struct(F.lit(None).cast("string").alias("open"), F.lit(None).cast("string").alias("shut"), F.lit(0).alias("depth"), F.lit(0).alias("seen"), F.lit(0).alias("cut"), F.lit(False).alias("done"))
+
+    def state(open_: Column, shut: Column, depth: Column, seen: Column, cut: Column, done: Column) -> Column:
+        return F.struct(open_.alias("open"), shut.alias("shut"), depth.alias("depth"), seen.alias("seen"), cut.alias("cut"), done.alias("done"))
+
+    none = F.lit(None).cast("string")
+
+    def step(acc: Column, c: Column) -> Column:
+        seen = acc["seen"] + 1
+        outside = F.when(c.isin(*TITLE_TAIL), state(none, none, F.lit(0), seen, seen, F.lit(False)))
+        for shut, open_ in CLOSING.items():
+            outside = outside.when(c == shut, state(F.lit(open_), F.lit(shut), F.lit(1), seen, acc["cut"], F.lit(False)))
+        outside = outside.otherwise(state(none, none, F.lit(0), seen, acc["cut"], F.lit(True)))
+        depth = acc["depth"] + F.when(c == acc["shut"], 1).when(c == acc["open"], -1).otherwise(0)
+        first = seen == F.length(x)
+        inside = F.when(depth > 0, state(acc["open"], acc["shut"], depth, seen, acc["cut"], F.lit(False))).when(first, state(none, none, F.lit(0), seen, acc["cut"], F.lit(True))).otherwise(state(none, none, F.lit(0), seen, seen, F.lit(False)))
+        return F.when(acc["done"], acc).when(acc["depth"] > 0, inside).otherwise(outside)
+
+    letters = F.split(F.reverse(x), "")
+    cut = F.aggregate(F.filter(letters, lambda c: c != ""), start, step, lambda acc: acc["cut"])
+    return F.when(x.isNotNull(), F.substring(x, F.lit(1), F.length(x) - cut))
 
 
 def clean_title(title: Column, author: Column) -> Column:
@@ -161,8 +190,15 @@ def page_title(html: Column) -> Column:
 
 
 def key_value(x: Column) -> Column:
-    """(key, value) around the first colon that stands at neither end; null where there is none."""
+    """(key, value) around the first colon that stands at neither end; null where there is none.
+
+    The key is lower-cased, begins after its last semicolon (unless that is its
+    first character) and loses leading dashes, line feeds and dots and outer
+    blanks; the value stays as it is.
+    """
     at = F.instr(x, ":")
-    key = F.lower(F.trim(F.substring_index(F.substring(x, F.lit(1), at - 1), ";", -1)))
-    value = F.trim(F.substring(x, at + 1, F.length(x)))
+    head = F.lower(F.substring(x, F.lit(1), at - 1))
+    cut = F.when(F.length(head) - F.length(F.substring_index(head, ";", -1)) > 1, F.substring_index(head, ";", -1)).otherwise(head)
+    key = F.trim(F.ltrim(cut, F.lit("-\n.")), F.lit(" "))
+    value = F.substring(x, at + 1, F.length(x))
     return F.when((at > 1) & (at < F.length(x)) & (key != ""), F.struct(key.alias("key"), value.alias("value")))

@@ -202,7 +202,7 @@ def html_title_links(spark, sf):
     return table(spark, sf, "pages").select("page_id", text.page_title(F.col("html")).alias("title"), F.size(text.links(F.col("html"))).alias("n_links"))
 
 
-@query()
+@query(r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages""")
 def html_clean_text(spark, sf):
     return table(spark, sf, "pages").select("page_id", text.inner_text(F.col("html")).alias("text"))
 
@@ -210,7 +210,7 @@ def html_clean_text(spark, sf):
 @query("SELECT event_id, 'k' AS key, json_extract_string(props, '$.k') AS value FROM events")
 def key_value_pivot(spark, sf):
     pair = text.key_value(F.translate("props", '{}"', ""))
-    return table(spark, sf, "events").select("event_id", pair["key"].alias("key"), pair["value"].alias("value"))
+    return table(spark, sf, "events").select("event_id", pair["key"].alias("key"), F.trim(pair["value"]).alias("value"))
 
 
 def label_centers(spark, sf):

@@ -1,26 +1,21 @@
-"""Periodic upserts of a stream into a written table."""
+"""Periodic upserts of a stream into a store."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from marram.operators.relational import upsert
+from marram.sources.store import Store
 
 
-def flush_into(stream: DataFrame, folder: str, checkpoint: str, keys: list[str], order: list[Column], every: str = "30 seconds", once: bool = False) -> StreamingQuery:
-    """Each micro-batch is merged into the latest snapshot under ``folder``.
+def flush_into(stream: DataFrame, store: Store, checkpoint: str, order: list[Column], every: str = "30 seconds", once: bool = False) -> StreamingQuery:
+    """Each micro-batch is merged into the store, whose versions keep the last batch, so that one that is run again changes nothing.
 
-    Snapshots are folders v=N, one per batch id; a batch that is run again
-    overwrites its own snapshot, so restarts change nothing.
+    A merge rewrites the buckets that the batch touches, not the table.
     """
+
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        if batch_id:
-            batch = upsert(spark.read.parquet(f"{folder}/v={batch_id - 1}"), batch, keys, order)
-        else:
-            batch = upsert(batch.limit(0), batch, keys, order)
-        batch.write.mode("overwrite").parquet(f"{folder}/v={batch_id}")
+        Store(batch.sparkSession, store.folder).merge(batch, order, batch_id)
 
     writer = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
