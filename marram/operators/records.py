@@ -114,24 +114,31 @@ def canonical_name(surname: Column, given: Column) -> Column:
     return F.when(F.coalesce(given, F.lit("")) != "", F.concat_ws(", ", surname, given)).otherwise(surname)
 
 
-def recover_authors(df: DataFrame, key: str, author: str, title: str) -> DataFrame:
-    """``df`` with blank authors taken from the part of the title before `` - ``, where it is another row's author whatever its case.
+def recover_authors(df: DataFrame, known: DataFrame, author: str, title: str) -> DataFrame:
+    """``df`` with blank authors taken from the part of the title before `` - ``, where it is a known author whatever its case.
 
-    Two passes: known authors are those of all rows, whatever their order; of
-    several spellings the first in order of characters is taken.
+    ``known`` has (name, seq); of several spellings the one of least seq is taken.
     """
-    known = df.filter(F.coalesce(F.col(author), F.lit("")) != "").groupBy(F.lower(author).alias("__k")).agg(F.min(author).alias("__known"))
+    names = known.filter(not_blank(F.col("name"))).groupBy(F.lower("name").alias("__k")).agg(F.min_by("name", F.struct("seq", "name")).alias("__known"))
     head = F.when(F.instr(F.col(title), " - ") > 0, F.lower(F.trim(F.substring_index(title, " - ", 1))))
-    blank = F.coalesce(F.col(author), F.lit("")) == ""
-    joined = df.withColumn("__head", F.when(blank, head)).join(known, F.col("__head") == F.col("__k"), "left")
+    blank = ~not_blank(F.col(author))
+    joined = df.withColumn("__head", F.when(blank, head)).join(names, F.col("__head") == F.col("__k"), "left")
     return joined.withColumn(author, F.when(blank, F.coalesce("__known", author)).otherwise(F.col(author))).drop("__head", "__k", "__known")
 
 
-def normalise_records(df: DataFrame, replacements: DataFrame, key: str = "key") -> DataFrame:
-    """Replacements of bitrate, publisher, reader, author and genre, composed and recovered authors; a null genre or author becomes empty."""
+def normalise_records(df: DataFrame, replacements: DataFrame, key: str = "key", catalogue: DataFrame | None = None) -> DataFrame:
+    """Replacements of bitrate, publisher, reader, author and genre, composed and recovered authors; a null genre or author becomes empty.
+
+    Authors are recovered from titles by the names that the stored ``catalogue``
+    (author) has and by those that the rows' own authors are composed to, before
+    replacement; the catalogue's spelling comes first, then that of the least key.
+    """
     out = replace_values(df, replacements, ["bitrate", "publisher", "reader"])
     out = out.withColumn("author", text.compose_author(F.col("author"), F.col("author_surname"), F.col("author_name")))
-    out = recover_authors(replace_values(out, replacements, ["author"]), key, "author", "title")
+    known = out.select(F.col("author").alias("name"), F.struct(F.lit(1).alias("own"), F.col(key).cast("string").alias("key")).alias("seq"))
+    if catalogue is not None:
+        known = known.unionByName(catalogue.select(F.col("author").alias("name"), F.struct(F.lit(0).alias("own"), F.col("author").alias("key")).alias("seq")))
+    out = recover_authors(replace_values(out, replacements, ["author"]), known, "author", "title")
     out = replace_values(out.withColumn("genre", F.coalesce("genre", F.lit(""))), replacements, ["genre"])
     return out.withColumn("author", F.coalesce("author", F.lit("")))
 

@@ -28,6 +28,11 @@ def exclude(df: DataFrame, marks: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(marks, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{k}_mark")) for k in keys]), "left_anti")
 
 
+def visible(df: DataFrame, marks: DataFrame, keys: list[str], include_hidden: bool = False) -> DataFrame:
+    """Rows that no mark hides, or all of them."""
+    return df if include_hidden else exclude(df, marks, keys)
+
+
 def first_by(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
     """The first ``n`` rows of each key; the order should be total."""
     made = Window.partitionBy(*keys).orderBy(*order)

@@ -91,11 +91,15 @@ def incremental_import(spark, sf):
     return relational.import_new(old, new, ["o_orderkey"])
 
 
-@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")
+@query("""WITH r AS (SELECT *, event_id > (SELECT max(event_id) FROM events) * 3 // 4 AS changed FROM events)
+    SELECT user_id, event_id, event_type FROM r QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY changed DESC, ts DESC, event_id DESC) = 1""")
 def upsert_latest(spark, sf):
+    """The last quarter of the events over the latest of each user's others: changed rows replace a target's, whatever their time."""
     events = table(spark, sf, "events").select("user_id", "event_id", "event_type", "ts")
-    empty = events.filter("false")
-    return relational.upsert(empty, events, ["user_id"], [F.desc("ts"), F.desc("event_id")]).drop("ts")
+    at = F.broadcast(events.agg(F.floor(F.max("event_id") * 3 / 4).alias("at")))
+    order = [F.desc("ts"), F.desc("event_id")]
+    target = relational.first_by(events.join(at).filter("event_id <= at").drop("at"), ["user_id"], order)
+    return relational.upsert(target, events.join(at).filter("event_id > at").drop("at"), ["user_id"], order).drop("ts")
 
 
 @query("SELECT l_partkey, count(*) AS votes, round(avg(l_quantity), 6) AS avg_rate FROM lineitem WHERE l_quantity BETWEEN 1 AND 5 GROUP BY l_partkey")
@@ -121,15 +125,15 @@ def confidence_histogram(spark, sf):
     return reports.histogram(table(spark, sf, "lineitem"), "l_discount")
 
 
-@query("SELECT event_type, round(sum(CASE WHEN value >= 50 THEN 1 ELSE 0 END) / count(*), 9) AS coverage FROM events GROUP BY event_type")
+@query("SELECT round(sum(CASE WHEN l_discount >= 0.05 THEN l_quantity ELSE 0 END) / sum(l_quantity), 9) AS coverage FROM lineitem")
 def weighted_coverage(spark, sf):
-    return table(spark, sf, "events").groupBy("event_type").agg(F.round(F.sum(F.when(F.col("value") >= 50, 1).otherwise(0)) / F.count("*"), 9).alias("coverage"))
+    return reports.weighted_coverage(table(spark, sf, "lineitem"), "l_discount", "l_quantity", 0.05).select(F.round("coverage", 9).alias("coverage"))
 
 
-@query("""SELECT count(*) AS n, count(value) AS matched, count(CASE WHEN value >= 80 THEN 1 END) AS high, 100.0::DOUBLE AS matched_pct,
-    round(100.0 * count(CASE WHEN value >= 80 THEN 1 END) / count(*), 1)::DOUBLE AS high_pct FROM events""")
+@query("""WITH x AS (SELECT CASE WHEN event_id % 3 > 0 THEN value END AS v FROM events) SELECT count(*) AS n, count(v) AS matched, count(CASE WHEN v >= 80 THEN 1 END) AS high,
+    round(100.0 * count(v) / count(*), 1)::DOUBLE AS matched_pct, round(100.0 * count(CASE WHEN v >= 80 THEN 1 END) / count(*), 1)::DOUBLE AS high_pct FROM x""")
 def match_report(spark, sf):
-    return reports.match_report(table(spark, sf, "events"), "value", 80)
+    return reports.match_report(table(spark, sf, "events").withColumn("v", F.when(F.col("event_id") % 3 > 0, F.col("value"))), "v", 80)
 
 
 @query("SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 4")
@@ -167,11 +171,15 @@ def token_sort_ratio(spark, sf):
     return names.select("n", "m", F.round(fuzzy.ratio(F.col("n"), F.col("m")), 9).alias("plain"), F.round(fuzzy.token_sort_ratio(F.col("n"), F.col("m")), 9).alias("sorted_ratio"))
 
 
-@query("""WITH p AS (SELECT DISTINCT p_name AS n, string_split(p_name, ' ')[1] AS w FROM part)
-    SELECT n, w, 1.0::DOUBLE AS score FROM p""")
+@query("""WITH p AS (SELECT DISTINCT p_name AS n FROM part), k AS (SELECT a.n AS n, b.n AS m, list_sort(list_distinct(string_split(a.n, ' '))) AS x, list_sort(list_distinct(string_split(b.n, ' '))) AS y FROM p a JOIN p b ON a.n[1] = b.n[1]),
+    s AS (SELECT n, m, array_to_string(list_filter(x, lambda v: list_contains(y, v)), ' ') AS joint, array_to_string(list_filter(x, lambda v: NOT list_contains(y, v)), ' ') AS l, array_to_string(list_filter(y, lambda v: NOT list_contains(x, v)), ' ') AS r FROM k),
+    t AS (SELECT n, m, joint AS a, trim(joint || ' ' || l) AS b, trim(joint || ' ' || r) AS c FROM s)
+    SELECT n, m, round(greatest(1 - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b)), 1 - levenshtein(a, c)::DOUBLE / greatest(length(a), length(c)), 1 - levenshtein(b, c)::DOUBLE / greatest(length(b), length(c))), 9) AS score FROM t""")
 def token_set_ratio(spark, sf):
-    names = table(spark, sf, "part").select(F.col("p_name").alias("n"), F.get(F.split("p_name", " "), F.lit(0)).alias("w")).distinct()
-    return names.select("n", "w", F.round(fuzzy.token_set_ratio(F.col("n"), F.col("w")), 9).alias("score"))
+    """Pairs of names with the same initial."""
+    names = table(spark, sf, "part").select(F.col("p_name").alias("n"), F.substring("p_name", 1, 1).alias("f")).distinct()
+    pairs = names.join(names.select(F.col("n").alias("m"), "f"), "f")
+    return pairs.select("n", "m", F.round(fuzzy.token_set_ratio(F.col("n"), F.col("m")), 9).alias("score"))
 
 
 @query(f"""WITH {WORDS_SQL}, q AS (SELECT x.w AS a, y.w AS b, jaro_similarity(x.w, y.w) AS j FROM w x, w y WHERE x.w[1] = y.w[1]),

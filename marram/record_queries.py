@@ -1,64 +1,15 @@
-"""Queries over records, pages and dumps, with SQL; functions are held against stated values."""
+"""Queries over records, with SQL."""
 
 from __future__ import annotations
 
-import json
-import tempfile
-
 from pyspark.sql import functions as F
 
-from marram.functions import fuzzy, pages, parse, text
-from marram.operators import matching, records, relational
-from marram.queries import ORACLE_SQL, QUERIES, label_centers, query, table
-from marram.session import shared_dir
-from marram.sources import dump
+from marram.operators import records
+from marram.queries import label_centers, query, table
 
 NOW = "2024-02-01 12:00:00"
 
 
-@query("SELECT * FROM (VALUES (1, 1, CAST(1.0 AS DOUBLE), 51, CAST(1.0 AS DOUBLE), 5), (2, 1, CAST(1.0 AS DOUBLE), NULL, NULL, NULL), (3, NULL, NULL, NULL, NULL, NULL)) t(key, author_ref, author_conf, book_ref, book_conf, book_author_ref)")
-def resolve_rules(spark, sf):
-    """The best author stays the author, though a co-author's book is found; a namesake's isn't."""
-    authors = spark.createDataFrame([(1, "иванов", "иван"), (2, "иванов", "игорь"), (5, "петров", "петр")], "author_id int, surname string, given string")
-    books = spark.createDataFrame([(5, 51, "Красное кольцо"), (2, 21, "Чужая книга")], "author_id int, book_id int, title string")
-    rows = [(1, "Иванов, Иван; Петров, Петр", "Красное кольцо"), (2, "Иванов, Иван", "Чужая книга"), (3, None, "Красное кольцо")]
-    return matching.resolve(spark.createDataFrame(rows, "key int, author string, title string"), authors, books)
-
-
-@query("""SELECT * FROM (VALUES (1, 'Кинг, Стивен', 'Fantasy', '320'), (2, 'Кинг, Стивен', '', 'y'), (3, 'Толстой', '', NULL), (4, '', '', NULL)) t(key, author, genre, bitrate)""")
-def normalise_rules(spark, sf):
-    """Replacements, composed authors, and authors recovered from titles."""
-    rows = [(1, "x", "Кинг", "Стивен", "t", "фэнтези", "x"), (2, None, None, None, "КИНГ, СТИВЕН - It", None, "y"), (3, "толстой л", None, None, "t", None, None), (4, None, None, None, "Nobody - It", None, None)]
-    df = spark.createDataFrame(rows, "key int, author string, author_surname string, author_name string, title string, genre string, bitrate string").withColumns({"publisher": F.lit("p"), "reader": F.lit("r")})
-    same = [(1, "genre", "ФЭНТЕЗИ", "Fantasy"), (2, "bitrate", "X", "320"), (3, "author", "Толстой Л", "Толстой")]
-    return records.normalise_records(df, spark.createDataFrame(same, "id int, property string, possible_value string, replace_value string")).select("key", "author", "genre", "bitrate")
-
-
-@query("""SELECT * FROM (VALUES (1, 'Кинг Стивен', 'Роман, Проза', '05:30', 'Long text'), (2, NULL, NULL, '10:00', NULL)) t(page, author, genre, length, description)""")
-def page_records(spark, sf):
-    """Posts as rows of keys and values, and keys as columns; the last of equal keys counts."""
-    head = '<var class="img"></var>Title: not a key'
-    one = head.replace("Title: not a key", "") + '<span class="post-b">Автор</span>: x<br><span class="post-b">Автор</span>: <b>кинг стивен</b><br><span class="post-b">Жанр</span>: РОМАН,проза<br><span class="post-b">Продолжительность</span>: 05:30<hr class="post-hr"><span class="post-b">Описание</span>: Long <i>text</i>'
-    df = spark.createDataFrame([(1, one), (2, '<span class="post-b">Доп. информация</span>: Время: 10:00')], "page int, body string")
-    return pages.record_columns(pages.page_values(df, "page", pages.post_rows(F.col("body"))), "page").select("page", "author", "genre", "length", "description")
-
-
-@query("SELECT * FROM (VALUES (1, 'общий размер', '409,93 Мб'), (1, 'k', 'v')) t(page, key, value)")
-def table_row_values(spark, sf):
-    df = spark.createDataFrame([(1, "title: x<br>Общий размер:&nbsp;<b>409,93 Мб</b><tr class='row1'>\n K: v")], "page int, body string")
-    return pages.page_values(df, "page", pages.table_rows(F.col("body")))
-
-
-@query("SELECT * FROM (VALUES (1, 'It''s; a\n) title', 'ru', 2001, 1), (2, '', NULL, 0, 0)) t(book_id, title, lang, year, deleted)")
-def dump_roundtrip(spark, sf):
-    """A written dump read back: CRLF, blanks after the semicolon, other tables, lines within a string, repeated keys."""
-    insert = "INSERT INTO `libbook` VALUES "
-    lines = ["DROP TABLE x;", insert + "(1,9,0,'It\\'s; a", ") title','t1','ru',0,0,'fb2',0,2001,'1'),(1,9,0,'Later','','',0,0,'',0,1,'0');\r", "INSERT INTO `other` VALUES ('9','z'); ", "(3,0);", insert + "(2,x,0,NULL,'',''); \t"]
-    path = f"{shared_dir(spark).rstrip('/')}/dump-{tempfile.mktemp(dir='')}"
-    spark.createDataFrame([("\n".join(lines),)], "value string").write.text(path)
-    return dump.typed_rows(dump.read_dump(spark, path, "libbook"), "libbook").select("book_id", "title", "lang", F.col("year").cast("int").alias("year"), "deleted").withColumn("book_id", F.col("book_id").cast("int"))
-
-
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)")
 def key_membership(spark, sf):
     keys = table(spark, sf, "customer").filter("c_nationkey = 3").select(F.col("c_custkey").alias("o_custkey"))
@@ -75,13 +26,6 @@ def stale_by_age(spark, sf):
     return records.stale(table(spark, sf, "events"), "ts", F.lit(NOW).cast("timestamp_ntz"), 15).select("event_id")
 
 
-@query("SELECT * FROM (VALUES ('Zeta', 5), ('alpha', 4), ('EUROPE', 3), ('ZETA', 5)) t(name, id)")
-def site_ids(spark, sf):
-    sites = table(spark, sf, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("plugin_name")).limit(0)
-    sites = sites.unionByName(spark.createDataFrame([(0, "AFRICA"), (3, "Europe")], "id int, plugin_name string"))
-    return records.site_id(sites, spark.createDataFrame([("Zeta",), ("alpha",), ("EUROPE",), ("ZETA",)], "plugin_name string"))
-
-
 @query("""SELECT COALESCE(c_custkey, s_suppkey) AS k, COALESCE(s_name, c_name) AS name FROM (SELECT c_custkey, c_name FROM customer WHERE c_custkey <= 60) FULL JOIN (SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey > 5) ON c_custkey = s_suppkey""")
 def merge_listed(spark, sf):
     known = table(spark, sf, "customer").filter("c_custkey <= 60").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"))
@@ -100,25 +44,12 @@ def least_priority(spark, sf):
     return records.least_priority(table(spark, sf, "orders"), ["o_custkey"], "o_orderpriority").select("o_custkey", "o_orderkey")
 
 
-@query("""SELECT * FROM (VALUES ('genre', 'Fantasy', 'a,b', true), ('genre', 'Prose', 'c', false)) t(property, replace_value, possible, hidden)""")
-def replacement_tree(spark, sf):
-    same = spark.createDataFrame([("genre", "Fantasy", "b"), ("genre", "Fantasy", "a"), ("genre", "Prose", "c"), ("genre", "Prose", "c")], "property string, replace_value string, possible_value string")
-    hidden = spark.createDataFrame([("genre", "Fantasy"), ("author", "Prose")], "property string, value string")
-    return records.replacement_tree(same, hidden).withColumn("possible", F.array_join("possible", ","))
-
-
 @query("SELECT DISTINCT p_brand AS value FROM part WHERE lower(p_brand) NOT IN ('brand#11', 'brand#12')")
 def replacement_proposals(spark, sf):
     same = spark.createDataFrame([("p_brand", "BRAND#11"), ("p_brand", "brand#12"), ("other", "Brand#13")], "property string, possible_value string")
     return records.proposals(table(spark, sf, "part"), "p_brand", same, "p_brand")
 
 
-@query("SELECT * FROM (VALUES (2, 'genre', 'x'), (3, 'genre', 'y')) t(id, property, value)")
-def delete_first_match(spark, sf):
-    rows = spark.createDataFrame([(1, "genre", "x"), (2, "genre", "x"), (3, "genre", "y")], "id int, property string, value string")
-    return records.delete_first(rows, spark.createDataFrame([("genre", "x")], "property string, value string"), ["property", "value"], [F.col("id")], "id").select("id", "property", "value")
-
-
 @query("""WITH last AS (SELECT user_id, max_by(event_type, event_id) AS event_type FROM events GROUP BY user_id)
     SELECT CAST(user_id AS VARCHAR) AS key, event_type AS book_title, 'v2' AS matcher_version FROM last UNION ALL SELECT 'kept', 'old', 'v1'""")
 def overlay_upsert(spark, sf):
@@ -166,18 +97,6 @@ def drill_down(spark, sf):
     return records.drill_down(customers, members, "4", "c_custkey", F.col("c_acctbal") > 0).select("c_custkey", "c_name")
 
 
-@query("SELECT * FROM (VALUES (1, 'Kept', CAST(NULL AS VARCHAR), 0)) t(key, title, author, size_bytes)")
-def cleared_columns(spark, sf):
-    return records.cleared(spark.createDataFrame([(1, "Kept", "gone", 5)], "key int, title string, author string, size_bytes int"), ["author"], "size_bytes")
-
-
-@query("SELECT * FROM (VALUES (1, 19800, 128, 19800), (2, 0, 0, 0), (3, 60, 64, 100)) t(key, parsed_seconds, parsed_kbps, effective_seconds)")
-def computed_record_columns(spark, sf):
-    rows = [(1, 128 * 128 * 19000, "128 kbps", "5 ч. 30 мин."), (2, 5000, None, None), (3, 64 * 128 * 100, "64 kbps", "1 мин")]
-    out = records.computed_columns(spark.createDataFrame(rows, "key int, size_bytes long, bitrate string, length string"))
-    return out.select("key", *(F.col(c).cast("int").alias(c) for c in ("parsed_seconds", "parsed_kbps", "effective_seconds")))
-
-
 @query("SELECT p_partkey, p_type FROM part WHERE trim(p_type) <> '' AND length(p_type) > 5")
 def not_blank_long(spark, sf):
     return table(spark, sf, "part").filter(records.not_blank(F.col("p_type")) & (F.length("p_type") > 5)).select("p_partkey", "p_type")
