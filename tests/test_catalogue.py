@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from marram import queries, record_queries, value_queries  # noqa: F401
+from marram import page_queries, queries, record_queries, source_queries, value_queries  # noqa: F401
 from marram.functions import fuzzy, parse, text
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -74,12 +74,3 @@ def test_dump_roundtrip(spark, tmp_path):
     assert [r["r"] for r in rows.collect()] == [["1", "a'b", None], ["2", "it's;\n)", "NULL"], ["x", "", "3"]]
     typed = rows.select(dump.lenient_int(F.col("r"), 0).alias("i"), dump.text_or_null(F.col("r"), 1).alias("s"), dump.text_or_empty(F.col("r"), 7).alias("e"))
     assert [tuple(r) for r in typed.collect()] == [(1, "a'b", ""), (2, "it's;\n)", ""), (0, None, "")]
-
-
-def test_flush(spark, tmp_path):
-    from marram.streaming.flush import flush_into
-
-    spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "c")], "k int, t int, v string").write.parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema("k int, t int, v string").parquet(f"{tmp_path}/in")
-    flush_into(stream, f"{tmp_path}/out", f"{tmp_path}/check", ["k"], [F.desc("t")], once=True).awaitTermination(60)
-    assert sorted((r.k, r.v) for r in spark.read.parquet(f"{tmp_path}/out/v=0").collect()) == [(1, "b"), (2, "c")]
