@@ -10,6 +10,8 @@ from .fuzzy import bind, tokens
 #: Latin letters and the Cyrillic ones they look like.
 HOMOGLYPH_FROM = "AaKkCcTtOoPpHhXxMmEeBGgz"
 HOMOGLYPH_TO = "АаКкСсТтОоРрНнХхМмЕеВГгз"
+#: Letters that are left alone in genres.
+GENRE_KEPT = "GgZz"
 #: What separates an author from a title, in the order in which it is sought.
 TITLE_SEPARATORS = (" - ", " – ", " — ", " -- ")
 
@@ -140,12 +142,13 @@ def clean_title(title: Column, author: Column) -> Column:
     return F.regexp_replace(strip_brackets(right), "^[\\s\"'«»…–—-]+|[\\s\"'«»…–—-]+$", "")
 
 
-def repair_homoglyphs(x: Column) -> Column:
-    """Look-alike Latin letters within runs of Latin letters that Cyrillic ones follow."""
+def repair_homoglyphs(x: Column, kept: str = "") -> Column:
+    """Look-alike Latin letters, but for the ``kept`` ones, within runs of Latin letters that Cyrillic ones follow."""
+    pairs = [(a, b) for a, b in zip(HOMOGLYPH_FROM, HOMOGLYPH_TO, strict=True) if a not in kept]
     pattern = F.lit("[A-Za-z]+[А-Яа-я]+")
     between, found = F.split(x, pattern, -1), F.regexp_extract_all(x, pattern, F.lit(0))
-    pairs = F.zip_with(between, found, lambda gap, m: F.concat(gap, F.coalesce(F.translate(m, HOMOGLYPH_FROM, HOMOGLYPH_TO), F.lit(""))))
-    return F.array_join(pairs, "")
+    joined = F.zip_with(between, found, lambda gap, m: F.concat(gap, F.coalesce(F.translate(m, "".join(a for a, _ in pairs), "".join(b for _, b in pairs)), F.lit(""))))
+    return F.array_join(joined, "")
 
 
 def compose_author(author: Column, surname: Column, given: Column) -> Column:

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marram.functions import fuzzy, text
 
-#: Part entries of a genre dictionary, which is broadcast.
-MAX_PARTS = 10_000
+#: Letters of the substrings by which containment is looked up.
+GRAM = 3
+#: Labels that are held at a time.
+LABEL_BLOCK = 10_000
 TOP_AUTHORS, AUTHOR_FLOOR, TITLE_FLOOR = 4, 0.80, 0.60
 
 
@@ -59,21 +65,83 @@ def fuzzy_band_join(left: DataFrame, right: DataFrame, a: str, b: str, within: i
     return pairs.withColumn("dist", F.levenshtein("a", "b")).filter(F.col("dist") <= within)
 
 
-def nearest_labels(vectors: DataFrame, labels: DataFrame, id_col: str, vec_col: str, top: int = 1, max_labels: int = 10_000) -> DataFrame:
-    """The ``top`` labels of each vector by cosine, as (id, label, score, place).
+def grams(x: Column, n: int) -> Column:
+    """The different substrings of this length."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - n + 1, F.lit(1))), lambda i: F.substring(x, i, F.lit(n))))
+
+
+def contained_in(values: DataFrame, needles: DataFrame, v: str, w: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of different values (``by``, v, w) where w stands within v, equal in the columns ``by``; an empty w stands in all.
 
-    ``labels`` (label, center) is a stated, small set; more than ``max_labels``
-    are refused, so that it can be broadcast. Each vector is scored against the
-    set within its own row, without a shuffle. Ties go to the smaller label.
+    A text that holds a needle holds all its substrings of three letters, the
+    rarest of them too. So each needle is looked up by the one of its substrings
+    that the fewest values have, and what meets there is compared; needles of one
+    or two letters are looked up whole. A needle with a substring that no value
+    has is found nowhere.
     """
-    if labels.count() > max_labels:
-        raise ValueError(f"more than {max_labels} labels")
-    packed = labels.agg(F.array_sort(F.collect_list(F.struct("label", "center"))).alias("all"))  # at most max_labels rows
+    keys = list(by)
+    values = values.select(*keys, F.col(v).alias("v")).dropna().distinct()
+    needles = needles.select(*keys, F.col(w).alias("w")).dropna().distinct()
+    found = values.join(needles.filter("w = ''"), keys) if keys else values.join(F.broadcast(needles.filter("w = ''")))  # at most one needle for each key
+    for n in range(1, GRAM + 1):
+        own = needles.filter(F.length("w") >= n if n == GRAM else F.length("w") == n)
+        asked = own.select(*keys, "w", F.explode(grams(F.col("w"), n)).alias("gram"))
+        held = values.filter(F.length("v") >= n).select(*keys, "v", F.explode(grams(F.col("v"), n)).alias("gram"))
+        held = held.join(asked.select(*keys, "gram").distinct(), [*keys, "gram"], "left_semi")
+        counts = held.groupBy(*keys, "gram").agg(F.count("*").alias("n"))
+        anchors = asked.join(counts, [*keys, "gram"], "left").groupBy(*keys, "w").agg(F.min_by(F.struct("gram", "n"), F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("x"))
+        anchors = anchors.filter("x.n IS NOT NULL").select(*keys, "w", "x.gram")
+        found = found.unionByName(held.join(anchors, [*keys, "gram"]).filter(F.contains("v", "w")).select(*keys, "v", "w"))
+    return found
+
+
+def nearest_labels(vectors: DataFrame, labels: DataFrame, id_col: str, vec_col: str, top: int = 1, block: int = LABEL_BLOCK) -> DataFrame:
+    """The ``top`` labels of each vector by cosine, as (id, label, score, place); ids should be unique.
+
+    ``labels`` is (label, center). Up to ``block`` labels are scored within each
+    vector's row, without a shuffle; more are taken that many at a time, each
+    time with matrix products, and the best of all of them are merged, which
+    gives the same result. Ties go to the smaller label.
+    """
+    if labels.count() > block:
+        return nearest_by_blocks(vectors, labels, id_col, vec_col, top, block)
+    packed = labels.agg(F.array_sort(F.collect_list(F.struct("label", "center"))).alias("all"))  # at most ``block`` rows
     scored = vectors.join(F.broadcast(packed)).select(id_col, F.transform("all", lambda x: F.struct((-fuzzy.cosine(F.col(vec_col), x["center"])).alias("loss"), x["label"].alias("label"))).alias("s"))
     best = scored.select(id_col, F.posexplode(F.slice(F.array_sort("s"), 1, top)).alias("place", "x"))
     return best.select(id_col, F.col("x.label").alias("label"), (-F.col("x.loss")).alias("score"), "place")
 
 
+def nearest_by_blocks(vectors: DataFrame, labels: DataFrame, id_col: str, vec_col: str, top: int, block: int) -> DataFrame:
+    """``nearest_labels`` with any number of labels; scores are compared to twelve decimals."""
+    spark, kinds = vectors.sparkSession, (vectors.schema[id_col].dataType.simpleString(), labels.schema["label"].dataType.simpleString())
+    bounds = [r[0] for r in labels.select("label").orderBy("label").withColumn("n", F.monotonically_increasing_id()).select("label").toLocalIterator()][::block]
+    out = None
+    for k, low in enumerate(bounds):
+        own = labels.filter(F.col("label") >= low) if k + 1 == len(bounds) else labels.filter((F.col("label") >= low) & (F.col("label") < bounds[k + 1]))
+        rows = own.orderBy("label").collect()  # at most ``block`` rows
+        shared = spark.sparkContext.broadcast(([r["label"] for r in rows], unit_rows([r["center"] for r in rows])))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            names, centers = shared.value
+            for batch in batches:
+                scores = np.round(unit_rows(batch.column(1).to_pylist()) @ centers.T, 12)
+                best = np.argsort(-scores, axis=1, kind="stable")[:, :top]  # labels are in order, so that ties go to the smaller
+                ids = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), best.shape[1])))
+                yield pa.RecordBatch.from_arrays([ids, pa.array([names[j] for j in best.ravel()]), pa.array(np.take_along_axis(scores, best, 1).ravel())], ["id", "label", "score"])
+
+        found = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).mapInArrow(run, f"id {kinds[0]}, label {kinds[1]}, score double")
+        out = found if out is None else out.unionByName(found)
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "label")) - 1
+    return out.withColumn("place", place).filter(F.col("place") < top).select(F.col("id").alias(id_col), "label", "score", "place")
+
+
+def unit_rows(vectors: list[list[float]]) -> np.ndarray:
+    """Vectors of length one; those without length stay zero."""
+    found = np.array(vectors, dtype=np.float64)
+    size = np.sqrt((found * found).sum(axis=1, keepdims=True))
+    return np.divide(found, size, out=np.zeros_like(found), where=size > 0)
+
+
 def rank_authors(records: DataFrame, authors: DataFrame, id_col: str = "key", author_col: str = "author", top: int = TOP_AUTHORS) -> DataFrame:
     """The best author of each of the ``top`` best-matched people of a record, as (id, author_id, score, place).
 
@@ -95,11 +163,13 @@ def rank_authors(records: DataFrame, authors: DataFrame, id_col: str = "key", au
 def resolve(records: DataFrame, authors: DataFrame, books: DataFrame, id_col: str = "key", author_col: str = "author", title_col: str = "title") -> DataFrame:
     """Author and book of each record with confidences; nulls below the floors.
 
-    ``books`` has (author_id, book_id, title). The author is the best-ranked
+    ``books`` has (author_id, book_id, title) and may have deleted, whose rows
+    other than 0 aren't matched. The author is the best-ranked
     one; the book is sought among those of all the record's best authors by
     token-set ratio, earlier authors and smaller ids first. Every record has a
     row; ids should be unique.
     """
+    books = books.filter("deleted = 0") if "deleted" in books.columns else books
     ranked = rank_authors(records, authors, id_col, author_col)
     sure = ranked.filter(F.col("score") >= AUTHOR_FLOOR)
     titles = records.select(F.col(id_col), text.normalize(text.clean_title(F.col(title_col), F.col(author_col))).alias("plain"))
@@ -131,9 +201,7 @@ def canonicalise(df: DataFrame, dictionary: DataFrame, value_col: str, within: i
     by_distance = close.join(whole, F.col("b") == F.col("w")).groupBy(F.col("a").alias("v")).agg(F.min_by("canonical", F.struct("dist", "ord")).alias("near"))
     priority = (F.col("priority") if "priority" in dictionary.columns else F.lit(None)).cast("long")
     parts = dictionary.filter("part").select(F.lower("variant").alias("w"), "canonical", priority.alias("priority"))
-    if parts.count() > MAX_PARTS:
-        raise ValueError(f"more than {MAX_PARTS} parts")
-    held = values.join(F.broadcast(parts), F.contains(F.col("v"), F.col("w"))).groupBy("v", "priority").agg(F.collect_set("canonical").alias("all"))
+    held = contained_in(values, parts, "v", "w").join(parts, "w").groupBy("v", "priority").agg(F.collect_set("canonical").alias("all"))
     by_part = held.groupBy("v").agg(F.min_by("all", F.struct(F.col("priority").isNull().alias("last"), "priority")).alias("holds"))
     found = values.join(by_distance, "v", "left").join(by_part, "v", "left").select(F.col("v").alias("__v"), "near", "holds")
     joined = df.join(found, F.lower(value_col) == F.col("__v"), "left")

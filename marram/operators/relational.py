@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Fixed value: the group of rows without a value.
+NOT_SET = "<not set>"
+
+
 def contains_ci(column: Column, value: str) -> Column:
     """Case-insensitive substring; null never matches."""
     return F.coalesce(F.contains(F.lower(column), F.lit(value.lower())), F.lit(False))
@@ -68,9 +73,10 @@ def hidden_by_values(df: DataFrame, hidden: DataFrame, replacements: DataFrame,
 
     ``hidden`` has (property, value, ignore_case, whole_word). A hidden value
     stands for itself and all values it replaces, and is skipped without any
-    such value. Whole-word values are joined by equality; the few substring ones
-    are searched for.
+    such value. Whole-word values are joined by equality, others by containment.
     """
+    from .matching import contained_in
+
     alike = replacements.select(F.col("property").alias("p"), F.col("replace_value").alias("r"), F.col("possible_value").alias("v"))
     joined = hidden.join(alike, (F.col("property") == F.col("p")) & (F.col("value") == F.col("r")))
     wanted = joined.select("property", "ignore_case", "whole_word", F.explode(F.array("value", "v")).alias("w")).distinct()
@@ -83,8 +89,44 @@ def hidden_by_values(df: DataFrame, hidden: DataFrame, replacements: DataFrame,
     exact = cells.join(whole.filter("NOT ignore_case"), (cells.property == whole.property) & (F.col("cell") == F.col("w")), "left_semi")
     folded = cells.join(whole.filter("ignore_case"), (cells.property == whole.property) & (F.lower("cell") == F.col("w")), "left_semi")
     part = wanted.filter("NOT whole_word")
-    found = cells.join(part, (cells.property == part.property) & F.contains(F.when(F.col("ignore_case"), F.lower("cell")).otherwise(F.col("cell")), same_case("w")), "left_semi")
-    return exact.unionByName(folded).unionByName(found).select(key).distinct()
+    texts = cells.select("property", "cell").distinct()
+    held = contained_in(texts, part.filter("NOT ignore_case"), "cell", "w", ("property",)).select("property", F.col("v").alias("cell"))
+    low = contained_in(texts.withColumn("low", F.lower("cell")), part.filter("ignore_case").withColumn("w", F.lower("w")), "low", "w", ("property",)).select("property", F.col("v").alias("low"))
+    found = cells.join(held.distinct(), ["property", "cell"], "left_semi").unionByName(cells.withColumn("low", F.lower("cell")).join(low.distinct(), ["property", "low"], "left_semi").drop("low"))
+    return exact.select(key).unionByName(folded.select(key)).unionByName(found.select(key)).distinct()
+
+
+def random_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """``n`` rows drawn evenly: those whose key and seed have the least digests. The same rows for a seed, however the table is dealt out; each task hands on ``n`` at most."""
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col(key)).cast("binary")), key).limit(n)
+
+
+def sampled_band(df: DataFrame, score: str, low: float, high: float, key: str, n: int, seed: int) -> DataFrame:
+    """A random sample of the rows whose score lies from ``low`` to below ``high``."""
+    return random_sample(df.filter((F.col(score) >= low) & (F.col(score) < high)), key, n, seed)
+
+
+def group_tree(df: DataFrame, values: Column, key: str, caption: Callable[[Column], Column]) -> DataFrame:
+    """Groups by first letter and value as rows in order: ``(letter, value, caption, cnt, letter_place, place)``.
+
+    Values merge whatever their case, in the first spelling by key and position,
+    which gives letter and caption; a letter's own row has no value. Rows without
+    a value make the group ``<not set>``, which is always there. Counts are of
+    different keys. Places follow the captions: letters, then values in a letter.
+    """
+    rows = df.select(key, F.posexplode_outer(values).alias("pos", "value"))
+    unset = rows.agg(F.count_distinct(F.when(F.coalesce(F.trim("value"), F.lit("")) == "", F.col(key))).alias("cnt")).select(F.lit(NOT_SET).alias("letter"), F.lit(None).cast("string").alias("value"), "cnt")
+    rows = rows.filter(F.coalesce(F.trim("value"), F.lit("")) != "").withColumn("k", F.lower("value"))
+    first = rows.groupBy("k").agg(F.min_by("value", F.struct(key, "pos")).alias("first"))
+    letter = F.upper(F.substring("first", 1, 1))
+    named = rows.join(first, "k").withColumn("letter", F.when(letter.rlike(r"^\p{L}$"), letter).otherwise("<other>"))
+    by_value = named.groupBy("letter", F.col("first").alias("value")).agg(F.count_distinct(key).alias("cnt"))
+    by_letter = named.groupBy("letter").agg(F.count_distinct(key).alias("cnt")).select("letter", F.lit(None).cast("string").alias("value"), "cnt")
+    tree = by_value.unionByName(by_letter).unionByName(unset)
+    tree = tree.withColumn("caption", F.concat(F.when(F.col("value").isNull(), F.col("letter")).otherwise(caption(F.col("value"))), F.lit(" ["), "cnt", F.lit("]")))
+    places = by_letter.select("letter").unionByName(unset.select("letter")).withColumn("letter_place", F.row_number().over(Window.orderBy("letter")))  # an alphabet's letters
+    place = F.row_number().over(Window.partitionBy("letter").orderBy(F.col("value").isNotNull(), "caption")) - 1
+    return tree.withColumn("place", place).join(F.broadcast(places), "letter").select("letter", "value", "caption", "cnt", "letter_place", "place")
 
 
 def facet(df: DataFrame, values: Column, name: str = "value") -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marram.functions import fuzzy, parse, text
-from marram.operators import matching, relational
+from marram.functions import fuzzy, pages, parse, text
+from marram.operators import genres, matching, relational
 from marram.plans import reports
 
 NOW = "2024-02-01 00:00:00"
@@ -245,12 +245,74 @@ def genre_canonicalise(spark, sf):
     return matching.canonicalise(parts, dictionary, "typo").select("p_partkey", "canonical")
 
 
-@query()
+@query("""WITH d(w, p) AS (VALUES ('pro', 1), ('mo', 1), ('eco', 1), ('no', 2), ('all', 2), ('stand', 2), ('dard', NULL), ('med', NULL), ('ium', NULL)), h AS (SELECT p_type, p, list(DISTINCT 'part ' || w) AS l FROM (SELECT DISTINCT p_type FROM part), d WHERE contains(lower(p_type), w) GROUP BY p_type, p),
+    b AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY p_type ORDER BY p NULLS LAST) = 1) SELECT p_partkey, CASE WHEN l IS NOT NULL THEN array_to_string(list_sort(list_distinct(list_append(l, p_type))), ',') END AS canonicals FROM part LEFT JOIN b USING (p_type)""")
 def genre_parts(spark, sf):
     """Types with all parts of the least priority that they contain."""
     entries = [("pro", 1), ("mo", 1), ("eco", 1), ("no", 2), ("all", 2), ("stand", 2), ("dard", None), ("med", None), ("ium", None)]
     dictionary = spark.createDataFrame([(k, w, f"part {w}", True, p) for k, (w, p) in enumerate(entries)], "ord int, variant string, canonical string, part boolean, priority int")
-    return matching.canonicalise(table(spark, sf, "part").select("p_partkey", "p_type"), dictionary, "p_type").select("p_partkey", "canonicals")
+    return matching.canonicalise(table(spark, sf, "part").select("p_partkey", "p_type"), dictionary, "p_type").select("p_partkey", F.array_join("canonicals", ",").alias("canonicals"))
+
+
+@query("""WITH w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part UNION SELECT unnest(['a', 're', '', 'zzz'])) SELECT d.doc_id, w.w FROM documents d, w WHERE contains(d.text, w.w) AND d.doc_id % 2 = 0 AND length(d.text) > 0
+    UNION ALL SELECT doc_id, w FROM documents, w WHERE contains(text, w) AND doc_id % 2 = 1 AND length(text) > 0""")
+def contained_words(spark, sf):
+    """Every word of a part's name, and some short ones, in every document that they stand in."""
+    words = part_words(spark, sf).unionByName(spark.createDataFrame([("a",), ("re",), ("",), ("zzz",)], "w string")).distinct()
+    docs = table(spark, sf, "documents").select("doc_id", "text").filter("text <> ''")
+    return docs.join(matching.contained_in(docs, words, "text", "w").withColumnRenamed("v", "text"), "text").select("doc_id", "w")
+
+
+@query("""WITH s AS (SELECT a.vec_id, b.vec_id AS label, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 10) AS score FROM embeddings a, embeddings b)
+    SELECT vec_id, label, round(score, 5) AS score, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, label) - 1 AS INTEGER) AS place FROM s QUALIFY place < 3""")
+def nearest_vectors(spark, sf):
+    """Each embedding's three nearest of all, which are labels of themselves, a block of them at a time."""
+    vectors = table(spark, sf, "embeddings")
+    near = matching.nearest_labels(vectors, vectors.select(F.col("vec_id").alias("label"), F.col("embedding").alias("center")), "vec_id", "embedding", 3, 512)
+    return near.select("vec_id", "label", F.round("score", 5).alias("score"), "place")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders ORDER BY md5('7:' || o_orderkey), o_orderkey LIMIT 500")
+def random_orders(spark, sf):
+    return relational.random_sample(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", 500, 7)
+
+
+@query("SELECT l_orderkey * 10 + l_linenumber AS line, l_discount FROM lineitem WHERE l_discount >= 0.04 AND l_discount < 0.06 ORDER BY md5('3:' || (l_orderkey * 10 + l_linenumber)), line LIMIT 200")
+def sampled_band(spark, sf):
+    return relational.sampled_band(table(spark, sf, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"), "l_discount"), "l_discount", 0.04, 0.06, "line", 200, 3)
+
+
+@query(r"""WITH v AS (SELECT p_partkey AS k, unnest(CASE WHEN p_partkey % 7 = 0 THEN ['', '  '] WHEN p_partkey % 7 = 1 THEN NULL WHEN p_partkey % 2 = 0 THEN [upper(p_name), '1' || p_brand] ELSE [p_name, 'X' || p_brand] END) AS value, unnest([0, 1]) AS pos FROM part),
+    s AS (SELECT * FROM v WHERE trim(coalesce(value, '')) <> ''), f AS (SELECT lower(value) AS l, arg_min(value, k * 10 + pos) AS value FROM s GROUP BY lower(value)),
+    n AS (SELECT k, f.value, CASE WHEN regexp_matches(f.value[1], '\p{L}') THEN upper(f.value[1]) ELSE '<other>' END AS letter FROM s JOIN f ON lower(s.value) = f.l),
+    t AS (SELECT letter, value, count(DISTINCT k) AS cnt FROM n GROUP BY GROUPING SETS ((letter, value), (letter)) UNION ALL SELECT '<not set>', NULL, (SELECT count(*) FROM part WHERE p_partkey % 7 < 2)),
+    c AS (SELECT *, CASE WHEN value IS NULL THEN letter ELSE list_aggregate(list_transform(string_split(lower(value), ' '), lambda w: upper(w[1]) || w[2:]), 'string_agg', ' ') END || ' [' || cnt || ']' AS caption FROM t),
+    p AS (SELECT letter, row_number() OVER (ORDER BY letter) AS letter_place FROM (SELECT DISTINCT letter FROM t))
+    SELECT letter, value, caption, cnt, CAST(letter_place AS INTEGER) AS letter_place, CAST(row_number() OVER (PARTITION BY letter ORDER BY value IS NOT NULL, caption) - 1 AS INTEGER) AS place FROM c JOIN p USING (letter)""")
+def group_tree(spark, sf):
+    """Names and brands by letter: mixed case, values that aren't letters, blanks and nulls."""
+    k = F.col("p_partkey")
+    blank = F.array(F.lit(""), F.lit("  "))
+    values = F.when(k % 7 == 0, blank).when(k % 7 == 1, F.lit(None).cast("array<string>")).when(k % 2 == 0, F.array(F.upper("p_name"), F.concat(F.lit("1"), "p_brand"))).otherwise(F.array("p_name", F.concat(F.lit("X"), "p_brand")))
+    return relational.group_tree(table(spark, sf, "part"), values, "p_partkey", lambda x: pages.change_case(text.trim_to_length(x, 40), "words", False, False))
+
+
+@query("""WITH x AS (SELECT p_partkey AS k, p_partkey % 6 AS f, p_type AS t, p_brand AS b FROM part),
+    n AS (SELECT k, f, t, CASE f WHEN 0 THEN ['Ref ' || t] WHEN 1 THEN ['Ref ' || t] WHEN 2 THEN ['Ref ' || t] WHEN 3 THEN list_append(CASE WHEN b LIKE 'Brand#1%' OR contains(b, '2') THEN list_filter([CASE WHEN b LIKE 'Brand#1%' THEN 'Ones' END, CASE WHEN b LIKE 'Brand#2%' THEN 'Twos' END, CASE WHEN contains(b, '2') THEN 'Low' END], lambda x: x IS NOT NULL) ELSE ['Any'] END, b || ' novel')
+            WHEN 4 THEN ['Книга ' || t] ELSE [] END AS own,
+        CASE f WHEN 0 THEN 'Ref ' || t WHEN 1 THEN lower('re-f ' || t) WHEN 2 THEN 'Ref ' || t || 'xx' WHEN 3 THEN b || ' novel' WHEN 4 THEN 'Kнига ' || t ELSE 'unheard of ' || t END AS raw FROM x)
+    SELECT k, CASE WHEN len(own) > 0 OR k % 4 = 0 THEN array_to_string(list_sort(list_distinct(CASE WHEN k % 4 = 0 THEN list_append(own, 'Ref ' || t) ELSE own END)), ', ') ELSE raw || ', abc' END AS genre FROM n""")
+def genre_cascade(spark, sf):
+    """Genres that each step settles: names, variants, near ones, parts by priority, look-alikes, and none."""
+    part = table(spark, sf, "part")
+    types = part.select("p_type").distinct()
+    whole = types.select((F.hash("p_type").cast("long")).alias("ord"), F.concat(F.lit("Ref "), "p_type").alias("variant"), F.concat(F.lit("Ref "), "p_type").alias("canonical"), F.lit(False).alias("part"), F.lit(None).cast("int").alias("priority"))
+    entries = [("brand#1", "Ones", 1), ("brand", "Any", None), ("brand#2", "Twos", 1), ("2", "Low", 1), ("novel", "Any", None)]
+    dictionary = whole.unionByName(spark.createDataFrame([(k, w, c, True, p) for k, (w, c, p) in enumerate(entries)], whole.schema))
+    k, ref = F.col("p_partkey"), F.concat(F.lit("Ref "), "p_type")
+    raw = F.element_at(F.array(ref, F.lower(F.concat(F.lit("re-f "), "p_type")), F.concat(ref, F.lit("xx")), F.concat("p_brand", F.lit(" novel")), F.concat(F.lit("Kнига "), "p_type"), F.concat(F.lit("unheard of "), "p_type")), (k % 6).cast("int") + 1)
+    rows = part.select(k.alias("k"), F.concat(raw, F.lit(", abc"), F.when(k % 4 == 0, F.concat(F.lit("; "), ref)).otherwise("")).alias("genre"))
+    return genres.normalise_genres(rows, dictionary, "k", "genre")
 
 
 @query()
