@@ -53,5 +53,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             with recorded() as paths:
                 docs = materialize(stage(spark, docs, sf_dir), name)
             forget(spark, [*stored, *paths[:-1]])
-            stored = paths[-1:]
+            stored = paths[-1:]  # the stage's own result, which is written last
     return docs

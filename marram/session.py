@@ -54,11 +54,17 @@ NOTED: ContextVar[list[str] | None] = ContextVar("noted", default=None)
 
 @contextmanager
 def recorded() -> Iterator[list[str]]:
-    """The paths that ``materialize`` writes inside the block, in order; blocks of other threads have lists of their own."""
+    """The paths that ``materialize`` writes inside the block, in order; blocks of other threads have lists of their own.
+
+    What is on the list at the end of a block within another goes on to the outer list.
+    """
+    outer = NOTED.get()
     token = NOTED.set([])
     try:
         yield NOTED.get()
     finally:
+        if outer is not None:
+            outer.extend(NOTED.get())
         NOTED.reset(token)
 
 
@@ -90,8 +96,12 @@ def materialize(df: DataFrame, label: str, by: list[str] | None = None) -> DataF
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(spark: SparkSession, paths: list[str]) -> None:
-    """Delete what ``materialize`` wrote to these paths, for callers that have stored all that was made from it."""
-    for path in paths:
+def forget(spark: SparkSession, paths: list[str], labels: tuple[str, ...] | None = None) -> None:
+    """Delete what ``materialize`` wrote to these paths, with one of the labels only if they are given, and take it off the list.
+
+    For callers that have stored all that was made from it.
+    """
+    for path in [x for x in paths if labels is None or x.rsplit("/", 1)[1] in labels]:
+        paths.remove(path)
         where = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
