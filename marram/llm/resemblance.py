@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marram.session import materialize
+from marram.session import forget, materialize, recorded
 
 from .common import bounded_runs, fields_of, named, struct_of
 from .links import components
@@ -141,13 +141,14 @@ def checked_links(met: DataFrame) -> DataFrame:
     return dealt(met, ["mark", "fp", "n", "root", "members"], "n", SET_PART).mapInArrow(by_unit(links), "a long, b long")
 
 
-def similar_links(unique: DataFrame, texts_of) -> DataFrame:
+def similar_links(unique: DataFrame, texts_of, paths: list[str]) -> DataFrame:
     """``(a, b)``: links that connect all similar sets that meet in some band.
 
     ``unique`` has (mark, fp, n, keys); ``texts_of`` gives (mark, t) of the marks
     listed. First those pairs are checked that would connect all fingerprints
     within RADIUS in a band; then, in bands that they leave unconnected, all
-    others within RADIUS.
+    others within RADIUS. Tables among ``paths``, which lists what is written
+    meanwhile, are deleted once they are read.
     """
     keyed = unique.select("mark", "fp", "n", F.posexplode("keys").alias("choice", "key"))
     shared = keyed.groupBy("choice", "key").agg(F.count("*").alias("k")).filter("k > 1").drop("k")
@@ -161,7 +162,9 @@ def similar_links(unique: DataFrame, texts_of) -> DataFrame:
     placed = met.join(linked, "mark", "left_semi").join(roots, "mark", "left").select("choice", "key", "mark", "fp", "n", F.coalesce("root", "mark").alias("root"))
     apart = placed.groupBy("choice", "key").agg((F.min("root") != F.max("root")).alias("apart")).filter("apart").drop("apart")
     open_ = placed.join(apart, ["choice", "key"]).join(sets, "mark").select("choice", "key", "mark", "fp", "n", "root", "members")
-    return links.unionByName(materialize(checked_links(materialize(open_, "open")), "links"))
+    open_ = materialize(open_, "open")
+    forget(unique.sparkSession, paths, ("met", "first", "sets", "edges"))  # all that comes of them is in open and links
+    return links.unionByName(materialize(checked_links(open_), "links"))
 
 
 def few(df: DataFrame) -> DataFrame:
@@ -176,19 +179,21 @@ def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     they are, whatever their names. Null texts count as empty, so that one row
     with an empty text stays. An empty table stays empty.
     """
-    names = df.columns
-    place = f"c{names.index(text_col)}"
-    rows = materialize(df.select(struct_of(names).alias("row"), named(id_col).alias("id"), F.monotonically_increasing_id().alias("uid")), "rows")
-    marks = materialize(described(rows.withColumn("t", F.col("row")[place]), "t", ["id", "uid"], "mark long, fp long, n int, keys array<bigint>", signature), "signatures")
-    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid")).alias("best")
-    unique = materialize(marks.groupBy("mark").agg(best, F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys")), "unique")
-
-    def texts_of(nodes: DataFrame) -> DataFrame:
-        chosen = few(materialize(unique.join(nodes, "mark", "left_semi").select(F.col("best.uid").alias("uid"), "mark"), "nodes"))
-        return rows.select("uid", F.col("row")[place].alias("t")).join(chosen, "uid").select("mark", "t")
-
-    roots = components(similar_links(unique.select("mark", "fp", "n", "keys"), texts_of))
-    joined = unique.join(roots, F.col("mark") == F.col("node"), "left")
-    kept = joined.groupBy(F.coalesce("root", "mark").alias("root")).agg(F.min("best").alias("best")).select(F.col("best.uid").alias("uid"))
-    dropped = few(materialize(marks.select("uid").join(kept, "uid", "left_anti"), "dropped"))
+    with recorded() as paths:
+        names = df.columns
+        place = f"c{names.index(text_col)}"
+        rows = materialize(df.select(struct_of(names).alias("row"), named(id_col).alias("id"), F.monotonically_increasing_id().alias("uid")), "rows")
+        marks = materialize(described(rows.withColumn("t", F.col("row")[place]), "t", ["id", "uid"], "mark long, fp long, n int, keys array<bigint>", signature), "signatures")
+        best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid")).alias("best")
+        unique = materialize(marks.groupBy("mark").agg(best, F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys")), "unique")
+
+        def texts_of(nodes: DataFrame) -> DataFrame:
+            chosen = few(materialize(unique.join(nodes, "mark", "left_semi").select(F.col("best.uid").alias("uid"), "mark"), "nodes"))
+            return rows.select("uid", F.col("row")[place].alias("t")).join(chosen, "uid").select("mark", "t")
+
+        roots = components(similar_links(unique.select("mark", "fp", "n", "keys"), texts_of, paths))
+        joined = unique.join(roots, F.col("mark") == F.col("node"), "left")
+        kept = joined.groupBy(F.coalesce("root", "mark").alias("root")).agg(F.min("best").alias("best")).select(F.col("best.uid").alias("uid"))
+        dropped = few(materialize(marks.select("uid").join(kept, "uid", "left_anti"), "dropped"))
+        forget(df.sparkSession, paths, ("signatures", "unique", "nodes", "open", "links", "edges"))  # the result reads rows and dropped only
     return rows.join(dropped, "uid", "left_anti").select(*fields_of("row", names))
