@@ -201,9 +201,10 @@ def parsed_records(df: DataFrame, id_col: str, html_col: str, body: Column, rows
     ``body`` picks the body's HTML, as ``elements`` gives it; ``post`` and
     ``table`` name how it is cut into rows.
     """
-    bodies = df.select(id_col, body.alias("body")).filter("body IS NOT NULL")
-    values = page_values(bodies, id_col, {"post": post_rows, "table": table_rows}[rows](F.col("body")), rows == "table")
+    bodies = df.select(F.col(id_col).alias("__id"), body.alias("body")).filter("body IS NOT NULL")
+    values = page_values(bodies, "__id", {"post": post_rows, "table": table_rows}[rows](F.col("body")), rows == "table")
     keys = values.withColumn("key", F.rtrim(F.col("key"), F.lit(":")))
-    sizes = values.filter(F.col("key") == SIZE_KEY).select(id_col, size_bytes(F.col("value")).alias("size_bytes"))
-    out = bodies.select(id_col).join(record_columns(keys, id_col), id_col, "left")
-    return out.join(sizes, id_col, "left") if rows == "table" else out
+    sizes = values.filter(F.col("key") == SIZE_KEY).select("__id", size_bytes(F.col("value")).alias("size_bytes"))
+    out = bodies.select("__id").join(record_columns(keys, "__id"), "__id", "left")
+    out = out.join(sizes, "__id", "left") if rows == "table" else out
+    return out.withColumnRenamed("__id", id_col)

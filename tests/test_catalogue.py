@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from marram import page_queries, queries, record_queries, source_queries, value_queries  # noqa: F401
+from marram import page_queries, plan_queries, queries, record_queries, source_queries, value_queries  # noqa: F401
 from marram.functions import fuzzy, parse, text
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
