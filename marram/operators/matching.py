@@ -114,12 +114,13 @@ def nearest_labels(vectors: DataFrame, labels: DataFrame, id_col: str, vec_col:
 def nearest_by_blocks(vectors: DataFrame, labels: DataFrame, id_col: str, vec_col: str, top: int, block: int) -> DataFrame:
     """``nearest_labels`` with any number of labels; scores are compared to twelve decimals."""
     spark, kinds = vectors.sparkSession, (vectors.schema[id_col].dataType.simpleString(), labels.schema["label"].dataType.simpleString())
-    bounds = [r[0] for r in labels.select("label").orderBy("label").withColumn("n", F.monotonically_increasing_id()).select("label").toLocalIterator()][::block]
+    blocks = -(-labels.count() // block)
     out = None
-    for k, low in enumerate(bounds):
-        own = labels.filter(F.col("label") >= low) if k + 1 == len(bounds) else labels.filter((F.col("label") >= low) & (F.col("label") < bounds[k + 1]))
-        rows = own.orderBy("label").collect()  # at most ``block`` rows
-        shared = spark.sparkContext.broadcast(([r["label"] for r in rows], unit_rows([r["center"] for r in rows])))
+    for k in range(blocks):
+        rows = labels.filter(F.pmod(F.xxhash64("label"), F.lit(blocks)) == k).select("label", "center").orderBy("label").toArrow()  # about ``block`` rows
+        if not rows.num_rows:
+            continue
+        shared = spark.sparkContext.broadcast((rows["label"].combine_chunks(), unit_rows(rows["center"].to_pylist())))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             names, centers = shared.value
@@ -127,7 +128,7 @@ def nearest_by_blocks(vectors: DataFrame, labels: DataFrame, id_col: str, vec_co
                 scores = np.round(unit_rows(batch.column(1).to_pylist()) @ centers.T, 12)
                 best = np.argsort(-scores, axis=1, kind="stable")[:, :top]  # labels are in order, so that ties go to the smaller
                 ids = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), best.shape[1])))
-                yield pa.RecordBatch.from_arrays([ids, pa.array([names[j] for j in best.ravel()]), pa.array(np.take_along_axis(scores, best, 1).ravel())], ["id", "label", "score"])
+                yield pa.RecordBatch.from_arrays([ids, names.take(pa.array(best.ravel())), pa.array(np.take_along_axis(scores, best, 1).ravel())], ["id", "label", "score"])
 
         found = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).mapInArrow(run, f"id {kinds[0]}, label {kinds[1]}, score double")
         out = found if out is None else out.unionByName(found)

@@ -114,14 +114,16 @@ def group_tree(df: DataFrame, values: Column, key: str, caption: Callable[[Colum
     a value make the group ``<not set>``, which is always there. Counts are of
     different keys. Places follow the captions: letters, then values in a letter.
     """
-    rows = df.select(key, F.posexplode_outer(values).alias("pos", "value"))
-    unset = rows.agg(F.count_distinct(F.when(F.coalesce(F.trim("value"), F.lit("")) == "", F.col(key))).alias("cnt")).select(F.lit(NOT_SET).alias("letter"), F.lit(None).cast("string").alias("value"), "cnt")
-    rows = rows.filter(F.coalesce(F.trim("value"), F.lit("")) != "").withColumn("k", F.lower("value"))
-    first = rows.groupBy("k").agg(F.min_by("value", F.struct(key, "pos")).alias("first"))
+    rows = df.select(F.col(key).alias("__key"), F.posexplode_outer(values).alias("pos", "value"))
+    blank = F.coalesce(F.trim("value"), F.lit("")) == ""
+    count = F.count_distinct("__key").alias("cnt")
+    unset = rows.agg(F.count_distinct(F.when(blank, F.col("__key"))).alias("cnt")).select(F.lit(NOT_SET).alias("letter"), F.lit(None).cast("string").alias("value"), "cnt")
+    rows = rows.filter(~blank).withColumn("folded", F.lower("value"))
+    first = rows.groupBy("folded").agg(F.min_by("value", F.struct("__key", "pos")).alias("first"))
     letter = F.upper(F.substring("first", 1, 1))
-    named = rows.join(first, "k").withColumn("letter", F.when(letter.rlike(r"^\p{L}$"), letter).otherwise("<other>"))
-    by_value = named.groupBy("letter", F.col("first").alias("value")).agg(F.count_distinct(key).alias("cnt"))
-    by_letter = named.groupBy("letter").agg(F.count_distinct(key).alias("cnt")).select("letter", F.lit(None).cast("string").alias("value"), "cnt")
+    named = rows.join(first, "folded").withColumn("letter", F.when(letter.rlike(r"^\p{L}$"), letter).otherwise("<other>"))
+    by_value = named.groupBy("letter", F.col("first").alias("value")).agg(count)
+    by_letter = named.groupBy("letter").agg(count).select("letter", F.lit(None).cast("string").alias("value"), "cnt")
     tree = by_value.unionByName(by_letter).unionByName(unset)
     tree = tree.withColumn("caption", F.concat(F.when(F.col("value").isNull(), F.col("letter")).otherwise(caption(F.col("value"))), F.lit(" ["), "cnt", F.lit("]")))
     places = by_letter.select("letter").unionByName(unset.select("letter")).withColumn("letter_place", F.row_number().over(Window.orderBy("letter")))  # an alphabet's letters
