@@ -48,6 +48,8 @@ SLICE = 1 << 18
 HEAD, HEAD_BYTES = 300_000, 64
 #: Entries of a task's counters, and symbols or characters that are handled at a time.
 HELD, CHUNK = 500_000, 1 << 21
+#: Rows of a hot context that one task adds up, about, and rows of three numbers that may be broadcast.
+FAN, BROADCAST_ROWS = 256, 500_000
 #: The byte before and after a spelled word, and bytes that no lower-cased word has.
 EDGE = 256
 NEVER = [*range(9, 14), 32, *range(65, 91), 0xC0, 0xC1, *range(0xF5, 0x100)]
@@ -272,10 +274,12 @@ def dense(data: bytes) -> np.ndarray:
     return out
 
 
-def hot_counts(encoded: DataFrame, hot: Hot, depth: int) -> DataFrame:
+def hot_counts(encoded: DataFrame, hot: Hot, depth: int, chunks: int) -> DataFrame:
     """``(older, context, data)``: of each hot context of this depth its next symbols' counts in training and, where ``older``, the symbols that often stand before it.
 
-    A task gives one row for each hot context, whose rows are then added up.
+    Each of the texts' ``chunks``, about, gives one row for each hot context;
+    about FAN rows of a context are added up at a time, then their sums, in as
+    many rounds as that takes.
     """
     shared = encoded.sparkSession.sparkContext.broadcast(hot)
     unit = UNIT
@@ -283,9 +287,10 @@ def hot_counts(encoded: DataFrame, hot: Hot, depth: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = np.uint64(0xFFFF)
         for batch in batches:
-            learn = batch.column(0).to_numpy(zero_copy_only=False)
+            learn, uids = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy()
             data = batch.column(1).to_pylist()
             for i, j in bounded_runs([len(x) // 2 for x in data], CHUNK):
+                piece = int(mixed(uids[i : i + 1], 1 << 30)[0])
                 keys, sizes = keys_of(data[i:j])
                 hit, which = shared.value.find(keys, depth)
                 keys, taught = keys[hit], np.repeat(learn[i:j], sizes)[hit]
@@ -298,20 +303,28 @@ def hot_counts(encoded: DataFrame, hot: Hot, depth: int) -> DataFrame:
                     ends = np.append(starts[1:], len(found))
                     made = [listed(found[a:b] & 0xFFFF, n[a:b]) for a, b in zip(starts, ends, strict=False) if b > a]
                     own = shared.value.keys[depth][found[starts] >> 16].view(np.int64) if len(found) else found
-                    yield pa.RecordBatch.from_arrays([pa.array([older] * len(made), pa.bool_()), pa.array(own, pa.int64()), pa.array(made, pa.binary())], ["older", "context", "data"])
+                    yield pa.RecordBatch.from_arrays([pa.array([older] * len(made), pa.bool_()), pa.array(own, pa.int64()), pa.array([piece] * len(made), pa.int64()), pa.array(made, pa.binary())], ["older", "context", "piece", "data"])
 
-    def add_up(key: tuple, rows: pa.Table) -> pa.Table:
-        total = np.zeros(1 << 16, dtype=np.int64)
-        for x in rows.column("data").to_pylist():
-            total += dense(x)
-        hit = np.flatnonzero(2 * total > unit if key[0].as_py() else total)
-        return pa.table({"older": pa.array([key[0].as_py()], pa.bool_()), "context": pa.array([key[1].as_py()], pa.int64()), "data": pa.array([listed(hit, total[hit])], pa.binary())})
+    def adding(last: bool):
+        def add_up(key: tuple, rows: pa.Table) -> pa.Table:
+            total = np.zeros(1 << 16, dtype=np.int64)
+            for x in rows.column("data").to_pylist():
+                total += dense(x)
+            hit = np.flatnonzero(2 * total > unit if last and key[0].as_py() else total)
+            return pa.table({"older": pa.array([key[0].as_py()], pa.bool_()), "context": pa.array([key[1].as_py()], pa.int64()), "piece": pa.array([key[2].as_py()], pa.int64()), "data": pa.array([listed(hit, total[hit])], pa.binary())})
 
-    schema = "older boolean, context long, data binary"
-    return encoded.select("learn", "symbols").mapInArrow(run, schema).groupBy("older", "context").applyInArrow(add_up, schema)
+        return add_up
 
+    schema = "older boolean, context long, piece long, data binary"
+    out, rounds = encoded.select("learn", "symbols", "uid").mapInArrow(run, schema), 1
+    while FAN**rounds < chunks:
+        rounds += 1
+    for k in range(rounds - 1, -1, -1):
+        out = out.withColumn("piece", F.col("piece") % F.lit(FAN**k)).groupBy("older", "context", "piece").applyInArrow(adding(k == 0), schema)
+    return out.drop("piece")
 
-def find_hot(encoded: DataFrame, sizes: dict[int, int], buckets: int) -> tuple[Hot, DataFrame | None]:
+
+def find_hot(encoded: DataFrame, sizes: dict[int, int], buckets: int, chunks: int) -> tuple[Hot, DataFrame | None]:
     """Hot contexts (``sizes``: positions after each symbol), and a row (bucket, chunk, depth, context, data) with counts for each bucket that needs them.
 
     Only contexts whose own suffix is hot can be; there are at most so many as
@@ -322,7 +335,7 @@ def find_hot(encoded: DataFrame, sizes: dict[int, int], buckets: int) -> tuple[H
     for depth in range(1, DEPTH + 1):
         if not len(hot.keys[depth]):
             break
-        counts = materialize(hot_counts(encoded, hot, depth), "hot")
+        counts = materialize(hot_counts(encoded, hot, depth, chunks), "hot")
         out.append(counts.filter("NOT older").select(F.lit(depth).alias("depth"), "context", "data"))
         if depth < DEPTH:
             large = {}
@@ -335,8 +348,9 @@ def find_hot(encoded: DataFrame, sizes: dict[int, int], buckets: int) -> tuple[H
     blobs = out[0]
     for x in out[1:]:
         blobs = blobs.unionByName(x)
-    targets = F.broadcast(spark.createDataFrame(hot.targets(), "depth int, context long, bucket int"))
-    joined = blobs.join(targets, ["depth", "context"])
+    rows = hot.targets()
+    targets = spark.createDataFrame(rows, "depth int, context long, bucket int")
+    joined = blobs.join(F.broadcast(targets) if len(rows) <= BROADCAST_ROWS else targets, ["depth", "context"])
     return hot, joined.select("bucket", F.lit(None).cast("long").alias("chunk"), "depth", "context", "data")
 
 
@@ -509,7 +523,7 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
     possible[[RARE, END]] = 1
     root = (sizes + possible) / (tokens + possible.sum())
     after = {k: math.ceil(n * total / max(tokens, 1)) for k, n in enumerate(sizes.tolist()) if n and k != END} | {START: texts}
-    hot, counts = find_hot(encoded, after, max(1, -(-total // UNIT)))
+    hot, counts = find_hot(encoded, after, max(1, -(-total // UNIT)), max(1, -(-2 * total // CHUNK)))
     dealt = deal(encoded, hot)
     parts = score_positions(dealt if counts is None else dealt.unionByName(counts), root).withColumnRenamed("uid", "uid_")
 
