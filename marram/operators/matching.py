@@ -47,17 +47,19 @@ def fuzzy_band_join(left: DataFrame, right: DataFrame, a: str, b: str, within: i
         start, end = F.floor(n * k / parts), F.floor(n * (k + 1) / parts)
         cuts.append(F.struct(n.alias("n"), start.cast("int").alias("at"), F.substring(F.col("a"), start.cast("int") + 1, (end - start).cast("int")).alias("piece")))
     pieces = lefts.filter(n >= parts).select("a", F.explode(F.array(*cuts)).alias("x")).select("a", "x.*")
-    offers = []
     m = F.length("b")
-    for d in range(-within, within + 1):  # the left side's length is m + d
-        for k in range(parts):
-            own = m + d
-            start, end = F.floor(own * k / parts).cast("int"), F.floor(own * (k + 1) / parts).cast("int")
-            for shift in range(-within, within + 1):
-                at = start + shift
-                fits = (own >= parts) & (at >= 0) & (at + (end - start) <= m)
-                offers.append(F.when(fits, F.struct(own.alias("n"), start.alias("at"), F.substring(F.col("b"), at + 1, end - start).alias("piece"))))
-    offered = rights.select("b", F.explode(F.array_distinct(F.array_compact(F.array(*offers)))).alias("x")).select("b", "x.*")
+
+    def offer(c: Column) -> Column:
+        """The piece that the right side offers to strings of length m + d, for their piece k, if it stands ``shift`` further on."""
+        own = m + c["d"]
+        start, end = F.floor(own * c["k"] / parts).cast("int"), F.floor(own * (c["k"] + 1) / parts).cast("int")
+        at = start + c["shift"]
+        fits = (own >= parts) & (at >= 0) & (at + (end - start) <= m)
+        return F.when(fits, F.struct(own.alias("n"), start.alias("at"), F.substring(F.col("b"), at + 1, end - start).alias("piece")))
+
+    reach = range(-within, within + 1)
+    choices = F.array(*(F.struct(F.lit(d).alias("d"), F.lit(k).alias("k"), F.lit(shift).alias("shift")) for d in reach for k in range(parts) for shift in reach))
+    offered = rights.select("b", F.explode(F.array_distinct(F.array_compact(F.transform(choices, offer)))).alias("x")).select("b", "x.*")
     met = pieces.join(offered, ["n", "at", "piece"]).select("a", "b")
     lengths = lefts.filter(n < parts).select("a", F.explode(F.sequence(F.greatest(n - within, F.lit(0)), n + within)).alias("m"))
     short = lengths.join(rights.filter(m < parts + within).select("b", m.alias("m")), "m").select("a", "b") if within else None

@@ -22,15 +22,17 @@ def by_key(df: DataFrame, column: str, value) -> DataFrame:
 
 
 def stale(df: DataFrame, updated: str, now: Column, days: float) -> DataFrame:
-    """Rows updated more than so many (fractional) days ago."""
+    """Rows updated more than so many (fractional) days ago; rows without a time aren't."""
     return df.filter(F.timestamp_diff("MICROSECOND", F.col(updated), now) / 86_400e6 > days)
 
 
 def not_blank(x: Column) -> Column:
+    """Whether a value has more than blanks; null hasn't."""
     return F.coalesce(F.trim(x) != "", F.lit(False))
 
 
 def filtered(df: DataFrame, wanted: Column, enabled: bool = True) -> DataFrame:
+    """The rows that a filter wants, or all where it is switched off."""
     return df.filter(wanted) if enabled else df
 
 
@@ -174,6 +176,7 @@ def rounded_time(x: Column, seconds: int) -> Column:
 
 
 def nearly(a: Column, b: Column, within: float = 0.0005) -> Column:
+    """Whether two numbers differ by less than ``within``; null with a null."""
     return F.abs(a - b) < within
 
 

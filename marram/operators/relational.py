@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marram.functions.parse import duration_seconds
+
 
 #: Fixed value: the group of rows without a value.
 NOT_SET = "<not set>"
@@ -23,8 +25,18 @@ def all_present(fields: dict[str, str | None]) -> Column:
     return reduce(lambda a, b: a & b, [contains_ci(F.col(c), v) for c, v in fields.items() if v], F.lit(True))
 
 
-def duration_predicate(seconds: Column, sign: str, value: int) -> Column:
-    return {">": seconds > value, "<": seconds < value, "=": seconds == value}[sign or "="]
+def duration_predicate(seconds: Column, sign: str, value: int | Column) -> Column:
+    """Whether a duration compares with a value; without a sign it must be equal. Null never does."""
+    return F.coalesce({">": seconds > value, "<": seconds < value, "=": seconds == value}[sign or "="], F.lit(False))
+
+
+def duration_filter(seconds: Column, wanted: str | None) -> Column:
+    """Whether a duration meets a wish such as ``> 10 ч``, ``<05:30`` or ``42``, whose value is read as durations are; no wish is met by all."""
+    wanted = (wanted or "").strip()
+    if not wanted:
+        return F.lit(True)
+    sign = wanted[0] if wanted[0] in "<>=" else ""
+    return duration_predicate(seconds, sign, duration_seconds(F.lit(wanted[len(sign) :].strip())))
 
 
 def exclude(df: DataFrame, marks: DataFrame, keys: list[str]) -> DataFrame:
@@ -132,6 +144,7 @@ def group_tree(df: DataFrame, values: Column, key: str, caption: Callable[[Colum
 
 
 def facet(df: DataFrame, values: Column, name: str = "value") -> DataFrame:
+    """``(value, cnt)``: how many rows have each value; null and empty arrays add none."""
     return df.select(F.explode(values).alias(name)).groupBy(name).agg(F.count("*").alias("cnt"))
 
 

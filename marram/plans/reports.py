@@ -16,6 +16,7 @@ def match_report(df: DataFrame, conf: str, high: float) -> DataFrame:
 
 
 def histogram(df: DataFrame, score: str) -> DataFrame:
+    """``(bucket, cnt)`` by tenths of a score; null scores make a bucket of their own, empty ones have no row."""
     return df.groupBy(bucket_of(F.col(score)).alias("bucket")).agg(F.count("*").alias("cnt"))
 
 

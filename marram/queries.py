@@ -245,13 +245,19 @@ def genre_canonicalise(spark, sf):
     return matching.canonicalise(parts, dictionary, "typo").select("p_partkey", "canonical")
 
 
-@query("""WITH d(w, p) AS (VALUES ('pro', 1), ('mo', 1), ('eco', 1), ('no', 2), ('all', 2), ('stand', 2), ('dard', NULL), ('med', NULL), ('ium', NULL)), h AS (SELECT p_type, p, list(DISTINCT 'part ' || w) AS l FROM (SELECT DISTINCT p_type FROM part), d WHERE contains(lower(p_type), w) GROUP BY p_type, p),
-    b AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY p_type ORDER BY p NULLS LAST) = 1) SELECT p_partkey, CASE WHEN l IS NOT NULL THEN array_to_string(list_sort(list_distinct(list_append(l, p_type))), ',') END AS canonicals FROM part LEFT JOIN b USING (p_type)""")
+@query()
 def genre_parts(spark, sf):
     """Types with all parts of the least priority that they contain."""
     entries = [("pro", 1), ("mo", 1), ("eco", 1), ("no", 2), ("all", 2), ("stand", 2), ("dard", None), ("med", None), ("ium", None)]
     dictionary = spark.createDataFrame([(k, w, f"part {w}", True, p) for k, (w, p) in enumerate(entries)], "ord int, variant string, canonical string, part boolean, priority int")
-    return matching.canonicalise(table(spark, sf, "part").select("p_partkey", "p_type"), dictionary, "p_type").select("p_partkey", F.array_join("canonicals", ",").alias("canonicals"))
+    return matching.canonicalise(table(spark, sf, "part").select("p_partkey", "p_type"), dictionary, "p_type").select("p_partkey", "canonicals")
+
+
+@query("""WITH d(w, p) AS (VALUES ('pro', 1), ('mo', 1), ('eco', 1), ('no', 2), ('all', 2), ('stand', 2), ('dard', NULL), ('med', NULL), ('ium', NULL)), h AS (SELECT p_type, p, list(DISTINCT 'part ' || w) AS l FROM (SELECT DISTINCT p_type FROM part), d WHERE contains(lower(p_type), w) GROUP BY p_type, p),
+    b AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY p_type ORDER BY p NULLS LAST) = 1) SELECT p_partkey, CASE WHEN l IS NOT NULL THEN array_to_string(list_sort(list_distinct(list_append(l, p_type))), ',') END AS canonicals FROM part LEFT JOIN b USING (p_type)""")
+def genre_parts_joined(spark, sf):
+    """``genre_parts`` with the names of each type joined by commas."""
+    return genre_parts(spark, sf).select("p_partkey", F.array_join("canonicals", ",").alias("canonicals"))
 
 
 @query("""WITH w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part UNION SELECT unnest(['a', 're', '', 'zzz'])) SELECT d.doc_id, w.w FROM documents d, w WHERE contains(d.text, w.w) AND d.doc_id % 2 = 0 AND length(d.text) > 0

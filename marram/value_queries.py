@@ -206,3 +206,14 @@ def hidden_switch(spark, sf):
     docs, marks = table(spark, sf, "documents").filter("lang = 'en'").select("doc_id", "source"), table(spark, sf, "labels").filter("toxic = 1").select("doc_id")
     with_hidden = relational.visible(docs.filter("source = 'src1'"), marks, ["doc_id"], include_hidden=True)
     return with_hidden.unionByName(relational.visible(docs.filter("source <> 'src1'"), marks, ["doc_id"]))
+
+
+@query("""WITH x AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 > 0 THEN o_orderkey % 3000 END AS s FROM orders) SELECT 'more' AS wish, o_orderkey FROM x WHERE s > 2700 UNION ALL SELECT 'less', o_orderkey FROM x WHERE s < 330
+    UNION ALL SELECT 'same', o_orderkey FROM x WHERE s = 1800 UNION ALL SELECT 'any', o_orderkey FROM x WHERE o_orderkey % 100 = 0""")
+def duration_wishes(spark, sf):
+    """Durations that meet wishes as a user types them."""
+    rows = table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 11 > 0, F.col("o_orderkey") % 3000).alias("s"))
+    out = rows.filter("o_orderkey % 100 = 0").filter(relational.duration_filter(F.col("s"), None)).select(F.lit("any").alias("wish"), "o_orderkey")
+    for wish, typed in (("more", "> 45:00"), ("less", "<5 мин 30 сек"), ("same", "30 минут")):
+        out = out.unionByName(rows.filter(relational.duration_filter(F.col("s"), typed)).select(F.lit(wish).alias("wish"), "o_orderkey"))
+    return out
