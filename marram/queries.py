@@ -321,11 +321,12 @@ def genre_cascade(spark, sf):
     return genres.normalise_genres(rows, dictionary, "k", "genre")
 
 
-@query()
+@query(f"""WITH x AS (SELECT p_partkey, p_name, split_part(p_name, ' ', 1) AS w FROM part), a AS (SELECT w, min(p_partkey) AS id FROM x GROUP BY w), b AS (SELECT p_name, min(p_partkey) AS book FROM x GROUP BY p_name)
+    SELECT p_partkey AS key, a.id AS author_ref, CAST({max(fuzzy.NO_GIVEN, fuzzy.WHOLE_NAME)} AS DOUBLE) AS author_conf, b.book AS book_ref, CAST(1 AS DOUBLE) AS book_conf, a.id AS book_author_ref FROM x JOIN a USING (w) JOIN b USING (p_name)""")
 def resolve_author_book(spark, sf):
     """Part names as books of the authors that their first words name."""
     parts = table(spark, sf, "part").select("p_partkey", "p_name", F.split("p_name", " ").alias("w"))
-    authors = parts.select(F.get("w", F.lit(0)).alias("surname")).distinct().select(F.hash("surname").cast("long").alias("author_id"), "surname", F.lit("").alias("given"))
-    books = parts.groupBy("p_name", "w").agg(F.min("p_partkey").alias("book_id")).select(F.hash(F.get("w", F.lit(0))).cast("long").alias("author_id"), "book_id", F.col("p_name").alias("title"))
+    authors = parts.groupBy(F.get("w", F.lit(0)).alias("surname")).agg(F.min("p_partkey").alias("author_id")).select("author_id", "surname", F.lit("").alias("given"))
+    books = parts.groupBy("p_name", "w").agg(F.min("p_partkey").alias("book_id")).join(authors, F.get("w", F.lit(0)) == F.col("surname")).select("author_id", "book_id", F.col("p_name").alias("title"))
     records = parts.select(F.col("p_partkey").alias("key"), F.get("w", F.lit(0)).alias("author"), F.concat_ws(" - ", F.get("w", F.lit(0)), "p_name").alias("title"))
     return matching.resolve(records, authors, books)
