@@ -163,6 +163,11 @@ def rank_authors(records: DataFrame, authors: DataFrame, id_col: str = "key", au
     return placed.filter(F.col("place") <= top).select(F.col("id").alias(id_col), "author_id", "score", "place")
 
 
+def books_of(books: DataFrame, links: DataFrame) -> DataFrame:
+    """``(author_id, book_id, title)``: the books of every author that aren't deleted; ``links`` is (book_id, author_id)."""
+    return links.select("book_id", "author_id").distinct().join(books.filter("deleted = 0").select("book_id", "title"), "book_id").select("author_id", "book_id", "title")
+
+
 def resolve(records: DataFrame, authors: DataFrame, books: DataFrame, id_col: str = "key", author_col: str = "author", title_col: str = "title") -> DataFrame:
     """Author and book of each record with confidences; nulls below the floors.
 

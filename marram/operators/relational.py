@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -148,6 +149,46 @@ def facet(df: DataFrame, values: Column, name: str = "value") -> DataFrame:
     return df.select(F.explode(values).alias(name)).groupBy(name).agg(F.count("*").alias("cnt"))
 
 
+def captioned_facet(df: DataFrame, values: Column, caption: Callable[[Column], Column]) -> DataFrame:
+    """``(value, caption, cnt)``, the most frequent first, then by value. Values are counted as they are written and captioned afterwards, so that captions may repeat."""
+    return facet(df, values).select("value", caption(F.col("value")).alias("caption"), "cnt").orderBy(F.desc("cnt"), "value")
+
+
+def sorted_values(df: DataFrame, column: str) -> DataFrame:
+    """The different values in order, null first."""
+    return df.select(column).distinct().orderBy(F.asc_nulls_first(column))
+
+
+def looked_up(df: DataFrame, lookup: DataFrame, key: str, lookup_key: str, columns: list[str]) -> DataFrame:
+    """``df`` with columns of a lookup table by key, and ``found``; rows whose key it lacks stay, with nulls."""
+    own = lookup.select(F.col(lookup_key).alias("__lookup"), *columns, F.lit(True).alias("__found"))
+    return df.join(own, F.col(key) == F.col("__lookup"), "left").withColumn("found", F.coalesce("__found", F.lit(False))).drop("__lookup", "__found")
+
+
+@dataclass(frozen=True)
+class FilterFields:
+    """What a user has filled in, by column; empty values count as none."""
+
+    values: tuple[tuple[str, str], ...] = ()
+
+    def with_value(self, name: str, value: str | None) -> FilterFields:
+        """The fields with this one set, or without it where the value is empty."""
+        rest = tuple((k, v) for k, v in self.values if k != name)
+        return FilterFields(rest + ((name, value),) if value else rest)
+
+    def value(self, name: str) -> str | None:
+        return dict(self.values).get(name)
+
+    @property
+    def is_empty(self) -> bool:
+        return not self.values
+
+    def condition(self, durations: tuple[str, ...] = ()) -> Column:
+        """Rows that hold every value, in any case, in its column; values of ``durations`` are wishes for a number of seconds."""
+        texts = all_present({k: v for k, v in self.values if k not in durations})
+        return reduce(lambda a, b: a & b, [duration_filter(F.col(k), v) for k, v in self.values if k in durations], texts)
+
+
 def levels(df: DataFrame, columns: list[str]) -> DataFrame:
     """Counts of every level of a hierarchy; level is how many columns are given."""
     out = df.rollup(*columns).agg(F.count("*").alias("cnt"), F.grouping_id().alias("g"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marram.functions import pages, pieces
-from marram.operators import genres, matching
+from marram.operators import genres, matching, relational
 from marram.plans import catalogue
 from marram.queries import label_centers, query, table
 from marram.source_queries import filled_store, scratch
@@ -141,3 +141,51 @@ def normalised_and_matched(spark, sf):
     store = spark.createDataFrame([("kept", None, 0.5, "old", None, 0.5, "old", "v1"), ("4", None, 0.5, "old", None, 0.5, "old", "v1")], "key string, author_ref long, author_conf double, author_canonical string, book_ref long, book_conf double, book_title string, matcher_version string").withColumn("matched_utc", F.lit("2024-01-01").cast("timestamp"))
     out, matched = catalogue.normalised_and_matched(records, none, known, authors, books, store, "v3", F.lit("2024-02-01").cast("timestamp"))
     return matched.join(out.select("key", "author"), "key", "left").select("key", "author", "author_canonical", "author_conf", "book_title", "book_conf", "matcher_version")
+
+
+@query("""SELECT value, upper(value[1]) || value[2:] AS caption, count(*) AS cnt FROM (SELECT unnest([p_brand, lower(p_type), string_split(p_name, ' ')[1]]) AS value FROM part) GROUP BY value""")
+def captioned_facet(spark, sf):
+    values = F.array("p_brand", F.lower("p_type"), F.get(F.split("p_name", " "), F.lit(0)))
+    return relational.captioned_facet(table(spark, sf, "part"), values, lambda x: pages.change_case(x, "first", True, False))
+
+
+@query("SELECT DISTINCT CASE WHEN p_size > 5 THEN p_brand END AS brand FROM part")
+def sorted_brands(spark, sf):
+    return relational.sorted_values(table(spark, sf, "part").select(F.when(F.col("p_size") > 5, F.col("p_brand")).alias("brand")), "brand")
+
+
+@query("""SELECT n_name, r_name IS NOT NULL AS found, count(*) AS cnt FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 4 > 0) ON c_nationkey = n_nationkey LEFT JOIN (SELECT * FROM region WHERE r_regionkey > 0) ON n_regionkey = r_regionkey GROUP BY ALL""")
+def lookups_with_gaps(spark, sf):
+    """Customers with the names of their nation and region, counted with those whose keys are unknown."""
+    named = relational.looked_up(table(spark, sf, "customer"), table(spark, sf, "nation").filter("n_nationkey % 4 > 0"), "c_nationkey", "n_nationkey", ["n_name", "n_regionkey"]).drop("found")
+    return relational.looked_up(named, table(spark, sf, "region").filter("r_regionkey > 0"), "n_regionkey", "r_regionkey", ["r_name"]).groupBy("n_name", "found").agg(F.count("*").alias("cnt"))
+
+
+@query("SELECT c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 3")
+def records_of_site(spark, sf):
+    groups = table(spark, sf, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_regionkey").alias("web_site_id"))
+    return catalogue.records_of_site(table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("group_key")), groups, 3).select("c_custkey")
+
+
+@query("""SELECT DISTINCT l_suppkey AS author_id, p_partkey AS book_id, p_name AS title FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size % 3 = 0""")
+def books_of_authors(spark, sf):
+    books = table(spark, sf, "part").select(F.col("p_partkey").alias("book_id"), F.col("p_name").alias("title"), (F.col("p_size") % 3).alias("deleted"))
+    return matching.books_of(books, table(spark, sf, "lineitem").select(F.col("l_partkey").alias("book_id"), F.col("l_suppkey").alias("author_id")))
+
+
+@query("SELECT p_partkey FROM part WHERE contains(lower(p_name), 'a') AND contains(lower(p_brand), 'brand#2') AND p_size * 60 > 600")
+def filter_fields(spark, sf):
+    """Fields as a user fills them in, one of them cleared again."""
+    fields = relational.FilterFields().with_value("p_type", "x").with_value("p_name", "A").with_value("p_brand", "BRAND#2").with_value("length", "> 10 минут").with_value("p_type", "")
+    return table(spark, sf, "part").withColumn("length", F.col("p_size") * 60).filter(fields.condition(("length",))).select("p_partkey")
+
+
+@query("SELECT 'before' AS kind, count(*) AS n FROM (SELECT DISTINCT user_id FROM events WHERE event_id <= (SELECT max(event_id) FROM events) // 2) UNION ALL SELECT 'after', count(DISTINCT user_id) FROM events")
+def store_cached(spark, sf):
+    """A version in memory, renewed when a merge makes another."""
+    store = filled_store(spark, sf)
+    before = store.cached().agg(F.count("*").alias("n")).first()["n"]
+    store.merge(table(spark, sf, "events").select("user_id", "event_id", "event_type", "ts"), [F.desc("ts"), F.desc("event_id")])
+    after = store.cached().agg(F.count("*").alias("n")).first()["n"]
+    store.release()
+    return spark.createDataFrame([("before", before), ("after", after)], "kind string, n long")

@@ -18,6 +18,11 @@ def groups_of_site(groups: DataFrame, site: int) -> DataFrame:
     return groups.filter(F.col("web_site_id") == site).select("key").distinct()
 
 
+def records_of_site(records: DataFrame, groups: DataFrame, site: int) -> DataFrame:
+    """Records whose group belongs to a site."""
+    return records.join(groups_of_site(groups, site).withColumnRenamed("key", "group_key"), "group_key", "left_semi")
+
+
 def groups_for(groups: DataFrame, keys: DataFrame, site: int) -> DataFrame:
     """``(key, title, web_site_id)`` of the listed keys: known groups with the site put right, new ones titled by their key."""
     known = groups.select("key", "title").groupBy("key").agg(F.min("title").alias("title"))

@@ -26,6 +26,7 @@ class Store:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        self.held: tuple[int, DataFrame] | None = None
 
     @classmethod
     def create(cls, df: DataFrame, folder: str, keys: list[str], buckets: int = 64) -> Store:
@@ -68,6 +69,20 @@ class Store:
         paths = [f"{self.folder}/{r['path']}" for r in rows if r["bucket"] >= 0 and (buckets is None or r["bucket"] in buckets)]
         return self.spark.read.parquet(*paths) if paths else None
 
+    def cached(self) -> DataFrame | None:
+        """The latest version, kept in memory until there is a newer one."""
+        version = self.versions()[-1]
+        if self.held is None or self.held[0] != version:
+            self.release()
+            rows = self.read(version)
+            self.held = None if rows is None else (version, rows.cache())
+        return self.held[1] if self.held else None
+
+    def release(self) -> None:
+        if self.held is not None:
+            self.held[1].unpersist()
+            self.held = None
+
     def merge(self, changed: DataFrame, order: list[Column] | None = None, batch: int | None = None, delete: bool = False) -> int:
         """The new version, in which changed rows stand in place of those of equal keys; with ``delete`` nothing does.
 
