@@ -99,8 +99,11 @@ def materialize(df: DataFrame, label: str, by: list[str] | None = None) -> DataF
 def forget(spark: SparkSession, paths: list[str], labels: tuple[str, ...] | None = None) -> None:
     """Delete what ``materialize`` wrote to these paths, with one of the labels only if they are given, and take it off the list.
 
-    For callers that have stored all that was made from it.
+    For callers that have stored all that was made from it. The driver's JVM is
+    asked to collect its garbage too, as Spark keeps the shuffle files of jobs
+    that have ended until then.
     """
+    spark._jvm.System.gc()
     for path in [x for x in paths if labels is None or x.rsplit("/", 1)[1] in labels]:
         paths.remove(path)
         where = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
