@@ -74,6 +74,7 @@ def described(df: DataFrame, text: str, passed: list[str], kinds: str, of_set) -
                 cut = batch.slice(i, j - i)
                 made = of_set([shingle_set(x) for x in texts[i:j]])
                 yield pa.RecordBatch.from_arrays([*cut.columns[: len(passed)], *made.values()], [*passed, *made])
+        pa.default_memory_pool().release_unused()  # Spark keeps the worker for later stages
 
     return rows.mapInArrow(run, schema)
 
