@@ -30,8 +30,8 @@ PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\
 LATIN = "A-Za-zÀ-ÖØ-öø-ƺƼ-ƿǄ-ɏ"
 UNUSUAL = re.compile(f"[^\\x00-\\x1b\\x20-\\x7e{LATIN}]")
 PLAIN = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{LATIN}]+| ?[0-9]+| ?[^\\s0-9{LATIN}]+|\\s+(?!\\S)|\\s+")
-#: Words of at most this many characters are remembered, so many per generation and worker.
-REMEMBERED_LENGTH, REMEMBERED = 48, 80_000
+#: Words of at most this many characters are remembered, so many per generation and worker; and how many where a worker does nothing else.
+REMEMBERED_LENGTH, REMEMBERED, REMEMBERED_ALONE = 48, 80_000, 400_000
 COMPOUND_LENGTH = 5
 #: A blank before further white space: blanks then don't separate pieces by themselves.
 BLANK_RUN = re.compile(r" \s")
@@ -62,9 +62,9 @@ class Words(dict):
     first words. Only single pieces and short compounds are remembered.
     """
 
-    def __init__(self, coder: BytePairs, lead: str):
+    def __init__(self, coder: BytePairs, lead: str, most: int = REMEMBERED):
         super().__init__()
-        self.coder, self.lead, self.older = coder, lead, {}
+        self.coder, self.lead, self.most, self.older = coder, lead, most, {}
 
     def __missing__(self, word: str) -> bytes:
         found = self.older.get(word)
@@ -77,7 +77,7 @@ class Words(dict):
             else:
                 found = self.coder.encode_piece(pieces[0]) if pieces else b""
         if len(word) <= REMEMBERED_LENGTH:
-            if len(self) >= REMEMBERED:
+            if len(self) >= self.most:
                 self.older = dict(self)
                 self.clear()
             self[word] = found
@@ -87,7 +87,7 @@ class Words(dict):
 class BytePairs:
     """Encoder and decoder of one vocabulary file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, letters = spec["model"]["vocab"], byte_letters()
@@ -106,7 +106,7 @@ class BytePairs:
             self.rank[vocab[a] << 20 | vocab[b]] = rank
             self.made.append(vocab[a + b])
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.first, self.spaced = Words(self, ""), Words(self, " ")
+        self.first, self.spaced = Words(self, "", remembered), Words(self, " ", remembered)
 
     def merge(self, ids: list[int]) -> list[int]:
         """The ids after all merges."""
@@ -168,12 +168,12 @@ class BytePairs:
 
 
 @lru_cache(maxsize=2)
-def load(name: str) -> BytePairs:
+def load(name: str, remembered: int = REMEMBERED) -> BytePairs:
     """One encoder for each vocabulary and worker process."""
-    return BytePairs(vocabulary_path(name))
+    return BytePairs(vocabulary_path(name), remembered)
 
 
-def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, keep: bool = True) -> DataFrame:
+def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, keep: bool = True, remembered: int = REMEMBERED) -> DataFrame:
     """``(id, n_tokens, ids_sha256, decoded_sha256)`` and, with ``keep``, ids and decoded.
 
     ``ids`` is an array of integers and ``decoded`` the text that they spell.
@@ -184,7 +184,7 @@ def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * keep
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = load(vocabulary)
+        coder = load(vocabulary, remembered)
         for batch in batches:
             texts = [x or "" for x in batch.column(1).to_pylist()]
             for i, j in bounded_runs([len(x) for x in texts], CHUNK):
@@ -214,4 +214,4 @@ def op5_bpe(spark, sf_dir: str) -> DataFrame:
     Null and empty texts have no tokens and the digests of no bytes; repeated
     rows keep their rows; an empty table gives no rows.
     """
-    return encode_texts(table(spark, sf_dir, "documents"), keep=False)
+    return encode_texts(table(spark, sf_dir, "documents"), keep=False, remembered=REMEMBERED_ALONE)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from marram.session import materialize
 
-from .bpe import PATTERN, VOCABULARY, BytePairs, vocabulary_path
+from .bpe import PATTERN, REMEMBERED, REMEMBERED_ALONE, VOCABULARY, BytePairs, vocabulary_path
 from .common import bounded_runs, table
 from .shard import bins_for
 
@@ -34,8 +34,8 @@ CHUNK = 1 << 20
 class FastPairs(BytePairs):
     """The same ids with the library's own merging of a piece."""
 
-    def __init__(self, path: str):
-        super().__init__(path)
+    def __init__(self, path: str, remembered: int = REMEMBERED):
+        super().__init__(path, remembered)
         import tiktoken
 
         special = set(self.special.values())
@@ -50,8 +50,8 @@ class FastPairs(BytePairs):
 
 
 @lru_cache(maxsize=2)
-def load(name: str) -> FastPairs:
-    return FastPairs(vocabulary_path(name))
+def load(name: str, remembered: int = REMEMBERED) -> FastPairs:
+    return FastPairs(vocabulary_path(name), remembered)
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -62,12 +62,12 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return [(0, first), *((start, capacity) for start in range(first, n, capacity))]
 
 
-def encode_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, capacity: int = CAPACITY) -> DataFrame:
+def encode_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, capacity: int = CAPACITY, remembered: int = REMEMBERED) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32)``: each text's ids and id 0, cut into pieces."""
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = load(vocabulary)
+        coder = load(vocabulary, remembered)
         for batch in batches:
             texts = [x or "" for x in batch.column(1).to_pylist()]
             for i, j in bounded_runs([len(x) for x in texts], CHUNK):
@@ -195,7 +195,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarray,
     return np.array(sorted(rows), dtype=np.int64).reshape(-1, 4), sequence
 
 
-def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, capacity: int = CAPACITY) -> DataFrame:
+def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, capacity: int = CAPACITY, remembered: int = REMEMBERED) -> DataFrame:
     """Every document's pieces with their sequence and place in it.
 
     Columns: id, piece, start, length, ids_crc32, sequence_id, offset. A null or
@@ -204,7 +204,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabula
     are ignored.
     """
     spark = df.sparkSession
-    pieces = materialize(encode_pieces(df, id_col, text_col, vocabulary, capacity), "pieces")
+    pieces = materialize(encode_pieces(df, id_col, text_col, vocabulary, capacity, remembered), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``capacity`` rows
     rows, _ = plan(counts, capacity)
     shared = spark.sparkContext.broadcast(rows)
@@ -237,7 +237,7 @@ def op8_packing(spark, sf_dir: str) -> DataFrame:
     Null and empty texts are one piece with the end id alone; repeated rows are
     packed each for itself; an empty table gives no rows.
     """
-    return pack(table(spark, sf_dir, "documents"))
+    return pack(table(spark, sf_dir, "documents"), remembered=REMEMBERED_ALONE)
 
 
 def stage_packing(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
