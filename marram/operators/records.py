@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marram.functions import fuzzy, parse, text
 
 from .matching import nearest_labels
-from .relational import exclude, first_by, replace_values
+from .relational import exclude, first_by, marked, replace_values
 
 
 def by_keys(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
@@ -84,10 +84,10 @@ def delete_replacements(replacements: DataFrame, wanted: DataFrame, keys: list[s
     return exclude(replacements, wanted, keys)
 
 
-def delete_first(df: DataFrame, wanted: DataFrame, keys: list[str], order: list[Column], id_col: str) -> DataFrame:
-    """Rows without the first of each given key."""
-    first = first_by(df.join(wanted.select(*keys).distinct(), keys, "left_semi"), keys, order).select(id_col)
-    return df.join(first, id_col, "left_anti")
+def delete_first(df: DataFrame, wanted: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """``df`` without the first row of each given key; one row goes, its equals stay. Null keys are compared as values; no column may hold maps."""
+    given = marked(df, wanted, keys)
+    return exclude(df, wanted, keys).unionByName(given.exceptAll(first_by(given, keys, order)))
 
 
 def overlay(store: DataFrame, matches: DataFrame, version: str, now: Column) -> DataFrame:

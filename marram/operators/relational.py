@@ -40,10 +40,20 @@ def duration_filter(seconds: Column, wanted: str | None) -> Column:
     return duration_predicate(seconds, sign, duration_seconds(F.lit(wanted[len(sign) :].strip())))
 
 
+def join_marks(df: DataFrame, marks: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Semi or anti join by keys; null keys are compared as values."""
+    marks = marks.select(*(F.col(k).alias(f"{k}_mark") for k in keys)).distinct()
+    return df.join(marks, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{k}_mark")) for k in keys]), how)
+
+
+def marked(df: DataFrame, marks: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with a mark; null keys are compared as values."""
+    return join_marks(df, marks, keys, "left_semi")
+
+
 def exclude(df: DataFrame, marks: DataFrame, keys: list[str]) -> DataFrame:
     """Rows without a mark; null keys are compared as values."""
-    marks = marks.select(*(F.col(k).alias(f"{k}_mark") for k in keys)).distinct()
-    return df.join(marks, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{k}_mark")) for k in keys]), "left_anti")
+    return join_marks(df, marks, keys, "left_anti")
 
 
 def visible(df: DataFrame, marks: DataFrame, keys: list[str], include_hidden: bool = False) -> DataFrame:

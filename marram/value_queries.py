@@ -196,8 +196,8 @@ def delete_replacements(spark, sf):
 @query("""SELECT l_orderkey * 10 + l_linenumber AS id, l_suppkey FROM lineitem QUALIFY NOT (l_suppkey % 5 = 0 AND row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey * 10 + l_linenumber) = 1)""")
 def delete_first_match(spark, sf):
     rows = table(spark, sf, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), "l_suppkey")
-    wanted = table(spark, sf, "supplier").filter("s_suppkey % 5 = 0").select(F.col("s_suppkey").alias("l_suppkey"))
-    return records.delete_first(rows, wanted, ["l_suppkey"], [F.col("id")], "id")
+    wanted = rows.filter(F.coalesce(F.col("l_suppkey") % 5, F.lit(0)) == 0)  # QUALIFY drops rows whose condition is null: the first without a supplier goes too
+    return records.delete_first(rows, wanted, ["l_suppkey"], [F.col("id").asc_nulls_last()])
 
 
 @query("""SELECT doc_id, source FROM documents d WHERE lang = 'en' AND (source = 'src1' OR NOT EXISTS (SELECT 1 FROM labels l WHERE l.toxic = 1 AND l.doc_id = d.doc_id))""")

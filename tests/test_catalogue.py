@@ -31,6 +31,18 @@ def test_query(spark, duck, small, name):
         assert got == sorted(map(repr, (tuple(r[k] for k in order) for r in rel.fetchall())))
 
 
+def test_delete_first_match_of_equal_rows(spark, tmp_path):
+    """Ids that repeat within a supplier and across suppliers, whole copies, nulls, and a supplier that no table lists: one row of each goes."""
+    lines = [(1, 1, 5), (1, 1, 5), (1, 1, 5), (0, 11, 10), (1, 1, 10), (2, 1, 5), (1, 1, 3), (1, 1, 3), (1, 1, 15), (0, 11, None), (1, 1, None), (None, 1, None), (None, 1, 20), (3, 1, 20), (None, 1, 25), (-4, 2, -5), (-4, 2, -5)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(5,), (10,), (20,), (25,), (-5,), (3,)], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = [(11, 3), (11, 3), (11, 5), (11, 5), (21, 5), (11, 10), (None, 20), (-38, -5), (11, None), (None, None)]
+    got = queries.QUERIES["delete_first_match"](spark, str(tmp_path)).select("id", "l_suppkey").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want)) == sorted(map(repr, con.sql(queries.ORACLE_SQL["delete_first_match"]).fetchall()))
+
+
 def value_of(spark, column, *args):
     row = spark.createDataFrame([tuple(args)], ", ".join(f"a{k} string" for k in range(len(args))))
     return row.select(column(*(F.col(f"a{k}") for k in range(len(args)))).alias("x")).first()[0]
