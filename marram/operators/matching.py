@@ -6,13 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from marram.functions import fuzzy, text
 
 #: Letters of the substrings by which containment is looked up.
 GRAM = 3
+#: Remainders that substrings are told apart by before they are joined; characters that are cut at a time.
+GRAM_SLOTS, GRAM_SPAN = 1_048_573, 1 << 20
 #: Labels that are held at a time.
 LABEL_BLOCK = 10_000
 TOP_AUTHORS, AUTHOR_FLOOR, TITLE_FLOOR = 4, 0.80, 0.60
@@ -67,34 +71,104 @@ def fuzzy_band_join(left: DataFrame, right: DataFrame, a: str, b: str, within: i
     return pairs.withColumn("dist", F.levenshtein("a", "b")).filter(F.col("dist") <= within)
 
 
-def grams(x: Column, n: int) -> Column:
-    """The different substrings of this length."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - n + 1, F.lit(1))), lambda i: F.substring(x, i, F.lit(n))))
+def spans(texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
+    """Texts by their places, some GRAM_SPAN characters at a time; a longer text is cut, its parts overlap."""
+    places, parts, size = [], [], 0
+    for k, x in enumerate(texts):
+        for at in range(0, len(x), GRAM_SPAN):
+            places.append(k)
+            parts.append(x[at : at + GRAM_SPAN + GRAM - 1])
+            size += len(parts[-1])
+            if size >= GRAM_SPAN:
+                yield places, parts
+                places, parts, size = [], [], 0
+    if parts:
+        yield places, parts
 
 
-def contained_in(values: DataFrame, needles: DataFrame, v: str, w: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """Pairs of different values (``by``, v, w) where w stands within v, equal in the columns ``by``; an empty w stands in all.
+def gram_rows(rows: DataFrame, x: str, sought: Broadcast | None = None) -> DataFrame:
+    """``rows`` with ``gram`` in place of ``x``: a row for each different substring of GRAM letters, of shorter texts for the whole; no column may have nulls.
+
+    A substring is a number, its code points plus one at 21 bits each. With the
+    tables ``sought`` (by length, by remainder) those of all their lengths
+    count that a table has; others with the same remainder come along.
+    """
+    kept = [c for c in rows.columns if c != x]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            others = [batch.column(k) for k in range(len(kept))]
+            for places, parts in spans(batch.column(len(kept)).to_pylist()):
+                codes = np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32).astype(np.int64) + 1
+                sizes = np.array([len(p) for p in parts])
+                part = np.repeat(np.arange(len(parts)), sizes)
+                for n in range(1, GRAM + 1) if sought is None else sought.value:
+                    count = max(0, len(codes) - n + 1)
+                    gram = codes[:count]
+                    for k in range(1, n):
+                        gram = gram << 21 | codes[k : count + k]
+                    if sought is None:
+                        at = np.flatnonzero((part[:count] == part[n - 1 :]) & ((sizes[part[:count]] == n) | (n == GRAM)))
+                    else:
+                        at = np.flatnonzero(sought.value[n][gram % GRAM_SLOTS])
+                        at = at[part[at] == part[at + n - 1]]
+                    gram, place = gram[at], np.array(places)[part[at]]
+                    order = np.lexsort((gram, place))
+                    gram, place = gram[order], place[order]
+                    first = np.ones(len(gram), bool)
+                    first[1:] = (gram[1:] != gram[:-1]) | (place[1:] != place[:-1])
+                    taken = pa.array(place[first])
+                    yield pa.RecordBatch.from_arrays([*(c.take(taken) for c in others), pa.array(gram[first])], [*kept, "gram"])
+
+    filled = StructType([StructField(f.name, f.dataType, False) for f in rows.select(*kept).schema]).add("gram", LongType(), False)
+    return rows.select(*kept, x).mapInArrow(run, filled)
+
+
+def sought_tables(grams: DataFrame) -> Broadcast:
+    """By length of substring, which remainders of their numbers occur: at most GRAM places for each of GRAM_SLOTS."""
+    n = F.lit(GRAM)
+    for k in range(GRAM - 1, 0, -1):
+        n = F.when(F.col("gram") < 1 << 21 * k, k).otherwise(n)
+    found = grams.select(n.alias("n"), (F.col("gram") % GRAM_SLOTS).alias("slot")).distinct().toArrow()
+    sizes, slots = found["n"].to_numpy(), found["slot"].to_numpy()
+    tables = {}
+    for k in np.unique(sizes).tolist():
+        tables[k] = np.zeros(GRAM_SLOTS, bool)
+        tables[k][slots[sizes == k]] = True
+    return grams.sparkSession.sparkContext.broadcast(tables)
+
+
+def rows_containing(rows: DataFrame, needles: DataFrame, v: str, w: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` once for each different needle w that stands within their v, equal in the columns ``by``; an empty w stands in all, a null in none.
 
     A text that holds a needle holds all its substrings of three letters, the
     rarest of them too. So each needle is looked up by the one of its substrings
-    that the fewest values have, and what meets there is compared; needles of one
-    or two letters are looked up whole. A needle with a substring that no value
-    has is found nowhere.
+    that the fewest texts have, and what meets there is compared; needles of one
+    or two letters are looked up whole. A needle with a substring that no text
+    has is found nowhere. Texts and needles are represented by digests until
+    they are compared, and of their substrings only those of needles are kept; for this
+    the needles' are read ahead.
     """
-    keys = list(by)
-    values = values.select(*keys, F.col(v).alias("v")).dropna().distinct()
-    needles = needles.select(*keys, F.col(w).alias("w")).dropna().distinct()
-    found = values.join(needles.filter("w = ''"), keys) if keys else values.join(F.broadcast(needles.filter("w = ''")))  # at most one needle for each key
-    for n in range(1, GRAM + 1):
-        own = needles.filter(F.length("w") >= n if n == GRAM else F.length("w") == n)
-        asked = own.select(*keys, "w", F.explode(grams(F.col("w"), n)).alias("gram"))
-        held = values.filter(F.length("v") >= n).select(*keys, "v", F.explode(grams(F.col("v"), n)).alias("gram"))
-        held = held.join(asked.select(*keys, "gram").distinct(), [*keys, "gram"], "left_semi")
-        counts = held.groupBy(*keys, "gram").agg(F.count("*").alias("n"))
-        anchors = asked.join(counts, [*keys, "gram"], "left").groupBy(*keys, "w").agg(F.min_by(F.struct("gram", "n"), F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("x"))
-        anchors = anchors.filter("x.n IS NOT NULL").select(*keys, "w", "x.gram")
-        found = found.unionByName(held.join(anchors, [*keys, "gram"]).filter(F.contains("v", "w")).select(*keys, "v", "w"))
-    return found
+    keys, digest = list(by), F.unhex(F.md5(F.col(v).cast("binary"))).alias("__text")
+    rows = rows.dropna(subset=[*keys, v])
+    needles = needles.select(*keys, w).dropna().distinct()
+    empty = needles.filter(F.col(w) == "")
+    found = rows.join(empty, keys) if keys else rows.join(F.broadcast(empty))  # at most one needle for each key
+    needles = needles.withColumn("__needle", F.unhex(F.sha2(w, 256)))
+    asked = gram_rows(needles, w)
+    held = gram_rows(rows.select(*keys, digest, v), v, sought_tables(asked)).distinct()
+    counts = held.groupBy(*keys, "gram").agg(F.count("*").alias("n"))
+    anchors = asked.join(counts, [*keys, "gram"], "left").groupBy(*keys, "__needle").agg(F.min_by(F.struct("gram", "n"), F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("x"))
+    anchors = anchors.filter("x.n IS NOT NULL").select(*keys, "__needle", "x.gram").join(needles, [*keys, "__needle"])
+    met = held.join(anchors, [*keys, "gram"]).select(*keys, "__text", w)
+    compared = rows.select("*", digest).join(met, [*keys, "__text"]).filter(F.contains(v, w))
+    return found.unionByName(compared.drop("__text")).select(*rows.columns, w)
+
+
+def contained_in(values: DataFrame, needles: DataFrame, v: str, w: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of different values (``by``, v, w) where w stands within v, equal in the columns ``by``: ``rows_containing`` of distinct values."""
+    values = values.select(*by, F.col(v).alias("v")).dropna().distinct()
+    return rows_containing(values, needles.select(*by, F.col(w).alias("w")), "v", "w", by)
 
 
 def nearest_labels(vectors: DataFrame, labels: DataFrame, id_col: str, vec_col: str, top: int = 1, block: int = LABEL_BLOCK) -> DataFrame:

@@ -266,7 +266,7 @@ def contained_words(spark, sf):
     """Every word of a part's name, and some short ones, in every document that they stand in."""
     words = part_words(spark, sf).unionByName(spark.createDataFrame([("a",), ("re",), ("",), ("zzz",)], "w string")).distinct()
     docs = table(spark, sf, "documents").select("doc_id", "text").filter("text <> ''")
-    return docs.join(matching.contained_in(docs, words, "text", "w").withColumnRenamed("v", "text"), "text").select("doc_id", "w")
+    return matching.rows_containing(docs, words, "text", "w").select("doc_id", "w")
 
 
 @query("""WITH s AS (SELECT a.vec_id, b.vec_id AS label, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 10) AS score FROM embeddings a, embeddings b)

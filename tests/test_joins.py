@@ -4,6 +4,8 @@ import itertools
 import json
 import math
 import random
+import re
+import time
 
 import numpy as np
 import pytest
@@ -27,6 +29,26 @@ def test_containment_equals_all_pairs(spark, seed):
     assert got == {(v, w) for (_, v), (_, w) in itertools.product(values, needles) if v is not None and w is not None and w in v}
 
 
+def test_containment_in_long_texts(spark):
+    rng = random.Random(3)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(matching.GRAM_SPAN + 100))
+    cut = matching.GRAM_SPAN
+    rows = [(1, long), (1, long), (2, long[: cut - 2] + "nEEdle" + long[cut:]), (3, long[: cut // 4] + "é"), (4, "nEE"), (5, "n"), (6, ""), (7, None), (8, "\U0001f600dl")]
+    needles = ["nEEdle", "nEE", "Edl", "é", "zq", "dl", "\U0001f600", "", "n", None, long[cut - 5 : cut + 5], long[-9:], long[3 : cut + 9], "nEE"]
+    began = time.monotonic()
+    found = matching.rows_containing(spark.createDataFrame(rows, "k int, v string"), spark.createDataFrame([(x,) for x in needles], "w string"), "v", "w").select("k", "w").collect()
+    assert time.monotonic() - began < 40  # substrings by their place, counted from the start each time, took minutes
+    want = [(k, w) for k, v in rows if v is not None for w in dict.fromkeys(needles) if w is not None and w in v]
+    assert sorted((r.k, r.w) for r in found) == sorted(want)
+
+
+def test_containment_joins_digests_of_texts(spark):
+    rows = spark.createDataFrame([(k, f"text {k}" * 50) for k in range(50)], "k int, v string")
+    plan = matching.rows_containing(rows, rows.select(F.substring("v", 2, 6).alias("w")), "v", "w")._jdf.queryExecution().optimizedPlan().toString()
+    joins = [x for x in plan.split("\n") if "Join Inner" in x]
+    assert any("__text" in x for x in joins) and not any(re.search(r"v#\d+ = ", x) for x in joins)
+
+
 def test_containment_has_no_nested_loop(spark):
     df = spark.range(1000).select(F.concat(F.lit("value "), "id").alias("v"))
     plan = matching.contained_in(df, df.select(F.substring("v", 3, 6).alias("w"), F.lit("x").alias("p")).withColumn("w", F.col("w")), "v", "w")
