@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+import pyarrow.compute as pc
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import FloatType, LongType, StructField, StructType
 
 from marram.functions import fuzzy, text
 
@@ -19,6 +20,10 @@ GRAM = 3
 GRAM_SLOTS, GRAM_SPAN = 1_048_573, 1 << 20
 #: Labels that are held at a time.
 LABEL_BLOCK = 10_000
+#: Components of a task's vectors, a quarter of which is taken at a time (rows of half a megabyte are hard on the JVM), and bytes of the labels' that it meets.
+CELLS, SHARE = 1 << 18, 1 << 25
+#: Vectors that meet a block of labels at a time; what a score that is no number ranks as: the last.
+TILE, NO_SCORE = 256, -2.0
 TOP_AUTHORS, AUTHOR_FLOOR, TITLE_FLOOR = 4, 0.80, 0.60
 
 
@@ -171,48 +176,162 @@ def contained_in(values: DataFrame, needles: DataFrame, v: str, w: str, by: tupl
     return rows_containing(values, needles.select(*by, F.col(w).alias("w")), "v", "w", by)
 
 
-def nearest_labels(vectors: DataFrame, labels: DataFrame, id_col: str, vec_col: str, top: int = 1, block: int = LABEL_BLOCK) -> DataFrame:
+def nearest_labels(vectors: DataFrame, labels: DataFrame, id_col: str, vec_col: str, top: int = 1, block: int = LABEL_BLOCK, digits: int | None = None) -> DataFrame:
     """The ``top`` labels of each vector by cosine, as (id, label, score, place); ids should be unique.
 
     ``labels`` is (label, center). Up to ``block`` labels are scored within each
-    vector's row, without a shuffle; more are taken that many at a time, each
-    time with matrix products, and the best of all of them are merged, which
-    gives the same result. Ties go to the smaller label.
+    vector's row, without a shuffle; more are taken that many at a time, with
+    matrix products, and the best of all of them are merged, which gives the
+    same result. Scores are compared to ``digits`` decimals, without it as they
+    are, of more than a block to twelve. Ties go to the smaller label.
     """
     if labels.count() > block:
-        return nearest_by_blocks(vectors, labels, id_col, vec_col, top, block)
+        return nearest_by_blocks(vectors, labels, id_col, vec_col, top, block, 12 if digits is None else digits)
     packed = labels.agg(F.array_sort(F.collect_list(F.struct("label", "center"))).alias("all"))  # at most ``block`` rows
-    scored = vectors.join(F.broadcast(packed)).select(id_col, F.transform("all", lambda x: F.struct((-fuzzy.cosine(F.col(vec_col), x["center"])).alias("loss"), x["label"].alias("label"))).alias("s"))
+
+    def score(x: Column) -> Column:
+        exact = fuzzy.cosine(F.col(vec_col), x["center"])
+        return exact if digits is None else F.round(exact, digits)
+
+    scored = vectors.join(F.broadcast(packed)).select(id_col, F.transform("all", lambda x: F.struct((-score(x)).alias("loss"), x["label"].alias("label"))).alias("s"))
     best = scored.select(id_col, F.posexplode(F.slice(F.array_sort("s"), 1, top)).alias("place", "x"))
     return best.select(id_col, F.col("x.label").alias("label"), (-F.col("x.loss")).alias("score"), "place")
 
 
-def nearest_by_blocks(vectors: DataFrame, labels: DataFrame, id_col: str, vec_col: str, top: int, block: int) -> DataFrame:
-    """``nearest_labels`` with any number of labels; scores are compared to twelve decimals."""
-    spark, kinds = vectors.sparkSession, (vectors.schema[id_col].dataType.simpleString(), labels.schema["label"].dataType.simpleString())
-    blocks = -(-labels.count() // block)
-    out = None
-    for k in range(blocks):
-        rows = labels.filter(F.pmod(F.xxhash64("label"), F.lit(blocks)) == k).select("label", "center").orderBy("label").toArrow()  # about ``block`` rows
-        if not rows.num_rows:
-            continue
-        shared = spark.sparkContext.broadcast((rows["label"].combine_chunks(), unit_rows(rows["center"].to_pylist())))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            names, centers = shared.value
-            for batch in batches:
-                scores = np.round(unit_rows(batch.column(1).to_pylist()) @ centers.T, 12)
-                best = np.argsort(-scores, axis=1, kind="stable")[:, :top]  # labels are in order, so that ties go to the smaller
-                ids = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), best.shape[1])))
-                yield pa.RecordBatch.from_arrays([ids, names.take(pa.array(best.ravel())), pa.array(np.take_along_axis(scores, best, 1).ravel())], ["id", "label", "score"])
-
-        found = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).mapInArrow(run, f"id {kinds[0]}, label {kinds[1]}, score double")
-        out = found if out is None else out.unionByName(found)
-    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "label")) - 1
+def nearest_by_blocks(vectors: DataFrame, labels: DataFrame, id_col: str, vec_col: str, top: int, block: int, digits: int = 12) -> DataFrame:
+    """``nearest_labels`` with any number of labels, every vector against every label; nothing of either passes through the driver.
+
+    Tasks take a few thousand vectors and a share of the labels of SHARE bytes
+    each, a block of these at a time, and hand on the best of their share. The
+    work grows with the product of both numbers; memory doesn't.
+    """
+    ids, names = vectors.select(F.col(id_col).alias("key"), F.col(vec_col).alias("v")), labels.select(F.col("label").alias("key"), F.col("center").alias("v"))
+    count, width = names.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
+    width, many = max(1, width), ids.count()
+    at_most, types = max(1, CELLS // (4 * width)), (component_type(ids), component_type(names))
+    dealt = ids.repartition(max(1, -(-many * width // CELLS)))
+    ordered = names.repartitionByRange(max(1, -(-count // (16 * block))), "key").sortWithinPartitions("key")
+    chunks = vector_blocks(dealt, at_most, width).toDF("ids", "v", "chunk")
+    blocks = vector_blocks(ordered, min(block, at_most), width).toDF("labels", "centers", "start")
+    pairs = chunks.hint("shuffle_replicate_nl").crossJoin(blocks.repartition(max(1, -(-count * width * types[1].itemsize // SHARE)), "start"))
+    kinds = ids.schema["key"].dataType.simpleString(), names.schema["key"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def units(cells: pa.BinaryScalar, dtype: np.dtype) -> np.ndarray:
+            return unit_rows(np.frombuffer(cells.as_buffer(), dtype).reshape(-1, width))
+
+        chunk, best = None, None
+        for batch in batches:
+            for k in range(batch.num_rows):
+                own, v, number, others, centers, start = (batch.column(j)[k] for j in range(6))
+                if best is None or number.as_py() != chunk:
+                    if best is not None:
+                        yield best.rows()
+                    chunk, best = number.as_py(), Best(own.values, units(v, types[0]), top, digits)
+                best.meet(others.values, units(centers, types[1]), start.as_py())
+        if best is not None:
+            yield best.rows()
+
+    out = pairs.select("ids", "v", "chunk", "labels", "centers", "start").mapInArrow(run, f"id {kinds[0]}, label {kinds[1]}, score double")
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc(F.nanvl("score", F.lit(NO_SCORE))), "label")) - 1
     return out.withColumn("place", place).filter(F.col("place") < top).select(F.col("id").alias(id_col), "label", "score", "place")
 
 
-def unit_rows(vectors: list[list[float]]) -> np.ndarray:
+def vector_blocks(rows: DataFrame, size: int, width: int) -> DataFrame:
+    """Rows (key, v) by ``size`` at most: their keys, their components' bytes, and their place among the partitions' rows; no vector counts as one of zeros."""
+    kind, dtype = rows.schema["key"].dataType.simpleString(), component_type(rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                keys, v = (c.slice(at, size) for c in batch.columns)
+                if v.null_count or v.flatten().null_count or not pc.all(pc.equal(pc.list_value_length(v), width)).as_py():
+                    cells = np.array([[0.0] * width if x is None else x for x in v.to_pylist()], dtype)
+                else:
+                    cells = v.flatten().to_numpy().astype(dtype)
+                whole = pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys)
+                yield pa.RecordBatch.from_arrays([whole, pa.array([cells.reshape(len(keys), width).tobytes()], pa.binary()), pa.array([start], pa.int64())], ["keys", "cells", "start"])
+                start += len(keys)
+
+    return rows.select("key", "v").mapInArrow(run, f"keys array<{kind}>, cells binary, start bigint")
+
+
+def component_type(rows: DataFrame) -> np.dtype:
+    """How the components of the vectors v are held without loss."""
+    return np.dtype(np.float32 if rows.schema["v"].dataType.elementType == FloatType() else np.float64)
+
+
+def scored(cosines: np.ndarray) -> np.ndarray:
+    """Cosines, NO_SCORE for what is no number."""
+    cosines[np.isnan(cosines)] = NO_SCORE
+    return cosines
+
+
+class Best:
+    """The best labels of a chunk of vectors so far, of equal ones the first; labels are known by their places, which are in order.
+
+    Cosines in single precision tell which labels can be among the best; these
+    are scored in double precision.
+    """
+
+    def __init__(self, ids: pa.Array, units: np.ndarray, top: int, digits: int):
+        self.ids, self.units, self.top, self.digits = ids, units, top, digits
+        self.scores = np.full((len(units), top), -np.inf)
+        self.places = np.full((len(units), top), np.iinfo(np.int64).max)
+        self.labels: dict[int, pa.Array] = {}
+        self.rough, self.slack = units.astype(np.float32), (units.shape[1] + 8) * 2.0**-24  # no cosine is off by more
+
+    def meet(self, labels: pa.Array, centers: np.ndarray, start: int) -> None:
+        """Take in the labels from place ``start`` on, a tile of vectors at a time."""
+        self.labels[start] = labels
+        rough = np.ascontiguousarray(centers.T, np.float32)
+        for at in range(0, len(self.units), TILE):
+            self.meet_tile(slice(at, at + TILE), centers, rough, start)
+
+    def meet_tile(self, tile: slice, centers: np.ndarray, rough: np.ndarray, start: int) -> None:
+        """Only labels that a vector's worst so far doesn't clearly beat are scored, rounded and sorted."""
+        units, worst, last, unit = self.units[tile], self.scores[tile, -1], self.places[tile, -1], 10.0**-self.digits
+        near = scored(self.rough[tile] @ rough)
+        least = np.where(last > start, worst - 0.6 * unit, worst + 0.4 * unit)
+        if len(centers) > self.top and np.isinf(worst).any():
+            least = np.maximum(least, np.partition(near, -self.top, axis=1)[:, -self.top] - self.slack - 1.2 * unit)
+        hits = np.flatnonzero(near > (least - self.slack).astype(np.float32)[:, None])
+        if 32 * len(hits) > near.size:
+            exact = scored(units @ centers.T)
+            row, column = np.nonzero(exact > least[:, None])
+            score = exact[row, column]
+        else:
+            row, column = np.divmod(hits, len(centers))
+            score = scored(np.einsum("ij,ij->i", units[row], centers[column]))
+            kept = score > least[row]
+            row, column, score = row[kept], column[kept], score[kept]
+        if not len(row):
+            return
+        better = np.unique(row)
+        score = np.concatenate([np.round(score, self.digits) + 0.0, self.scores[tile][better].ravel()])
+        place = np.concatenate([column + start, self.places[tile][better].ravel()])
+        row = np.concatenate([row, np.repeat(better, self.top)])
+        order = np.lexsort((place, -score, row))
+        first = np.searchsorted(row[order], better)
+        taken = order[first[:, None] + np.arange(self.top)]
+        self.scores[tile][better], self.places[tile][better] = score[taken], place[taken]
+
+    def rows(self) -> pa.RecordBatch:
+        """(id, label, score) of what was found."""
+        starts = np.array(sorted(self.labels))
+        sizes = np.array([len(self.labels[x]) for x in starts.tolist()])
+        row, k = np.nonzero(self.scores > -np.inf)
+        place = self.places[row, k]
+        block = np.searchsorted(starts, place, "right") - 1
+        at = np.cumsum(sizes)[block] - sizes[block] + place - starts[block]
+        labels = pa.concat_arrays([self.labels[x] for x in starts.tolist()])
+        score = self.scores[row, k]
+        score[score == NO_SCORE] = np.nan
+        return pa.RecordBatch.from_arrays([self.ids.take(pa.array(row)), labels.take(pa.array(at)), pa.array(score)], ["id", "label", "score"])
+
+
+def unit_rows(vectors: list[list[float]] | np.ndarray) -> np.ndarray:
     """Vectors of length one; those without length stay zero."""
     found = np.array(vectors, dtype=np.float64)
     size = np.sqrt((found * found).sum(axis=1, keepdims=True))

@@ -274,7 +274,7 @@ def contained_words(spark, sf):
 def nearest_vectors(spark, sf):
     """Each embedding's three nearest of all, which are labels of themselves, a block of them at a time."""
     vectors = table(spark, sf, "embeddings")
-    near = matching.nearest_labels(vectors, vectors.select(F.col("vec_id").alias("label"), F.col("embedding").alias("center")), "vec_id", "embedding", 3, 512)
+    near = matching.nearest_labels(vectors, vectors.select(F.col("vec_id").alias("label"), F.col("embedding").alias("center")), "vec_id", "embedding", 3, 512, 10)
     return near.select("vec_id", "label", F.round("score", 5).alias("score"), "place")
 
 

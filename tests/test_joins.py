@@ -8,6 +8,7 @@ import re
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,6 +71,52 @@ def test_labels_by_blocks_equal_labels_in_rows(spark):
         assert sum(a[2] != b[2] for a, b in zip(got, whole, strict=True)) <= 2  # of scores that differ beyond the twelfth decimal only
 
 
+def test_labels_by_blocks_pass_the_driver_by(spark, monkeypatch):
+    def refused(*_):
+        raise AssertionError("labels went to the driver")
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", refused)
+    monkeypatch.setattr(type(spark.range(1)), "toArrow", refused)
+    monkeypatch.setattr(matching, "SHARE", 60 * 6 * 8)
+    monkeypatch.setattr(matching, "CELLS", 90 * 6)
+    rng = np.random.default_rng(5)
+    rows = [(f"v{k:03}", rng.normal(size=6).tolist()) for k in range(150)]
+    rows += [(f"w{k:03}", (np.array(v) * (k % 3 + 1)).tolist()) for k, (_, v) in enumerate(rows[:50])] + [("z", [0.0] * 6), ("n", None)]
+    df = spark.createDataFrame(rows, "id string, v array<double>").repartition(5)
+    got = sorted((r.id, r.place, r.label, round(r.score, 9)) for r in matching.nearest_labels(df, df.select(F.col("id").alias("label"), F.col("v").alias("center")), "id", "v", 3, 16, 10).collect())
+    unit = {k: np.zeros(6) if v is None or not any(v) else np.array(v) / np.linalg.norm(v) for k, v in rows}
+    want = [(a, place, b, round(-loss, 9)) for a in unit for place, (loss, b) in enumerate(sorted((-round(float(unit[a] @ unit[b]), 10) + 0.0, b) for b in unit)[:3])]
+    assert got == sorted(want)
+    assert len({x[0] for x in got}) == 202
+
+
+def test_scores_are_compared_to_digits(spark):
+    v = [1.0, 2.0, 3.0]
+    rows = [(5, v), (4, [x * 3 for x in v]), (3, [1.0, 2.0, 3.0 + 1e-7]), (2, [1.0, 2.0, 3.001]), (1, [0.1, 0.2, 0.3])]
+    df = spark.createDataFrame(rows, "id int, v array<double>")
+    for block in (2, 10):
+        got = matching.nearest_labels(df, df.select(F.col("id").alias("label"), F.col("v").alias("center")), "id", "v", 4, block, 10).filter("id = 5").collect()
+        assert [r.label for r in sorted(got, key=lambda r: r.place)] == [1, 3, 4, 5]
+
+
+@pytest.mark.parametrize("top", [1, 3, 50])
+def test_best_labels_of_blocks_in_any_order(top):
+    rng = np.random.default_rng(top)
+    centers = matching.unit_rows(rng.normal(size=(300, 4)).round(1).tolist())
+    centers[100:200], centers[250] = centers[3], np.nan
+    units = np.concatenate([centers[:280:7], np.full((1, 4), np.nan)])
+    scores = np.round(units @ centers.T, 10)
+    ranked = np.where(np.isnan(scores), -2, scores)
+    want = [(i, int(k)) for i, x in enumerate(ranked) for k in np.lexsort((np.arange(300), -x))[:top]]
+    for step, seed in itertools.product((1, 30, 300), (0, 1)):
+        best = matching.Best(pa.array(range(len(units))), units, top, 10)
+        for start in np.random.default_rng(seed).permutation(range(0, 300, step)).tolist():
+            best.meet(pa.array(range(start, start + step)), centers[start : start + step], start)
+        rows = best.rows()
+        assert list(zip(rows["id"].to_pylist(), rows["label"].to_pylist(), strict=True)) == want
+        assert np.allclose(rows["score"].to_numpy(), [scores[x] for x in want], atol=1e-9, equal_nan=True)
+
+
 def test_samples_depend_on_the_seed_only(spark):
     df = spark.range(5000).withColumn("score", F.col("id") / 5000)
     draw = lambda d, seed: [r.id for r in relational.random_sample(d, "id", 100, seed).collect()]
